@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, embeddings, html, media, mixing, pii, quality, sentencepiece_codec, simhash
+from tessera.llm import chat, embeddings, html, media, mixing, pii, quality, sentencepiece_codec, simhash, substrings
 from tessera.llm.common import table
 
 #: A conversation whose texts imitate the template (fixed values).
@@ -34,6 +34,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -63,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     ops = (
-        op1_chat_formatting, op2_mixing, op3_pii, op4_sentencepiece, op6_html_extraction,
+        op1_chat_formatting, op2_mixing, op3_pii, op4_sentencepiece, op5_substring_dedup, op6_html_extraction,
         op7_embedding_near_dedup, op8_simhash_near_dedup, op9_media_columns, op10_quality_classifier, pipeline,
     )
     return {f.__name__: f for f in ops}
