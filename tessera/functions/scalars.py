@@ -98,3 +98,10 @@ def chernoff_log10(a: Column, df: Column) -> Column:
 def larger_magnitude(d: Column, a: Column) -> Column:
     """The value further from zero; the first on ties."""
     return F.when(F.abs(d) >= F.abs(a), d).otherwise(a)
+
+
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson's correlation as an aggregate; null where a variance is zero, which ``corr`` refuses to divide by."""
+    both = lambda c: F.when(x.isNotNull() & y.isNotNull(), c.cast("double"))
+    sd = F.stddev_pop(both(x)) * F.stddev_pop(both(y))
+    return F.try_divide(F.covar_pop(both(x), both(y)), sd)

@@ -14,11 +14,17 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
 TINY = 1e-300
 
 
+def _lgamma(x):
+    return np.vectorize(math.lgamma, otypes=[float])(x)
+
+
+def _erfc(x):
+    return np.vectorize(math.erfc, otypes=[float])(x)
+
+
 def normal_two_sided(z):
     return _erfc(np.abs(np.asarray(z, float)) / math.sqrt(2))
 

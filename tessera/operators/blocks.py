@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import fisher_z_difference, larger_magnitude
+from tessera.functions.scalars import fisher_z_difference, larger_magnitude, safe_corr
 from tessera.functions.tails import log_normal_upper, log_t_two_sided
 from tessera.operators.inference import with_correlation_p
 
@@ -24,7 +24,7 @@ def correlate(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """
     x = a.select(key, F.col("feature").alias("x"), F.col("value").alias("vx")).where("vx IS NOT NULL")
     y = b.select(key, F.col("feature").alias("y"), F.col("value").alias("vy")).where("vy IS NOT NULL")
-    return x.join(y, key).groupBy("x", "y").agg(F.count("*").alias("n"), F.coalesce(F.nanvl(F.corr("vx", "vy"), F.lit(0.0)), F.lit(0.0)).alias("r"))
+    return x.join(y, key).groupBy("x", "y").agg(F.count("*").alias("n"), F.coalesce(safe_corr(F.col("vx"), F.col("vy")), F.lit(0.0)).alias("r"))
 
 
 def correlate_wide(rows: DataFrame, x: str, y: str, x_names: list[str], y_names: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import safe_corr
 from tessera.functions.tails import chi2_p, normal_p, t_log10_p
 from tessera.operators.quantiles import average_rank
 
@@ -76,7 +77,7 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, name: s
     by = list(by or [])
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = average_rank(average_rank(known, x, by, "_rx"), y, by, "_ry")
-    return ranked.groupBy(*by).agg(F.coalesce(F.nanvl(F.corr("_rx", "_ry"), F.lit(0.0)), F.lit(0.0)).alias(name))
+    return ranked.groupBy(*by).agg(F.coalesce(safe_corr(F.col("_rx"), F.col("_ry")), F.lit(0.0)).alias(name))
 
 
 def with_correlation_p(df: DataFrame, r: str, n: str, cap: float = 15.0) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import logit
+from tessera.functions.scalars import logit, safe_corr
 from tessera.operators.discrimination import auc
 
 #: Full tuning ranges of the three learners; grids are thinned by ``Tuning.points``.
@@ -175,4 +175,4 @@ def oof_agreement(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
     j = a.select(key, F.col("risk").alias("ra")).join(b.select(key, F.col("risk").alias("rb")), key)
     r = average_rank(average_rank(j, "ra", [], "qa"), "rb", [], "qb")
-    return r.agg(F.corr("ra", "rb").alias("pearson"), F.corr("qa", "qb").alias("spearman"))
+    return r.agg(safe_corr(F.col("ra"), F.col("rb")).alias("pearson"), safe_corr(F.col("qa"), F.col("qb")).alias("spearman"))

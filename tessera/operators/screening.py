@@ -12,6 +12,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import safe_corr
 from tessera.functions.tails import t_p
 from tessera.operators.inference import bh_adjust
 from tessera.operators.quantiles import average_rank
@@ -101,7 +102,7 @@ def screen_sis(long: DataFrame, k: int, rank_based: bool = True, truth: str = "t
         known = average_rank(average_rank(known, "value", ["feature"], "_x"), truth, ["feature"], "_y")
     else:
         known = known.withColumn("_x", F.col("value")).withColumn("_y", F.col(truth).cast("double"))
-    s = known.groupBy("feature").agg(F.abs(F.coalesce(F.nanvl(F.corr("_x", "_y"), F.lit(0.0)), F.lit(0.0))).alias("score"))
+    s = known.groupBy("feature").agg(F.abs(F.coalesce(safe_corr(F.col("_x"), F.col("_y")), F.lit(0.0))).alias("score"))
     return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 12)), "feature"))).where(F.col("rank") <= k)
 
 
@@ -122,7 +123,7 @@ def screen_mrmr(long: DataFrame, k: int, id_col: str, truth: str = "truth", pool
     for r in edges.collect():
         shared[at[r["x"]], at[r["y"]]] = shared[at[r["y"]], at[r["x"]]] = info(r["r"] or 0.0)
     rel = np.zeros(len(at))
-    for r in kept.groupBy("feature").agg(F.corr("value", F.col(truth).cast("double")).alias("r")).collect():
+    for r in kept.groupBy("feature").agg(safe_corr(F.col("value"), F.col(truth)).alias("r")).collect():
         rel[at[r["feature"]]] = info(0.0 if r["r"] is None or math.isnan(r["r"]) else r["r"])
     names, chosen = sorted(at), []
     while len(chosen) < min(k, len(names)):
@@ -166,7 +167,7 @@ class CorrelationScreen(Estimator, _ScreenParams, DefaultParamsReadable, Default
 
     def _fit(self, df: DataFrame) -> CorrelationScreenModel:
         x, y = self.getOrDefault(self.inputCol), F.col(self.getOrDefault(self.labelCol)).cast("double")
-        s = df.select(F.posexplode(x).alias("i", "v"), y.alias("y")).groupBy("i").agg(F.abs(F.coalesce(F.nanvl(F.corr("v", "y"), F.lit(0.0)), F.lit(0.0))).alias("r"))
+        s = df.select(F.posexplode(x).alias("i", "v"), y.alias("y")).groupBy("i").agg(F.abs(F.coalesce(safe_corr(F.col("v"), F.col("y")), F.lit(0.0))).alias("r"))
         keep = sorted(r["i"] for r in s.orderBy(F.desc(F.round("r", 12)), "i").limit(self.getOrDefault(self.k)).collect())
         model = CorrelationScreenModel(chosen=keep)
         return model._set(inputCol=x, outputCol=self.getOrDefault(self.outputCol))

@@ -684,7 +684,7 @@ def peel_symmetric(s, d):
     import pandas as pd
 
     names = [f"x{k:02d}" for k in range(32)]
-    edges = blocks.correlate_wide(fx.planted(s, d).where("truth = 1"), "x", "x", names, names)
+    edges = blocks.correlate_wide(fx.planted(s, d).where("truth = 1").select("x", F.col("x").alias("y")), "x", "y", names, names)
 
     def run(pdf):
         names = np.sort(pdf["x"].unique())
