@@ -28,7 +28,7 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-MARK = re.compile(r"[0-9@]")
+MARK, BLANK = re.compile(r"[0-9@]"), re.compile(r"\s")
 EDGE = "\"'()[]{}<>.,;:!?"
 
 #: An instance is a token of so many characters with a digit or @; its pattern
@@ -85,23 +85,23 @@ def candidates(text: str, spans) -> list[tuple[int, int, str, str, int]]:
 
     A token that meets what a rule found is that finding, whole.
     """
-    out, done = [], 0
+    out, done, at = [], 0, 0
     known = sorted((a, b, k) for k, a, b in spans)
-    at = 0
+    end = stop = 0  # of the token at hand: where it ends, and where its last character that counts does
     for m in MARK.finditer(text):
         if m.start() < done:
             continue
-        a = b = m.start()
-        while a > done and not text[a - 1].isspace():
-            a -= 1
-        n = len(text)
-        while b < n and not text[b].isspace():
-            b += 1
-        while a < b and text[a] in EDGE:
+        a = m.start()
+        if a >= end:
+            while a > done and not text[a - 1].isspace():
+                a -= 1
+            gap = BLANK.search(text, m.start())
+            end = stop = gap.start() if gap else len(text)
+            while text[stop - 1] in EDGE:
+                stop -= 1
+        while text[a] in EDGE:
             a += 1
-        while b > a and text[b - 1] in EDGE:
-            b -= 1
-        kind = -1
+        b, kind = stop, -1
         while at < len(known) and known[at][1] <= a:
             at += 1
         if at < len(known) and known[at][0] < b:
