@@ -163,6 +163,7 @@ class CorrelationScreen(Estimator, _ScreenParams, DefaultParamsReadable, Default
     @keyword_only
     def __init__(self, *, inputCol="features", outputCol="screened", labelCol="label", k=10):
         super().__init__()
+        self._setDefault(inputCol="features", outputCol="screened", labelCol="label", k=10)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> CorrelationScreenModel:
