@@ -31,7 +31,7 @@ CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "
           "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th", "p"}, "tfoot": {"tbody", "tr", "td", "th", "p"}}
 P_ENDS = BLOCK - {"br", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dt", "dd", "legend", "summary", "body", "html"}
 HOLDERS = frozenset("ul ol dl table select div section article main aside nav header footer form body blockquote figure".split())
-CONTAINERS = frozenset("article main section div body td blockquote".split())
+CONTAINERS = frozenset(["", *"article main section div body td blockquote".split()])  # "" is the page itself
 INLINE_FORMAT = frozenset("a b big code em font i small strong tt u s span".split())
 #: Elements, roles and words in class or id that are not part of the main text.
 APART = frozenset("nav header footer aside form button select script style noscript template dialog menu svg iframe object canvas head".split())
@@ -206,24 +206,22 @@ def host(url: Column) -> Column:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """``(host, path, votes)``: every page votes for its best container, in proportion to how clear it is."""
+    """``(host, path, votes)``: every page with a container votes for its best."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 64):
-                hosts, paths, weights = [], [], []
+                hosts, paths = [], []
                 for h, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found = scores(*parse(page or ""))
-                    total = sum(found.values())
-                    if total > 0:
-                        best = min(found, key=lambda p: (-found[p], p))
-                        hosts.append(h), paths.append(best), weights.append(int(1000 * found[best] / total))
+                    found = {p: v for p, v in scores(*parse(page or "")).items() if p and v > 0}
+                    if found:
+                        hosts.append(h), paths.append(min(found, key=lambda p: (-found[p], p)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(weights, pa.int64())], names=["host", "path", "w"]
+                    [pa.array(hosts, pa.string()), pa.array(paths, pa.string())], names=["host", "path"]
                 )
 
     rows = pages.select(host(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "host string, path string, w bigint").groupBy("host", "path").agg(F.sum("w").alias("votes"))
+    return rows.mapInArrow(run, "host string, path string").groupBy("host", "path").agg(F.count("*").alias("votes"))
 
 
 def host_paths(pages: DataFrame, scratch: Scratch, ranks: int = 3) -> DataFrame:
