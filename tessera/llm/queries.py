@@ -18,7 +18,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(IMITATION).alias("text"),
     )
-    return chat.digests(chat.format_conversations(rows.union(own)))
+    return chat.digests(chat.format_conversations(rows.union(own))).drop("n_tokens", "loss_tokens")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +73,26 @@ def queries() -> dict:
     return {f.__name__: f for f in ops}
 
 
-#: In SQL: the digest columns of op1, whose formatting has no closed form beside them.
-ORACLES: dict[str, str] = {}
+#: What SQL can say whole: op1's digests (texts, template and escapes are plain strings) and op7's links.
+ORACLES: dict[str, str] = {
+    "op1_chat_formatting": rf"""
+WITH r AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{IMITATION}' UNION ALL SELECT -1, 1, 'assistant', '{IMITATION}')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sum({len(chat.START) + len(chat.SEP) + len(chat.END)} + length(role) + length(text)
+    + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars
+FROM r GROUP BY conv_id""",
+    "op7_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(vec_id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id),
+c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.vec_id""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
