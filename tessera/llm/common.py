@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -59,6 +60,19 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def narrow(self, df: DataFrame, *cols: str) -> DataFrame:
+        """Of a table that ``keep`` gave, some columns; the table itself is deleted."""
+        (path,) = {f.rpartition("/")[0] for f in df.inputFiles()} or {None}
+        out = self.keep(df.select(*cols))
+        if path:
+            self.drop(path)
+        return out
+
+    def release(self) -> None:
+        """Let Spark remove the shuffles of finished stages now rather than with some later collection."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def result(self, df: DataFrame) -> DataFrame:
         """An eager checkpoint: Spark removes its files with the last reference."""
         return df.checkpoint(eager=True)
