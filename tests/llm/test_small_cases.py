@@ -352,6 +352,31 @@ def test_substrings_blocks(spark, monkeypatch):
         assert a in (29, 30) and b in (85, 86)
 
 
+def test_substrings_with_gaps(spark):
+    """Near passages by their shingles' Jaccard similarity: words inserted or deleted, sentences in another order."""
+    rng = random.Random(21)
+    fill = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    runs = lambda ws: [tuple(ws[k : k + 5]) for k in range(len(ws) - 4)]
+
+    def jaccard(a, b):
+        a, b = set(runs(a)), set(runs(b))
+        return len(a & b) / len(a | b)
+
+    one, two, long, cut, turned, far = fill(60), fill(88), fill(440), fill(70), fill(64), fill(60)
+    pairs = [
+        (one, one[:30] + ["new"] + one[30:]), (two, two[:44] + ["new"] + two[44:]), (long, [w for k in range(0, 440, 44) for w in [*long[k : k + 44], f"new{k}"]]),
+        (cut, cut[:35] + cut[37:]), (turned, turned[32:] + turned[:32]), (far, [w for k in range(0, 60, 15) for w in [*far[k : k + 15], f"new{k}"]]),
+    ]
+    assert [jaccard(*p) >= 0.8 for p in pairs] == [True] * 5 + [False]
+    rows = [(2 * k + side, " ".join(fill(40) + text + fill(40)), None) for k, p in enumerate(pairs) for side, text in enumerate(p)]
+    got = {r.doc_id: r for r in substrings.repeated_passages(documents(spark, rows)).collect()}
+    assert {i: r.component_id for i, r in got.items()} == {i: i - i % 2 for i in range(10)}
+    for i, r in got.items():
+        n = len(pairs[i // 2][i % 2])
+        spans = [tuple(map(int, x.split(":"))) for x in r.spans.split(",")]
+        assert all(39 <= a and b <= 41 + n for a, b in spans) and r.repeated_words >= 0.9 * n, (i, r)
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     part = "pmod(xxhash64(doc_id), 3)"  # low quality stands at multiples of 3, so ids themselves do not split evenly
