@@ -106,31 +106,31 @@ def screen_sis(long: DataFrame, k: int, rank_based: bool = True, truth: str = "t
     return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 12)), "feature"))).where(F.col("rank") <= k)
 
 
-def screen_mrmr(long: DataFrame, k: int, id_col: str, truth: str = "truth", pool: int = 500) -> list[str]:
+def screen_mrmr(long: DataFrame, k: int, id_col: str, truth: str = "truth") -> list[str]:
     """``k`` features, one by one: most information on the outcome less the mean shared with those chosen.
 
-    Information is -ln(1 - r^2) / 2 of Pearson's r. The greedy walk needs
-    correlations among candidates only, so it runs over the ``pool`` most
-    relevant features; ``pool`` >= the number of features makes it exact.
+    Information is -ln(1 - r^2) / 2 of Pearson's r. The greedy walk goes over
+    all features: a step needs the correlations with the feature chosen last
+    only, so there are ``k`` passes and no full matrix.
     """
-    filled = imputed(long)
-    top = [r["feature"] for r in screen_sis(filled, pool, False, truth).orderBy("rank").collect()]
-    kept = filled.where(F.col("feature").isin(top))
-    edges = feature_correlations(kept, id_col)
-    at = {f: i for i, f in enumerate(sorted(top))}
-    info = lambda r: -0.5 * np.log(np.maximum(1 - np.clip(r, -1, 1) ** 2, 1e-12))
-    shared = np.zeros((len(at), len(at)))
-    for r in edges.collect():
-        shared[at[r["x"]], at[r["y"]]] = shared[at[r["y"]], at[r["x"]]] = info(r["r"] or 0.0)
-    rel = np.zeros(len(at))
-    for r in kept.groupBy("feature").agg(safe_corr(F.col("value"), F.col(truth)).alias("r")).collect():
-        rel[at[r["feature"]]] = info(0.0 if r["r"] is None or math.isnan(r["r"]) else r["r"])
-    names, chosen = sorted(at), []
-    while len(chosen) < min(k, len(names)):
-        score = rel - (shared[:, chosen].mean(axis=1) if chosen else 0)
-        score[chosen] = -np.inf
-        chosen.append(int(np.argmax(score)))
-    return [names[i] for i in chosen]
+    filled = imputed(long).persist()
+    try:
+        info = lambda r: -0.5 * math.log(max(1 - min(1.0, abs(0.0 if r is None or math.isnan(r) else r)) ** 2, 1e-12))
+        r = {x["feature"]: x["r"] for x in filled.groupBy("feature").agg(safe_corr(F.col("value"), F.col(truth)).alias("r")).collect()}
+        names, chosen = sorted(r), []
+        rel, shared = np.array([info(r[f]) for f in names]), np.zeros(len(names))
+        while len(chosen) < min(k, len(names)):
+            score = rel - shared / max(1, len(chosen))
+            score[chosen] = -np.inf
+            chosen.append(int(np.argmax(score)))
+            if len(chosen) < min(k, len(names)):
+                last = filled.where(F.col("feature") == names[chosen[-1]]).select(id_col, F.col("value").alias("_last"))
+                pairs = filled.join(last, id_col).groupBy("feature").agg(safe_corr(F.col("value"), F.col("_last")).alias("r"))
+                r = {x["feature"]: x["r"] for x in pairs.collect()}
+                shared += [info(r.get(f)) for f in names]
+        return [names[i] for i in chosen]
+    finally:
+        filled.unpersist()
 
 
 def feature_correlations(long: DataFrame, id_col: str) -> DataFrame:

@@ -98,6 +98,17 @@ def test_screens_fallback(spark):
     assert len(screening.screen_mrmr(long, 2, "id")) == 2 and screening.sis_size(332) == 57 and screening.sis_size(1) == 1
 
 
+def test_mrmr_walks_over_all_features(spark):
+    """Many copies of the most relevant feature do not keep a weaker one of its own from being chosen."""
+    rng = np.random.default_rng(8)
+    truth = np.arange(24) % 2
+    strong = truth + rng.normal(size=24) * 0.2
+    own = truth * 0.5 + rng.normal(size=24)
+    rows = [(i, f"copy{k:03d}", float(strong[i]), int(truth[i])) for k in range(520) for i in range(24)] + [(i, "own", float(own[i]), int(truth[i])) for i in range(24)]
+    got = screening.screen_mrmr(spark.createDataFrame(rows, "id int, feature string, value double, truth int"), 2, "id")
+    assert got == ["copy000", "own"]
+
+
 def test_peel_finds_planted_block_and_keeps_negative_input():
     rng = np.random.default_rng(1)
     w = rng.random((30, 40)) * 0.2
