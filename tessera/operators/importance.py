@@ -17,27 +17,31 @@ def linear_attributions(features: DataFrame, coefficients: DataFrame, key: str)
 def sampled_attributions(rows: DataFrame, key: str, names: list[str], predict, background: np.ndarray, permutations: int = 16, seed: int = 1) -> DataFrame:
     """Permutation-sampled Shapley values of any model: ``rows(key, features array)`` to the long form.
 
-    Every permutation is walked forwards and backwards, so attributions add up
-    to the prediction less the background mean. ``predict`` maps a matrix to a
-    vector; the background is a bounded sample of rows.
+    Every permutation is walked forwards and backwards from every row of the
+    background, so attributions add up to the prediction less the background's
+    mean prediction. ``predict`` maps a matrix to a vector; the background is a
+    bounded sample of rows.
     """
     rng = np.random.default_rng(seed)
     orders = [rng.permutation(len(names)) for _ in range(permutations)]
-    draws = background[rng.integers(0, len(background), permutations)]
+    step = max(1, (1 << 19) // background.size)
 
     def run(batches):
         for pdf in batches:
             x = np.stack(pdf["features"].to_numpy()) if len(pdf) else np.empty((0, len(names)))
             total = np.zeros_like(x, dtype=float)
-            for order, base in zip(orders, draws):
-                for walk in (order, order[::-1]):
-                    z = np.tile(base, (len(x), 1))
-                    last = predict(z) if len(x) else np.empty(0)
-                    for f in walk:
-                        z[:, f] = x[:, f]
-                        now = predict(z) if len(x) else np.empty(0)
-                        total[:, f] += now - last
-                        last = now
+            for at in range(0, len(x), step):
+                part, out = x[at : at + step], total[at : at + step]
+                for order in orders:
+                    for walk in (order, order[::-1]):
+                        z = np.tile(background, (len(part), 1, 1))
+                        mean = lambda z=z: predict(z.reshape(-1, len(names))).reshape(z.shape[:2]).mean(axis=1)
+                        last = mean()
+                        for f in walk:
+                            z[:, :, f] = part[:, None, f]
+                            now = mean()
+                            out[:, f] += now - last
+                            last = now
             total /= 2 * permutations
             yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), len(names)), "feature": names * len(x), "value": x.ravel(), "attribution": total.ravel()})
 

@@ -593,10 +593,11 @@ def rank_overlap_concordance(s, d):
 def shap_sampled(s, d):
     import numpy as np
 
-    weights = np.linspace(-1, 1, 8)
-    rows = landed(s, d, "embeddings", ["vec_id", "embedding"]).select(F.col("vec_id").alias("id"), F.expr("transform(slice(embedding, 1, 8), x -> CAST(x AS DOUBLE))").alias("features"))
-    back = np.array([r["features"] for r in rows.orderBy("id").limit(32).collect()])
-    att = importance.sampled_attributions(rows, "id", [f"f{k}" for k in range(8)], lambda z: 1 / (1 + np.exp(-z @ weights)), back, permutations=4)
+    weights = np.linspace(-1, 1, 64)
+    rows = landed(s, d, "embeddings", ["vec_id", "embedding"]).select(F.col("vec_id").alias("id"), F.expr("transform(embedding, x -> CAST(x AS DOUBLE))").alias("features"))
+    # the background: 32 rows of the whole table, drawn by hash
+    back = np.array([r["features"] for r in rows.orderBy(F.xxhash64(F.lit("background"), "id"), "id").limit(32).collect()])
+    att = importance.sampled_attributions(rows, "id", [f"f{k}" for k in range(64)], lambda z: 1 / (1 + np.exp(-z @ weights)), back, permutations=4)
     return rounded(importance.mean_importance(att, []))
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import labels, scalars, tails
-from tessera.operators import blocks, contracts, discrimination, inference, quantiles, recodes, relational, resampling, screening
+from tessera.operators import blocks, contracts, discrimination, importance, inference, quantiles, recodes, relational, resampling, screening
 
 
 def one(df):
@@ -109,6 +109,21 @@ def test_mrmr_walks_over_all_features(spark):
     assert got == ["copy000", "own"]
 
 
+def test_attributions_add_up(spark):
+    rng = np.random.default_rng(9)
+    x, back, w = rng.normal(size=(30, 5)), rng.normal(size=(12, 5)), np.arange(5) - 2.0
+    predict = lambda z: 1 / (1 + np.exp(-z @ w))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, features array<double>")
+    got = importance.sampled_attributions(df, "id", list("abcde"), predict, back, permutations=2).groupBy("id").agg(F.sum("attribution").alias("s")).collect()
+    assert all(r.s == pytest.approx(predict(x[r.id][None])[0] - predict(back).mean()) for r in got)
+
+
+def test_shap_covers_all_features(spark):
+    from tessera.plans import registry
+
+    assert registry.queries()["shap_sampled"](spark, "/root/testdata/sf0.001").count() == 64
+
+
 def test_peel_finds_planted_block_and_keeps_negative_input():
     rng = np.random.default_rng(1)
     w = rng.random((30, 40)) * 0.2
