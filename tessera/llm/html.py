@@ -46,6 +46,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>]|$)""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = "hidden"
+#: Open elements that have a path of their own; paths grow with depth.
+DEPTH = 512
 
 
 @lru_cache(maxsize=4096)
@@ -76,6 +78,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     that breaks off ends there.
     """
     root = Node("", "", False, None)
+    deep: list[Node] = []  # open elements beyond DEPTH, which count as their ancestor unless set apart
+    inside: dict[str, int] = {}  # of them by tag
     nodes, stack, blocks, buffer = [root], [root], [], []
     link = 0
     low = None
@@ -85,10 +89,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             text = " ".join(entities.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                blocks.append((stack[-1], text))
+                blocks.append((deep[-1] if deep and deep[-1].apart else stack[-1], text))
+
+    def surface(k):
+        nonlocal link
+        for n in deep[k:]:
+            link -= n.tag == "a"
+            inside[n.tag] -= 1
+        del deep[k:]
 
     def close(k):
         nonlocal link
+        surface(0)
         for n in stack[k:]:
             link -= n.tag == "a"
         del stack[k:]
@@ -117,6 +129,16 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if tag in BLOCK:
             flush()
         if m[1]:
+            if inside.get(tag):
+                k = len(deep) - 1
+                while deep[k].tag != tag and not (tag in INLINE_FORMAT and deep[k].tag in BLOCK):
+                    surface(k)
+                    k -= 1
+                if deep[k].tag == tag:
+                    surface(k)
+                continue
+            if deep and tag in INLINE_FORMAT and any(n and t in BLOCK for t, n in inside.items()):
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     if tag in BLOCK:
@@ -127,7 +149,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                     break
             continue
         ends = CLOSES.get(tag) or ({"p"} if tag in P_ENDS else None)
-        if ends:
+        if ends and deep:
+            while deep and deep[-1].tag in ends:
+                surface(len(deep) - 1)
+        elif ends:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in ends:
                     close(k)
@@ -152,10 +177,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         node = Node(tag, parent.path, parent.apart or apart or tag in APART, parent)
         if tag in BLOCK:
             node.path = f"{parent.path}/{tag}.{name}" if name else f"{parent.path}/{tag}"
-        if len(stack) < 512:  # deeper elements count as their ancestor
+        link += tag == "a"
+        if len(stack) < DEPTH:
             stack.append(node)
             nodes.append(node)
-            link += tag == "a"
+        else:
+            node.path, node.apart = parent.path, node.apart or bool(deep) and deep[-1].apart
+            deep.append(node)
+            inside[tag] = inside.get(tag, 0) + 1
     flush()
     return nodes, blocks
 
@@ -186,11 +215,14 @@ def scores(nodes: list[Node], blocks: list[tuple[Node, str]]) -> dict[str, float
     return out
 
 
-def extract(page: str, paths: tuple[str, ...]) -> str:
-    """The blocks at or below the first of ``paths`` that the page has, else below its own best container."""
+def own_paths(nodes: list[Node]) -> set[str]:
+    return {n.path for n in nodes if n.tag in CONTAINERS and not n.apart}
+
+
+def extract(page: str, ranks: dict[str, tuple]) -> str:
+    """The blocks at or below the page's path that comes first in ``ranks``, else below its own best container."""
     nodes, blocks = parse(page)
-    own = {n.path for n in nodes if n.tag in CONTAINERS and not n.apart}
-    path = next((p for p in paths if p in own), None)
+    path = min((p for p in own_paths(nodes) if p in ranks), key=ranks.__getitem__, default=None)
     if path is None:
         found = scores(nodes, blocks)
         if not found:
@@ -224,15 +256,23 @@ def votes(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "host string, path string").groupBy("host", "path").agg(F.count("*").alias("votes"))
 
 
-def host_paths(pages: DataFrame, scratch: Scratch, ranks: int = 3) -> DataFrame:
-    """``(host, paths)``: each host's paths with the most votes, best first, ties by path.
+def _agreed(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """``(host, page, path)``: of a page's containers, the one with the most votes of its host, ties by path; ``page`` is a digest."""
 
-    A host has as many paths as templates; the best are kept while they are
-    added up, so a host with a third of all pages is no larger than another.
-    """
-    counted = scratch.keep(votes(pages))
-    best = counted.groupBy("host").agg(F.expr(f"slice(array_sort(collect_list(struct(-votes as v, path))), 1, {ranks})").alias("best"))
-    return best.select("host", F.col("best.path").alias("paths"))
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 64):
+                at, paths = [], []
+                for k, page in enumerate(part.column(2).to_pylist()):
+                    own = own_paths(parse(page or "")[0])
+                    at += [k] * len(own)
+                    paths += own
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(paths, pa.string())], names=["host", "page", "path"])
+
+    own = rows.select("host", "page", "html").mapInArrow(run, "host string, page string, path string")
+    best = own.join(counted, ["host", "path"]).groupBy("host", "page").agg(F.min(F.struct((-F.col("votes")).alias("v"), "path")).alias("best"))
+    return best.select("host", "page", F.col("best.path").alias("path"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -240,25 +280,32 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     A null html is empty and gives an empty text; a null url belongs to the
     host without a name; null ids stay; repeated rows repeat; pages are read
-    whole; other columns are not read; no rows give none. Hosts' paths are sent to
-    executors only if they are few, else the pages are joined with them.
+    whole; other columns are not read; no rows give none. All paths with votes
+    count; they are sent to executors only if they are few, else the pages'
+    containers are joined with them.
     """
     with Scratch(pages.sparkSession) as scratch:
-        paths = scratch.result(host_paths(pages, scratch))
+        counted = scratch.result(votes(pages))
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.col("html").cast("string").alias("html"), host(F.col("url").cast("string")).alias("host"),
     )
-    few = paths.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(paths) if few else paths, "host", "left")
+    ranks: dict[str, dict[str, tuple]] = {}
+    if counted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        for r in counted.toLocalIterator():
+            ranks.setdefault(r["host"], {})[r["path"]] = (-r["votes"], r["path"])
+        rows = rows.withColumn("path", F.lit(None).cast("string"))
+    else:
+        rows = rows.withColumn("page", F.sha2(F.coalesce("html", F.lit("")), 256))
+        rows = rows.join(_agreed(rows, counted), ["host", "page"], "left")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 64):
-                texts = [extract(page or "", tuple(p or ())) for page, p in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                texts = [extract(page or "", {p: ()} if p is not None else ranks.get(h, {})) for page, h, p in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
                     names=["page_id", "url", "text", "n_chars"],
                 )
 
-    return rows.select("page_id", "url", "html", "paths").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return rows.select("page_id", "url", "html", "host", "path").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

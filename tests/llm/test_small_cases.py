@@ -285,6 +285,27 @@ def test_html_cases(spark):
     assert html.extract_pages(df).count() == len(pages) and html.extract_pages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [html.BROADCAST_ROWS, 0])
+def test_html_all_templates_of_a_host(spark, monkeypatch, few):
+    monkeypatch.setattr(html, "BROADCAST_ROWS", few)
+    side = "<section><p>aside</p></section>"
+    main = lambda k, text: f"<div class='t{chr(97 + k)}'><p>{text}</p></div>"
+    rows = [(k * 10 + n, "http://h.org/", main(k, "Long, winding, text, of the main part, of this page.") + side) for k in range(5) for n in range(6 - k)]
+    rows.append((99, "http://h.org/", main(4, "short") + "<section><p>A longer, louder, much more wordy, section, than the main part.</p></section>"))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html.extract_pages(df).collect()}
+    assert got[99] == "short" and got[40] == "Long, winding, text, of the main part, of this page." and len(got) == len(rows)
+
+
+def test_html_deep_elements_stay_balanced():
+    page = "<div><article><p>before</p>" + "<div>" * 600 + "<div class=ad>advert <b>bold</b></div>within" + "</div>" * 600 + "<p>after</p></article></div><div>outside</div>"
+    nodes, blocks = html.parse(page)
+    assert [(t, n.apart) for n, t in blocks] == [("before", False), ("advert bold", True), ("within", False), ("after", False), ("outside", False)]
+    assert blocks[3][0].path == "/div/article/p" and blocks[4][0].path == "/div"
+    assert html.extract(page, {"/div/article": ()}) == "before within after"
+    html.parse("<b><div>" + "<span>" * 100_000 + "</b>" * 100_000)
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(12, 24))
