@@ -441,7 +441,47 @@ def brier_score(s, d):
 
 @query()
 def calibration_table(s, d):
-    return rounded(discrimination.calibration(fx.predictions(s, d).where("model <> 's1'"), ["model", "layer"]))
+    return rounded(discrimination.calibration(fx.predictions(s, d), ["model", "layer"]))
+
+
+# The same over the whole table: every layer, row and fold, and the operators' own numbers of replicates.
+
+def _by_layer(s, d, f):
+    t = fx.scores(s, d)
+    layers = sorted(r["layer"] for r in t.select("layer").distinct().collect())
+    return relational.stack([f(t.where(F.col("layer") == x)).withColumn("layer", F.lit(x)) for x in layers])
+
+
+@query()
+def inner_folds_whole(s, d):
+    return resampling.inner_folds(resampling.stratified_folds(fx.scores(s, d), "id", ["truth"]), "id", ["truth"])
+
+
+@query()
+def bootstrap_draws_whole(s, d):
+    return _by_layer(s, d, lambda t: resampling.bootstrap_draws(t, "id", 2000))
+
+
+@query()
+def permute_labels_whole(s, d):
+    return _by_layer(s, d, lambda t: resampling.permuted_labels(t, "id", "truth", 5))
+
+
+@query()
+def auc_by_repeat_whole(s, d):
+    f = resampling.repeated_folds(fx.scores(s, d), "id", ["truth"]).select("id", "repeat_id")
+    return rounded(discrimination.repeat_summary(fx.predictions(s, d).join(f, "id"), ["model", "layer"]))
+
+
+@query()
+def auc_table_wide_whole(s, d):
+    auc = discrimination.auc(fx.predictions(s, d), ["model", "layer"])
+    return rounded(discrimination.wide_auc(auc, sorted(r["layer"] for r in fx.scores(s, d).select("layer").distinct().collect())))
+
+
+@query()
+def bootstrap_delta_auc_whole(s, d):
+    return rounded(_by_layer(s, d, lambda t: discrimination.bootstrap_delta(t, "id", "s1", "s2")))
 
 
 @query(f"SELECT layer, round(corr(a, b), 6) AS rho FROM (SELECT layer, rank() OVER (PARTITION BY layer ORDER BY s1) + (count(*) OVER (PARTITION BY layer, s1) - 1) / 2e0 AS a, rank() OVER (PARTITION BY layer ORDER BY s2) + (count(*) OVER (PARTITION BY layer, s2) - 1) / 2e0 AS b FROM {fx.SCORES}) GROUP BY 1")

@@ -124,6 +124,21 @@ def test_shap_covers_all_features(spark):
     assert registry.queries()["shap_sampled"](spark, "/root/testdata/sf0.001").count() == 64
 
 
+def test_whole_tables_in_queries(spark):
+    from tessera.plans import fixtures, registry
+
+    q, d = registry.queries(), "/root/testdata/sf0.001"
+    t = fixtures.scores(spark, d)
+    n, layers = t.count(), {r.layer for r in t.select("layer").distinct().collect()}
+    assert {(r.model, r.layer) for r in q["calibration_table"](spark, d).select("model", "layer").collect()} == {(m, x) for m in ("s1", "s2", "s3") for x in layers}
+    assert q["inner_folds_whole"](spark, d).count() == 4 * n and q["permute_labels_whole"](spark, d).count() == 6 * n
+    draws = one(q["bootstrap_draws_whole"](spark, d).agg(F.sum("times").alias("s"), F.countDistinct("layer").alias("k"), F.max("replicate").alias("r")))
+    assert (draws.s, draws.k, draws.r) == (2000 * n, len(layers), 2000)
+    assert set(q["auc_table_wide_whole"](spark, d).columns) == {"model", *layers}
+    assert {(r.model, r.repeats) for r in q["auc_by_repeat_whole"](spark, d).collect()} == {(m, 5) for m in ("s1", "s2", "s3")}
+    assert {r.layer: r.n_valid for r in q["bootstrap_delta_auc_whole"](spark, d).collect()} == {x: 2000 for x in layers}
+
+
 def test_peel_finds_planted_block_and_keeps_negative_input():
     rng = np.random.default_rng(1)
     w = rng.random((30, 40)) * 0.2
