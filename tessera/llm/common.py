@@ -62,12 +62,15 @@ class Scratch:
 
     def narrow(self, df: DataFrame, *cols: str) -> DataFrame:
         """Of a table that ``keep`` gave, some columns; the table itself is deleted."""
-        (path,) = {f.rpartition("/")[0] for f in df.inputFiles()} or {None}
         out = self.keep(df.select(*cols))
-        if path:
-            self.drop(path)
+        self.discard(df)
         return out
 
+    def discard(self, df: DataFrame) -> None:
+        """Delete a table that ``keep`` gave."""
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            self.drop(path)
+
     def release(self) -> None:
         """Let Spark remove the shuffles of finished stages now rather than with some later collection."""
         gc.collect()
