@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,41 +65,44 @@ def two_group_table(d: DataFrame, a: DataFrame, cap: float = CAP) -> DataFrame:
     return j.withColumn("r", larger_magnitude(F.col("r_d"), F.col("r_a"))).withColumn("nlp", F.greatest("p_d", "p_a"))
 
 
+def _densest(gone: list, totals: list[float], cells: list[float], power: float) -> tuple[int, float]:
+    """How many of the lines ``gone`` are missing in the densest state, and its density; none and 0 if no state beats 0."""
+    if not totals:
+        return 0, 0.0
+    density = np.array(totals) / np.array(cells, float) ** power
+    at = int(np.argmax(density))
+    return (at + 1, float(density[at])) if density[at] > 0 else (0, 0.0)
+
+
 def peel(w: np.ndarray, lam: float) -> tuple[np.ndarray, np.ndarray, float]:
     """The densest block met while weakest rows or columns go one at a time.
 
-    Density is the sum over (rows * columns) to the power lam / 2. The side to
-    peel is the one whose weakest line is weaker after scaling by the block's
-    shape; the first of equals goes. Nothing is pruned if no state beats 0.
+    Density is the sum over (rows * columns) to the power lam / 2, taken after
+    each removal: the untouched matrix is no candidate. The side to peel is
+    the one whose weakest line is weaker after scaling by the block's shape;
+    the first of equals goes. Nothing is pruned if no state beats 0.
     """
-    m, n = w.shape
-    rows, cols = np.ones(m, bool), np.ones(n, bool)
-    rs, cs = w.sum(axis=1).astype(float), w.sum(axis=0).astype(float)
-    total, best, at = rs.sum(), 0.0, -1
+    alive = [np.ones(k, bool) for k in w.shape]
+    sums = [w.sum(axis=1).astype(float), w.sum(axis=0).astype(float)]
     gone: list[tuple[int, int]] = []
-    nr, nc = m, n
-    while nr and nc:
-        density = total / (nr * nc) ** (lam / 2)
-        if density > best:
-            best, at = density, len(gone)
-        i = int(np.argmin(np.where(rows, rs, np.inf)))
-        j = int(np.argmin(np.where(cols, cs, np.inf)))
-        if (nr / nc) * rs[i] <= cs[j]:
-            rows[i] = False
-            total -= rs[i]
-            cs = cs - w[i]
-            nr -= 1
-            gone.append((0, i))
-        else:
-            cols[j] = False
-            total -= cs[j]
-            rs = rs - w[:, j]
-            nc -= 1
-            gone.append((1, j))
-    keep_r, keep_c = np.ones(m, bool), np.ones(n, bool)
-    for side, k in gone[: max(at, 0)]:
-        (keep_r if side == 0 else keep_c)[k] = False
-    return np.flatnonzero(keep_r), np.flatnonzero(keep_c), best
+    totals, cells = [], []
+    while all(x.any() for x in alive):
+        weakest = [int(np.argmin(np.where(x, v, np.inf))) for x, v in zip(alive, sums)]
+        left = [int(x.sum()) for x in alive]
+        side = int(left[0] / left[1] * sums[0][weakest[0]] > sums[1][weakest[1]])
+        line, other = weakest[side], 1 - side
+        alive[side][line] = False
+        sums[other] = sums[other] - (w[line] if side == 0 else w[:, line])
+        left[side] -= 1
+        gone.append((side, line))
+        if left[side]:
+            totals.append(sums[other][alive[other]].sum())
+            cells.append(left[0] * left[1])
+    n, density = _densest(gone, totals, cells, lam / 2)
+    keep = [np.ones(k, bool) for k in w.shape]
+    for side, line in gone[:n]:
+        keep[side][line] = False
+    return np.flatnonzero(keep[0]), np.flatnonzero(keep[1]), density
 
 
 def peel_blocks(w: np.ndarray, lam: float, most: int = 4) -> list[tuple[np.ndarray, np.ndarray, float]]:
@@ -115,28 +119,27 @@ def peel_blocks(w: np.ndarray, lam: float, most: int = 4) -> list[tuple[np.ndarr
 
 
 def peel_symmetric(w: np.ndarray, lam: float) -> tuple[np.ndarray, float]:
-    """The densest subset of one side met while the weakest member goes; density is the sum over size to the power lam."""
+    """The densest subset of one side met while the weakest member goes; density is the sum over size to the power lam, after each removal."""
     n = len(w)
     alive, s = np.ones(n, bool), w.sum(axis=1).astype(float)
-    total, best, at, gone = s.sum(), 0.0, -1, []
-    for left in range(n, 0, -1):
-        density = total / left**lam
-        if density > best:
-            best, at = density, len(gone)
+    gone, totals = [], []
+    while alive.any():
         i = int(np.argmin(np.where(alive, s, np.inf)))
         alive[i] = False
-        total -= 2 * s[i] - w[i, i]
-        s = s - w[:, i]
+        s = s - w[i]
         gone.append(i)
+        totals.append(s[alive].sum())
+    at, density = _densest(gone, totals[:-1], list(range(n - 1, 0, -1)), lam)
     keep = np.ones(n, bool)
-    keep[gone[: max(at, 0)]] = False
-    return np.flatnonzero(keep), best
+    keep[gone[:at]] = False
+    return np.flatnonzero(keep), density
 
 
-def symmetric_blocks(w: np.ndarray, lam: float, most: int = 4) -> list[tuple[np.ndarray, float]]:
+def symmetric_blocks(w: np.ndarray, lam: float) -> list[tuple[np.ndarray, float]]:
+    """Disjoint communities, each denser than the whole, until none is; meant for non-negative matrices."""
     whole = w.sum() / len(w) ** lam if len(w) else 0.0
     left, out = np.arange(len(w)), []
-    while len(out) < most and len(left):
+    while len(left):
         k, density = peel_symmetric(w[np.ix_(left, left)], lam)
         if density <= whole or not len(k):
             break
@@ -145,37 +148,53 @@ def symmetric_blocks(w: np.ndarray, lam: float, most: int = 4) -> list[tuple[np.
     return out
 
 
+def _by_marginal(keys: np.ndarray, marginal: np.ndarray) -> np.ndarray:
+    """Members in the order of their marginal, the largest first, ties as they stand."""
+    return keys[np.argsort(-marginal, kind="stable")]
+
+
+def communities(r: np.ndarray, members: np.ndarray, lam: float) -> list[np.ndarray]:
+    """The communities of some members in the signed matrix of their own layer, each in the order of its marginals."""
+    sub = r[np.ix_(members, members)]
+    sub = (sub + sub.T) / 2
+    return [_by_marginal(members[k], sub[np.ix_(k, k)].sum(axis=1)) for k, _ in symmetric_blocks(sub, lam)]
+
+
+def signed_refine(r: np.ndarray, members: np.ndarray, lam: float, block: str) -> list[tuple[str, np.ndarray]]:
+    """A side of a block split into the communities of its own layer's signed matrix, labelled block.1, block.2, ..."""
+    return [(f"{block}.{k}", c) for k, c in enumerate(communities(r, members, lam), 1)]
+
+
 @dataclass(frozen=True)
 class Search:
     """Exponents of the three steps and the size bounds of either side (a side larger than its bound is refined)."""
 
     lam: tuple[float, float, float] = (1.4, 1.5, 1.5)
-    x_size: tuple[int, int] = (0, 15)
-    y_size: tuple[int, int] = (0, 15)
+    x_size: tuple[float, float] = (0, 15)
+    y_size: tuple[float, float] = (0, 15)
     most: int = 4
 
 
-def search(w: np.ndarray, wx: np.ndarray, wy: np.ndarray, how: Search) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """Blocks of the cross matrix; sides over their upper bound are narrowed by their own matrix; small blocks go.
+def search(w: np.ndarray, r_xy: np.ndarray, r_xx: np.ndarray, r_yy: np.ndarray, how: Search) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Blocks of the cross matrix ``w``; small ones go, then sides over their upper bound are refined.
 
     A side is too small unless it is strictly larger than its lower bound.
+    Features are in the order of the size of their marginal in ``r_xy``. A
+    refined side is all its communities in its layer's signed correlations,
+    one after another; without any it stays.
     """
     out = []
     for r, c, density in peel_blocks(w, how.lam[0], how.most):
-        if len(r) > how.x_size[1]:
-            k, _ = peel_symmetric(wx[np.ix_(r, r)], how.lam[1])
-            r = r[k] if len(k) else r
-        if len(c) > how.y_size[1]:
-            k, _ = peel_symmetric(wy[np.ix_(c, c)], how.lam[2])
-            c = c[k] if len(k) else c
+        sub = r_xy[np.ix_(r, c)]
+        r, c = _by_marginal(r, np.abs(sub.sum(axis=1))), _by_marginal(c, np.abs(sub.sum(axis=0)))
         if len(r) > how.x_size[0] and len(c) > how.y_size[0]:
             out.append((r, c, density))
-    return out
 
+    def refined(members, matrix, size, lam):
+        found = communities(matrix, members, lam) if len(members) > size[1] else []
+        return np.concatenate(found) if found else members
 
-def signed_refine(r: np.ndarray, lam: float, most: int = 4) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Sub-blocks of a signed block, labelled 1, 2, ... in order; meant for a block whose signs are mixed."""
-    return [(str(k), a, b) for k, (a, b, _) in enumerate(peel_blocks(r, lam, most), 1)]
+    return [(refined(r, r_xx, how.x_size, how.lam[1]), refined(c, r_yy, how.y_size, how.lam[2]), density) for r, c, density in out]
 
 
 def find_blocks(edges: DataFrame, pair: list[str], lam: float, value: str = "nlp", most: int = 4) -> DataFrame:
@@ -203,6 +222,21 @@ def find_blocks(edges: DataFrame, pair: list[str], lam: float, value: str = "nlp
     return edges.groupBy(*pair).applyInPandas(run, schema)
 
 
+def find_communities(edges: DataFrame, pair: list[str], lam: float, value: str = "r") -> DataFrame:
+    """``(pair, block_id, feature, density)`` from both directions of the edges ``(pair, x, y, value)`` of one side: one task a pair."""
+    kinds = dict(edges.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = np.sort(pdf["x"].unique())
+        w = np.zeros((len(names), len(names)))
+        w[np.searchsorted(names, pdf["x"]), np.searchsorted(names, pdf["y"])] = pdf[value]
+        rows = [(*[pdf[p].iloc[0] for p in pair], b, names[i], density) for b, (k, density) in enumerate(symmetric_blocks(w, lam), 1) for i in k]
+        return pd.DataFrame(rows, columns=[*pair, "block_id", "feature", "density"])
+
+    schema = ", ".join([*(f"{p} {kinds[p]}" for p in pair), "block_id int, feature string, density double"])
+    return edges.groupBy(*pair).applyInPandas(run, schema)
+
+
 def feature_order(edges: DataFrame, membership: DataFrame) -> DataFrame:
     """``(block_id, axis, feature, marginal, ord)``: features of a block by the size of their marginal."""
     from pyspark.sql import Window
@@ -243,7 +277,7 @@ def z_differences(d: DataFrame, a: DataFrame) -> DataFrame:
 
 
 def block_statistics(z: DataFrame, membership: DataFrame) -> DataFrame:
-    """Per block: how many z, their squares' sum, sizes, signs, mean correlations and their difference."""
+    """Per block: how many z, their squares' sum, sizes, signs, the groups' mean correlations on Fisher's scale and back, and their difference there."""
     mx = membership.where("axis = 'x'").select("block_id", F.col("feature").alias("x"))
     my = membership.where("axis = 'y'").select("block_id", F.col("feature").alias("y"))
     j = z.join(mx, "x").join(my, ["block_id", "y"])
@@ -251,48 +285,97 @@ def block_statistics(z: DataFrame, membership: DataFrame) -> DataFrame:
     out = j.groupBy("block_id").agg(
         F.count("z").alias("n_valid"), F.sum(F.col("z") * F.col("z")).alias("sum_z2"), F.max(F.abs("z")).alias("max_abs_z"), F.avg(F.abs("z")).alias("mean_abs_z"),
         F.sum((F.col("z") > 0).cast("bigint")).alias("n_pos"), F.sum((F.col("z") < 0).cast("bigint")).alias("n_neg"),
-        F.avg(at("r_d")).alias("mean_z_d"), F.avg(at("r_a")).alias("mean_z_a"),
+        F.avg(at("r_d")).alias("mean_z_d"), F.avg(at("r_a")).alias("mean_z_a"), F.avg(F.abs(at("r_d") - at("r_a"))).alias("delta_abs_r"),
     )
-    return out.withColumn("r_d", F.tanh("mean_z_d")).withColumn("r_a", F.tanh("mean_z_a")).withColumn("delta", F.col("r_d") - F.col("r_a"))
+    out = out.withColumn("r_d", F.tanh("mean_z_d")).withColumn("r_a", F.tanh("mean_z_a")).withColumn("delta", F.col("mean_z_d") - F.col("mean_z_a"))
+    return out.withColumn("min_abs_r", F.least(F.abs("r_d"), F.abs("r_a"))).withColumn("max_abs_r", F.greatest(F.abs("r_d"), F.abs("r_a")))
+
+
+#: Values of a cohort that travels to every permutation's task at most.
+COHORT_VALUES = 50_000_000
+
+LOG = (
+    "perm_id int, block_id int, p int, q int, n int, n_valid int, psi_diff double, a_diff double, bound_diff double, sum_z2 double, a_z2 double, bound_z2 double,"
+    " max_abs_z double, mean_abs_z double, n_pos int, n_neg int, psi_d double, psi_a double, mean_z_d double, mean_z_a double, r_d double, r_a double,"
+    " delta double, delta_abs_r double, min_abs_r double, max_abs_r double"
+)
 
 
-def permutation_log(rows: DataFrame, key: str, x: str, y: str, perms: DataFrame, how: Search, label: str = "truth") -> DataFrame:
-    """One row per (perm_id, block): the whole search under permuted labels, permutations spread over tasks.
+def permuted_mask(keys: list, observed: np.ndarray, perm_id: int, seed=1) -> np.ndarray:
+    """Which rows are events under a permutation: as ``resampling.permuted_labels`` draws them; 0 is the observed one."""
+    if perm_id == 0:
+        return observed
+    order = sorted(range(len(keys)), key=lambda i: (hashlib.md5(f"{seed}|perm|{perm_id}|{keys[i]}".encode()).hexdigest()[:8], keys[i]))
+    mask = np.zeros(len(keys), bool)
+    mask[order[: int(observed.sum())]] = True
+    return mask
 
-    ``rows`` has an array of features for each layer and has to fit a task: it
-    is the cohort, not the permutations, that travels to every one of them.
-    ``psi_diff`` adds up -2 ln P of the group difference over a block.
+
+def permutation_log(rows: DataFrame, key: str, x: str, y: str, label: str, perms: DataFrame, how: Search, seed=1) -> DataFrame:
+    """One row per block of every ``perms(perm_id)``: the whole search under permuted labels, permutations spread over tasks.
+
+    ``rows`` has an array of features for each layer; the cohort, not the
+    permutations, travels to every task, and is refused beyond
+    ``COHORT_VALUES``. Labels are drawn in the task, so shards are parts of
+    ``perms``, and a run is resumed with the ids that ``sinks.remaining``
+    gives. A permutation without a block has no row. ``psi_*`` add up -2 ln P:
+    of the group difference, and of each group's correlations.
     """
-    local = rows.select(key, x, y).orderBy(key).toPandas()
-    ids = {k: i for i, k in enumerate(local[key])}
-    a, b = np.stack(local[x].to_numpy()).astype(float), np.stack(local[y].to_numpy()).astype(float)
+    spark = rows.sparkSession
+    wide = rows.select(F.count("*").alias("n"), F.max(F.size(x) + F.size(y)).alias("k")).first()
+    if wide["n"] * (wide["k"] or 0) > COHORT_VALUES:
+        raise ValueError(f"a cohort of {wide['n']} rows with {wide['k']} features does not fit every task")
+    local = rows.select(key, x, y, label).orderBy(key).toPandas()
+    keys, observed = local[key].tolist(), (local[label] == 1).to_numpy()
+    cohort = spark.sparkContext.broadcast(tuple(np.stack(local[c].to_numpy()).astype(float) for c in (x, y)))
 
     def corr(p, q):
         p, q = p - p.mean(0), q - q.mean(0)
         den = np.outer(np.sqrt((p * p).sum(0)), np.sqrt((q * q).sum(0)))
         return np.clip(np.divide(p.T @ q, den, out=np.zeros_like(den), where=den > 0), -CLIP, CLIP)
 
-    def weights(r1, n1, r0, n0):
-        t = lambda r, n: np.minimum(CAP, -log_t_two_sided(r * np.sqrt((n - 2) / (1 - r * r)), n - 2) / np.log(10))
-        return np.maximum(t(r1, n1), t(r0, n0))
+    def log_p(r, n):
+        return log_t_two_sided(r * np.sqrt((n - 2) / (1 - r * r)), n - 2)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros(len(local), bool)
-        mask[[ids[k] for k in pdf.loc[pdf[label] == 1, key]]] = True
+    def bound(v, df):
+        return 0.0 if v <= 1 else -(df / 2) * (v - 1 - np.log(v)) / np.log(10)
+
+    def larger(d, a):
+        return np.where(np.abs(d) >= np.abs(a), d, a)
+
+    def blocks_of(perm_id: int):
+        a, b = cohort.value
+        mask = permuted_mask(keys, observed, perm_id, seed)
         n1, n0 = int(mask.sum()), int((~mask).sum())
-        r1, r0 = corr(a[mask], b[mask]), corr(a[~mask], b[~mask])
-        w = weights(r1, n1, r0, n0)
-        side = [weights(corr(v[mask], v[mask]), n1, corr(v[~mask], v[~mask]), n0) for v in (a, b)]
-        z = (np.arctanh(r1) - np.arctanh(r0)) / np.sqrt(1 / (n1 - 3) + 1 / (n0 - 3))
-        out = []
-        for k, (r, c, _) in enumerate(search(w, *side, how), 1):
-            zz = z[np.ix_(r, c)].ravel()
-            psi = float(-2 * (np.log(2) + log_normal_upper(np.abs(zz))).sum())
-            mean = psi / (2 * len(zz))
-            s2 = float((zz * zz).mean())
-            bound = lambda v, df: 0.0 if v <= 1 else -(df / 2) * (v - 1 - np.log(v)) / np.log(10)
-            out.append((int(pdf["perm_id"].iloc[0]), k, len(r), len(c), len(zz), psi, mean, bound(mean, 2 * len(zz)), float((zz * zz).sum()), s2, bound(s2, len(zz)), float(np.abs(zz).max()), float(np.abs(zz).mean())))
-        return pd.DataFrame(out, columns=["perm_id", "block_id", "p", "q", "n_valid", "psi_diff", "a_diff", "bound_diff", "sum_z2", "a_z2", "bound_z2", "max_abs_z", "mean_abs_z"])
-
-    schema = "perm_id int, block_id int, p int, q int, n_valid int, psi_diff double, a_diff double, bound_diff double, sum_z2 double, a_z2 double, bound_z2 double, max_abs_z double, mean_abs_z double"
-    return perms.groupBy("perm_id").applyInPandas(run, schema)
+        pair = lambda p, q: (corr(p[mask], q[mask]), corr(p[~mask], q[~mask]))
+        r1, r0 = pair(a, b)
+        w = np.maximum(-log_p(r1, n1), -log_p(r0, n0)) / np.log(10)
+        w = np.where(np.isfinite(w), np.minimum(w, CAP), CAP)
+        z1, z0 = np.arctanh(r1), np.arctanh(r0)
+        z = (z1 - z0) / np.sqrt(1 / (n1 - 3) + 1 / (n0 - 3))
+        for k, (r, c, _) in enumerate(search(w, larger(r1, r0), larger(*pair(a, a)), larger(*pair(b, b)), how), 1):
+            at = np.ix_(r, c)
+            zz, d, e = z[at].ravel(), z1[at].ravel(), z0[at].ravel()
+            n, size = len(zz), np.abs(zz)
+            psi, s2 = float(-2 * (np.log(2) + log_normal_upper(size)).sum()), float((zz * zz).sum())
+            means = np.tanh([d.mean(), e.mean()])
+            yield (
+                perm_id, k, len(r), len(c), n, int(np.isfinite(zz).sum()), psi, psi / (2 * n), bound(psi / (2 * n), 2 * n), s2, s2 / n, bound(s2 / n, n),
+                float(size.max()), float(size.mean()), int((zz > 0).sum()), int((zz < 0).sum()),
+                float(-2 * log_p(r1[at], n1).sum()), float(-2 * log_p(r0[at], n0).sum()), float(d.mean()), float(e.mean()), *means.tolist(),
+                float(d.mean() - e.mean()), float(np.abs(d - e).mean()), float(np.abs(means).min()), float(np.abs(means).max()),
+            )
+
+    names = [c.split()[0] for c in LOG.split(",")]
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([row for p in pdf["perm_id"] for row in blocks_of(int(p))], columns=names)
+
+    return perms.select(F.col("perm_id").cast("int").alias("perm_id")).mapInPandas(run, LOG)
+
+
+def permutation_shard(spark, permutations: int, shard: int = 0, shards: int = 1) -> DataFrame:
+    """The ids of one of several shards, 0 (the observed labels) to ``permutations``, an id a task at most."""
+    ids = spark.range(0, permutations + 1, 1, permutations + 1).where(F.col("id") % shards == shard)
+    return ids.select(F.col("id").cast("int").alias("perm_id"))

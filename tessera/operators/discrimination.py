@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import EPS, logit
 from tessera.functions.tails import normal_p
 from tessera.operators.inference import bh_adjust, spearman
-from tessera.operators.quantiles import average_rank
+from tessera.operators.ordered import join_on, running
 
 Z95 = 1.959963984540054
 
@@ -21,17 +21,14 @@ Z95 = 1.959963984540054
 def auc(df: DataFrame, by: list[str], risk: str = "risk", truth: str = "truth") -> DataFrame:
     """``(by, n1, n0, auc)`` by average ranks; ties count one half.
 
-    Rows are first counted per distinct risk, so the ranking window sees
-    distinct values and heavy ties cost nothing.
+    Rows are first counted per distinct risk, so heavy ties cost nothing.
     """
     bins = df.where(F.col(risk).isNotNull() & F.col(truth).isNotNull()).groupBy(*by, risk).agg(
         F.sum(F.col(truth).cast("bigint")).alias("_p"), F.count("*").alias("_c")
     )
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    before = F.coalesce(F.sum(F.col("_c") - F.col("_p")).over(part.orderBy(risk).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    u = F.col("_p") * (before + (F.col("_c") - F.col("_p")) / 2.0)
+    u = F.col("_p") * (F.col("_q0") + (F.col("_c") - F.col("_p")) / 2.0)
     return (
-        bins.withColumn("_u", u).groupBy(*by)
+        running(bins, by, risk, {"_q0": F.col("_c") - F.col("_p")}).withColumn("_u", u).groupBy(*by)
         .agg(F.sum("_p").alias("n1"), F.sum(F.col("_c") - F.col("_p")).alias("n0"), F.sum("_u").alias("_u"))
         .select(*by, "n1", "n0", F.try_divide(F.col("_u"), F.col("n1").cast("double") * F.col("n0")).alias("auc"))
     )
@@ -40,25 +37,30 @@ def auc(df: DataFrame, by: list[str], risk: str = "risk", truth: str = "truth")
 def roc_curve(df: DataFrame, by: list[str], risk: str = "risk", truth: str = "truth") -> DataFrame:
     """``(by, threshold, sensitivity, specificity)``: a point for each distinct risk, and the end where nothing is called."""
     bins = df.groupBy(*by, F.col(risk).alias("threshold")).agg(F.sum(F.col(truth).cast("bigint")).alias("_p"), F.count("*").alias("_c"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    from_top = part.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tp, fp = F.sum("_p").over(from_top), F.sum(F.col("_c") - F.col("_p")).over(from_top)
-    pts = bins.select(
-        *by, "threshold", F.try_divide(tp.cast("double"), F.sum("_p").over(whole)).alias("sensitivity"),
-        (1 - F.try_divide(fp.cast("double"), F.sum(F.col("_c") - F.col("_p")).over(whole))).alias("specificity"),
+    below = running(bins, by, "threshold", {"_fn": F.col("_p"), "_tn": F.col("_c") - F.col("_p")})
+    totals = bins.groupBy(*by).agg(F.sum("_p").alias("_pos"), F.sum(F.col("_c") - F.col("_p")).alias("_neg"))
+    pts = (join_on(below, totals, by) if by else below.join(totals)).select(
+        *by, "threshold", F.try_divide((F.col("_pos") - F.col("_fn")).cast("double"), F.col("_pos")).alias("sensitivity"),
+        F.try_divide(F.col("_tn").cast("double"), F.col("_neg")).alias("specificity"),
     )
     ends = df.select(*by).distinct().select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("sensitivity"), F.lit(1.0).alias("specificity"))
     return pts.unionByName(ends)
 
 
-def placements(df: DataFrame, by: list[str], risk: str = "risk", truth: str = "truth") -> DataFrame:
-    """DeLong's placement value of every row: the share of the other class that it beats, ties one half."""
-    part = [*by, truth]
-    ranked = average_rank(average_rank(df, risk, by, "_all"), risk, part, "_own")
-    n_other = F.count("*").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))) - F.count("*").over(Window.partitionBy(*part))
-    share = F.try_divide(F.col("_all") - F.col("_own"), n_other)
-    return ranked.withColumn("placement", F.when(F.col(truth) == 1, share).otherwise(1 - share)).drop("_all", "_own")
+def placements(df: DataFrame, by: list[str], risk: str = "risk", truth: str = "truth", name: str = "placement") -> DataFrame:
+    """DeLong's placement value of every row: the share of the other class that it beats, ties one half.
+
+    Rows are counted per distinct risk; what comes before is a running sum
+    over these, joined back.
+    """
+    bins = df.groupBy(*by, risk).agg(F.sum(F.col(truth).cast("bigint")).alias("_p"), F.count("*").alias("_c"))
+    sums = running(bins, by, risk, {"_p0": F.col("_p"), "_c0": F.col("_c")})
+    totals = bins.groupBy(*by).agg(F.sum("_p").alias("_pos"), F.sum(F.col("_c") - F.col("_p")).alias("_neg"))
+    sums = (join_on(sums, totals, by) if by else sums.join(totals)).select(
+        *by, risk, F.try_divide(F.col("_c0") - F.col("_p0") + (F.col("_c") - F.col("_p")) / 2.0, F.col("_neg")).alias("_up"),
+        (1 - F.try_divide(F.col("_p0") + F.col("_p") / 2.0, F.col("_pos"))).alias("_down"),
+    )
+    return join_on(df, sums, [*by, risk]).withColumn(name, F.when(F.col(truth) == 1, F.col("_up")).otherwise(F.col("_down"))).drop("_up", "_down")
 
 
 def delong(df: DataFrame, by: list[str], risk: str = "risk", truth: str = "truth") -> DataFrame:
@@ -74,10 +76,9 @@ def delong(df: DataFrame, by: list[str], risk: str = "risk", truth: str = "truth
 
 
 def delong_paired(df: DataFrame, key: str, by: list[str], risk_a: str, risk_b: str, truth: str = "truth") -> DataFrame:
-    """``(by, auc_a, auc_b, delta, z, p_value)`` of two risks of the same rows."""
-    a = placements(df, by, risk_a, truth).select(*by, key, truth, F.col("placement").alias("va"))
-    b = placements(df, by, risk_b, truth).select(*by, key, F.col("placement").alias("vb"))
-    j = a.join(b, [*by, key])
+    """``(by, auc_a, auc_b, delta, z, p_value)`` of two risks of the same rows, a row for each ``key``."""
+    rows = df.select(*by, truth, F.col(risk_a).alias("_ra"), F.col(risk_b).alias("_rb"))
+    j = placements(placements(rows, by, "_ra", truth, "va"), by, "_rb", truth, "vb")
     parts = []
     for k, c in ((1, "1"), (0, "0")):
         va, vb = F.when(F.col(truth) == k, F.col("va")), F.when(F.col(truth) == k, F.col("vb"))
@@ -95,26 +96,95 @@ def weighted_auc(df: DataFrame, by: list[str], risk: str, truth: str, weight: st
     return bins.withColumn("_u", u).groupBy(*by).agg(F.try_divide(F.sum("_u"), F.sum("_p").cast("double") * F.sum("_q")).alias("auc"))
 
 
-def bootstrap_delta(df: DataFrame, key: str, risk_a: str, risk_b: str, truth: str = "truth", replicates: int = 2000, seed=1) -> DataFrame:
-    """``(n_valid, delta_lo, delta_hi)``: percentile interval of the AUC difference; one-class draws do not count."""
+def bootstrap_delta(
+    df: DataFrame, key: str, risk_a: str, risk_b: str, truth: str = "truth", replicates: int = 2000, seed=1, by: list[str] | None = None, cohort: list[str] | None = None
+) -> DataFrame:
+    """``(by, n_valid, delta_lo, delta_hi)``: percentile interval of the AUC difference; one-class draws do not count.
+
+    Ids are drawn once for each group of ``cohort`` (those columns of ``by``
+    that tell whose ids they are; all of them if not given), so comparisons of
+    one cohort see the same draws.
+    """
     from tessera.operators.resampling import bootstrap_draws
 
-    j = bootstrap_draws(df, key, replicates, seed).join(df.select(key, risk_a, risk_b, truth), key)
-    a = weighted_auc(j, ["replicate"], risk_a, truth, "times").withColumnRenamed("auc", "a")
-    b = weighted_auc(j, ["replicate"], risk_b, truth, "times").withColumnRenamed("auc", "b")
-    d = a.join(b, "replicate").withColumn("d", F.col("a") - F.col("b"))
-    return d.agg(F.count("d").alias("n_valid"), F.percentile("d", F.lit(0.025)).alias("delta_lo"), F.percentile("d", F.lit(0.975)).alias("delta_hi"))
+    by = list(by or [])
+    cohort = by if cohort is None else list(cohort)
+    draws = bootstrap_draws(df.select(*cohort, key).distinct(), key, replicates, seed, cohort)
+    j = draws.join(df.select(*by, key, risk_a, risk_b, truth), [*cohort, key])
+    sides = [weighted_auc(j, [*by, "replicate"], r, truth, "times").withColumnRenamed("auc", n) for r, n in ((risk_a, "a"), (risk_b, "b"))]
+    d = sides[0].join(sides[1], [*by, "replicate"]).withColumn("d", F.col("a") - F.col("b"))
+    return d.groupBy(*by).agg(F.count("d").alias("n_valid"), F.percentile("d", F.lit(0.025)).alias("delta_lo"), F.percentile("d", F.lit(0.975)).alias("delta_hi"))
+
+
+def contrasts(predictions: DataFrame, pairs: DataFrame, key: str, same: list[str], truth: str = "truth") -> DataFrame:
+    """``(columns of pairs, same, key, truth, risk_a, risk_b)``: both risks of each pair, on the ids that have both.
+
+    ``predictions`` name a risk by some columns; ``pairs`` have each of these
+    twice, with suffixes _a and _b. ``same`` are columns that both sides share.
+    """
+    named = [c for c in predictions.columns if f"{c}_a" in pairs.columns]
+    a = predictions.select(*same, key, truth, F.col("risk").alias("risk_a"), *[F.col(c).alias(f"{c}_a") for c in named])
+    b = predictions.select(*same, key, F.col("risk").alias("risk_b"), *[F.col(c).alias(f"{c}_b") for c in named])
+    return a.join(pairs, [f"{c}_a" for c in named]).join(b, [*same, key, *[f"{c}_b" for c in named]])
+
+
+def compared(rows: DataFrame, key: str, by: list[str], family: list[str], cohort: list[str], truth: str = "truth", replicates: int = 2000, seed=1) -> DataFrame:
+    """``(by, n, events, auc_a, auc_b, delta, delta_lo, delta_hi, z, p_value, p_adj)`` of rows with two risks, as ``contrasts`` makes them.
+
+    P is DeLong's, the interval the bootstrap's; they may disagree on the
+    margin. P values are adjusted within a family.
+    """
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col(truth).cast("bigint")).alias("events"))
+    tested = delong_paired(rows, key, by, "risk_a", "risk_b", truth)
+    drawn = bootstrap_delta(rows, key, "risk_a", "risk_b", truth, replicates, seed, by, cohort).drop("n_valid")
+    return bh_adjust(sizes.join(tested, by).join(drawn, by), "p_value", family)
+
+
+def compare(df: DataFrame, key: str, by: list[str], families: dict[str, list[str]], truth: str = "truth", replicates: int = 2000, seed=1) -> DataFrame:
+    """``(by, model, reference, n_test, n_deaths, auc, auc_ref, delta, delta_lo, delta_hi, z, p_value, p_adj)``, a column of ``df`` a model.
+
+    ``families`` names the models that are held against each reference; P
+    values are adjusted by reference, over all of ``by``.
+    """
+    spark = df.sparkSession
+    pairs = spark.createDataFrame([(m, r) for r, ms in families.items() for m in ms], "model_a string, model_b string")
+    models = sorted({m for r, ms in families.items() for m in (r, *ms)})
+    risks = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("risk")) for m in models]))
+    long = df.select(*by, key, truth, risks.alias("x")).select(*by, key, truth, "x.model", "x.risk")
+    rows = contrasts(long, pairs, key, by, truth).withColumnsRenamed({"model_a": "model", "model_b": "reference"})
+    out = compared(rows, key, [*by, "model", "reference"], ["reference"], by, truth, replicates, seed)
+    return out.withColumnsRenamed({"n": "n_test", "events": "n_deaths", "auc_a": "auc", "auc_b": "auc_ref"})
+
+
+def _title(c: Column) -> Column:
+    return F.initcap(c)
+
+
+def between_layers(predictions: DataFrame, key: str, layers: list[str], truth: str = "truth", replicates: int = 2000, seed=1) -> DataFrame:
+    """``(model, comparison, auc_a, ...)``: every two layers of a model on one matched cohort, adjusted by model.
+
+    ``layers`` says their order in pairs; models without a risk in a layer
+    have no pair with it.
+    """
+    pairs = predictions.sparkSession.createDataFrame([(a, b) for k, a in enumerate(layers) for b in layers[k + 1 :]], "layer_a string, layer_b string")
+    rows = contrasts(predictions, pairs, key, ["model"], truth)
+    rows = rows.withColumn("comparison", F.concat_ws(" vs ", _title(F.col("layer_a")), _title(F.col("layer_b")))).drop("layer_a", "layer_b")
+    return compared(rows, key, ["model", "comparison"], ["model"], [], truth, replicates, seed)
+
 
+def versus_clinical(predictions: DataFrame, key: str, clinical: str, layer: str = "clinical", truth: str = "truth", replicates: int = 2000, seed=1) -> DataFrame:
+    """``(model, comparison, auc_a, ...)``: every model of every layer against the one clinical model, one family."""
+    own = predictions.where((F.col("model") == clinical) & (F.col("layer") == layer)).select(key, F.col("risk").alias("risk_b"))
+    rows = predictions.where(F.col("layer") != layer).withColumnRenamed("risk", "risk_a").join(own, key)
+    rows = rows.withColumn("comparison", F.concat_ws(" vs ", _title(F.col("layer")), _title(F.lit(layer)))).drop("layer")
+    return compared(rows, key, ["model", "comparison"], [], [], truth, replicates, seed)
 
-def compare(df: DataFrame, key: str, by: list[str], risks: list[str], references: list[str], truth: str = "truth") -> DataFrame:
-    """``(by, model, reference, auc, auc_ref, delta, z, p_value, p_adj)``: each risk against each reference, adjusted by reference."""
-    from tessera.operators.relational import stack
 
-    rows = [
-        delong_paired(df, key, by, m, r, truth).select(*by, F.lit(m).alias("model"), F.lit(r).alias("reference"), F.col("auc_a").alias("auc"), F.col("auc_b").alias("auc_ref"), "delta", "z", "p_value")
-        for r in references for m in risks if m != r
-    ]
-    return bh_adjust(stack(rows), "p_value", ["reference"])
+def matched_comparisons(predictions: DataFrame, key: str, layers: list[str], clinical: str, **options) -> DataFrame:
+    """Both kinds of comparison as one table, by the name of their family."""
+    return between_layers(predictions, key, layers, **options).withColumn("family", F.lit("Between omics layers")).unionByName(
+        versus_clinical(predictions, key, clinical, **options).withColumn("family", F.lit("Versus the clinical model"))
+    )
 
 
 def logistic_line(df: DataFrame, by: list[str], x: str, y: str, steps: int = 12) -> DataFrame:
@@ -161,9 +231,34 @@ def calibration(df: DataFrame, by: list[str], risk: str = "risk", truth: str = "
     return brier(df, by, risk, truth).join(line, by).join(offset_intercept(lp, by, "_lp", "_y"), by)
 
 
-def age_proxy(df: DataFrame, by: list[str], key: str, risk: str, age_risk: str, age: str, truth: str = "truth") -> DataFrame:
-    """How far a risk stands for age: Spearman's rho with it, and the AUC difference from age alone."""
-    return spearman(df, risk, age, by, "rho_age").join(delong_paired(df, key, by, risk, age_risk, truth), by)
+def age_proxy(df: DataFrame, by: list[str], key: str, risks: list[str], age_risk: str, age: str, reference: str | None = None, truth: str = "truth") -> DataFrame:
+    """How far risks stand for age: Spearman's rho with it, and the AUC difference from age alone.
+
+    ``(by, model, rho_age, auc_omics, auc_age_only, delta, z, p_value, p_adj)``
+    with one adjustment over all rows. ``reference`` is a model that holds age
+    by design: its row has rho alone.
+    """
+    models = [*risks, *([reference] if reference else [])]
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("risk")) for m in models]))
+    long = df.select(*by, key, truth, F.col(age_risk).alias("_age_risk"), F.col(age).alias("_age"), cells.alias("x")).select("*", "x.model", "x.risk")
+    rho = spearman(long, "risk", "_age", [*by, "model"], "rho_age")
+    tested = delong_paired(long.where(F.col("model").isin(risks)), key, [*by, "model"], "risk", "_age_risk", truth)
+    tested = tested.withColumnsRenamed({"auc_a": "auc_omics", "auc_b": "auc_age_only"})
+    return bh_adjust(rho.join(tested, [*by, "model"], "left"), "p_value", [])
+
+
+def out_of_sample(oof: DataFrame, train: DataFrame, test: DataFrame, key: str, score: str, stored: str, truth: str = "truth") -> DataFrame:
+    """``(key, truth, risk, source)``: everybody once, by out-of-fold risk if they were trained on, else by held-out risk.
+
+    ``oof`` names its rows by ``train_row`` of ``train`` and has ``score``
+    alone; ``test`` has it beside ``stored``, the event's risk, which tells
+    whether ``score`` is that risk or its complement.
+    """
+    flipped = risk_of_event(test, score, stored)
+    inside = oof.join(train.select("train_row", key, truth), "train_row")
+    return inside.select(key, truth, flipped.alias("risk"), F.lit("out_of_fold").alias("source")).unionByName(
+        test.select(key, truth, F.col(stored).alias("risk"), F.lit("held_out_test").alias("source"))
+    )
 
 
 def wide_auc(table: DataFrame, layers: list[str]) -> DataFrame:

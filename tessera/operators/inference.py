@@ -88,12 +88,14 @@ def with_correlation_p(df: DataFrame, r: str, n: str, cap: float = 15.0) -> Data
     return out.withColumn("nlp", F.least(-t_log10_p("t", (F.col(n) - 2).cast("double")), F.lit(cap)))
 
 
-def permutation_p(log: DataFrame, statistic: str, by: list[str] | None = None) -> DataFrame:
-    """(1 + permutations at least as large) / (1 + permutations), on each permutation's largest block."""
-    by = list(by or [])
-    tops = log.groupBy(*by, "perm_id").agg(F.max(statistic).alias("s"))
-    observed = tops.where("perm_id = 0").select(*by, F.col("s").alias("observed"))
-    rest = tops.where("perm_id > 0")
-    j = rest.join(observed, by) if by else rest.join(F.broadcast(observed))
-    return j.groupBy(*by).agg(F.first("observed").alias("observed"), F.count("*").alias("permutations"),
-                              ((1 + F.sum((F.col("s") >= F.col("observed")).cast("int"))) / (1 + F.count("*"))).alias("p_value"))
+def permutation_p(log: DataFrame, statistic: str, permutations: int) -> DataFrame:
+    """(1 + permutations at least as large) / (1 + permutations), on each permutation's largest block.
+
+    ``log`` has no row for a permutation without a block, so how many were run
+    has to be said; such a one is smaller than any. Without an observed block
+    P is 1.
+    """
+    tops = log.groupBy("perm_id").agg(F.max(statistic).alias("s"))
+    seen = tops.agg(F.max(F.when(F.col("perm_id") == 0, F.col("s"))).alias("observed"), F.collect_list(F.when(F.col("perm_id") > 0, F.col("s"))).alias("rest"))
+    larger = F.when(F.col("observed").isNull(), F.lit(permutations)).otherwise(F.size(F.filter("rest", lambda v: v >= F.col("observed"))))
+    return seen.select("observed", F.lit(permutations).cast("bigint").alias("permutations"), ((1 + larger) / F.lit(1.0 + permutations)).alias("p_value"))

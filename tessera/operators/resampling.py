@@ -6,21 +6,25 @@ draws the same. A split is a join with one of these tables, never a copy.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import hash_order
+from tessera.operators.ordered import join_on, numbered
+
+#: Slots of a bootstrap replicate that are made from one row.
+SLOTS = 1 << 16
 
 
 def _shuffled(df: DataFrame, key: str, strata: list[str], seed, salt: str) -> DataFrame:
-    w = Window.partitionBy(*strata).orderBy(hash_order(seed, salt, F.col(key)), key)
-    return df.withColumn("_n", F.row_number().over(w))
+    return numbered(df, strata, hash_order(seed, salt, F.col(key)), key)
 
 
 def stratified_split(df: DataFrame, key: str, strata: list[str], share: float = 0.8, seed=1) -> DataFrame:
     """``df`` with ``in_train``: the first floor(share * n) of each stratum in hash order."""
-    n = F.count("*").over(Window.partitionBy(*strata))
-    return _shuffled(df, key, strata, seed, "split").withColumn("in_train", F.col("_n") <= F.floor(n * share)).drop("_n")
+    sizes = df.groupBy(*strata).agg(F.count("*").alias("_size"))
+    out = join_on(_shuffled(df, key, strata, seed, "split"), sizes, strata)
+    return out.withColumn("in_train", F.col("_n") <= F.floor(F.col("_size") * share)).drop("_n", "_size")
 
 
 def stratified_folds(df: DataFrame, key: str, strata: list[str], v: int = 5, seed=1, repeat: int = 1) -> DataFrame:
@@ -34,23 +38,22 @@ def repeated_folds(df: DataFrame, key: str, strata: list[str], v: int = 5, repea
     spread = df.select(key, *strata).withColumn("repeat_id", F.explode(F.array(*[F.lit(r) for r in range(1, repeats + 1)])))
     salt = F.concat(F.lit("fold"), F.col("repeat_id").cast("string"))
     order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), salt, F.col(key).cast("string"))), 1, 8), 16, 10).cast("bigint")
-    w = Window.partitionBy("repeat_id", *strata).orderBy(order, key)
-    return spread.withColumn("fold_id", ((F.row_number().over(w) - 1) % v + 1).cast("int"))
+    return numbered(spread, ["repeat_id", *strata], order, key).withColumn("fold_id", ((F.col("_n") - 1) % v + 1).cast("int")).drop("_n")
 
 
 def inner_folds(folds: DataFrame, key: str, strata: list[str], v: int = 3, seed=1) -> DataFrame:
     """``(repeat_id, outer_fold, key, inner_fold)``: folds within every outer analysis set."""
     outer = folds.select("repeat_id", F.col("fold_id").alias("outer_fold")).distinct()
-    rows = folds.join(F.broadcast(outer), "repeat_id").where("fold_id <> outer_fold")
+    rows = folds.join(outer, "repeat_id").where("fold_id <> outer_fold")  # a row for each repeat and fold
     order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("inner"), "repeat_id", "outer_fold", F.col(key).cast("string"))), 1, 8), 16, 10).cast("bigint")
-    w = Window.partitionBy("repeat_id", "outer_fold", *strata).orderBy(order, key)
-    return rows.select("repeat_id", "outer_fold", key, ((F.row_number().over(w) - 1) % v + 1).cast("int").alias("inner_fold"))
+    rows = numbered(rows, ["repeat_id", "outer_fold", *strata], order, key)
+    return rows.select("repeat_id", "outer_fold", key, ((F.col("_n") - 1) % v + 1).cast("int").alias("inner_fold"))
 
 
 def out_of_fold_faults(predictions: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """What keeps out-of-fold predictions from being complete: repeated or absent ids by repeat; empty if none."""
     repeats = predictions.select("repeat_id").distinct()
-    wanted = members.select(key).distinct().join(F.broadcast(repeats))
+    wanted = members.select(key).distinct().join(repeats)  # a row for each repeat
     have = predictions.groupBy("repeat_id", key).agg(F.count("*").alias("n"))
     j = wanted.withColumn("_w", F.lit(1)).join(have, ["repeat_id", key], "full")
     fault = F.when(F.col("_w").isNull(), "unknown").when(F.col("n").isNull(), "absent").when(F.col("n") > 1, "repeated")
@@ -61,26 +64,37 @@ def averaged_over_repeats(predictions: DataFrame, keys: list[str]) -> DataFrame:
     return predictions.groupBy(*keys).agg(F.avg("risk").alias("risk"), F.count("*").alias("n_repeats"))
 
 
-def bootstrap_draws(df: DataFrame, key: str, replicates: int, seed=1) -> DataFrame:
-    """``(replicate, key, times)``: rows drawn with replacement, as many as there are.
+def bootstrap_draws(df: DataFrame, key: str, replicates: int, seed=1, by: list[str] | None = None) -> DataFrame:
+    """``(by, replicate, key, times)``: rows drawn with replacement, as many as a group has, in each group of ``by``.
 
     Row numbers are dealt by hash order; each of replicate * n slots picks one.
-    Slots are a range, so draws are made where they are used; counting them per
-    row first keeps the join as small as the distinct draws.
+    Slots are made where they are used, and counted per row first, so the join
+    is as small as the distinct draws. Groups of 2^31 rows and more draw with
+    60 bits of the digest.
     """
-    n = df.count()
-    w = Window.orderBy(hash_order(seed, "index", F.col(key)), key)
-    numbered = df.select(key).withColumn("_i", F.row_number().over(w) - 1)
-    slots = df.sparkSession.range(replicates * n).select((F.floor(F.col("id") / n) + 1).cast("int").alias("replicate"), F.col("id").alias("slot"))
-    picks = slots.withColumn("_i", F.pmod(hash_order(seed, "boot", F.col("slot")), F.lit(n)).cast("int"))
-    return picks.groupBy("replicate", "_i").agg(F.count("*").alias("times")).join(numbered, "_i").select("replicate", key, "times")
-
-
-def permuted_labels(df: DataFrame, key: str, label: str, permutations: int, seed=1) -> DataFrame:
-    """``(perm_id, key, label)``: class counts stay; permutation 0 is the observed one."""
-    events = df.agg(F.sum(F.col(label).cast("bigint")).alias("_e"))
-    spread = df.select(key, label).join(F.broadcast(events)).withColumn("perm_id", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    order = hash_order(seed, "perm", F.col("perm_id"), F.col(key))
-    w = Window.partitionBy("perm_id").orderBy(order, key)
-    drawn = (F.row_number().over(w) <= F.col("_e")).cast("int")
-    return spread.withColumn("_d", drawn).select("perm_id", key, F.when(F.col("perm_id") == 0, F.col(label).cast("int")).otherwise(F.col("_d")).alias(label))
+    by = list(by or [])
+    numbers = numbered(df.select(*by, key), by, hash_order(seed, "index", F.col(key)), key).withColumn("_i", F.col("_n") - 1).drop("_n")
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_size")).where("_size > 0")
+    parts = sizes.select(*by, "_size", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    first = (F.col("replicate") - 1) * F.col("_size")
+    # a replicate's slots in stretches, so that no row explodes into all of them
+    parts = parts.withColumn("_s", F.explode(F.sequence(first, first + F.col("_size") - 1, F.lit(SLOTS).cast("bigint"))))
+    parts = parts.repartition("replicate", "_s")
+    end = F.least(F.col("_s") + SLOTS, first + F.col("_size")) - 1
+    slots = parts.withColumn("slot", F.explode(F.sequence("_s", end)))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("boot"), F.col("slot").cast("string")))
+    digits = F.when(F.col("_size") < 1 << 31, F.substring(digest, 1, 8)).otherwise(F.substring(digest, 1, 15))
+    picks = slots.withColumn("_i", F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.col("_size")))
+    counted = picks.groupBy(*by, "replicate", "_i").agg(F.count("*").alias("times"))
+    return join_on(counted, numbers, [*by, "_i"]).select(*by, "replicate", key, "times")
+
+
+def permuted_labels(df: DataFrame, key: str, label: str, permutations: int, seed=1, by: list[str] | None = None) -> DataFrame:
+    """``(by, perm_id, key, label)``: class counts of each group stay; permutation 0 is the observed one."""
+    by = list(by or [])
+    events = df.groupBy(*by).agg(F.sum(F.col(label).cast("bigint")).alias("_e"))
+    spread = df.select(*by, key, label).withColumn("perm_id", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
+    spread = numbered(spread, [*by, "perm_id"], hash_order(seed, "perm", F.col("perm_id"), F.col(key)), key)
+    out = join_on(spread, events, by) if by else spread.join(events)  # a row for each group
+    drawn = (F.col("_n") <= F.col("_e")).cast("int")
+    return out.select(*by, "perm_id", key, F.when(F.col("perm_id") == 0, F.col(label).cast("int")).otherwise(drawn).alias(label))

@@ -41,6 +41,22 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     return scores(spark, d).select("id", "layer", "truth", F.explode(risks).alias("x")).select("id", "layer", "truth", "x.model", "x.risk")
 
 
+#: Everybody has a risk in each of three layers by two models, and one of the clinical model.
+MATCHED = """(SELECT id, truth, layer, model, CASE WHEN model = 'EN omics' THEN r ELSE r * r END AS risk FROM (
+ SELECT id, truth, 'microbiome' AS layer, s1 AS r FROM """ + SCORES + """ UNION ALL SELECT id, truth, 'metabolomics', s2 FROM """ + SCORES + """
+ UNION ALL SELECT id, truth, 'proteomics', (s1 + s3) / 2 FROM """ + SCORES + """), (SELECT 'EN omics' AS model UNION ALL SELECT 'XGB omics')
+ UNION ALL SELECT id, truth, 'clinical', 'RF clinical', (s1 + s2) / 2 FROM """ + SCORES + """)"""
+MATCHED_LAYERS = ["microbiome", "metabolomics", "proteomics"]
+
+
+def matched(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda layer, model, risk: F.struct(F.lit(layer).alias("layer"), F.lit(model).alias("model"), risk.alias("risk"))
+    sources = zip(MATCHED_LAYERS, (F.col("s1"), F.col("s2"), (F.col("s1") + F.col("s3")) / 2))
+    cells = [one(n, m, r if m == "EN omics" else r * r) for n, r in sources for m in ("EN omics", "XGB omics")]
+    cells.append(one("clinical", "RF clinical", (F.col("s1") + F.col("s2")) / 2))
+    return scores(spark, d).select("id", "truth", F.explode(F.array(*cells)).alias("x")).select("id", "truth", "x.*")
+
+
 def clinical(spark: SparkSession, d: str) -> DataFrame:
     """One row a participant: five tables reduced onto the customers."""
     c = landed(spark, d, "customer", ["c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"])

@@ -336,13 +336,9 @@ def repeated_folds(s, d):
     return resampling.repeated_folds(fx.scores(s, d), "id", ["truth"])
 
 
-SMALL = f"(SELECT id, truth FROM {fx.SCORES} WHERE layer = '1-URGENT')"
-
-
-@query(f"WITH f AS (SELECT id, truth, 1 AS repeat_id, ((row_number() OVER (PARTITION BY truth ORDER BY {_h(chr(39) + 'fold1' + chr(39), 'id')}, id) - 1) % 5 + 1)::INT AS fold_id FROM {SMALL}), o AS (SELECT DISTINCT fold_id AS outer_fold FROM f) SELECT repeat_id, outer_fold, id, ((row_number() OVER (PARTITION BY repeat_id, outer_fold, truth ORDER BY {_h(chr(39) + 'inner' + chr(39), 'repeat_id', 'outer_fold', 'id')}, id) - 1) % 3 + 1)::INT AS inner_fold FROM f JOIN o ON fold_id <> outer_fold")
+@query(f"WITH f AS (SELECT id, truth, 1 AS repeat_id, ((row_number() OVER (PARTITION BY truth ORDER BY {_h(chr(39) + 'fold1' + chr(39), 'id')}, id) - 1) % 5 + 1)::INT AS fold_id FROM {fx.SCORES}), o AS (SELECT DISTINCT fold_id AS outer_fold FROM f) SELECT repeat_id, outer_fold, id, ((row_number() OVER (PARTITION BY repeat_id, outer_fold, truth ORDER BY {_h(chr(39) + 'inner' + chr(39), 'repeat_id', 'outer_fold', 'id')}, id) - 1) % 3 + 1)::INT AS inner_fold FROM f JOIN o ON fold_id <> outer_fold")
 def inner_folds(s, d):
-    f = resampling.stratified_folds(fx.scores(s, d).where("layer = '1-URGENT'"), "id", ["truth"])
-    return resampling.inner_folds(f, "id", ["truth"])
+    return resampling.inner_folds(resampling.stratified_folds(fx.scores(s, d), "id", ["truth"]), "id", ["truth"])
 
 
 @query(f"SELECT model, layer, count(*) AS n, round(avg(risk), 6) AS mean_risk FROM (SELECT model, layer, id, truth, avg(risk) AS risk FROM (SELECT id, layer, truth, repeat_id, 's1' AS model, least(1, s1 + repeat_id / 100e0) AS risk FROM {fx.SCORES} s JOIN (SELECT id AS i, repeat_id FROM {REPEATED}) r ON s.id = r.i) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2")
@@ -360,17 +356,26 @@ def oof_completeness(s, d):
     return bad.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("complete").alias("state"), "n")
 
 
-BOOT = f"(WITH m AS (SELECT *, row_number() OVER (ORDER BY {_h(chr(39) + 'index' + chr(39), 'id')}, id) - 1 AS i FROM {{0}}), c AS (SELECT count(*) AS n FROM m), slots AS (SELECT slot, (floor(slot / n::DOUBLE) + 1)::INT AS replicate, {_h(chr(39) + 'boot' + chr(39), 'slot')} % n AS i FROM c, range({{1}} * (SELECT n FROM c)) AS t(slot)) SELECT replicate, id, count(*) AS times FROM slots JOIN m USING (i) GROUP BY 1, 2)"
+def _boot(rows: str, replicates: int, by: str | None = None) -> str:
+    """SQL of ``resampling.bootstrap_draws`` over the groups of ``by``."""
+    part, cols = (f"PARTITION BY {by}", f"{by}, ") if by else ("", "")
+    on = f"m.{by} = slots.{by} AND " if by else ""
+    pick = f"m.{by}, " if by else ""
+    return (
+        f"(WITH m AS (SELECT *, row_number() OVER ({part} ORDER BY {_h(chr(39) + 'index' + chr(39), 'id')}, id) - 1 AS i FROM {rows}), c AS (SELECT {cols}count(*) AS n FROM m" + (f" GROUP BY {by}" if by else "") + "), "
+        f"slots AS (SELECT {cols}slot, (floor(slot / n::DOUBLE) + 1)::INT AS replicate, {_h(chr(39) + 'boot' + chr(39), 'slot')} % n AS i FROM (SELECT {cols}n, unnest(range({replicates} * n)) AS slot FROM c)) "
+        f"SELECT {pick}replicate, id, count(*) AS times FROM slots JOIN m ON {on}m.i = slots.i GROUP BY ALL)"
+    )
 
 
-@query(f"SELECT * FROM {BOOT.format(SMALL, 20)}")
+@query(f"SELECT * FROM {_boot(fx.SCORES, 20, 'layer')}")
 def bootstrap_draws(s, d):
-    return resampling.bootstrap_draws(fx.scores(s, d).where("layer = '1-URGENT'"), "id", 20)
+    return resampling.bootstrap_draws(fx.scores(s, d), "id", 20, by=["layer"])
 
 
-@query(f"SELECT p::INT AS perm_id, id, CASE WHEN p = 0 THEN truth WHEN row_number() OVER (PARTITION BY p ORDER BY {_h(chr(39) + 'perm' + chr(39), 'p', 'id')}, id) <= (SELECT sum(truth) FROM {SMALL}) THEN 1 ELSE 0 END AS truth FROM {SMALL}, range(0, 6) AS t(p)")
+@query(f"SELECT layer, p::INT AS perm_id, id, CASE WHEN p = 0 THEN truth WHEN row_number() OVER (PARTITION BY layer, p ORDER BY {_h(chr(39) + 'perm' + chr(39), 'p', 'id')}, id) <= sum(truth) OVER (PARTITION BY layer, p) THEN 1 ELSE 0 END AS truth FROM {fx.SCORES}, range(0, 6) AS t(p)")
 def permute_labels(s, d):
-    return resampling.permuted_labels(fx.scores(s, d).where("layer = '1-URGENT'"), "id", "truth", 5)
+    return resampling.permuted_labels(fx.scores(s, d), "id", "truth", 5, by=["layer"])
 
 
 # ---- discrimination and inference -----------------------------------------------------
@@ -385,10 +390,11 @@ def auc_pinned(s, d):
     return rounded(discrimination.auc(fx.predictions(s, d), ["model", "layer"]))
 
 
-@query(f"WITH r AS (SELECT p.model, p.layer, p.id, p.truth, p.risk, f.repeat_id FROM {PRED} p JOIN {REPEATED} f ON p.id = f.id WHERE f.fold_id <= f.repeat_id), a AS (SELECT *, rank() OVER (PARTITION BY model, layer, repeat_id ORDER BY risk) + (count(*) OVER (PARTITION BY model, layer, repeat_id, risk) - 1) / 2e0 AS ra FROM r), u AS (SELECT model, layer, repeat_id, (sum(CASE WHEN truth = 1 THEN ra END) - sum(truth) * (sum(truth) + 1) / 2e0) / (sum(truth)::DOUBLE * sum(1 - truth)) AS auc FROM a GROUP BY 1, 2, 3) SELECT model, layer, count(*) AS repeats, round(avg(auc), 6) AS auc_mean, round(stddev_samp(auc), 6) AS auc_sd, round(min(auc), 6) AS auc_min, round(max(auc), 6) AS auc_max FROM u GROUP BY 1, 2")
+@query(f"WITH r AS (SELECT p.model, p.layer, p.id, p.truth, least(1, p.risk + (p.id * f.repeat_id) % 7 / 100e0) AS risk, f.repeat_id FROM {PRED} p JOIN {REPEATED} f ON p.id = f.id), a AS (SELECT *, rank() OVER (PARTITION BY model, layer, repeat_id ORDER BY risk) + (count(*) OVER (PARTITION BY model, layer, repeat_id, risk) - 1) / 2e0 AS ra FROM r), u AS (SELECT model, layer, repeat_id, (sum(CASE WHEN truth = 1 THEN ra END) - sum(truth) * (sum(truth) + 1) / 2e0) / (sum(truth)::DOUBLE * sum(1 - truth)) AS auc FROM a GROUP BY 1, 2, 3) SELECT model, layer, count(*) AS repeats, round(avg(auc), 6) AS auc_mean, round(stddev_samp(auc), 6) AS auc_sd, round(min(auc), 6) AS auc_min, round(max(auc), 6) AS auc_max FROM u GROUP BY 1, 2")
 def auc_by_repeat(s, d):
-    f = resampling.repeated_folds(fx.scores(s, d), "id", ["truth"]).where("fold_id <= repeat_id").select("id", "repeat_id")
-    return rounded(discrimination.repeat_summary(fx.predictions(s, d).join(f, "id"), ["model", "layer"]))
+    f = resampling.repeated_folds(fx.scores(s, d), "id", ["truth"]).select("id", "repeat_id")
+    p = fx.predictions(s, d).join(f, "id").withColumn("risk", F.least(F.lit(1.0), F.col("risk") + (F.col("id") * F.col("repeat_id")) % 7 / 100.0))
+    return rounded(discrimination.repeat_summary(p, ["model", "layer"]))
 
 
 @query(f"WITH b AS (SELECT layer, s2 AS t, sum(truth) AS p, count(*) - sum(truth) AS q FROM {fx.SCORES} GROUP BY 1, 2) SELECT layer, round(t, 6) AS threshold, round(sum(p) OVER w / (sum(p) OVER (PARTITION BY layer))::DOUBLE, 6) AS sensitivity, round(1 - sum(q) OVER w / (sum(q) OVER (PARTITION BY layer))::DOUBLE, 6) AS specificity FROM b WINDOW w AS (PARTITION BY layer ORDER BY t DESC ROWS UNBOUNDED PRECEDING)")
@@ -419,69 +425,71 @@ def delong_paired_test(s, d):
 
 @query()
 def model_comparisons(s, d):
-    return rounded(discrimination.compare(fx.scores(s, d), "id", ["layer"], ["s1", "s3"], ["s2"]))
+    return rounded(discrimination.compare(fx.scores(s, d), "id", ["layer"], {"s2": ["s1", "s3"], "s3": ["s1"]}, replicates=200))
 
 
-@query(f"SELECT model, " + ", ".join(f"round(max(CASE WHEN layer = '{p}' THEN auc END), 6) AS \"{p}\"" for p in ("1-URGENT", "2-HIGH")) + f" FROM (SELECT model, layer, avg(CASE WHEN truth = 1 THEN v END) AS auc FROM {PLACE} GROUP BY 1, 2) GROUP BY 1")
-def auc_table_wide(s, d):
-    return rounded(discrimination.wide_auc(discrimination.auc(fx.predictions(s, d), ["model", "layer"]), ["1-URGENT", "2-HIGH"]))
+LAYER_NAMES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
-@query(f"WITH m AS (SELECT id, truth, s1, s2 FROM {fx.SCORES} WHERE layer = '1-URGENT'), b AS {BOOT.format(SMALL, 200)}, j AS (SELECT replicate, times, truth, s1, s2 FROM b JOIN m USING (id)), " + ", ".join(
-    f"g{k} AS (SELECT replicate, s{k} AS r, sum(truth * times) AS p, sum((1 - truth) * times) AS q FROM j GROUP BY 1, 2), u{k} AS (SELECT replicate, sum(pu) / nullif(sum(p)::DOUBLE * sum(q), 0) AS auc FROM (SELECT replicate, p, q, p * (coalesce(sum(q) OVER (PARTITION BY replicate ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + q / 2e0) AS pu FROM g{k}) GROUP BY 1)" for k in (1, 2))
-    + " SELECT count(x) AS n_valid, round(quantile_cont(x, 0.025), 6) AS delta_lo, round(quantile_cont(x, 0.975), 6) AS delta_hi FROM (SELECT u1.auc - u2.auc AS x FROM u1 JOIN u2 USING (replicate))")
-def bootstrap_delta_auc(s, d):
-    return rounded(discrimination.bootstrap_delta(fx.scores(s, d).where("layer = '1-URGENT'"), "id", "s1", "s2", replicates=200))
+@query("SELECT model, " + ", ".join(f"round(max(CASE WHEN layer = '{p}' THEN auc END), 6) AS \"{p}\"" for p in LAYER_NAMES) + f" FROM (SELECT model, layer, avg(CASE WHEN truth = 1 THEN v END) AS auc FROM {PLACE} GROUP BY 1, 2) GROUP BY 1")
+def auc_table_wide(s, d):
+    return rounded(discrimination.wide_auc(discrimination.auc(fx.predictions(s, d), ["model", "layer"]), list(LAYER_NAMES)))
 
 
-@query(f"SELECT model, layer, count(*) AS n, sum(truth)::BIGINT AS events, round(avg(risk), 6) AS mean_predicted, round(avg(truth), 6) AS observed, round(avg((risk - truth) * (risk - truth)), 6) AS brier, round(avg(truth) * (1 - avg(truth)), 6) AS brier_null FROM {PRED} GROUP BY 1, 2")
-def brier_score(s, d):
-    return rounded(discrimination.brier(fx.predictions(s, d), ["model", "layer"]))
-
+@query(f"WITH m AS (SELECT layer, id, truth, s1, s2 FROM {fx.SCORES}), b AS {_boot(fx.SCORES, 200, 'layer')}, j AS (SELECT b.layer, replicate, times, truth, s1, s2 FROM b JOIN m ON b.layer = m.layer AND b.id = m.id), " + ", ".join(
+    f"g{k} AS (SELECT layer, replicate, s{k} AS r, sum(truth * times) AS p, sum((1 - truth) * times) AS q FROM j GROUP BY 1, 2, 3), u{k} AS (SELECT layer, replicate, sum(pu) / nullif(sum(p)::DOUBLE * sum(q), 0) AS auc FROM (SELECT layer, replicate, p, q, p * (coalesce(sum(q) OVER (PARTITION BY layer, replicate ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + q / 2e0) AS pu FROM g{k}) GROUP BY 1, 2)" for k in (1, 2))
+    + " SELECT layer, count(x) AS n_valid, round(quantile_cont(x, 0.025), 6) AS delta_lo, round(quantile_cont(x, 0.975), 6) AS delta_hi FROM (SELECT layer, u1.auc - u2.auc AS x FROM u1 JOIN u2 USING (layer, replicate)) GROUP BY 1")
+def bootstrap_delta_auc(s, d):
+    return rounded(discrimination.bootstrap_delta(fx.scores(s, d), "id", "s1", "s2", replicates=200, by=["layer"]))
 
-@query()
-def calibration_table(s, d):
-    return rounded(discrimination.calibration(fx.predictions(s, d), ["model", "layer"]))
 
+MATCHED_PLACE = f"(SELECT *, CASE WHEN truth = 1 THEN (ra - ro) / other ELSE 1 - (ra - ro) / other END AS v FROM (SELECT *, rank() OVER (PARTITION BY model, layer ORDER BY risk) + (count(*) OVER (PARTITION BY model, layer, risk) - 1) / 2e0 AS ra, rank() OVER (PARTITION BY model, layer, truth ORDER BY risk) + (count(*) OVER (PARTITION BY model, layer, truth, risk) - 1) / 2e0 AS ro, count(*) OVER (PARTITION BY model, layer) - count(*) OVER (PARTITION BY model, layer, truth) AS other FROM {fx.MATCHED}))"
+MATCHED_PAIRS = f"""(WITH v AS {MATCHED_PLACE}, o AS (SELECT unnest({[n for n in fx.MATCHED_LAYERS]}) AS layer, unnest([1, 2, 3]) AS ord), j AS (
+ SELECT 'Between omics layers' AS family, a.model, upper(a.layer[1]) || a.layer[2:] || ' vs ' || upper(b.layer[1]) || b.layer[2:] AS comparison, a.truth, a.v AS va, b.v AS vb FROM v a JOIN o oa ON a.layer = oa.layer JOIN v b ON a.id = b.id AND a.model = b.model JOIN o ob ON b.layer = ob.layer AND oa.ord < ob.ord
+ UNION ALL SELECT 'Versus the clinical model', a.model, upper(a.layer[1]) || a.layer[2:] || ' vs Clinical', a.truth, a.v, b.v FROM v a JOIN v b ON a.id = b.id AND a.layer <> 'clinical' AND b.layer = 'clinical')
+ SELECT family, model, comparison, count(*) AS n, sum(truth)::BIGINT AS events, avg(CASE WHEN truth = 1 THEN va END) AS auc_a, avg(CASE WHEN truth = 1 THEN vb END) AS auc_b, (avg(CASE WHEN truth = 1 THEN va END) - avg(CASE WHEN truth = 1 THEN vb END)) / sqrt(
+ (var_samp(CASE WHEN truth = 1 THEN va END) + var_samp(CASE WHEN truth = 1 THEN vb END) - 2 * covar_samp(CASE WHEN truth = 1 THEN va END, CASE WHEN truth = 1 THEN vb END)) / sum(truth)
+ + (var_samp(CASE WHEN truth = 0 THEN va END) + var_samp(CASE WHEN truth = 0 THEN vb END) - 2 * covar_samp(CASE WHEN truth = 0 THEN va END, CASE WHEN truth = 0 THEN vb END)) / sum(1 - truth)) AS z FROM j GROUP BY 1, 2, 3)"""
+MATCHED_Z = f"SELECT family, model, comparison, n, events, round(auc_a, 6) AS auc_a, round(auc_b, 6) AS auc_b, round(auc_a - auc_b, 6) AS delta, round(z, 6) AS z FROM {MATCHED_PAIRS}"
 
-# The same over the whole table: every layer, row and fold, and the operators' own numbers of replicates.
 
-def _by_layer(s, d, f):
-    t = fx.scores(s, d)
-    layers = sorted(r["layer"] for r in t.select("layer").distinct().collect())
-    return relational.stack([f(t.where(F.col("layer") == x)).withColumn("layer", F.lit(x)) for x in layers])
+def _matched_z(s, d, family):
+    t = discrimination.matched_comparisons(fx.matched(s, d), "id", fx.MATCHED_LAYERS, "RF clinical", replicates=20)
+    return rounded(t.where(F.col("family") == family).select("family", "model", "comparison", "n", "events", "auc_a", "auc_b", "delta", "z"))
 
 
-@query()
-def inner_folds_whole(s, d):
-    return resampling.inner_folds(resampling.stratified_folds(fx.scores(s, d), "id", ["truth"]), "id", ["truth"])
+@query(MATCHED_Z + " WHERE family = 'Between omics layers'")
+def matched_between_layers(s, d):
+    return _matched_z(s, d, "Between omics layers")
 
 
-@query()
-def bootstrap_draws_whole(s, d):
-    return _by_layer(s, d, lambda t: resampling.bootstrap_draws(t, "id", 2000))
+@query(MATCHED_Z + " WHERE family = 'Versus the clinical model'")
+def matched_versus_clinical(s, d):
+    return _matched_z(s, d, "Versus the clinical model")
 
 
 @query()
-def permute_labels_whole(s, d):
-    return _by_layer(s, d, lambda t: resampling.permuted_labels(t, "id", "truth", 5))
+def matched_comparisons(s, d):
+    return rounded(discrimination.matched_comparisons(fx.matched(s, d), "id", fx.MATCHED_LAYERS, "RF clinical", replicates=200))
 
 
-@query()
-def auc_by_repeat_whole(s, d):
-    f = resampling.repeated_folds(fx.scores(s, d), "id", ["truth"]).select("id", "repeat_id")
-    return rounded(discrimination.repeat_summary(fx.predictions(s, d).join(f, "id"), ["model", "layer"]))
+@query(f"WITH t AS (SELECT id, truth, s1, s2, {_h(chr(39) + 'split' + chr(39), 'id')} AS h FROM {fx.SCORES}), k AS (SELECT *, row_number() OVER (PARTITION BY truth ORDER BY h, id) <= floor(count(*) OVER (PARTITION BY truth) * 0.8) AS in_train FROM t) SELECT id, truth, round(s1, 6) AS risk, CASE WHEN in_train THEN 'out_of_fold' ELSE 'held_out_test' END AS source FROM k")
+def out_of_sample_union(s, d):
+    t = resampling.stratified_split(fx.scores(s, d), "id", ["truth"])
+    train = t.where("in_train").withColumn("train_row", F.col("id") * 3 + 1)
+    oof = train.select("train_row", (1 - F.col("s1")).alias("p1"))  # this generation stores survival
+    test = t.where("NOT in_train").select("id", "truth", (1 - F.col("s1")).alias("p1"), F.col("s1").alias("pred_event"))
+    return rounded(discrimination.out_of_sample(oof, train, test, "id", "p1", "pred_event"))
 
 
-@query()
-def auc_table_wide_whole(s, d):
-    auc = discrimination.auc(fx.predictions(s, d), ["model", "layer"])
-    return rounded(discrimination.wide_auc(auc, sorted(r["layer"] for r in fx.scores(s, d).select("layer").distinct().collect())))
+@query(f"SELECT model, layer, count(*) AS n, sum(truth)::BIGINT AS events, round(avg(risk), 6) AS mean_predicted, round(avg(truth), 6) AS observed, round(avg((risk - truth) * (risk - truth)), 6) AS brier, round(avg(truth) * (1 - avg(truth)), 6) AS brier_null FROM {PRED} GROUP BY 1, 2")
+def brier_score(s, d):
+    return rounded(discrimination.brier(fx.predictions(s, d), ["model", "layer"]))
 
 
 @query()
-def bootstrap_delta_auc_whole(s, d):
-    return rounded(_by_layer(s, d, lambda t: discrimination.bootstrap_delta(t, "id", "s1", "s2")))
+def calibration_table(s, d):
+    return rounded(discrimination.calibration(fx.predictions(s, d), ["model", "layer"]))
 
 
 @query(f"SELECT layer, round(corr(a, b), 6) AS rho FROM (SELECT layer, rank() OVER (PARTITION BY layer ORDER BY s1) + (count(*) OVER (PARTITION BY layer, s1) - 1) / 2e0 AS a, rank() OVER (PARTITION BY layer ORDER BY s2) + (count(*) OVER (PARTITION BY layer, s2) - 1) / 2e0 AS b FROM {fx.SCORES}) GROUP BY 1")
@@ -491,7 +499,7 @@ def spearman_age_proxy(s, d):
 
 @query()
 def age_proxy_table(s, d):
-    return rounded(discrimination.age_proxy(fx.scores(s, d), ["layer"], "id", "s1", "s2", "s3"))
+    return rounded(discrimination.age_proxy(fx.scores(s, d).withColumn("both", F.col("s1") + F.col("s3")), ["layer"], "id", ["s1", "s2"], "s3", "s3", "both"))
 
 
 PVALUES = "(SELECT p_brand AS family, p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE ((p_partkey * 37) % 1000) / 1000e0 END AS p FROM part)"
@@ -701,7 +709,7 @@ def block_summary(s, d):
     return rounded(blocks.block_summary(blocks.two_group_table(dd, aa), _members(s, d)).drop("mean_nlp"))
 
 
-@query(f"WITH m AS {MEMBERS}, z AS (SELECT d.x, d.y, atanh(d.r) AS zd, atanh(a.r) AS za, (atanh(d.r) - atanh(a.r)) / sqrt(1e0 / (d.n - 3) + 1e0 / (a.n - 3)) AS z FROM {CORR.format(1)} d JOIN {CORR.format(0)} a ON d.x = a.x AND d.y = a.y) SELECT mx.block_id, count(z) AS n_valid, round(sum(z * z), 6) AS sum_z2, round(max(abs(z)), 6) AS max_abs_z, round(avg(abs(z)), 6) AS mean_abs_z, sum((z > 0)::INT)::BIGINT AS n_pos, sum((z < 0)::INT)::BIGINT AS n_neg, round(tanh(avg(zd)), 6) AS r_d, round(tanh(avg(za)), 6) AS r_a, round(tanh(avg(zd)) - tanh(avg(za)), 6) AS delta FROM z JOIN m mx ON mx.axis = 'x' AND mx.feature = z.x JOIN m my ON my.axis = 'y' AND my.feature = z.y AND my.block_id = mx.block_id GROUP BY 1")
+@query(f"WITH m AS {MEMBERS}, z AS (SELECT d.x, d.y, atanh(d.r) AS zd, atanh(a.r) AS za, (atanh(d.r) - atanh(a.r)) / sqrt(1e0 / (d.n - 3) + 1e0 / (a.n - 3)) AS z FROM {CORR.format(1)} d JOIN {CORR.format(0)} a ON d.x = a.x AND d.y = a.y) SELECT mx.block_id, count(z) AS n_valid, round(sum(z * z), 6) AS sum_z2, round(max(abs(z)), 6) AS max_abs_z, round(avg(abs(z)), 6) AS mean_abs_z, sum((z > 0)::INT)::BIGINT AS n_pos, sum((z < 0)::INT)::BIGINT AS n_neg, round(tanh(avg(zd)), 6) AS r_d, round(tanh(avg(za)), 6) AS r_a, round(avg(zd) - avg(za), 6) AS delta, round(avg(abs(zd - za)), 6) AS delta_abs_r, round(least(abs(tanh(avg(zd))), abs(tanh(avg(za)))), 6) AS min_abs_r, round(greatest(abs(tanh(avg(zd))), abs(tanh(avg(za)))), 6) AS max_abs_r FROM z JOIN m mx ON mx.axis = 'x' AND mx.feature = z.x JOIN m my ON my.axis = 'y' AND my.feature = z.y AND my.block_id = mx.block_id GROUP BY 1")
 def fisher_combining(s, d):
     dd, aa = (blocks.correlate(*_halves(s, d, t), "id") for t in (1, 0))
     return rounded(blocks.block_statistics(blocks.z_differences(dd, aa), _members(s, d)).drop("mean_z_d", "mean_z_a"))
@@ -721,32 +729,23 @@ def peel_bipartite(s, d):
 
 @query()
 def peel_symmetric(s, d):
-    import numpy as np
-    import pandas as pd
-
     names = [f"x{k:02d}" for k in range(32)]
     edges = blocks.correlate_wide(fx.planted(s, d).where("truth = 1").select("x", F.col("x").alias("y")), "x", "y", names, names)
+    return rounded(blocks.find_communities(edges.withColumn("r", F.abs("r")).withColumn("pair", F.lit("x")), ["pair"], 1.2).drop("pair"))
 
-    def run(pdf):
-        names = np.sort(pdf["x"].unique())
-        w = np.zeros((len(names), len(names)))
-        w[np.searchsorted(names, pdf["x"]), np.searchsorted(names, pdf["y"])] = pdf["r"].abs()
-        rows = [(b, names[i], den) for b, (k, den) in enumerate(blocks.symmetric_blocks(w, 1.2), 1) for i in k]
-        return pd.DataFrame(rows, columns=["block_id", "feature", "density"])
 
-    return rounded(edges.groupBy(F.lit(1).alias("one")).applyInPandas(run, "block_id int, feature string, density double"))
+PERMUTATIONS = 40
 
 
 @query()
 def permutation_search(s, d):
-    p = fx.planted(s, d)
-    perms = resampling.permuted_labels(p, "id", "truth", 8)
-    return rounded(blocks.permutation_log(p, "id", "x", "y", perms, blocks.Search(lam=(1.4, 1.5, 1.5), x_size=(0, 15), y_size=(0, 15))))
+    how = blocks.Search(lam=(1.4, 1.5, 1.5), x_size=(0, 15), y_size=(0, 15))
+    return rounded(blocks.permutation_log(fx.planted(s, d), "id", "x", "y", "truth", blocks.permutation_shard(s, PERMUTATIONS), how))
 
 
 @query()
 def permutation_p_value(s, d):
-    return rounded(inference.permutation_p(permutation_search(s, d), "a_diff"))
+    return rounded(inference.permutation_p(permutation_search(s, d), "a_diff", PERMUTATIONS))
 
 
 # ---- models ---------------------------------------------------------------------------

@@ -131,12 +131,144 @@ def test_whole_tables_in_queries(spark):
     t = fixtures.scores(spark, d)
     n, layers = t.count(), {r.layer for r in t.select("layer").distinct().collect()}
     assert {(r.model, r.layer) for r in q["calibration_table"](spark, d).select("model", "layer").collect()} == {(m, x) for m in ("s1", "s2", "s3") for x in layers}
-    assert q["inner_folds_whole"](spark, d).count() == 4 * n and q["permute_labels_whole"](spark, d).count() == 6 * n
-    draws = one(q["bootstrap_draws_whole"](spark, d).agg(F.sum("times").alias("s"), F.countDistinct("layer").alias("k"), F.max("replicate").alias("r")))
-    assert (draws.s, draws.k, draws.r) == (2000 * n, len(layers), 2000)
-    assert set(q["auc_table_wide_whole"](spark, d).columns) == {"model", *layers}
-    assert {(r.model, r.repeats) for r in q["auc_by_repeat_whole"](spark, d).collect()} == {(m, 5) for m in ("s1", "s2", "s3")}
-    assert {r.layer: r.n_valid for r in q["bootstrap_delta_auc_whole"](spark, d).collect()} == {x: 2000 for x in layers}
+    assert q["inner_folds"](spark, d).count() == 4 * n and q["permute_labels"](spark, d).count() == 6 * n
+    draws = one(q["bootstrap_draws"](spark, d).agg(F.sum("times").alias("s"), F.countDistinct("layer").alias("k"), F.max("replicate").alias("r")))
+    assert (draws.s, draws.k, draws.r) == (20 * n, len(layers), 20)
+    assert set(q["auc_table_wide"](spark, d).columns) == {"model", *layers}
+    assert {(r.model, r.repeats) for r in q["auc_by_repeat"](spark, d).collect()} == {(m, 5) for m in ("s1", "s2", "s3")}
+    assert {r.layer: r.n_valid for r in q["bootstrap_delta_auc"](spark, d).collect()} == {x: 200 for x in layers}
+
+
+def test_ranks_of_awkward_values(spark):
+    """Buckets by magnitude keep order for negative, tiny, huge, null, infinite and NaN values."""
+    from tessera.operators import ordered, quantiles
+
+    vs = [None, float("-inf"), -1e300, -2.5, -2.5, -1e-300, 0.0, -0.0, 5e-324, 1.0, 1.0, 1.0000001, 3.0, 1e300, float("inf"), float("nan")]
+    df = spark.createDataFrame([(g, i, v) for g in ("a", None) for i, v in enumerate(vs)], "g string, i int, v double")
+    got = {(r.g, r.i): r.r for r in quantiles.average_rank(df, "v", ["g"], "r").collect()}
+    want = [1, 2, 3, 4.5, 4.5, 6, 7.5, 7.5, 9, 10.5, 10.5, 12, 13, 14, 15, 16]
+    assert [got["a", i] for i in range(16)] == want and [got[None, i] for i in range(16)] == want
+    n = ordered.numbered(df, ["g"], scalars.hash_order(1, "x", F.col("i")), "i").groupBy("g").agg(F.sort_array(F.collect_list("_n")).alias("n"))
+    assert all(r.n == list(range(1, 17)) for r in n.collect())
+
+
+def test_quantiles_against_numpy(spark):
+    from tessera.operators import quantiles
+
+    rng = random.Random(4)
+    rows = [(g, rng.choice([rng.gauss(0, 1), round(rng.gauss(0, 1), 1)])) for g in "abc" for _ in range(rng.randint(1, 60))] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in quantiles.quantiles_interpolated(df, "v", [0.0, 0.3, 0.5, 1.0], ["g"]).collect()}
+    mid = {r.g: r.v for r in quantiles.medians(df, ["v"], ["g"]).collect()}
+    for g in "abc":
+        own = [v for k, v in rows if k == g and v is not None]
+        assert [got[g].q0, got[g].q30, got[g].q50, got[g].q100] == pytest.approx(np.quantile(own, [0, 0.3, 0.5, 1]).tolist()) and mid[g] == pytest.approx(np.median(own))
+    assert mid["d"] == 0 and quantiles.quantile_averaged(df, "v", 0.5, ["g"]).count() == 3
+
+
+def naive_peel(w, lam, symmetric=False):
+    """Step by step on submatrices: drop a weakest line, score what is left, keep the best state."""
+    rows, cols = list(range(w.shape[0])), list(range(w.shape[1]))
+    best = (0.0, rows, cols)
+    while rows and cols:
+        sub = w[np.ix_(rows, cols)]
+        i, j = int(np.argmin(sub.sum(axis=1))), int(np.argmin(sub.sum(axis=0)))
+        if symmetric:
+            rows = rows[:i] + rows[i + 1 :]
+            cols = rows
+        elif len(rows) / len(cols) * sub.sum(axis=1)[i] <= sub.sum(axis=0)[j]:
+            rows = rows[:i] + rows[i + 1 :]
+        else:
+            cols = cols[:j] + cols[j + 1 :]
+        if rows and cols:
+            left = w[np.ix_(rows, cols)].sum()
+            score = left / (len(rows) ** lam if symmetric else (len(rows) * len(cols)) ** (lam / 2))
+            if score > best[0]:
+                best = (score, rows, cols)
+    return best
+
+
+def naive_blocks(w, lam, symmetric=False, most=10**9):
+    whole = w.sum() / (len(w) ** lam if symmetric else w.size ** (lam / 2))
+    rows, cols, out = list(range(w.shape[0])), list(range(w.shape[1])), []
+    while rows and cols and len(out) < most:
+        score, r, c = naive_peel(w[np.ix_(rows, cols)], lam, symmetric)
+        if score <= whole:
+            break
+        out.append(([rows[i] for i in r], [cols[i] for i in c]))
+        rows, cols = [x for i, x in enumerate(rows) if i not in r], [x for i, x in enumerate(cols) if i not in c]
+    return out
+
+
+def test_peels_against_stepwise_statement():
+    rng = np.random.default_rng(7)
+    for k in range(150):
+        w = rng.integers(0, 6, (rng.integers(2, 9), rng.integers(2, 10))).astype(float)
+        w[: len(w) // 3 + 1, :2] += 4 * (k % 3)
+        w[-2:, -3:] += 3 * (k % 2)
+        lam = (1.2, 1.4, 1.8)[k % 3]
+        got = [(r.tolist(), c.tolist()) for r, c, _ in blocks.peel_blocks(w, lam)]
+        assert got == naive_blocks(w, lam, most=4)
+        s = rng.integers(-1 if k % 5 == 0 else 0, 5, (9, 9)).astype(float)
+        s = s + s.T
+        s[:3, :3] += 3 * (k % 3)
+        s[5:8, 5:8] += 4 * (k % 2)
+        assert [x.tolist() for x, _ in blocks.symmetric_blocks(s, lam)] == [r for r, _ in naive_blocks(s, lam, symmetric=True)]
+
+
+def test_search_refines_to_all_communities():
+    """Two communities inside a long side both stay, strongest first; small blocks go before they are refined."""
+    w = np.full((12, 10), 0.01)
+    w[:8, :6] = 9
+    inside = np.full((12, 12), 0.01)
+    inside[:3, :3], inside[5:8, 5:8] = 1.0, 0.8
+    found = blocks.search(w, w, inside, np.eye(10), blocks.Search(lam=(1.4, 1.5, 1.5), x_size=(0, 5), y_size=(0, 15)))
+    assert found[0][0].tolist() == [0, 1, 2, 5, 6, 7] and sorted(found[0][1]) == list(range(6))
+    assert blocks.search(w, w, inside, np.eye(10), blocks.Search(lam=(1.4, 1.5, 1.5), x_size=(8, 15), y_size=(0, 15))) == [] or len(found) >= 1
+    assert blocks.signed_refine(inside, np.arange(8), 1.5, "4")[0][0] == "4.1" and [x for x, _ in blocks.signed_refine(inside, np.arange(8), 1.5, "4")] == ["4.1", "4.2"]
+
+
+def test_permutation_log_and_p(spark):
+    rng = np.random.default_rng(12)
+    truth = np.arange(40) % 2
+    latent = rng.normal(size=40) * truth
+    rows = [(i, (rng.normal(size=5) + 2 * latent[i] * (np.arange(5) < 3)).tolist(), (rng.normal(size=6) + 2 * latent[i] * (np.arange(6) < 3)).tolist(), int(truth[i])) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, x array<double>, y array<double>, truth int")
+    how = blocks.Search(lam=(1.4, 1.5, 1.5), x_size=(0, 9), y_size=(0, 9))
+    log = blocks.permutation_log(df, "id", "x", "y", "truth", blocks.permutation_shard(spark, 6), how).toPandas()
+    assert len(log.columns) == 26 and set(log.perm_id) <= set(range(7)) and 0 in set(log.perm_id)
+    parts = [blocks.permutation_log(df, "id", "x", "y", "truth", blocks.permutation_shard(spark, 6, k, 2), how).toPandas() for k in (0, 1)]
+    assert sorted(map(tuple, np.concatenate([p[["perm_id", "block_id"]].to_numpy() for p in parts]))) == sorted(map(tuple, log[["perm_id", "block_id"]].to_numpy()))
+    drawn = {(r.perm_id, r.id): r.truth for r in resampling.permuted_labels(df, "id", "truth", 6).collect()}
+    for p in range(7):
+        mask = blocks.permuted_mask(list(range(40)), truth == 1, p)
+        assert [drawn[p, i] for i in range(40)] == mask.astype(int).tolist()
+    first = log[(log.perm_id == 0) & (log.block_id == 1)].iloc[0]
+    assert first.n == first.p * first.q and first.delta == pytest.approx(first.mean_z_d - first.mean_z_a) and first.r_d == pytest.approx(np.tanh(first.mean_z_d))
+    assert first.n_pos + first.n_neg <= first.n and first.min_abs_r <= first.max_abs_r and first.psi_d > 0
+    few = spark.createDataFrame([(0, 1, 5.0), (2, 1, 7.0), (2, 2, 1.0), (3, 1, 2.0)], "perm_id int, block_id int, s double")
+    got = one(inference.permutation_p(few, "s", 9))  # six permutations found no block and still count
+    assert (got.observed, got.permutations, got.p_value) == (5.0, 9, pytest.approx(2 / 10))
+
+
+def test_matched_comparisons_and_families(spark):
+    from tessera.operators import discrimination as dn
+
+    rng = random.Random(2)
+    rows = [(i, int(rng.random() < 0.5)) for i in range(80)]
+    preds = [(i, t, layer, m, min(1.0, max(0.0, 0.3 * t + rng.random() * 0.7))) for i, t in rows for layer, m in [("a layer", "EN"), ("b", "EN"), ("c", "EN"), ("a layer", "XGB"), ("clinical", "RF")]]
+    p = spark.createDataFrame(preds, "id int, truth int, layer string, model string, risk double")
+    got = {(r.family, r.model, r.comparison): r for r in dn.matched_comparisons(p, "id", ["a layer", "b", "c"], "RF", replicates=30).collect()}
+    assert set(got) == {("Between omics layers", "EN", x) for x in ("A Layer vs B", "A Layer vs C", "B vs C")} | {
+        ("Versus the clinical model", m, f"{x} vs Clinical") for m, x in (("EN", "A Layer"), ("EN", "B"), ("EN", "C"), ("XGB", "A Layer"))}
+    for r in got.values():
+        assert r.n == 80 and r.delta == pytest.approx(r.auc_a - r.auc_b) and r.delta_lo <= r.delta_hi and r.p_adj >= r.p_value
+    wide = spark.createDataFrame([(i, t, "L", 0.3 * t + rng.random() * 0.7, rng.random(), rng.random()) for i, t in rows], "id int, truth int, layer string, m1 double, m2 double, age double")
+    table = {(r.model, r.reference): r for r in dn.compare(wide, "id", ["layer"], {"m2": ["m1"], "age": ["m1", "m2"]}, replicates=30).collect()}
+    assert set(table) == {("m1", "m2"), ("m1", "age"), ("m2", "age")} and all(r.n_test == 80 and r.n_deaths == sum(t for _, t in rows) for r in table.values())
+    assert table["m1", "m2"].p_adj == pytest.approx(table["m1", "m2"].p_value)
+    proxy = {r.model: r for r in dn.age_proxy(wide, ["layer"], "id", ["m1"], "age", "age", "m2").collect()}
+    assert proxy["m2"].auc_omics is None and proxy["m2"].p_adj is None and proxy["m1"].p_adj == pytest.approx(proxy["m1"].p_value) and proxy["m2"].rho_age is not None
 
 
 def test_peel_finds_planted_block_and_keeps_negative_input():
@@ -155,7 +287,7 @@ def test_peel_finds_planted_block_and_keeps_negative_input():
     s = s + s.T
     s[3:8, 3:8] += 3
     assert blocks.peel_symmetric(s, 1.3)[0].tolist() == list(range(3, 8))
-    assert all(len(r) > 7 for r, _, _ in blocks.search(w, w @ w.T, w.T @ w, blocks.Search(x_size=(7, 30), y_size=(0, 40)))) 
+    assert all(len(r) > 7 for r, _, _ in blocks.search(w, w, w @ w.T, w.T @ w, blocks.Search(x_size=(7, 30), y_size=(0, 40))))
 
 
 def test_blocked_correlation_equals_long(spark):
