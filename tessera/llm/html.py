@@ -33,7 +33,8 @@ P_ENDS = BLOCK - {"br", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "
 HOLDERS = frozenset("ul ol dl table select div section article main aside nav header footer form body blockquote figure".split())
 CONTAINERS = frozenset(["", *"article main section div body td blockquote".split()])  # "" is the page itself
 INLINE_FORMAT = frozenset("a b big code em font i small strong tt u s span".split())
-#: Elements, roles and words in class or id that are not part of the main text.
+#: Elements and roles that are not part of the main text, and class names and ids of
+#: such: all their words are of the first list or beside it of the second (fixed values).
 APART = frozenset("nav header footer aside form button select script style noscript template dialog menu svg iframe object canvas head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 WORDS = frozenset(
@@ -42,32 +43,45 @@ WORDS = frozenset(
     " signup skip social sponsor sponsored sponsors subscribe subscription syndication toolbar widget widgets".split()
 )
 
+BESIDE = frozenset(
+    "area bar block body bottom box btn button buttons card cards col column container content count desktop entry field fixed form global group holder icon icons inner item items js left"
+    " link links list local main mini mobile module outer page panel post posts primary right row secondary section site slot sub sticky tab text title top unit user utility wrap wrapper zone".split()
+)
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>]|$)""", re.I)
-PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-HIDDEN = "hidden"
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_A-Za-z]+")
+#: Where elements end whose content is not markup.
+ENDS = {t: re.compile(f"</{t}(?=[\\s/>])", re.I | re.A) for t in RAW}
 #: Open elements that have a path of their own; paths grow with depth.
 DEPTH = 512
 
 
+def names_aside(name: str) -> bool:
+    """Whether a class name or id says, as a whole, that what it holds is not main text."""
+    words = [w.lower() for w in PARTS.findall(name)]
+    return any(w in WORDS for w in words) and all(w in WORDS or w in BESIDE for w in words)
+
+
 @lru_cache(maxsize=4096)
-def _attributes(text: str) -> tuple[str, bool]:
-    """The generalised class of an element, and whether its attributes set it apart."""
+def _attributes(text: str) -> tuple[str, bool, bool]:
+    """The generalised class of an element, and whether its attributes set it apart, and whether its names do."""
     found = {}
     for m in ATTRIBUTE.finditer(text):
         found.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    apart = any(w.lower() in WORDS for w in PARTS.findall(names)) or found.get("role", "").lower() in ROLES
-    apart = apart or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+    named = any(map(names_aside, f"{found.get('class', '')} {found.get('id', '')}".split()))
+    apart = found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     classes = sorted({re.sub(r"\d+", "0", c) for c in found.get("class", "").lower().split()})
-    return ".".join(classes), apart
+    return ".".join(classes), apart, named
 
 
 class Node:
-    __slots__ = ("tag", "path", "apart", "parent", "text", "links", "paragraphs")
+    """An element; ``apart`` if it or one around it is no main text, ``named`` if only a name says so."""
 
-    def __init__(self, tag, path, apart, parent):
-        self.tag, self.path, self.apart, self.parent = tag, path, apart, parent
+    __slots__ = ("tag", "path", "apart", "named", "parent", "text", "links", "paragraphs")
+
+    def __init__(self, tag, path, apart, named, parent):
+        self.tag, self.path, self.apart, self.named, self.parent = tag, path, apart, named, parent
         self.text = self.links = self.paragraphs = 0
 
 
@@ -75,21 +89,22 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """A page's elements, and its text blocks in order with the element that each is in.
 
     One pass over the page; an element left open ends with its parent, a page
-    that breaks off ends there.
+    that breaks off ends there. Names set elements apart unless nothing would
+    be left of the page.
     """
-    root = Node("", "", False, None)
+    root = Node("", "", False, False, None)
     deep: list[Node] = []  # open elements beyond DEPTH, which count as their ancestor unless set apart
     inside: dict[str, int] = {}  # of them by tag
+    sunk: list[Node] = []
     nodes, stack, blocks, buffer = [root], [root], [], []
     link = 0
-    low = None
 
     def flush():
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                blocks.append((deep[-1] if deep and deep[-1].apart else stack[-1], text))
+                blocks.append((deep[-1] if deep and (deep[-1].apart or deep[-1].named) else stack[-1], text))
 
     def surface(k):
         nonlocal link
@@ -161,20 +176,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 elif stack[k].tag not in INLINE_FORMAT and tag not in ("p",):
                     continue
         if tag in RAW:
-            if low is None:
-                low = page.lower()
-            end = low.find(f"</{tag}", at)
-            if end < 0:
-                at = size
-            else:
-                gt = page.find(">", end)
-                at = size if gt < 0 else gt + 1
+            end = ENDS[tag].search(page, at)
+            gt = page.find(">", end.start()) if end else -1
+            at = size if gt < 0 else gt + 1
             continue
         if tag in VOID:
             continue
-        name, apart = _attributes(m[3]) if m[3].strip(" /") else ("", False)
+        name, apart, named = _attributes(m[3]) if m[3].strip(" /") else ("", False, False)
         parent = stack[-1]
-        node = Node(tag, parent.path, parent.apart or apart or tag in APART, parent)
+        node = Node(tag, parent.path, parent.apart or apart or tag in APART, parent.named or named, parent)
         if tag in BLOCK:
             node.path = f"{parent.path}/{tag}.{name}" if name else f"{parent.path}/{tag}"
         link += tag == "a"
@@ -182,10 +192,16 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             stack.append(node)
             nodes.append(node)
         else:
-            node.path, node.apart = parent.path, node.apart or bool(deep) and deep[-1].apart
+            node.path = parent.path
+            if deep:
+                node.apart, node.named = node.apart or deep[-1].apart, node.named or deep[-1].named
             deep.append(node)
+            sunk.append(node)
             inside[tag] = inside.get(tag, 0) + 1
     flush()
+    if any(not (n.apart or n.named) for n, _ in blocks):
+        for n in (*nodes, *sunk):
+            n.apart = n.apart or n.named
     return nodes, blocks
 
 
@@ -215,14 +231,22 @@ def scores(nodes: list[Node], blocks: list[tuple[Node, str]]) -> dict[str, float
     return out
 
 
-def own_paths(nodes: list[Node]) -> set[str]:
-    return {n.path for n in nodes if n.tag in CONTAINERS and not n.apart}
+def own_paths(blocks: list[tuple[Node, str]]) -> set[str]:
+    """The paths of a page's containers that hold main text."""
+    out, seen = set(), set()
+    for n, _ in blocks:
+        while n is not None and not n.apart and id(n) not in seen:
+            seen.add(id(n))
+            if n.tag in CONTAINERS:
+                out.add(n.path)
+            n = n.parent
+    return out
 
 
 def extract(page: str, ranks: dict[str, tuple]) -> str:
-    """The blocks at or below the page's path that comes first in ``ranks``, else below its own best container."""
+    """The blocks at or below that path of the page with main text that comes first in ``ranks``, else below its own best container."""
     nodes, blocks = parse(page)
-    path = min((p for p in own_paths(nodes) if p in ranks), key=ranks.__getitem__, default=None)
+    path = min((p for p in own_paths(blocks) if p in ranks), key=ranks.__getitem__, default=None)
     if path is None:
         found = scores(nodes, blocks)
         if not found:
@@ -264,7 +288,7 @@ def _agreed(rows: DataFrame, counted: DataFrame) -> DataFrame:
             for part in slices(batch, 64):
                 at, paths = [], []
                 for k, page in enumerate(part.column(2).to_pylist()):
-                    own = own_paths(parse(page or "")[0])
+                    own = own_paths(parse(page or "")[1])
                     at += [k] * len(own)
                     paths += own
                 at = pa.array(at, pa.int64())
