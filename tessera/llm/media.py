@@ -104,7 +104,7 @@ def tracks(data) -> list[dict]:
         if not out:
             continue
         t = out[-1]
-        u32 = lambda at, n: np.frombuffer(data, ">u4", n, at).astype(np.int64)
+        u32 = lambda at, n: np.frombuffer(data[at:b], ">u4", n).astype(np.int64)  # noqa: E731  never past its box
         if kind == "mdhd":
             v = data[a]
             t["timescale"], t["duration"] = struct.unpack_from(">IQ" if v else ">II", data, a + (20 if v else 12))
@@ -118,9 +118,11 @@ def tracks(data) -> list[dict]:
         elif kind in ("stss", "stco"):
             t[kind] = u32(a + 8, int(u32(a + 4, 1)[0]))
         elif kind == "co64":
-            t["stco"] = np.frombuffer(data, ">u8", int(u32(a + 4, 1)[0]), a + 8).astype(np.int64)
+            t["stco"] = np.frombuffer(data[a + 8 : b], ">u8", int(u32(a + 4, 1)[0])).astype(np.int64)
         elif kind == "stsz":
             size, n = u32(a + 4, 2).tolist()
+            if size and n * size > len(data):
+                raise ValueError(f"{n} samples of {size} bytes are more than the file has")
             t["sizes"] = np.full(n, size, np.int64) if size else u32(a + 12, n)
     for t in out:
         t["offsets"] = _offsets(t.pop("stsc"), t.pop("stco"), t["sizes"])
@@ -133,6 +135,8 @@ def tracks(data) -> list[dict]:
 def _offsets(runs, chunks, sizes) -> np.ndarray:
     """Where each sample starts: its chunk's place and the samples before it in the chunk."""
     until = np.append(runs[1:, 0], len(chunks) + 1)
+    if (until < runs[:, 0]).any() or until.max() > len(chunks) + 1 or (runs[:, 1] * (until - runs[:, 0])).sum() != len(sizes):
+        raise ValueError("the chunk table does not fit the samples")
     per_chunk = np.repeat(runs[:, 1], until - runs[:, 0])
     chunk = np.repeat(np.arange(len(chunks)), per_chunk)[: len(sizes)]
     ends = np.cumsum(sizes)
@@ -143,6 +147,8 @@ def _offsets(runs, chunks, sizes) -> np.ndarray:
 def payload(data, track: dict) -> bytes:
     """The samples of a track in order; neighbours are read together."""
     a, n = track["offsets"], track["sizes"]
+    if not len(a) or len(a) != len(n) or a.min() < 0 or (a + n).max() > len(data):
+        raise ValueError("a sample lies outside the file")
     cut = np.flatnonzero(a[1:] != a[:-1] + n[:-1]) + 1
     starts, stops = np.append(0, cut), np.append(cut, len(a))
     return b"".join(data[a[i] : a[j - 1] + n[j - 1]] for i, j in zip(starts, stops))
@@ -192,14 +198,18 @@ INFO = (
 def media_info(media: DataFrame) -> DataFrame:
     """The first track of every file in ``media(doc_id, n_bytes, media)``, with digests of what is read back.
 
-    A null file, or one without a track or with damaged boxes, has nulls.
+    A null file, or one without a track or with damaged boxes or tables, has
+    nulls.
     """
 
     def info(data):
         try:
-            t = tracks(data)[0]
-        except (IndexError, KeyError, ValueError, struct.error, TypeError):
+            return described(data)
+        except (IndexError, KeyError, ValueError, OverflowError, ZeroDivisionError, RecursionError, struct.error, TypeError):
             return (None,) * 11
+
+    def described(data):
+        t = tracks(data)[0]
         got = payload(data, t)
         k = t["keys"]
         keys = [{"start": int(a), "end": int(a + n)} for a, n in zip(t["offsets"][k], t["sizes"][k])]
