@@ -203,19 +203,35 @@ def _mix(docs, scratch, weights, share, repeats, shards, seed):
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix draws it, whole.
 
-    A block that the quota cuts counts as drawn if at least half of it is in.
+    A row of a block that the quota cuts counts as drawn if at least half of
+    it is in. Rows alike in doc_id, source and size are drawn one by one, in
+    the order of a hash of all their columns; equal rows are interchangeable.
     All columns stay as they are; documents that are not drawn go.
     """
-    drawn = mix(docs, **options)
-    times = F.expr("size(filter(blocks, b -> 2 * b.words >= size))")
-    drawn = (
-        drawn.where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max(times).alias("__times"))
-        .select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "__times").where("__times > 0")
-    )
-    own = docs.withColumn("__size", word_count(F.col("text").cast("string")))
-    return (
-        own.join(drawn, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__d")) & F.col("source").cast("string").eqNullSafe(F.col("__s"))
-                 & (F.col("__size") == F.col("__z")))
-        .withColumn("__copy", F.explode(F.expr("sequence(1, __times)")))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    key, names = ["__d", "__s", "__z"], docs.columns
+    plain = [c for c, t in docs.dtypes if "map" not in t]
+    named = [F.col("doc_id").cast("bigint").alias("__d"), F.col("source").cast("string").alias("__s"), word_count(F.col("text").cast("string")).alias("__z"), F.xxhash64(*plain).alias("__h")]
+    with Scratch(docs.sparkSession) as scratch:
+        times = F.expr("size(filter(blocks, b -> 2 * b.words >= size))")
+        drawn = mix(docs, **options).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), times.alias("times")).where("times > 0")
+        drawn = drawn.groupBy(*key, "times").agg(F.count("*").alias("n"))
+        upto = Window.partitionBy(*key).orderBy(F.col("times").desc()).rowsBetween(Window.unboundedPreceding, 0)  # a row for each number of draws
+        drawn = drawn.withColumn("end", F.sum("n").over(upto)).groupBy(*key).agg(F.collect_list(F.struct((F.col("end") - F.col("n")).alias("first"), "end", "times")).alias("ranks"))
+        drawn = drawn.select(*[F.col(k).alias(f"{k}_") for k in key], "ranks")
+        groups = docs.select(*named).groupBy(*key, "__h").agg(F.count("*").alias("c"))
+        same = (F.col("__z") == F.col("__z_")) & F.col("__d").eqNullSafe(F.col("__d_")) & F.col("__s").eqNullSafe(F.col("__s_"))
+        groups = scratch.keep(groups.join(drawn, same).drop(*[f"{k}_" for k in key]).withColumn("part", F.shiftrightunsigned("__h", 58)))
+        # where a group of equal rows begins among the rows alike: parts of them by hash, then the groups in a part
+        before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = groups.groupBy(*key, "part").agg(F.sum("c").alias("n")).withColumn("p0", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        parts = parts.select(*[F.col(k).alias(f"{k}_") for k in key], F.col("part").alias("part_"), "p0")
+        inside = Window.partitionBy(*key, "part").orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
+        placed = groups.join(parts, same & (F.col("part") == F.col("part_"))).withColumn("at", F.col("p0") + F.coalesce(F.sum("c").over(inside), F.lit(0)))
+        copies = F.expr("aggregate(ranks, 0L, (n, r) -> n + r.times * greatest(0L, least(r.end, at + c) - greatest(r.first, at)))")
+        picked = placed.select(*[F.col(k).alias(f"{k}_") for k in key], F.col("__h").alias("__h_"), "c", copies.alias("__copies")).where("__copies > 0")
+        picked = scratch.result(picked)
+    rows = docs.select("*", *named).join(picked, same & (F.col("__h") == F.col("__h_")))
+    out = rows.where("c = 1")
+    if picked.where("c > 1").limit(1).count():  # of equal rows one stands for all
+        out = out.unionByName(rows.where("c > 1").dropDuplicates([*key, "__h"]))
+    return out.withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)"))).select(*names)
