@@ -1,17 +1,18 @@
 """Personal data by rules and by bootstrapped contextual extraction.
 
 Rules find e-mail addresses, IP addresses, card and phone numbers. They seed a
-graph: each identifier-like token is an instance, the words before it are its
-lexical pattern, and an edge counts in how many documents the two meet.
-Scores travel over the graph: a pattern is as good as the instances it brings,
-an instance as good as its best patterns. Patterns that stay confident mark
-tokens that no rule knows.
+graph: each identifier-like run of tokens is an instance, the one to three
+words before it and after it are its lexical patterns, and an edge says that
+the two meet. Scores travel over the graph: a pattern is as good as the
+instances it brings, an instance as good as its best patterns. Patterns that
+stay confident mark instances that no rule knows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,12 +29,11 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-MARK, BLANK = re.compile(r"[0-9@]"), re.compile(r"\s")
+MARK, TOKEN, GROUP = re.compile(r"[0-9@]"), re.compile(r"\S+"), re.compile(r"[0-9()+./#-]+")
 EDGE = "\"'()[]{}<>.,;:!?"
 
-#: An instance is a token of so many characters with a digit or @; its pattern
-#: is made of so many words before it.
-INSTANCE, PATTERN_WORDS, WORD_CHARS = (6, 64), 2, 24
+#: A pattern is one to so many words on one side of an instance; words and instances beyond so many characters stand as a digest.
+PATTERN_WORDS, PLAIN_CHARS = 3, 64
 #: A pattern is confident if it brings so many different seeds of one kind and this share of its instances is of it.
 SEEDS, CONFIDENT, ROUNDS = 5, 0.8, 3
 
@@ -80,73 +80,117 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def candidates(text: str, spans) -> list[tuple[int, int, str, str, int]]:
-    """``(start, end, instance, pattern, kind)`` of identifier-like tokens; kind -1: no rule knows it.
+def _short(text: str) -> str:
+    return text if len(text) <= PLAIN_CHARS else hashlib.blake2b(text.encode(), digest_size=16).hexdigest()
 
-    A token that meets what a rule found is that finding, whole.
+
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """A span without punctuation at its ends; a bracket that the span closes again stays."""
+    while b > a and text[b - 1] in EDGE:
+        b -= 1
+    while a < b and text[a] in EDGE and not (text[a] == "(" and text.find(")", a, b) > 0):
+        a += 1
+    return a, b
+
+
+def candidates(text: str, spans) -> list[tuple[int, int, str, list[str], int]]:
+    """``(start, end, instance, patterns, kind)`` of identifier-like runs of tokens; kind -1: no rule knows it.
+
+    What a rule found is an instance, whole. Other tokens with a digit or @ are
+    instances as they stand; groups of digits with single spaces between them
+    are one. The text's ends count as words of patterns.
     """
-    out, done, at = [], 0, 0
-    known = sorted((a, b, k) for k, a, b in spans)
-    end = stop = 0  # of the token at hand: where it ends, and where its last character that counts does
-    for m in MARK.finditer(text):
-        if m.start() < done:
+    if not MARK.search(text):
+        return []
+    starts, ends = [], []
+    for m in TOKEN.finditer(text):
+        starts.append(m.start())
+        ends.append(m.end())
+    found, taken = [], set()
+    for k, a, b in spans:
+        i, j = bisect_right(starts, a) - 1, bisect_left(ends, b)
+        taken.update(range(i, j + 1))
+        found.append((a, b, i, j, k))
+    marks, at, end = [m.start() for m in MARK.finditer(text)], 0, -1
+    run: list[int] = []
+
+    def close():
+        if run:
+            a, b = _trimmed(text, starts[run[0]], ends[run[-1]])
+            if b > a:
+                found.append((a, b, run[0], run[-1], -1))
+            run.clear()
+
+    while at < len(marks):
+        i = bisect_right(starts, marks[at]) - 1
+        at = bisect_left(marks, ends[i], at)
+        if i in taken:
             continue
-        a = m.start()
-        if a >= end:
-            while a > done and not text[a - 1].isspace():
-                a -= 1
-            gap = BLANK.search(text, m.start())
-            end = stop = gap.start() if gap else len(text)
-            while text[stop - 1] in EDGE:
-                stop -= 1
-        while text[a] in EDGE:
-            a += 1
-        b, kind = stop, -1
-        while at < len(known) and known[at][1] <= a:
-            at += 1
-        if at < len(known) and known[at][0] < b:
-            a, b, kind = known[at]
-        done = max(b, m.end())
-        if INSTANCE[0] <= b - a <= INSTANCE[1]:
-            before = text[max(0, a - PATTERN_WORDS * (WORD_CHARS + 1)) : a].split()[-PATTERN_WORDS:]
-            if len(before) == PATTERN_WORDS:
-                out.append((a, b, text[a:b], " ".join(w.strip(EDGE).lower()[-WORD_CHARS:] for w in before), kind))
+        group = GROUP.fullmatch(text, starts[i], ends[i]) is not None
+        if not (group and run and end == i - 1 and starts[i] == ends[i - 1] + 1):
+            close()
+        run.append(i)
+        end = i if group else -1
+    close()
+
+    def words(rest: str, places) -> list[str]:
+        """Up to PATTERN_WORDS words next to an instance: what is left of its own token, then tokens."""
+        out = [w for w in (rest.strip(EDGE),) if w]
+        for i in places:
+            if len(out) == PATTERN_WORDS:
+                return out
+            if not 0 <= i < len(starts):
+                return [*out, "^"]
+            w = text[starts[i] : ends[i]].strip(EDGE)
+            out += [w] if w else []
+        return out
+
+    out, done = [], 0
+    found.sort()
+    for n, (a, b, i, j, k) in enumerate(found):  # a token's text between two findings is read once
+        until = found[n + 1][0] if n + 1 < len(found) else len(text)
+        before = words(text[max(starts[i], min(done, a)) : a], range(i - 1, -2, -1))
+        after = words(text[b : max(b, min(ends[j], until))], range(j + 1, len(starts) + 1))
+        done = max(done, b)
+        patterns = [f"{side} {' '.join(_short(w.lower()) for w in ws[:m])}" for side, ws in (("<", before), (">", after)) for m in range(1, len(ws) + 1)]
+        out.append((a, b, _short(text[a:b]), patterns, k))
     return out
 
 
 def _edges(docs: DataFrame) -> DataFrame:
-    """``(pattern, instance, kind, docs)``: an edge for each pattern and instance that meet."""
+    """``(pattern, instance, kind)``: an edge for each pattern and instance that meet."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 p, i, k = [], [], []
                 for text in part.column(0).to_pylist():
-                    found = {(c[3], c[2], c[4]) for c in candidates(text or "", rule_spans(text or ""))}
+                    found = {(pattern, c[2], c[4]) for c in candidates(text or "", rule_spans(text or "")) for pattern in c[3]}
                     for x in found:
                         p.append(x[0]), i.append(x[1]), k.append(x[2])
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.string()), pa.array(i, pa.string()), pa.array(k, pa.int32())], names=["pattern", "instance", "kind"])
 
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "pattern string, instance string, kind int")
-    return found.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("docs"))
+    return found.distinct()
 
 
 def confident_patterns(docs: DataFrame, scratch: Scratch, seeds: int = SEEDS, confident: float = CONFIDENT, rounds: int = ROUNDS) -> DataFrame:
-    """``(pattern, kind)``: patterns whose instances are of one kind, by rules or by earlier rounds.
+    """``(pattern, kind, score)``: patterns whose instances are of one kind, by rules or by earlier rounds.
 
     Instances found by a rule keep score 1 for their kind. In each round a
-    pattern's score for a kind is the mean of its instances' scores, and an
-    unknown instance takes the best score of its patterns if that is
-    ``confident`` and its pattern has enough different seeds. Sums are combined
-    before they are shuffled, so a pattern or instance that a third of all
-    documents share costs no more than its edges.
+    pattern's score for a kind is the mean over its different instances, and
+    an unknown instance takes the best score of its patterns if that is
+    ``confident`` and its pattern has enough different seeds. Documents that
+    repeat an edge do not count it again, and sums are combined before they
+    are shuffled, so a pattern or instance that a third of all documents share
+    costs no more than its different edges.
     """
     edges = scratch.keep(_edges(docs))
     kinds = [f"k{k}" for k in range(len(KINDS))]
     scores = scratch.keep(
         edges.groupBy("instance").agg(*[F.max((F.col("kind") == k).cast("double")).alias(c) for k, c in enumerate(kinds)])
     )
-    pairs = scratch.keep(edges.groupBy("pattern", "instance").agg(F.sum("docs").alias("docs")))
+    pairs = scratch.keep(edges.select("pattern", "instance").distinct())
     enough = scratch.keep(
         edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= seeds)
         .groupBy("pattern").agg(F.array_agg("kind").alias("seeded"))
@@ -170,33 +214,67 @@ def confident_patterns(docs: DataFrame, scratch: Scratch, seeds: int = SEEDS, co
         scores = scratch.keep(
             scores.join(gained, "instance", "left").select("instance", *[F.greatest(c, F.coalesce(f"g{k}", F.lit(0.0))).alias(c) for k, c in enumerate(kinds)])
         )
-    return patterns.select("pattern", "kind")
+    return patterns.select("pattern", "kind", "score")
+
 
+def all_spans(text: str, patterns: dict[str, tuple[float, int]], more=()) -> tuple[list, list]:
+    """The rules' spans, and with them those of instances that a confident pattern marks; by kind, then start.
 
-def all_spans(text: str, patterns: dict[str, int]) -> tuple[list, list]:
-    """The rules' spans, and with them those of tokens that a confident pattern marks; by kind, then start."""
+    The pattern with the best score decides on the kind, of equal ones the
+    first kind. ``more`` are marks ``(start, end, kind)`` found elsewhere.
+    """
     base = rule_spans(text)
-    if not patterns or not MARK.search(text):
-        return base, base
-    more = [(patterns[c[3]], c[0], c[1]) for c in candidates(text, base) if c[4] < 0 and c[3] in patterns]
-    return base, sorted(base + more)
+    found = [(k, a, b) for a, b, k in more or ()]
+    for a, b, _, own, kind in candidates(text, base) if patterns else ():
+        known = [patterns[p] for p in own if p in patterns] if kind < 0 else None
+        if known:
+            found.append((max(known, key=lambda v: (v[0], -v[1]))[1], a, b))
+    return (base, sorted(base + found)) if found else (base, base)
 
 
 def _join(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def learn(docs: DataFrame, **options) -> dict[str, int]:
-    """The confident patterns of ``docs``, for a table of them that fits every executor.
+def learn(docs: DataFrame, scratch: Scratch, **options) -> tuple[dict[str, tuple[float, int]], DataFrame | None]:
+    """The confident patterns of ``docs`` for executors, and where those are too many, the marks they make instead.
 
-    There are at most as many as patterns with enough different seeds; more
-    than BROADCAST_ROWS are refused with an error rather than cut.
+    Up to BROADCAST_ROWS patterns travel to the executors. More are joined
+    with the instances of each different text: ``(page, marks)`` by the
+    text's digest.
     """
-    with Scratch(docs.sparkSession) as scratch:
-        found = confident_patterns(docs, scratch, **options)
-        if found.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-            raise ValueError("more confident patterns than are sent to executors; raise `seeds`")
-        return {r["pattern"]: r["kind"] for r in found.toLocalIterator()}
+    found = scratch.keep(confident_patterns(docs, scratch, **options))
+    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return {r["pattern"]: (r["score"], r["kind"]) for r in found.toLocalIterator()}, None
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                rows = [(page, c[0], c[1], p) for page, text in zip(*(part.column(k).to_pylist() for k in (0, 1)))
+                        for c in candidates(text or "", rule_spans(text or "")) if c[4] < 0 for p in c[3]]
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 4, kinds)], names=["page", "a", "b", "pattern"])
+
+    texts = docs.select(_page().alias("page"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    spots = texts.mapInArrow(run, "page string, a int, b int, pattern string").distinct()
+    best = spots.join(found, "pattern").groupBy("page", "a", "b").agg(F.max(F.struct("score", -F.col("kind"))).alias("best"))
+    marks = best.select("page", F.struct("a", "b", (-F.col("best")["col2"]).alias("kind")).alias("m")).groupBy("page").agg(F.collect_list("m").alias("marks"))
+    return {}, scratch.result(marks)
+
+
+def _page():
+    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+
+
+def _marked(docs: DataFrame, marks: DataFrame | None) -> DataFrame:
+    """``docs`` with the marks made elsewhere as a last column ``__marks``."""
+    if marks is None:
+        return docs.withColumn("__marks", F.lit(None).cast("array<struct<a: int, b: int, kind: int>>"))
+    return docs.withColumn("__page", _page()).join(marks.select(F.col("page").alias("__page"), F.col("marks").alias("__marks")), "__page", "left").drop("__page")
+
+
+def _spots(column) -> list:
+    return [[(m["a"], m["b"], m["kind"]) for m in ms] if ms else () for ms in column.to_pylist()]
 
 
 def find_pii(docs: DataFrame, **options) -> DataFrame:
@@ -206,26 +284,27 @@ def find_pii(docs: DataFrame, **options) -> DataFrame:
     spans; a null doc_id stays; repeated rows repeat; texts are read whole;
     other columns are not read; no rows give none.
     """
-    patterns = learn(docs, **options)
+    with Scratch(docs.sparkSession) as scratch:
+        patterns, marks = learn(docs, scratch, **options)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                for text in part.column(1).to_pylist():
-                    base, every = all_spans(text or "", patterns)
+                for text, more in zip(part.column(1).to_pylist(), _spots(part.column(2))):
+                    base, every = all_spans(text or "", patterns, more)
                     counts = [sum(s[0] == k for s in base) for k in range(4)]
                     rows.append((*counts, hashlib.sha256(_join(base).encode()).hexdigest(), _join(every)))
                 names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, map(list, zip(*rows)))], names=["doc_id", *names])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return _marked(rows, marks).mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
 
 
-def redact(text: str, patterns: dict[str, int]) -> str:
+def redact(text: str, patterns: dict[str, tuple[float, int]], more=()) -> str:
     """A text with each finding replaced by its kind in brackets; findings that overlap become one."""
-    spans = sorted((a, b, k) for k, a, b in all_spans(text, patterns)[1])
+    spans = sorted((a, b, k) for k, a, b in all_spans(text, patterns, more)[1])
     out, at = [], 0
     for a, b, k in spans:
         if b <= at:
@@ -241,16 +320,17 @@ def redacted_documents(docs: DataFrame, **options) -> DataFrame:
 
     Null texts stay null; all other columns and all rows stay.
     """
-    patterns = learn(docs, **options)
+    with Scratch(docs.sparkSession) as scratch:
+        patterns, marks = learn(docs, scratch, **options)
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                texts = pa.array([None if t is None else redact(t, patterns) for t in part.column(at).to_pylist()], pa.string())
-                yield part.set_column(at, part.schema.field(at), texts.cast(part.schema.field(at).type))
+                texts = pa.array([None if t is None else redact(t, patterns, more) for t, more in zip(part.column(at).to_pylist(), _spots(part.column(part.num_columns - 1)))], pa.string())
+                yield part.select(list(range(part.num_columns - 1))).set_column(at, part.schema.field(at), texts.cast(part.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = _marked(docs, marks).mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
     return out
