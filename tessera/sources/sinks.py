@@ -32,16 +32,43 @@ def append(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
 
 
+#: Where the old table is while the new one moves in.
+ASIDE = "._old"
+
+
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at ``path``, after undoing a replacement that broke off."""
+    base = path.rstrip("/")
+    fs, p = _fs(spark, base)
+    _, o = _fs(spark, f"{base}{ASIDE}")
+    if fs.exists(o):
+        if fs.exists(p):
+            fs.delete(o, True)
+        else:
+            fs.rename(o, p)
+    return fs.exists(p)
+
+
 def replace(df: DataFrame, path: str) -> None:
-    """Write beside ``path``, then rename: readers see the old or the new table."""
+    """Write beside ``path``, move the old table aside, the new one in, then delete the old.
+
+    Some whole table exists at every moment: ``recovered`` puts back what a
+    crash between the two moves left aside.
+    """
     spark = df.sparkSession
-    tmp = f"{path.rstrip('/')}._{uuid.uuid4().hex}"
+    recovered(spark, path)
+    base, token = path.rstrip("/"), uuid.uuid4().hex
+    tmp, old = f"{base}._{token}", f"{base}{ASIDE}"
     try:
         df.write.parquet(tmp)
-        fs, p = _fs(spark, path)
-        fs.delete(p, True)
+        fs, p = _fs(spark, base)
+        _, o = _fs(spark, old)
+        if fs.exists(p) and not fs.rename(p, o):
+            raise OSError(f"{path} could not be moved aside")
         if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(tmp), p):
+            fs.rename(o, p)
             raise OSError(f"{tmp} could not be renamed to {path}")
+        fs.delete(o, True)
     finally:
         fs, t = _fs(spark, tmp)
         fs.delete(t, True)
@@ -49,7 +76,7 @@ def replace(df: DataFrame, path: str) -> None:
 
 def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], overwrite: bool = False) -> DataFrame:
     """The table at ``path``, made first if it is not there."""
-    if overwrite or not exists(spark, path):
+    if overwrite or not recovered(spark, path):
         replace(make(), path)
     return spark.read.parquet(path)
 
@@ -65,14 +92,13 @@ def signature(design: dict) -> str:
 
 
 def read_if_same_design(spark: SparkSession, path: str, design: dict) -> DataFrame | None:
-    """A checkpointed table if it was written under this design, else None."""
-    if not exists(spark, path):
+    """A checkpointed table if it was written under this design, else None; an empty one tells by its column's name."""
+    if not recovered(spark, path):
         return None
     df = spark.read.parquet(path)
-    if "design_signature" not in df.columns or df.where(F.col("design_signature") != signature(design)).limit(1).count():
-        return None
-    return df.drop("design_signature")
+    name = f"design_{signature(design)}"
+    return df.drop(name) if name in df.columns else None
 
 
 def write_with_design(df: DataFrame, path: str, design: dict) -> None:
-    replace(df.withColumn("design_signature", F.lit(signature(design))), path)
+    replace(df.withColumn(f"design_{signature(design)}", F.lit(True)), path)

@@ -324,6 +324,13 @@ def test_unique_names_avoid_collisions():
     assert labels.unique_names(["a", "a", "a.1", "a"]) == ["a", "a.2", "a.1", "a.3"]
 
 
+def test_make_unique_skips_names_that_are_there(spark):
+    names = ["a", "a", "a.1", "a", "a.3", "a", "b", "a.1", "x.2", None, None, "a."]
+    df = spark.createDataFrame(list(enumerate(names)), "i int, n string")
+    got = [r.n_unique for r in labels.make_unique(df, "n", ["i"]).orderBy("i").collect()]
+    assert got == ["a", "a.2", "a.1", "a.4", "a.3", "a.5", "b", "a.1.1", "x.2", None, None, "a."]
+
+
 def test_contracts_raise(spark):
     df = spark.createDataFrame([("1", "D", 1.0), ("1", "A", float("inf")), (" ", "X", None)], "id string, status string, v double")
     checks = contracts.frame_checks(df, "id", "status", ["D", "A"], ["v"])
