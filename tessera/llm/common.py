@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,18 +30,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) a temporary folder is made and set.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset a
+    temporary folder is made and set, if driver and executors are one process;
+    else that is an error, since executors would not see the folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
+        atexit.register(_forget_checkpoints, spark)
     return found.rstrip("/")
 
 
+def _forget_checkpoints(spark: SparkSession) -> None:
+    """Delete the checkpoints of this application as it ends, if it has not been stopped before."""
+    if spark.sparkContext._jsc is not None:
+        _delete(spark, spark.sparkContext.getCheckpointDir())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 class Scratch:
     """Tables written to the shared folder while an operator runs.
 
@@ -77,13 +97,11 @@ class Scratch:
         self.spark._jvm.System.gc()
 
     def result(self, df: DataFrame) -> DataFrame:
-        """An eager checkpoint: Spark removes its files with the last reference."""
+        """An eager checkpoint. Its files go when the application ends, or with the last reference if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on."""
         return df.checkpoint(eager=True)
 
     def drop(self, path: str | None = None) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path or self.path)
-        p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _delete(self.spark, path or self.path)
 
     def __exit__(self, *exc) -> None:
         self.drop()
@@ -99,6 +117,16 @@ def unit(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
+def pieces(batch, column: int, most: int):
+    """An Arrow batch in pieces of at most about ``most`` bytes of one column, a row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def slices(batch, size: int = SLICE_ROWS):
     """An Arrow batch in pieces, so that few rows are Python objects at a time."""
     for at in range(0, batch.num_rows, size):

@@ -1,7 +1,7 @@
 """A quality classifier by co-training two views of a document.
 
-One view sees what the text is made of, the other only the metadata beside it.
-Each is a logistic regression. In every round each view labels the documents
+One view sees the text's content, as hashed words, runs of bytes and measures of
+the whole, the other only the metadata beside it. Each is a logistic regression. In every round each view labels the documents
 it is confident about, and the other learns from them; at the end both are
 calibrated on labelled rows that neither was fitted on, and their log odds are
 combined to score every document.
@@ -9,78 +9,77 @@ combined to score every document.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, slices, unit
+from tessera.llm.common import Scratch, slices
+from tessera.llm.words import Words
 
-TEXT_VIEW = (
-    "words", "word_chars", "symbols", "upper", "digits", "marked", "same_next", "distinct", "pipes", "lines", "stops", "non_letters", "longest_run", "trigram_repeats",
-)
+#: The text view: slots of hashed words, slots of hashed runs of three bytes, and measures of the whole.
+WORD_SLOTS, GRAM_SLOTS, MEASURES = 128, 128, 10
+WIDTH = WORD_SLOTS + GRAM_SLOTS + MEASURES
+#: Bytes whose runs are counted in one go.
+PART = 1 << 20
 #: Rows that a fit uses at most, of either kind of label; rounds; what counts as confident.
-FIT_ROWS, ROUNDS, CONFIDENT, SEED = 20_000, 2, 0.98, 29
+FIT_ROWS, ROUNDS, CONFIDENT, SEED = 10_000, 2, 0.98, 29
 #: A document is rejected if its combined probability of good quality is below this.
 REJECT_BELOW = 0.5
 #: Values of one metadata column that get a weight each, by hash.
 HASHED = 64
 
-SYMBOL = re.compile(r"[#$%&*|<>=^~_+\\{}@]")
-MARKED = re.compile(r"(?:!!|[#$%&*]{2,})(?=\s|$)")
-DIGITS = re.compile(r"[0-9]")
-
-
-def text_features(text: str) -> list[float]:
-    """What a text is made of, as shares; the whole text is read. Wordless texts give zeros."""
-    words = text.split()
-    n, chars = len(words), max(1, len(text))
-    if not n:
-        return [0.0] * len(TEXT_VIEW)
-    same, run, longest = 0, 1, 1
-    last = None
-    for w in words:
-        if w == last:
-            same += 1
-            run += 1
-            if run > longest:
-                longest = run
-        else:
-            run = 1
-        last = w
-    upper = sum(map(str.isupper, words))
-    pipes = words.count("|")
-    triples = len(set(zip(words, words[1:], words[2:])))
-    return [
-        float(np.log1p(n)),
-        min(20.0, chars / n) / 20,
-        len(SYMBOL.findall(text)) / n,
-        upper / n,
-        len(DIGITS.findall(text)) / chars,
-        len(MARKED.findall(text)) / n,
-        same / n,
-        len(set(words)) / n,
-        pipes / n,
-        text.count("\n") / n,
-        sum(len(w) <= 3 for w in words) / n,
-        text.count("!") / n,
-        min(50, longest) / 50,
-        1 - triples / max(1, n - 2) if n > 2 else 0.0,
-    ]
+class TextView:
+    """What a text is made of, a byte a feature: roots of shares, so that rare content counts. A worker makes one."""
+
+    def __init__(self):
+        self.words = Words()
+        kinds = np.full(256, 4, np.int64)  # other ASCII
+        kinds[[9, 10, 11, 12, 13, 32]] = 0
+        kinds[48:58], kinds[65:91], kinds[97:123], kinds[128:] = 1, 2, 3, 5
+        self.kinds = kinds
+
+    def __call__(self, text: str) -> bytes:
+        """The whole text is read. Wordless texts give zeros."""
+        raw = text.encode()
+        h = self.words.hashes(raw)[1]
+        n = len(h)
+        if not n:
+            return bytes(WIDTH)
+        grams, kinds, lines = np.zeros(GRAM_SLOTS), np.zeros(6), 0
+        for at in range(0, len(raw), PART):
+            part = np.frombuffer(raw[at : at + PART + 2], np.uint8)
+            kinds += np.bincount(self.kinds[part[:PART]], minlength=6)
+            lines += raw.count(b"\n", at, at + PART)
+            b = part.astype(np.uint32)
+            g = b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA6B) + b[2:] * np.uint32(0xC2B2AE35)
+            grams += np.bincount(g >> np.uint32(25), minlength=GRAM_SLOTS)
+        words = np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=WORD_SLOTS)
+        same = h[1:] == h[:-1]
+        runs = np.diff(np.flatnonzero(np.concatenate([[True], ~same, [True]])))
+        shares = np.concatenate([words / n, grams / max(1.0, grams.sum())])
+        measures = [
+            np.log1p(n) / 20, len(np.unique(h)) / n, same.sum() / n, runs.max() / (runs.max() + 10), n / (n + lines),
+            min(1.0, len(raw) / n / 32), *(kinds[[1, 2, 4, 5]] / len(raw)),
+        ]
+        return np.rint(255 * np.append(np.sqrt(shares), measures)).astype(np.uint8).tobytes()
+
+
+def matrix(column) -> np.ndarray:
+    """A binary column of text views as rows of numbers from 0 to 1."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH) / 255
 
 
 def views(docs: DataFrame) -> DataFrame:
     """``(doc_id, x, m)`` of every row: the text view, and the metadata view as a short vector of numbers and hashes."""
 
     def run(batches):
+        view = TextView()
         for batch in batches:
             for part in slices(batch):
-                x = np.array([text_features(t or "") for t in part.column(1).to_pylist()], np.float32).ravel()
-                offsets = np.arange(part.num_rows + 1, dtype=np.int32) * len(TEXT_VIEW)
+                x = pa.array([view(t or "") for t in part.column(1).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)), part.column(2), part.column(3), part.column(4)],
+                    [part.column(0), x, part.column(2), part.column(3), part.column(4)],
                     names=["doc_id", "x", "lang", "source", "n_chars"],
                 )
 
@@ -89,7 +88,7 @@ def views(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"), col("text", "string").alias("text"), col("lang", "string").alias("lang"),
         col("source", "string").alias("source"), col("n_chars", "bigint").alias("n_chars"),
     )
-    found = rows.mapInArrow(run, "doc_id bigint, x array<float>, lang string, source string, n_chars bigint")
+    found = rows.mapInArrow(run, "doc_id bigint, x binary, lang string, source string, n_chars bigint")
     slot = lambda c: F.pmod(F.xxhash64(F.lit(c), F.coalesce(c, F.lit(""))), F.lit(HASHED)).cast("float")
     size = F.log1p(F.greatest(F.coalesce("n_chars", F.lit(0)), F.lit(0))).cast("float")
     return found.select("doc_id", "x", F.array(size, slot("lang"), slot("source")).alias("m"))
@@ -136,17 +135,21 @@ class Logistic:
         """Platt scaling on rows that the fit did not see, with Platt's own targets."""
         s, up = np.clip(self.raw(x), -30, 30), y.sum()
         t = np.where(y > 0, (up + 1) / (up + 2), 1 / (len(y) - up + 2))
+        unit = max(1e-6, np.abs(s).mean())
+        z = np.stack([s / unit, np.ones(len(s))], axis=1)
+        loss = lambda ab: (np.logaddexp(0, z @ ab) - t * (z @ ab)).sum() + 5e-4 * ab[0] ** 2
         ab = np.array([1.0, 0.0])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(ab[0] * s + ab[1], -30, 30)))
-            d, q = p - t, np.maximum(p * (1 - p), 1e-9)
-            g = np.array([(d * s).sum() + 1e-3 * (ab[0] - 1), d.sum()])
-            h = np.array([[(q * s * s).sum() + 1e-3, (q * s).sum()], [(q * s).sum(), q.sum() + 1e-6]])
-            step = np.linalg.solve(h, g)
-            ab -= step
-            if np.abs(step).max() < 1e-8:
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(z @ ab, -30, 30)))
+            g = z.T @ (p - t) + [1e-3 * ab[0], 0]
+            step = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag([1e-3, 1e-6]), g)
+            size = 1.0
+            while size > 1e-6 and loss(ab - size * step) > loss(ab):
+                size /= 2
+            ab = ab - size * step
+            if np.abs(size * step).max() < 1e-8:
                 break
-        self.a, self.b = (ab if ab[0] > 0 else (0.0, ab[1]))
+        self.a, self.b = (ab[0] / unit, ab[1]) if ab[0] > 0 else (0.0, ab[1])
         return self
 
     def odds(self, x: np.ndarray) -> np.ndarray:
@@ -171,16 +174,13 @@ class CoTrained:
 
 
 def _sample(rows: DataFrame, n: int, salt: int) -> list:
-    """At most about ``n`` rows by hash of the id, the same in every run; all if there are fewer."""
-    total = rows.count()
-    if total > n:
-        rows = rows.where(unit(F.lit(SEED), F.lit(salt), "doc_id") < n / total)
-    return rows.collect()
+    """At most ``n`` rows, the same in every run: those whose hash comes first; all if there are fewer."""
+    return rows.orderBy(F.xxhash64(F.lit(SEED), F.lit(salt), "doc_id", "x", "m"), "doc_id", "x", "m").limit(n).collect()
 
 
 def _arrays(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["x"], r["m"]))
-    x = np.array([r["x"] for r in rows], float).reshape(-1, len(TEXT_VIEW))
+    rows = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, bytes(r["x"]), r["m"]))
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.uint8).reshape(-1, WIDTH) / 255
     m = np.array([r["m"] for r in rows], float).reshape(-1, 3)
     return x, m, np.array([r["y"] for r in rows], float)
 
@@ -232,8 +232,8 @@ def co_train(seen: DataFrame, labels: DataFrame, scratch: Scratch, fit_rows: int
 
 def _scored(seen: DataFrame, model: CoTrained, keep: bool = False) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(TEXT_VIEW))
+        for batch in (part for whole in batches for part in slices(whole, 4096)):
+            x = matrix(batch.column(1))
             m = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
             p = model.probabilities(x, m)
             own = [batch.column(1), batch.column(2)] if keep else []
@@ -241,7 +241,7 @@ def _scored(seen: DataFrame, model: CoTrained, keep: bool = False) -> DataFrame:
                 [batch.column(0), *own, *(pa.array(p[:, k]) for k in range(3))], names=["doc_id", *(["x", "m"] if keep else []), "p_text", "p_meta", "p_good"]
             )
 
-    more = "x array<float>, m array<float>, " if keep else ""
+    more = "x binary, m array<float>, " if keep else ""
     return seen.select("doc_id", "x", "m").mapInArrow(run, f"doc_id bigint, {more}p_text double, p_meta double, p_good double")
 
 
@@ -286,9 +286,10 @@ def kept_by(docs: DataFrame, model: CoTrained, reject_below: float = REJECT_BELO
     at = docs.columns.index("text")
 
     def run(batches):
+        view = TextView()
         for batch in batches:
             for part in slices(batch):
-                x = np.array([text_features(t or "") for t in part.column(at).to_pylist()], np.float32).reshape(-1, len(TEXT_VIEW))
+                x = matrix(pa.array([view(t or "") for t in part.column(at).to_pylist()], pa.binary()))
                 m = part.column(part.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
                 keep = pa.array(model.probabilities(x, m)[:, 2] >= reject_below)
                 yield part.select(list(range(part.num_columns - 1))).filter(keep)
