@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.labels import title_case
 from tessera.functions.scalars import EPS, logit
 from tessera.functions.tails import normal_p
 from tessera.operators.inference import bh_adjust, spearman
@@ -156,10 +157,6 @@ def compare(df: DataFrame, key: str, by: list[str], families: dict[str, list[str
     return out.withColumnsRenamed({"n": "n_test", "events": "n_deaths", "auc_a": "auc", "auc_b": "auc_ref"})
 
 
-def _title(c: Column) -> Column:
-    return F.initcap(c)
-
-
 def between_layers(predictions: DataFrame, key: str, layers: list[str], truth: str = "truth", replicates: int = 2000, seed=1) -> DataFrame:
     """``(model, comparison, auc_a, ...)``: every two layers of a model on one matched cohort, adjusted by model.
 
@@ -168,7 +165,7 @@ def between_layers(predictions: DataFrame, key: str, layers: list[str], truth: s
     """
     pairs = predictions.sparkSession.createDataFrame([(a, b) for k, a in enumerate(layers) for b in layers[k + 1 :]], "layer_a string, layer_b string")
     rows = contrasts(predictions, pairs, key, ["model"], truth)
-    rows = rows.withColumn("comparison", F.concat_ws(" vs ", _title(F.col("layer_a")), _title(F.col("layer_b")))).drop("layer_a", "layer_b")
+    rows = rows.withColumn("comparison", F.concat_ws(" vs ", title_case(F.col("layer_a")), title_case(F.col("layer_b")))).drop("layer_a", "layer_b")
     return compared(rows, key, ["model", "comparison"], ["model"], [], truth, replicates, seed)
 
 
@@ -176,7 +173,7 @@ def versus_clinical(predictions: DataFrame, key: str, clinical: str, layer: str
     """``(model, comparison, auc_a, ...)``: every model of every layer against the one clinical model, one family."""
     own = predictions.where((F.col("model") == clinical) & (F.col("layer") == layer)).select(key, F.col("risk").alias("risk_b"))
     rows = predictions.where(F.col("layer") != layer).withColumnRenamed("risk", "risk_a").join(own, key)
-    rows = rows.withColumn("comparison", F.concat_ws(" vs ", _title(F.col("layer")), _title(F.lit(layer)))).drop("layer")
+    rows = rows.withColumn("comparison", F.concat_ws(" vs ", title_case(F.col("layer")), title_case(F.lit(layer)))).drop("layer")
     return compared(rows, key, ["model", "comparison"], [], [], truth, replicates, seed)
 
 

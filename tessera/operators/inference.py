@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import safe_corr
-from tessera.functions.tails import chi2_p, normal_p, t_log10_p
+from tessera.functions.tails import chi2_p, normal_p, rank_sum_p, t_log10_p
 from tessera.operators.quantiles import average_rank
 
 
@@ -49,11 +49,28 @@ def chi_square_by_permutation(df: DataFrame, key: str, row: str, label: str, per
     )
 
 
+def chi_square_or_simulated(df: DataFrame, key: str, row: str, col: str, permutations: int = 2000, seed=1) -> DataFrame:
+    """``(statistic, df, least_expected, p_value)``: the asymptotic P, unless an expected count is below 5.
+
+    Then a table of more than two rows takes the P value under permuted
+    labels ``col`` (0/1), a table of two has none.
+    """
+    plain = chi_square(df, row, col)
+    found = plain.first()
+    if found["least_expected"] is None or found["least_expected"] >= 5:
+        return plain
+    p = F.lit(None).cast("double")
+    if found["df"] > 1:
+        known = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
+        p = F.lit(chi_square_by_permutation(known, key, row, col, permutations, seed).first()["p_value"])
+    return plain.withColumn("p_value", p)
+
+
 def wilcoxon(df: DataFrame, value: str, group: str, by: list[str] | None = None) -> DataFrame:
-    """Rank-sum W of group 1, and z with tie and continuity correction; null P for small tied groups.
+    """Rank-sum W of group 1, z with tie and continuity correction, and P.
 
-    ``group`` is 0/1. Small groups without ties would have an exact P, which is
-    left to the caller: ``small`` says so.
+    ``group`` is 0/1. P is exact where both groups have fewer than 50 rows and
+    none tie, null where they are that small and tie, else the normal one.
     """
     by = list(by or [])
     known = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
@@ -69,7 +86,8 @@ def wilcoxon(df: DataFrame, value: str, group: str, by: list[str] | None = None)
     sd = F.sqrt(F.col("n1") * F.col("n0") / 12.0 * ((n + 1) - F.try_divide(F.col("tie").cast("double"), n * (n - 1))))
     z = F.try_divide(F.col("w") - mean - F.signum(F.col("w") - mean) * 0.5, sd)
     out = j.withColumn("w", w).withColumn("z", z).withColumn("small", (F.col("n1") < 50) & (F.col("n0") < 50)).withColumn("tied", F.col("tie") > 0)
-    return out.withColumn("p_value", F.when(~F.col("small"), normal_p("z"))).select(*by, "n1", "n0", "w", "z", "small", "tied", "p_value")
+    exact = rank_sum_p(F.col("w").cast("double"), F.when(F.col("small") & ~F.col("tied"), F.col("n1")), F.col("n0"))
+    return out.withColumn("p_value", F.when(~F.col("small"), normal_p("z")).when(~F.col("tied"), exact)).select(*by, "n1", "n0", "w", "z", "small", "tied", "p_value")
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, name: str = "rho") -> DataFrame:

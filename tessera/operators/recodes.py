@@ -32,7 +32,7 @@ def bucket_of_four(df: DataFrame, value: str, name: str) -> DataFrame:
         q = quantile_averaged(df, value, p, name=f"_c{k}")
         cuts = q if cuts is None else cuts.join(q)  # one row each
     v = F.col(value)
-    return df.join(F.broadcast(cuts)).withColumn(
+    return df.join(cuts).withColumn(  # one row
         name, F.when(v <= F.col("_c1"), 1).when(v <= F.col("_c2"), 2).when(v <= F.col("_c3"), 3).when(v.isNotNull(), 4)
     ).drop("_c1", "_c2", "_c3")
 
@@ -43,6 +43,36 @@ def with_bucket_cut(df: DataFrame, bucket: str, value: str, p: float, name: str,
     return null_safe_left_join(df, quantile_averaged(pool, value, p, [bucket], name), bucket)
 
 
+def low_activity(df: DataFrame, value: str, name: str, share: float = 0.2) -> DataFrame:
+    """``name``: 1 at or below the averaged quantile of all rows, 0 above, null if unknown."""
+    cut = quantile_averaged(df, value, share, name="_cut")
+    return df.join(cut).withColumn(name, at_or_below(F.col(value), F.col("_cut"))).drop("_cut")  # one row
+
+
+def slowness(df: DataFrame, height: str, walk: str, unable: str, name: str, share: float = 0.2) -> DataFrame:
+    """``name``: unable to walk, or at or below the cut-point of one's half of heights; null where height or speed is unknown.
+
+    Halves divide at the averaged median, which belongs to the upper one;
+    cut-points come from rows that walked or were unable to.
+    """
+    middle = quantile_averaged(df, height, 0.5, name="_middle")
+    halves = df.join(middle).withColumn("_half", F.when(F.col(height) < F.col("_middle"), 1).when(F.col(height) >= F.col("_middle"), 2))  # one row
+    cut = with_bucket_cut(halves, "_half", walk, share, "_cut", F.col(walk).isNotNull() | F.col(unable))
+    slow = F.when(F.col("_half").isNotNull(), at_or_below(F.col(walk), F.col("_cut"), F.col(unable)))
+    return cut.withColumn(name, slow).drop("_middle", "_half", "_cut")
+
+
+def weakness(df: DataFrame, build: str, grip: str, unable: str, name: str, share: float = 0.2) -> DataFrame:
+    """``name``: unable to grip, or at or below the cut-point of one's quarter of ``build``; null without a cut-point or a measure.
+
+    Rows of unknown build are a bucket of their own.
+    """
+    quarters = bucket_of_four(df, build, "_quarter")
+    cut = with_bucket_cut(quarters, "_quarter", grip, share, "_cut", F.col(grip).isNotNull() | F.col(unable))
+    weak = F.when(F.col("_cut").isNotNull(), at_or_below(F.col(grip), F.col("_cut"), F.col(unable)))
+    return cut.withColumn(name, weak).drop("_quarter", "_cut")
+
+
 def frailty(criteria: list[Column], in_clinic: Column) -> tuple[Column, Column]:
     """Score and class of a five-criteria composite: prorated from three criteria on, rounded half to even."""
     n = present(criteria)

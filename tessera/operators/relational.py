@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Columns that a transposed table may have.
+TRANSPOSED = 10_000
+
+
 def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` unchanged; raises if a key repeats. An action, kept apart from the lazy plan."""
     if duplicates(df, keys).limit(1).count():
@@ -31,6 +36,46 @@ def null_safe_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFram
     return left.join(r, left[key].eqNullSafe(r["_key"]), "left").drop("_key")
 
 
+def matched_left_join(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """A left join without the rows that found no partner, and those rows: ``(joined, unmatched)``."""
+    marked = left.join(right.withColumn("_found", F.lit(True)), key, "left")
+    return marked.where("_found").drop("_found"), marked.where("_found IS NULL").select(*left.columns)
+
+
+def aligned_join(left: DataFrame, right: DataFrame, key: str, same: str) -> DataFrame:
+    """An inner join of two tables that have to name the same rows with the same ``same``; raises if they do not."""
+    require_unique(left, [key]), require_unique(right, [key])
+    r = right.withColumnRenamed(same, "_same").withColumn("_right", F.lit(True))
+    both = left.withColumn("_left", F.lit(True)).join(r, key, "full")
+    faults = both.agg(
+        F.count(F.when(F.col("_left").isNull() | F.col("_right").isNull(), 1)).alias("alone"),
+        F.count(F.when(F.col("_left") & F.col("_right") & ~F.col(same).eqNullSafe(F.col("_same")), 1)).alias("differ"),
+    ).first()
+    if faults["alone"] or faults["differ"]:
+        raise ValueError(f"{faults['alone']} rows on one side only, {faults['differ']} with another {same}")
+    return left.join(right.drop(same), key)
+
+
+def pick_columns(df: DataFrame, matching: str | None = None, all_of: tuple = (), any_of: tuple = (), without: tuple = ()) -> list[str]:
+    """Column names of ``df`` by rule, in its order: by a regular expression or a list; all_of raises if one is absent."""
+    absent = [c for c in all_of if c not in df.columns]
+    if absent:
+        raise ValueError(f"columns {absent} are not there")
+    wanted = {*all_of, *any_of}
+    every = matching is None and not wanted
+    return [c for c in df.columns if (every or c in wanted or matching is not None and re.search(matching, c)) and c not in without]
+
+
+def transposed(df: DataFrame, key: str, columns: list[str], name: str = "name") -> DataFrame:
+    """Rows for ``columns`` and columns for the values of ``key``, which have to be few and unique."""
+    keys = [r[0] for r in df.select(key).distinct().orderBy(key).limit(TRANSPOSED + 1).collect()]
+    if len(keys) > TRANSPOSED:
+        raise ValueError(f"more than {TRANSPOSED} rows do not become columns; keep them long")
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("at"), F.lit(c).alias(name), F.col(c).cast("double").alias("v")) for k, c in enumerate(columns)]))
+    long = df.select(F.col(key).cast("string").alias("_key"), cells.alias("x")).select("_key", "x.*")
+    return long.groupBy("at", name).pivot("_key", [str(k) for k in keys]).agg(F.first("v")).orderBy("at").drop("at")
+
+
 def in_all_layers(members: DataFrame, key: str, layer: str, n_layers: int) -> DataFrame:
     """Keys that occur in every layer: one shuffle on the key for any number of layers."""
     return members.groupBy(key).agg(F.countDistinct(layer).alias("_n")).where(F.col("_n") == n_layers).select(key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -284,6 +285,39 @@ def group_summarise(s, d):
     return rounded(out).withColumn("qty", F.round("qty", 4))
 
 
+# ---- criteria with cut-points --------------------------------------------------------
+
+MEASURED = "(SELECT id, balance AS build, CASE WHEN id % 5 <> 0 THEN spend END AS grip, id % 23 = 0 AS unable, n_events::DOUBLE AS height, CASE WHEN id % 6 <> 0 THEN mean_value END AS walk FROM " + fx.CLINICAL + ")"
+
+
+def _measured(s, d):
+    c = fx.clinical(s, d)
+    return c.select("id", F.col("balance").alias("build"), F.when(F.col("id") % 5 != 0, F.col("spend")).alias("grip"), (F.col("id") % 23 == 0).alias("unable"),
+                    F.col("n_events").cast("double").alias("height"), F.when(F.col("id") % 6 != 0, F.col("mean_value")).alias("walk"))
+
+
+def _averaged(value: str, p: float, rows: str) -> str:
+    """SQL of one averaged quantile of a table."""
+    return f"(SELECT q FROM {_type2(value, p, f'(SELECT *, 1 AS one FROM {rows})', 'one')})"
+
+
+@query(f"WITH m AS (SELECT * FROM {MEASURED}), c AS (SELECT {_averaged('grip', 0.2, 'm')} AS cut) SELECT id, CASE WHEN grip <= cut THEN 1 WHEN grip > cut THEN 0 END AS low_activity FROM m, c")
+def low_activity(s, d):
+    return recodes.low_activity(_measured(s, d), "grip", "low_activity").select("id", "low_activity")
+
+
+@query(f"WITH m AS (SELECT * FROM {MEASURED}), h AS (SELECT *, CASE WHEN height < {_averaged('height', 0.5, 'm')} THEN 1 WHEN height >= {_averaged('height', 0.5, 'm')} THEN 2 END AS half FROM m), c AS (SELECT half, q FROM {_type2('walk', 0.2, '(SELECT * FROM h WHERE walk IS NOT NULL OR unable)', 'half')}) "
+       "SELECT id, CASE WHEN h.half IS NULL THEN NULL WHEN unable OR walk <= q THEN 1 WHEN walk > q THEN 0 END AS slow FROM h LEFT JOIN c ON h.half IS NOT DISTINCT FROM c.half")
+def slowness(s, d):
+    return recodes.slowness(_measured(s, d), "height", "walk", "unable", "slow").select("id", "slow")
+
+
+@query(f"WITH m AS (SELECT * FROM {MEASURED}), b AS (SELECT *, CASE WHEN build <= {_averaged('build', 0.25, 'm')} THEN 1 WHEN build <= {_averaged('build', 0.5, 'm')} THEN 2 WHEN build <= {_averaged('build', 0.75, 'm')} THEN 3 WHEN build IS NOT NULL THEN 4 END AS quarter FROM m), c AS (SELECT quarter, q FROM {_type2('grip', 0.2, '(SELECT * FROM b WHERE grip IS NOT NULL OR unable)', 'quarter')}) "
+       "SELECT id, CASE WHEN q IS NULL THEN NULL WHEN unable OR grip <= q THEN 1 WHEN grip > q THEN 0 END AS weak FROM b LEFT JOIN c ON b.quarter IS NOT DISTINCT FROM c.quarter")
+def weakness(s, d):
+    return recodes.weakness(_measured(s, d), "build", "grip", "unable", "weak").select("id", "weak")
+
+
 # ---- composition ----------------------------------------------------------------------
 
 COUNTS = "(SELECT user_id AS sample, event_type AS taxon, count(*) AS n FROM events WHERE user_id % 4 <> 0 OR event_type <> (SELECT min(event_type) FROM events) GROUP BY 1, 2)"
@@ -349,11 +383,12 @@ def averaged_over_repeats(s, d):
     return rounded(a.groupBy("model", "layer").agg(F.count("*").alias("n"), F.avg("risk").alias("mean_risk")))
 
 
-@query(f"SELECT 'complete' AS state, count(*) AS n FROM (SELECT repeat_id, id FROM {REPEATED} GROUP BY 1, 2 HAVING count(*) <> 1)")
+@query(f"SELECT repeat_id, CASE WHEN n IS NULL THEN 'absent' WHEN w IS NULL THEN 'unknown' ELSE 'repeated' END AS fault, count(*) AS n FROM (SELECT coalesce(p.repeat_id, m.repeat_id) AS repeat_id, p.n, m.id AS w FROM (SELECT repeat_id, CASE WHEN id % 97 = 0 THEN -id - 1 ELSE id END AS id, count(*) AS n FROM (SELECT * FROM {REPEATED} UNION ALL SELECT * FROM {REPEATED} WHERE id % 89 = 0 AND repeat_id = 2) WHERE id % 101 <> 0 OR repeat_id <> 1 GROUP BY 1, 2) p FULL JOIN (SELECT id, r::INT AS repeat_id FROM {fx.SCORES}, range(1, 6) AS t(r)) m ON p.id = m.id AND p.repeat_id = m.repeat_id) WHERE n IS NULL OR w IS NULL OR n > 1 GROUP BY 1, 2")
 def oof_completeness(s, d):
     f = resampling.repeated_folds(fx.scores(s, d), "id", ["truth"])
-    bad = resampling.out_of_fold_faults(f, fx.scores(s, d), "id")
-    return bad.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("complete").alias("state"), "n")
+    f = f.unionByName(f.where("id % 89 = 0 AND repeat_id = 2")).where("id % 101 <> 0 OR repeat_id <> 1")
+    f = f.withColumn("id", F.when(F.col("id") % 97 == 0, -F.col("id") - 1).otherwise(F.col("id")))
+    return resampling.out_of_fold_faults(f, fx.scores(s, d), "id")
 
 
 def _boot(rows: str, replicates: int, by: str | None = None) -> str:
@@ -567,10 +602,47 @@ def frame_validation(s, d):
     return contracts.frame_checks(o, "o_orderkey", "o_orderstatus", ["F", "O"], ["o_totalprice"])
 
 
-@query("SELECT 'invalid_risk' AS \"check\", 0::BIGINT AS failures UNION ALL SELECT 'repeated_key', 0 UNION ALL SELECT 'two_truths', 0 UNION ALL SELECT 'two_folds', 0")
-def prediction_validation(s, d):
+FAULTY = f"(SELECT id, layer, CASE WHEN id % 61 = 0 AND model = 's2' THEN 1 - truth ELSE truth END AS truth, model, CASE WHEN id % 71 = 0 THEN 2.0 WHEN id % 73 = 0 THEN NULL ELSE least(1, risk) END AS risk, repeat_id, CASE WHEN id % 79 = 0 AND model = 's3' THEN fold_id % 5 + 1 ELSE fold_id END AS fold_id FROM (SELECT p.*, f.repeat_id, f.fold_id FROM {PRED} p JOIN {REPEATED} f USING (id) WHERE f.repeat_id <= 2 UNION ALL SELECT p.*, f.repeat_id, f.fold_id FROM {PRED} p JOIN {REPEATED} f USING (id) WHERE f.repeat_id = 1 AND id % 83 = 0))"
+
+
+def _faulty(s, d):
     f = resampling.repeated_folds(fx.scores(s, d), "id", ["truth"], repeats=2).select("id", "repeat_id", "fold_id")
-    return contracts.prediction_checks(fx.predictions(s, d).withColumn("risk", F.least("risk", F.lit(1.0))).join(f, "id"), "id")
+    p = fx.predictions(s, d).join(f, "id")
+    p = p.unionByName(p.where("repeat_id = 1 AND id % 83 = 0"))
+    i, m = F.col("id"), F.col("model")
+    return p.withColumns({
+        "truth": F.when((i % 61 == 0) & (m == "s2"), 1 - F.col("truth")).otherwise(F.col("truth")),
+        "risk": F.when(i % 71 == 0, 2.0).when(i % 73 != 0, F.least("risk", F.lit(1.0))),
+        "fold_id": F.when((i % 79 == 0) & (m == "s3"), F.col("fold_id") % 5 + 1).otherwise(F.col("fold_id")),
+    })
+
+
+@query(f"WITH p AS (SELECT * FROM {FAULTY}) SELECT 'invalid_risk' AS \"check\", count(*) FILTER (WHERE risk IS NULL OR risk > 1) AS failures FROM p UNION ALL SELECT 'repeated_key', count(*) FROM (SELECT 1 FROM p GROUP BY id, repeat_id, model, layer HAVING count(*) > 1) UNION ALL SELECT 'two_truths', count(*) FROM (SELECT 1 FROM p GROUP BY id HAVING count(DISTINCT truth) > 1) UNION ALL SELECT 'two_folds', count(*) FROM (SELECT 1 FROM p GROUP BY id, repeat_id HAVING count(DISTINCT fold_id) > 1)")
+def prediction_validation(s, d):
+    return contracts.prediction_checks(_faulty(s, d), "id")
+
+
+HELD = "(SELECT id, truth, model, risk, CASE WHEN model = 's3' THEN risk ELSE 1 - risk END AS score FROM (SELECT CASE WHEN id % 67 = 0 THEN -id - 1 ELSE id END AS id, CASE WHEN id % 59 = 0 THEN 1 - truth ELSE truth END AS truth, model, CASE WHEN id % 71 = 0 THEN 2.0 ELSE risk END AS risk FROM " + PRED + " WHERE id % 103 <> 0))"
+HELD_CHECKS = {
+    "repeated_id": "0", "unknown_id": "count(*) FILTER (WHERE t.id IS NULL)", "absent_id": "count(*) FILTER (WHERE h.id IS NULL)",
+    "other_truth": "count(*) FILTER (WHERE h.truth <> t.truth)", "invalid_risk": "count(*) FILTER (WHERE risk > 1 OR risk < 0)", "mixed_score": "max((coalesce(h.model, t.model) = 's3')::INT)",
+}
+
+
+@query(f"WITH h AS (SELECT * FROM {HELD}), t AS (SELECT id, truth, model FROM {fx.SCORES}, (SELECT DISTINCT model FROM h)), j AS (SELECT coalesce(h.model, t.model) AS model, " + ", ".join(f"({v})::BIGINT AS {k}" for k, v in HELD_CHECKS.items()) + " FROM h FULL JOIN t ON h.id = t.id AND h.model = t.model GROUP BY 1) SELECT model, \"check\", failures FROM j UNPIVOT (failures FOR \"check\" IN (" + ", ".join(HELD_CHECKS) + "))")
+def held_out_validation(s, d):
+    i = F.col("id")
+    p = fx.predictions(s, d).where("id % 103 <> 0").withColumns({
+        "id": F.when(i % 67 == 0, -i - 1).otherwise(i), "truth": F.when(i % 59 == 0, 1 - F.col("truth")).otherwise(F.col("truth")), "risk": F.when(i % 71 == 0, 2.0).otherwise(F.col("risk")),
+    })
+    p = p.withColumn("score", F.when(F.col("model") == "s3", F.col("risk")).otherwise(1 - F.col("risk")))
+    return contracts.held_out_checks(p, fx.scores(s, d).select("id", "truth"), "id")
+
+
+@query(f"WITH l AS (SELECT id, layer, CASE WHEN id % 7 = 0 AND layer = 'funded' THEN 'x' ELSE 'y' END AS status FROM {fx.LAYERS}), k AS (SELECT id, count(DISTINCT layer) = 3 AS inside, count(DISTINCT status) AS o, max(status) AS status FROM l GROUP BY 1) SELECT 'repeated_id' AS \"check\", 0::BIGINT AS failures UNION ALL SELECT 'outcome_differs', count(*) FILTER (WHERE inside AND o > 1) FROM k UNION ALL SELECT 'overlap_off', abs(count(*) FILTER (WHERE inside) - 5) FROM k UNION ALL SELECT 'events_off', abs(count(*) FILTER (WHERE inside AND status = 'y') - 5) FROM k")
+def matched_preflight(s, d):
+    rows = fx.layers(s, d).withColumn("status", F.when((F.col("id") % 7 == 0) & (F.col("layer") == "funded"), "x").otherwise("y"))
+    return contracts.preflight(rows, "id", "layer", "status", "y", 5, 5)
 
 
 @query("SELECT 'customers' AS step, count(*) AS n FROM customer UNION ALL SELECT 'funded', count(*) FROM customer WHERE c_acctbal > 0 UNION ALL SELECT 'building', count(*) FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -757,28 +829,39 @@ def _model_frame(s, d):
     return docs.select(F.col("vec_id").alias("id"), label.alias("label"), (label + 2 * latent).alias("a"), F.when(F.col("vec_id") % 9 != 0, F.col("embedding")[0].cast("double")).alias("b"), F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("c"))
 
 
+NAMES = tuple(f"f{k:02d}" for k in range(16))
+
+
 def _nested(s, d):
-    rows = _model_frame(s, d)
+    """The whole table, small grids: 2 outer and 2 inner folds, three learners, screens learnt in every analysis set."""
+    from tempfile import mkdtemp
+
+    rows = _model_frame(s, d).join(landed(s, d, "embeddings", ["vec_id", "embedding"]).select(F.col("vec_id").alias("id"), F.slice("embedding", 1, len(NAMES)).alias("layer")), "id")
     folds = resampling.stratified_folds(rows, "id", ["label"], 2)
     inner = resampling.inner_folds(folds, "id", ["label"], 2)
     learners = [
         models.Learner("elastic", "elastic", ("a", "b"), ("c",), ({"regParam": 0.01, "elasticNetParam": 0.5}, {"regParam": 0.1, "elasticNetParam": 0.0})),
-        models.Learner("forest", "forest", ("a", "b"), (), ({"numTrees": 10, "minInstancesPerNode": 5},)),
+        models.Learner("forest", "forest", ("a",), (), ({"numTrees": 10, "minInstancesPerNode": 5},), "layer", NAMES, ("sis", 4)),
+        models.Learner("boosted", "boosted", ("a",), (), ({"maxIter": 6, "maxDepth": 2, "stepSize": 0.3, "subsamplingRate": 0.9},), "layer", NAMES, ("mrmr", 3), stop=True),
     ]
-    return models.nested_cv(rows, "id", folds, inner, learners)
+    base = s.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="nested-")
+    return models.nested_cv(rows, "id", folds, inner, learners, f"{base.rstrip('/')}/nested-{uuid.uuid4().hex}")
 
 
 @query()
 def nested_cv_predictions(s, d):
-    return _nested(s, d)
+    return _nested(s, d)[0]
+
+
+@query()
+def nested_cv_tuning(s, d):
+    return _nested(s, d)[2]
 
 
 @query()
 def stack_ridge(s, d):
-    p = _nested(s, d).persist()
-    own = lambda f: p.where(F.col("fold_id") == f).select("id", "truth", "model", "risk")
-    out, _ = models.stack_ridge(own(1), own(2), "id", ["elastic", "forest"])
-    return out
+    outer, inner, _ = _nested(s, d)
+    return models.stack_ridge(inner, outer, "id", ["elastic", "forest"])[0]
 
 
 # ---- streams --------------------------------------------------------------------------

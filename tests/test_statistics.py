@@ -350,3 +350,146 @@ def test_neg_log_p_of_zero_is_the_cap(spark):
     df = spark.createDataFrame([(0.0,), (0.1,), (None,)], "p double")
     got = [r[0] for r in df.select(scalars.neg_log10(F.col("p"))).collect()]
     assert got[0] == 15.0 and got[1] == pytest.approx(1.0) and got[2] is None
+
+
+def _small_cohort(spark, n=60, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        y = i % 2
+        layer = (rng.normal(size=6) + y * 1.5 * (np.arange(6) == 4)).tolist()
+        rows.append((i, float(y), float(2 * y + rng.normal()), None if i % 11 == 0 else "u" if rng.random() < 0.5 else "v", layer))
+    return spark.createDataFrame(rows, "id int, label double, a double, c string, layer array<double>")
+
+
+def test_assessment_rows_do_not_change_a_fit(spark):
+    from tessera.operators import models
+
+    df = _small_cohort(spark)
+    names = tuple(f"g{k}" for k in range(6))
+    ln = models.Learner("m", "elastic", ("a",), ("c",), ({"regParam": 0.05, "elasticNetParam": 0.5},), "layer", names, ("sis", 2))
+    analysis, assessment = df.where("id < 40"), df.where("id >= 40")
+    wild = assessment.withColumn("a", F.when(F.col("id") == 50, 1e6).otherwise(F.col("a"))).withColumn("c", F.when(F.col("id") == 51, "new").otherwise(F.col("c")))
+    one_, two = ({r.id: r.risk for r in models.fit_predict(analysis, x, ln, ln.grid[0], ["id", "label"]).collect()} for x in (assessment, wild))
+    assert all(one_[i] == pytest.approx(two[i]) for i in one_ if i not in (50, 51)) and set(one_) == set(range(40, 60))
+    assert "g4" in models.screened(analysis, ln, "id") and len(models.screened(analysis, ln, "id")) == 2
+    assert "g4" in models.screened(analysis, models.Learner("m", "elastic", layer="layer", names=names, screen=("mrmr", 2)), "id")
+    assert "g4" in models.screened(analysis, models.Learner("m", "elastic", layer="layer", names=names, screen=("moderated", 3)), "id")
+
+
+def test_nested_cv_resumes_and_stacks(spark, tmp_path):
+    from tessera.operators import models
+
+    df = _small_cohort(spark)
+    folds = resampling.stratified_folds(df, "id", ["label"], 2)
+    inner = resampling.inner_folds(folds, "id", ["label"], 2)
+    names = tuple(f"g{k}" for k in range(6))
+    learners = [
+        models.Learner("m1", "elastic", ("a",), ("c",), ({"regParam": 0.05}, {"regParam": 0.5})),
+        models.Learner("m2", "boosted", (), (), ({"maxIter": 3, "maxDepth": 2},), "layer", names, ("sis", 2), stop=True),
+    ]
+    path = str(tmp_path / "cv")
+    p, oof, tuning = models.nested_cv(df, "id", folds, inner, learners, path)
+    assert p.groupBy("model", "id").count().where("count <> 1").count() == 0 and p.count() == 120 and oof.count() == 120
+    t = {(r.fold_id, r.model): r for r in tuning.collect()}
+    assert len(t) == 4 and all(t[f, "m2"].n_features == 2 and "g4" in t[f, "m2"].selected_features and t[f, "m1"].score > 0.5 for f in (1, 2))
+    before = sorted(x.stat().st_mtime_ns for x in (tmp_path / "cv").rglob("*.parquet"))
+    again, _, _ = models.nested_cv(df, "id", folds, inner, learners, path)
+    assert again.count() == 120 and sorted(x.stat().st_mtime_ns for x in (tmp_path / "cv").rglob("*.parquet")) == before
+    risks, weights = models.stack_ridge(oof, p, "id", ["m1", "m2"], (1e-4, 1e-2, 1.0))
+    got = risks.collect()
+    assert sorted(r.id for r in got) == list(range(60)) and all(0 < r.risk < 1 for r in got)
+    assert models._rank_auc(np.array([r.truth for r in got]), np.array([r.risk for r in got])) > 0.6
+    assert [(r.fold_id, len(r.weights), r.penalty in (1e-4, 1e-2, 1.0)) for r in weights.orderBy("fold_id").collect()] == [(1, 2, True), (2, 2, True)]
+
+
+def test_ridge_logistic_is_the_minimum():
+    from tessera.operators.models import ridge_logistic
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(80, 2))
+    y = (x[:, 0] + rng.normal(size=80) > 0).astype(float)
+    loss = lambda w, p: np.logaddexp(0, w[0] + x @ w[1:]).mean() - (y * (w[0] + x @ w[1:])).mean() + p / 2 * (w[1:] ** 2).sum()
+    for p in (1e-6, 0.1, 10.0):
+        w = ridge_logistic(x, y, p)
+        assert all(loss(w, p) <= loss(w + d, p) + 1e-10 for d in rng.normal(size=(50, 3)) * 0.05)
+
+
+def test_exact_rank_sum_p(spark):
+    from itertools import combinations
+
+    from tessera.functions import tails
+
+    for m, n in ((1, 1), (2, 3), (4, 3), (5, 5)):
+        ws = [sum(c) - m * (m + 1) // 2 for c in combinations(range(1, m + n + 1), m)]
+        below = [sum(x <= w for x in ws) / len(ws) for w in range(m * n + 1)]
+        assert tails.rank_sum_shares(m, n).tolist() == pytest.approx(below)
+        for w in range(m * n + 1):
+            tail = min(sum(x <= w for x in ws), sum(x >= w for x in ws)) / len(ws)
+            assert tails.rank_sum_two_sided(w, m, n) == pytest.approx(min(1.0, 2 * tail))
+    df = spark.createDataFrame([(float(i), int(i in (1, 2, 4))) for i in range(1, 8)], "v double, g int")
+    r = one(inference.wilcoxon(df, "v", "g"))
+    assert r["w"] == 1.0 and r["p_value"] == pytest.approx(2 * 2 / 35)
+
+
+def test_chi_square_with_few_expected(spark):
+    rows = [(i, "abc"[i % 3], int(i % 3 == 0 or i % 4 == 0)) for i in range(12)]
+    df = spark.createDataFrame(rows, "id int, x string, truth int")
+    r = one(inference.chi_square_or_simulated(df, "id", "x", "truth", 200))
+    assert r["least_expected"] < 5 and 0 < r["p_value"] <= 1
+    two = one(inference.chi_square_or_simulated(df.where("x <> 'c'"), "id", "x", "truth"))
+    assert two["p_value"] is None
+    many = df.crossJoin(spark.range(20).toDF("k")).withColumn("id", F.col("id") * 20 + F.col("k"))
+    assert one(inference.chi_square_or_simulated(many, "id", "x", "truth"))["p_value"] == pytest.approx(one(inference.chi_square(many, "x", "truth"))["p_value"])
+
+
+def test_joins_that_assert_and_column_rules(spark):
+    from tessera.operators import relational
+
+    a = spark.createDataFrame([(1, "u", 0.1), (2, "v", 0.2)], "id int, truth string, p double")
+    b = spark.createDataFrame([(1, "u", 0.3), (2, "v", 0.4)], "id int, truth string, q double")
+    assert relational.aligned_join(a, b, "id", "truth").columns == ["id", "truth", "p", "q"]
+    for bad in (b.where("id = 1"), b.withColumn("truth", F.lit("u")), b.union(b)):
+        with pytest.raises(ValueError):
+            relational.aligned_join(a, bad, "id", "truth")
+    hit, lost = relational.matched_left_join(a, b.where("id = 1").drop("truth"), "id")
+    assert [r.id for r in hit.collect()] == [1] and [r.id for r in lost.collect()] == [2] and lost.columns == a.columns
+    wide = spark.createDataFrame([(1, 2.0, 3.0, "x")], "id int, `seq.1` double, `seq.2` double, note string")
+    assert relational.pick_columns(wide, r"^seq[.]") == ["seq.1", "seq.2"] and relational.pick_columns(wide, without=("note",)) == ["id", "seq.1", "seq.2"]
+    assert relational.pick_columns(wide, any_of=("note", "no"), all_of=("id",)) == ["id", "note"]
+    with pytest.raises(ValueError):
+        relational.pick_columns(wide, all_of=("no",))
+    t = relational.transposed(spark.createDataFrame([("s2", 1.0, 2.0), ("s1", 3.0, None)], "sample string, x double, y double"), "sample", ["x", "y"], "taxon")
+    assert [tuple(r) for r in t.collect()] == [("x", 3.0, 1.0), ("y", None, 2.0)] and t.columns == ["taxon", "s1", "s2"]
+
+
+def test_matched_output_contract(spark):
+    from tessera.operators import contracts
+
+    ids = range(12)
+    cohort = spark.createDataFrame([(i, i % 2) for i in ids], "id int, truth int")
+    expected = spark.createDataFrame([("EN", "a"), ("EN", "b"), ("RF", "clinical")], "model string, layer string")
+    keys = [tuple(r) for r in expected.collect()]
+    preds = [(i, i % 2, 0.5, m, n) for m, n in keys for i in ids]
+    reps = [(i, i % 2, 0.5, m, n, r, i % 3 + 1) for m, n in keys for r in (1, 2) for i in ids]
+    tune = [(m, n, r, f, 1, ["g"]) for m, n in keys for r in (1, 2) for f in (1, 2, 3)]
+    P, R, T = "id int, truth int, risk double, model string, layer string", "id int, truth int, risk double, model string, layer string, repeat_id int, fold_id int", "model string, layer string, repeat_id int, fold_id int, n_features int, selected_features array<string>"
+
+    def faults(p, rep, t):
+        got = contracts.matched_output_checks(spark.createDataFrame(p, P), spark.createDataFrame(rep, R), spark.createDataFrame(t, T), cohort, expected, "id", 2, 3)
+        return {(r.model, r.layer, r.check): r.failures for r in got.collect() if r.failures}
+
+    assert faults(preds, reps, tune) == {}
+    p = [x for x in preds if x[3:] != ("EN", "b")] + [(0, 0, 0.5, "EN", "a"), (99, 0, 0.5, "EN", "a"), (1, 1, 0.5, "new", "a")]
+    p = [(i, 1 - t if (i, m) == (4, "RF") else t, 1.5 if (i, m) == (5, "RF") else r, m, n) for i, t, r, m, n in p]
+    rep = [x for x in reps if x[0] != 3 or x[3:5] != ("EN", "a")]
+    rep = [(*x[:6], 1 + x[6] % 3) if (x[0], x[3], x[5]) == (7, "RF", 2) else x for x in rep]
+    got = faults(p, rep, [(*x[:4], 2, x[5]) if x[:4] == ("EN", "a", 1, 1) else x for x in tune if x[:4] != ("RF", "clinical", 2, 3)])
+    assert got == {
+        ("EN", "b", "absent_id"): 12, ("EN", "a", "repeated_id"): 1, ("EN", "a", "unknown_id"): 1, ("RF", "clinical", "other_truth"): 1, ("RF", "clinical", "invalid_risk"): 1,
+        ("new", "a", "unexpected"): 1, ("new", "a", "absent_id"): 11, ("new", "a", "repeat_absent"): 24, ("new", "a", "tuning_absent"): 6,
+        ("EN", "a", "repeat_absent"): 2, ("RF", "clinical", "other_fold"): 1, ("EN", "a", "wrong_feature_count"): 1, ("RF", "clinical", "tuning_absent"): 1,
+    }
+    train = spark.createDataFrame([(k, k % 2) for k in range(1, 6)], "train_row int, truth int")
+    oof = spark.createDataFrame([(k, None if k == 2 else k % 2, 0.4, "m") for k in (1, 2, 3, 3)] + [(4, 1, float("nan"), "m")], "train_row int, truth int, risk double, model string")
+    assert {r.check: r.failures for r in contracts.out_of_fold_checks(oof, train).collect()} == {"no_permutation": 2, "other_truth": 1, "invalid_risk": 1}
