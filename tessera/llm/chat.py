@@ -69,19 +69,28 @@ def masked(token_starts, token_ends, span_starts, span_ends) -> np.ndarray:
     return inside & (span_starts[np.minimum(k, len(span_starts) - 1)] < token_ends) if len(span_starts) else inside
 
 
-def loss_spans(starts, ends, mask, span_starts, span_ends) -> list[tuple[int, int]]:
-    """The runs of text under the mask: masked tokens' spans, cut to the texts' spans and merged."""
-    out: list[list[int]] = []
-    for a, b in zip(starts[mask].tolist(), ends[mask].tolist()):
-        k = int(np.searchsorted(span_ends, a, side="right"))
-        while k < len(span_starts) and span_starts[k] < b:
-            x, y = max(a, span_starts[k]), min(b, span_ends[k])
-            if out and out[-1][2] == k and x <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], y)
-            elif y > x:
-                out.append([x, y, k])
-            k += 1
-    return [(x, y) for x, y, _ in out]
+def loss_spans(starts, ends, span_starts, span_ends) -> list[tuple[int, int]]:
+    """The runs of text under the mask, in order: of each span, what its tokens cover, cut to the span and merged."""
+    out = []
+    first, last = np.searchsorted(ends, span_starts, side="right"), np.searchsorted(starts, span_ends, side="left")
+    for a, b, i, j in zip(span_starts.tolist(), span_ends.tolist(), first.tolist(), last.tolist()):
+        if i < j and a < b:
+            x, y = np.maximum(starts[i:j], a), np.maximum.accumulate(np.minimum(ends[i:j], b))
+            cut = np.flatnonzero(x[1:] > y[:-1]) + 1
+            out += zip(x[np.append(0, cut)].tolist(), y[np.append(cut, len(y)) - 1].tolist())
+    return out
+
+
+def _lists(arrays, kind) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays), kind))
+
+
+def _spans(lists) -> pa.ListArray:
+    flat = np.array([x for spans in lists for x in spans], np.int32).reshape(-1, 2)
+    ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+    values = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(ends), values)
 
 
 def make_tokenizer(data: bytes):
@@ -125,24 +134,21 @@ def format_conversations(rows: DataFrame, tokenizer: str = TOKENIZER, loss_roles
 
     def run(batches):
         t = make_tokenizer(data)
-        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for part in slices(batch, 64):
-                out: dict[str, list] = {k: [] for k in ("formatted", "ids", "mask", "turns", "loss")}
+                texts, ids, masks, turns, loss = [], [], [], [], []
                 rendered = [render([(x["role"], x["text"]) for x in turns]) for turns in part.column(1).to_pylist()]
                 for (text, starts, ends, roles), e in zip(rendered, t.encode_batch([r[0] for r in rendered], add_special_tokens=False)):
                     offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
                     own = [k for k, r in enumerate(roles) if r in loss_roles]
                     a, b = np.array([starts[k] for k in own], np.int64), np.array([ends[k] for k in own], np.int64)
-                    mask = masked(offsets[:, 0], offsets[:, 1], a, b)
-                    out["formatted"].append(text)
-                    out["ids"].append(e.ids)
-                    out["mask"].append(mask.tolist())
-                    out["turns"].append([{"start": x, "end": y} for x, y in zip(starts, ends)])
-                    out["loss"].append([{"start": x, "end": y} for x, y in loss_spans(offsets[:, 0], offsets[:, 1], mask, a, b)])
+                    texts.append(text)
+                    ids.append(np.array(e.ids, np.int32))
+                    masks.append(masked(offsets[:, 0], offsets[:, 1], a, b))
+                    turns.append(list(zip(starts, ends)))
+                    loss.append(loss_spans(offsets[:, 0], offsets[:, 1], a, b))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(out["formatted"], pa.string()), pa.array(out["ids"], pa.list_(pa.int32())),
-                     pa.array(out["mask"], pa.list_(pa.bool_())), pa.array(out["turns"], span), pa.array(out["loss"], span)],
+                    [part.column(0), pa.array(texts, pa.string()), _lists(ids, pa.int32()), _lists(masks, pa.bool_()), _spans(turns), _spans(loss)],
                     names=["conv_id", "formatted", "input_ids", "loss_mask", "turn_spans", "loss_spans"],
                 )
 
@@ -155,19 +161,19 @@ def digests(formatted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                out = [[] for _ in range(7)]
-                for text, ids, mask, spans in zip(*(part.column(k).to_pylist() for k in (1, 2, 3, 4))):
+                out = [[] for _ in range(5)]
+                for text, spans in zip(part.column(1).to_pylist(), part.column(4).to_pylist()):
                     turns = parse(text)
                     loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
-                    row = (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest(), len(loss),
-                           hashlib.sha256(loss.encode()).hexdigest(), len(text), len(ids), sum(mask))
+                    row = (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text))
                     for column, value in zip(out, row):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *map(pa.array, out)],
+                    [part.column(0), *map(pa.array, out), part.column(2), part.column(3)],
                     names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"],
                 )
 
-    return formatted.select("conv_id", "formatted", "input_ids", "loss_mask", "loss_spans").mapInArrow(
+    counts = F.size("input_ids").cast("bigint").alias("n_tokens"), F.size(F.array_remove("loss_mask", F.lit(False))).cast("bigint").alias("loss_tokens")
+    return formatted.select("conv_id", "formatted", *counts, "loss_spans").mapInArrow(
         run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, loss_tokens bigint"
     )
