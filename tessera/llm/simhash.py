@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import WORD, Scratch, slices, small
 from tessera.llm.graph import components
@@ -172,39 +173,67 @@ def links(classes: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS, plan=N
     )
 
 
+def _grouped(docs: DataFrame, scratch: Scratch, max_bits: int, plan) -> DataFrame:
+    """``(doc_id, fp, node, component_id)`` of every row: its fingerprint's group, and the group's smallest doc_id."""
+    fps = scratch.keep(fingerprints(docs))
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = scratch.keep(classes.withColumn("rep", F.monotonically_increasing_id()))
+    found = components(links(classes.select("fp", "rep"), scratch, max_bits, plan), scratch)
+    named = scratch.keep(
+        classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "least", F.coalesce("component", "rep").alias("node"))
+    )
+    ids = named.groupBy("node").agg(F.min("least").alias("component_id"))
+    return fps.join(scratch.keep(named.join(ids, "node").select("fp", "node", "component_id")), "fp")
+
+
 def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS, plan=None) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` of every row of ``docs(doc_id, text)``.
 
     Null or wordless texts have fingerprint 0 and link like any other. Rows
-    with one doc_id are one node. A null doc_id is kept and gets the smallest
-    doc_id of its group, null if the group has no other. Other columns of
-    ``docs``, whatever their names, are not read; an empty table gives none.
+    are grouped by their texts alone, also where a doc_id repeats. A null
+    doc_id is kept and gets the smallest doc_id of its group, null if the
+    group has no other. Other columns of ``docs``, whatever their names, are
+    not read; an empty table gives none.
     """
-    spark = docs.sparkSession
-    with Scratch(spark) as scratch:
-        fps = scratch.keep(fingerprints(docs))
-        classes = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-        found = components(links(classes, scratch, max_bits, plan), scratch)
-        named = scratch.keep(
-            classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("fp", F.coalesce("component", "rep").alias("component_id"))
-        )
-        return scratch.result(
-            fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-        )
+    with Scratch(docs.sparkSession) as scratch:
+        rows = _grouped(docs, scratch, max_bits, plan)
+        return scratch.result(rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its SimHash group.
+    """One row of ``docs`` of each SimHash group: that with the smallest doc_id.
 
-    All columns stay. Of rows that repeat a doc_id one stays; a null doc_id
-    stays only where its group has no other.
+    All columns stay. Where the id repeats in the group, the smallest
+    fingerprint and then the smallest hash of all columns decide; null ids
+    come last. Rows of one id in different groups each stand for their group.
     """
-    groups = simhash_groups(docs, max_bits)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    counted = kept.groupBy("doc_id").agg(F.count("*").alias("n"))
-    repeated = counted.where("n > 1").limit(1).count() > 0
+    names = docs.columns
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.keep(_grouped(docs, scratch, max_bits, None).select("doc_id", "fp", "node", "component_id"))
+        own = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        picked = scratch.keep(own.groupBy("node").agg(F.min("fp").alias("fp"), F.first("component_id").alias("doc_id")))
+        often = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__often"))
+        same = F.col("doc_id").eqNullSafe(F.col("__often"))
+        hard = scratch.result(picked.join(often, same, "left_semi").select("doc_id", "fp"))
+        plain = scratch.result(picked.join(often, same, "left_anti").select(F.col("doc_id").alias("__kept_id")))
     # the ids become a new column, so that both sides of the join are exchanged alike
-    ids = counted.select(F.col("doc_id").alias("__kept_id"))
-    out = docs.join(ids, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__kept_id")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    out = docs.join(plain, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__kept_id")), "left_semi")
+    if not hard.limit(1).count():
+        return out
+    ids = hard.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
+    at = names.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__own_fp", T.LongType())])
+
+    def fingerprinted(batches):
+        for batch in batches:
+            for part in slices(batch):
+                fps = [fingerprint(None if t is None else str(t)) for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.array(fps, np.uint64).astype(np.int64))], names=[*names, "__own_fp"])
+
+    some = docs.join(ids.select("__id").distinct(), F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")), "left_semi").mapInArrow(fingerprinted, schema)
+    some = some.join(ids, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__own_fp") == F.col("__fp")), "left_semi")
+    some = some.withColumn("__hash", F.xxhash64(*[c for c, t in docs.dtypes if "map" not in t]))
+    first = some.groupBy("doc_id", "__own_fp").agg(F.min("__hash").alias("__least"))
+    first = first.select(F.col("doc_id").alias("__id"), F.col("__own_fp").alias("__fp"), "__least")
+    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own_fp") == F.col("__fp")) & (F.col("__hash") == F.col("__least"))
+    return out.unionByName(some.join(first, match, "left_semi").dropDuplicates(["doc_id", "__own_fp"]).select(*names))

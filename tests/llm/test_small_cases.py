@@ -60,6 +60,22 @@ def test_simhash_against_brute_force(spark, odd):
     assert simhash.simhash_groups(odd.limit(0)).count() == 0
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 4, 7, 8, 9, 10]
+    assert [r.text for r in kept.where("doc_id IS NULL").collect()] == ["no id here at all"]
+
+
+def test_simhash_keeps_texts_that_share_an_id(spark):
+    rng = random.Random(17)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (2, a, "x"), (None, c, "x"), (None, c, "x"), (None, d, "x"), (3, d, "x"), (None, None, "x"), (None, "", "x"), (4, c + " tail", None)]
+    df = documents(spark, rows).repartition(3)
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in simhash.keep_one(df).collect())
+    groups = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.simhash_groups(df).collect()}
+    assert groups[2, f"{reference_fingerprint(a):016x}"] == 1 and groups[1, f"{reference_fingerprint(b):016x}"] == 1
+    tail = reference_fingerprint(c) ^ reference_fingerprint(c + " tail")
+    near = [(False, 4, c + " tail")] + ([] if bin(tail).count("1") <= 4 else [(True, 0, c)])
+    assert kept == sorted([(False, 1, a), (False, 1, b), (False, 3, d), (True, 0, ""), *near])
+    assert len({r.source for r in simhash.keep_one(df).where("text = '" + b + "'").collect()}) == 1
 
 
 @pytest.mark.parametrize("plan,heavy", [(simhash.NARROW, 64), (simhash.WIDE, 64), (simhash.NARROW, 2)])
