@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.labels import title_case
 from tessera.functions.scalars import EPS, logit
@@ -184,32 +185,51 @@ def matched_comparisons(predictions: DataFrame, key: str, layers: list[str], cli
     )
 
 
-def logistic_line(df: DataFrame, by: list[str], x: str, y: str, steps: int = 12) -> DataFrame:
-    """``(by, intercept, slope)`` of a logistic regression on one predictor by Newton steps over grouped sums."""
-    coef = df.select(*by).distinct().withColumn("b0", F.lit(0.0)).withColumn("b1", F.lit(0.0))
-    for _ in range(steps):
-        j = df.join(F.broadcast(coef), by) if by else df.crossJoin(F.broadcast(coef))  # one row of coefficients a group
-        p = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * F.col(x))))
-        w = p * (1 - p)
-        s = j.groupBy(*by).agg(
-            F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.sum(F.col(y) - p).alias("g0"), F.sum((F.col(y) - p) * F.col(x)).alias("g1"),
-            F.sum(w).alias("h00"), F.sum(w * F.col(x)).alias("h01"), F.sum(w * F.col(x) * F.col(x)).alias("h11"),
-        )
-        det = F.nullif(F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01"), F.lit(0.0))
-        coef = s.select(*by, (F.col("b0") + (F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1")) / det).alias("b0"), (F.col("b1") + (F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0")) / det).alias("b1"))
-        coef = df.sparkSession.createDataFrame(coef.collect(), coef.schema)  # a row for each group
-    return coef.select(*by, F.col("b0").alias("intercept"), F.col("b1").alias("slope"))
-
-
-def offset_intercept(df: DataFrame, by: list[str], lp: str, y: str, steps: int = 12) -> DataFrame:
+def _newton(df: DataFrame, by: list[str], x: str, y: str, slope: bool, steps: int = 25) -> list:
+    """Rows of ``by`` with ``b0`` and ``b1`` of a logistic regression on one predictor, or with its slope held at one.
+
+    Rows are counted once per distinct predictor; Newton steps then run over
+    these bins, with a row of coefficients for each group on the driver.
+    """
+    bins = df.groupBy(*by, F.col(x).cast("double").alias("_x")).agg(F.count("*").cast("double").alias("_n"), F.sum(F.col(y).cast("double")).alias("_s")).persist()
+    try:
+        groups = [tuple(r) for r in bins.select(*by).distinct().collect()] if by else [()]
+        at = {g: (0.0, 0.0 if slope else 1.0) for g in groups}
+        schema = T.StructType([*[df.schema[c] for c in by], T.StructField("b0", T.DoubleType()), T.StructField("b1", T.DoubleType())])
+        p = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * F.col("_x"))))
+        w, d = F.col("_n") * p * (1 - p), F.col("_s") - F.col("_n") * p
+        for _ in range(steps):
+            coef = df.sparkSession.createDataFrame([(*g, *b) for g, b in at.items()], schema)
+            j = join_on(bins, coef, by) if by else bins.join(coef)  # a row for each group
+            sums = j.groupBy(*by).agg(F.sum(d).alias("g0"), F.sum(d * F.col("_x")).alias("g1"), F.sum(w).alias("h00"), F.sum(w * F.col("_x")).alias("h01"), F.sum(w * F.col("_x") * F.col("_x")).alias("h11")).collect()
+            moved = 0.0
+            for r in sums:
+                g = tuple(r[c] for c in by)
+                det = r["h00"] * r["h11"] - r["h01"] ** 2 if slope else r["h00"]
+                if not det:
+                    at[g] = (None, None)
+                if at[g][0] is None:
+                    continue
+                s0, s1 = ((r["h11"] * r["g0"] - r["h01"] * r["g1"]) / det, (r["h00"] * r["g1"] - r["h01"] * r["g0"]) / det) if slope else (r["g0"] / det, 0.0)
+                at[g] = (at[g][0] + s0, at[g][1] + s1)
+                moved = max(moved, abs(s0), abs(s1))
+            if moved < 1e-10:
+                break
+        return [(*g, *b) for g, b in at.items()]
+    finally:
+        bins.unpersist()
+
+
+def logistic_line(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """``(by, intercept, slope)`` of a logistic regression on one predictor; null where it has no variation."""
+    schema = T.StructType([*[df.schema[c] for c in by], T.StructField("intercept", T.DoubleType()), T.StructField("slope", T.DoubleType())])
+    return df.sparkSession.createDataFrame(_newton(df, by, x, y, slope=True), schema)
+
+
+def offset_intercept(df: DataFrame, by: list[str], lp: str, y: str) -> DataFrame:
     """``(by, calibration_in_the_large)``: the intercept with the linear predictor's coefficient held at one."""
-    coef = df.select(*by).distinct().withColumn("b0", F.lit(0.0))
-    for _ in range(steps):
-        j = df.join(F.broadcast(coef), by) if by else df.crossJoin(F.broadcast(coef))
-        p = 1 / (1 + F.exp(-(F.col("b0") + F.col(lp))))
-        coef = j.groupBy(*by).agg(F.first("b0").alias("b0"), F.sum(F.col(y) - p).alias("g"), F.sum(p * (1 - p)).alias("h")).select(*by, (F.col("b0") + F.try_divide("g", "h")).alias("b0"))
-        coef = df.sparkSession.createDataFrame(coef.collect(), coef.schema)
-    return coef.select(*by, F.col("b0").alias("calibration_in_the_large"))
+    schema = T.StructType([*[df.schema[c] for c in by], T.StructField("calibration_in_the_large", T.DoubleType())])
+    return df.sparkSession.createDataFrame([r[:-1] for r in _newton(df, by, lp, y, slope=False)], schema)
 
 
 def brier(df: DataFrame, by: list[str], risk: str = "risk", truth: str = "truth") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def linear_attributions(features: DataFrame, coefficients: DataFrame, key: str) -> DataFrame:
     """``(key, feature, value, attribution)``: exact for linear models, coefficient times distance from the mean."""
     mean = F.avg("value").over(Window.partitionBy("feature"))
-    return features.join(F.broadcast(coefficients), "feature").select(key, "feature", "value", (F.col("coefficient") * (F.col("value") - mean)).alias("attribution"))
+    return features.join(coefficients, "feature").select(key, "feature", "value", (F.col("coefficient") * (F.col("value") - mean)).alias("attribution"))
 
 
 def sampled_attributions(rows: DataFrame, key: str, names: list[str], predict, background: np.ndarray, permutations: int = 16, seed: int = 1) -> DataFrame:

@@ -44,7 +44,7 @@ def chi_square_by_permutation(df: DataFrame, key: str, row: str, label: str, per
     perms = permuted_labels(df, key, label, permutations, seed).join(df.select(key, row), key)
     stats = chi_square(perms, row, label, ["perm_id"]).select("perm_id", "statistic")
     observed = stats.where("perm_id = 0").select(F.col("statistic").alias("observed"))
-    return stats.where("perm_id > 0").join(F.broadcast(observed)).agg(
+    return stats.where("perm_id > 0").join(observed).agg(  # one row observed
         F.first("observed").alias("statistic"), ((1 + F.sum((F.col("statistic") >= F.col("observed") - 1e-9).cast("int"))) / (1 + F.count("*"))).alias("p_value")
     )
 

@@ -99,8 +99,8 @@ def count_filters(counts: DataFrame, sample: str, taxon: str, n: str, prevalence
     big = counts.groupBy(sample).agg(F.sum(n).alias("_lib")).where(F.col("_lib") >= library).select(sample)
     kept = counts.join(big, sample)
     seen = kept.where(F.col(n) > 0).groupBy(taxon).agg(F.countDistinct(sample).alias("_s"))
-    total = kept.agg(F.countDistinct(sample).alias("_t"))
-    common = seen.join(F.broadcast(total)).where(F.col("_s") >= prevalence * F.col("_t")).select(taxon)
+    total = kept.agg(F.countDistinct(sample).alias("_t"))  # one row
+    common = seen.join(total).where(F.col("_s") >= prevalence * F.col("_t")).select(taxon)
     return kept.join(common, taxon)
 
 

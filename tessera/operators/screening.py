@@ -133,13 +133,6 @@ def screen_mrmr(long: DataFrame, k: int, id_col: str, truth: str = "truth") -> l
         filled.unpersist()
 
 
-def feature_correlations(long: DataFrame, id_col: str) -> DataFrame:
-    """``(x, y, r)`` for x < y, by the blocked product of ``blocks.correlate``."""
-    from tessera.operators.blocks import correlate
-
-    return correlate(long, long, id_col).where("x < y").select("x", "y", "r")
-
-
 def selection_frequency(tuning: DataFrame, by: list[str]) -> DataFrame:
     """How many folds chose each feature, the most frequent first, ties by name."""
     return tuning.select(*by, F.explode("selected_features").alias("feature")).groupBy(*by, "feature").agg(F.count("*").alias("n")).orderBy(*by, F.desc("n"), "feature")
@@ -147,7 +140,7 @@ def selection_frequency(tuning: DataFrame, by: list[str]) -> DataFrame:
 
 def plan_grid(layers: DataFrame, specs: DataFrame) -> DataFrame:
     """Every layer with every screening specification: the run's plan, a few rows."""
-    return layers.crossJoin(F.broadcast(specs))
+    return layers.crossJoin(specs)
 
 
 class _ScreenParams(Params):

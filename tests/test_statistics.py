@@ -493,3 +493,33 @@ def test_matched_output_contract(spark):
     train = spark.createDataFrame([(k, k % 2) for k in range(1, 6)], "train_row int, truth int")
     oof = spark.createDataFrame([(k, None if k == 2 else k % 2, 0.4, "m") for k in (1, 2, 3, 3)] + [(4, 1, float("nan"), "m")], "train_row int, truth int, risk double, model string")
     assert {r.check: r.failures for r in contracts.out_of_fold_checks(oof, train).collect()} == {"no_permutation": 2, "other_truth": 1, "invalid_risk": 1}
+
+
+def test_cells_and_aliases(spark):
+    df = spark.createDataFrame([(0.0004, 3, 12.345, "x1"), (0.05, 4, -1.0, "y"), (0.25, 5, 0.0, None), (None, 6, 2.5, "z")], "p double, n int, v double, k string")
+    got = df.select(
+        labels.p_text(F.col("p")).alias("p"), labels.count_cell(F.col("n"), F.col("v")).alias("c"), labels.mean_cell(F.col("v"), F.col("v")).alias("m"),
+        labels.difference_cell(F.col("v"), F.col("v") - 1, F.col("v") + 1).alias("d"), labels.canonical(F.col("k"), {"x1": "x"}).alias("k"), labels.title_case(F.lit("a bc")).alias("t"),
+    ).collect()
+    assert [r.p for r in got] == ["<0.001", "0.050", "0.25", None] and got[0].c == "3 (12.3%)" and got[1].m == "-1.00 (-1.00)"
+    assert got[3].d == "+2.500 (+1.500 to +3.500)" and [r.k for r in got] == ["x", "y", None, "z"] and got[0].t == "A Bc"
+
+
+def test_contract_faults_name_the_rows(spark):
+    from tessera.operators import contracts
+
+    found = spark.createDataFrame([("a", 3, 1), ("b", 5, None), ("d", 1, 1)], "layer string, n int, events int")
+    declared = spark.createDataFrame([("a", 3, 1), ("b", 4, None), ("c", 1, 1)], "layer string, n int, events int")
+    assert sorted(r.layer for r in contracts.contract_faults(found, declared, "layer").collect()) == ["b", "c", "d"]
+
+
+def test_oof_agreement_and_single_predictor(spark):
+    from tessera.operators import models
+
+    a = spark.createDataFrame([(i, i / 10) for i in range(10)], "id int, risk double")
+    b = a.withColumn("risk", F.col("risk") * F.col("risk"))
+    r = one(models.oof_agreement(a, b, "id"))
+    assert r["spearman"] == pytest.approx(1.0) and 0.9 < r["pearson"] < 1
+    df = spark.createDataFrame([(i, float(i % 10 < (3 if i % 2 else 7)), float(i % 2)) for i in range(200)], "id int, label double, x double")
+    p = {r.x: r.risk for r in models.single_predictor(df, df, "id", "x").join(df.select("id", "x"), "id").select("x", "risk").distinct().collect()}
+    assert p[0.0] == pytest.approx(df.where("x = 0").agg(F.avg("label")).first()[0]) and p[1.0] == pytest.approx(df.where("x = 1").agg(F.avg("label")).first()[0])
