@@ -141,6 +141,13 @@ def compare(a, b, ids_a, ids_b, count_a, count_b, axes, threshold, same: bool):
     return ids[keep], links[keep].astype(np.int64), low[keep]
 
 
+def _cuts_up_to(value: str, tiles: int) -> str:
+    """SQL for how many of the sorted ``cuts`` are not above a value, by binary search."""
+    middle = "CAST((s.a + s.b) div 2 AS INT)"
+    step = f"IF(s.a >= s.b, s, IF(cuts[{middle}] <= {value}, named_struct('a', {middle} + 1, 'b', s.b), named_struct('a', s.a, 'b', {middle})))"
+    return f"aggregate(sequence(1, {max(1, tiles.bit_length())}), named_struct('a', 0, 'b', size(cuts)), (s, i) -> {step}, s -> s.a)"
+
+
 def _links_of_size(classes: DataFrame, size: int, threshold: float, scratch: Scratch) -> DataFrame:
     axes = principal_axes(classes, size)
     first = [float(v) for v in axes[:, 0]]
@@ -151,17 +158,17 @@ def _links_of_size(classes: DataFrame, size: int, threshold: float, scratch: Scr
     # a hash far below the bounds' slack orders vectors that are alike along the first axis
     placed = classes.withColumn("at", along / norm + unit(F.lit(5), "id") * 1e-10)
     placed = scratch.keep(placed.withColumn("at", F.coalesce(F.nanvl("at", F.lit(0.0)), F.lit(0.0))))
-    cuts = []
     if tiles > 1:
-        shares = [k / tiles for k in range(1, tiles)]
-        cuts = placed.agg(F.percentile_approx("at", shares, 100_000).alias("c")).first()["c"]
-    bounds = F.array(*map(F.lit, cuts)) if cuts else F.expr("cast(array() as array<double>)")
+        cuts = placed.agg(F.percentile_approx("at", [k / tiles for k in range(1, tiles)], 100_000).alias("cuts"))
+    else:
+        cuts = classes.sparkSession.range(1).select(F.expr("cast(array() as array<double>)").alias("cuts"))
+    cuts = scratch.keep(cuts)  # one row
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6  # unit vectors that link are no further apart
     packed = scratch.keep(
-        placed.withColumn("tile", F.size(F.filter(bounds, lambda c: c <= F.col("at"))))
+        placed.join(cuts).withColumn("tile", F.expr(_cuts_up_to("at", tiles)))
         .groupBy("tile")
         .agg(F.collect_list("id").alias("ids"), F.collect_list("copies").alias("copies"), F.flatten(F.collect_list("embedding")).alias("v"), F.max("at").alias("hi"))
-        .withColumn("last", F.size(F.filter(bounds, lambda c: c <= F.col("hi") + reach)))
+        .join(cuts).withColumn("last", F.expr(_cuts_up_to(f"hi + {reach!r}D", tiles))).drop("cuts")
     )
     # a tile meets itself and those after it that are in reach along the first axis
     left = packed.select(F.explode(F.sequence("tile", "last")).alias("j"), F.col("tile").alias("i"), F.lit(0).alias("side"), "ids", "copies", "v")

@@ -327,6 +327,27 @@ def test_html_deep_elements_stay_balanced():
     html.parse("<b><div>" + "<span>" * 100_000 + "</b>" * 100_000)
 
 
+def test_embeddings_over_many_tiles(spark, monkeypatch):
+    """Links across tiles equal brute force, where many vectors lie at one place along the first axis too."""
+    monkeypatch.setattr(embeddings, "TILE", 16)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(60, 12))
+    base[20:40] = base[20]
+    v = np.concatenate([base, base + rng.normal(size=base.shape) * 0.1, np.eye(12)]).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_groups(df).collect()}
+    n = np.linalg.norm(v, axis=1)
+    near = (v @ v.T) / np.outer(n, n) >= 0.95
+    np.fill_diagonal(near, False)
+    label = np.arange(len(v))
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], 1 << 60).min(axis=1))
+        if (new == label).all():
+            break
+        label = new
+    assert got == {i: (int(near[i].sum()), int(label[i])) for i in range(len(v))}
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(12, 24))
