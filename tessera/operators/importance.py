@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import join_on
+from tessera.operators.quantiles import quantiles_interpolated
+
 
 def linear_attributions(features: DataFrame, coefficients: DataFrame, key: str) -> DataFrame:
     """``(key, feature, value, attribution)``: exact for linear models, coefficient times distance from the mean."""
@@ -66,17 +69,18 @@ def directions(attributions: DataFrame, by: list[str], threshold: float = 0.0, l
     """``(by, feature, contrast, direction)``: mean attribution of the top quarter of values less the bottom's.
 
     Fewer than four rows, or quartiles that coincide, fall back on the mean
-    attribution.
+    attribution. Without any attribution the direction is "Unknown".
     """
     keys = [*by, "feature"]
-    q = attributions.groupBy(*keys).agg(F.percentile("value", F.lit(0.25)).alias("_q1"), F.percentile("value", F.lit(0.75)).alias("_q3"), F.count("value").alias("_n"))
-    j = attributions.join(q, keys)
+    q = quantiles_interpolated(attributions, "value", [0.25, 0.75], keys).withColumnsRenamed({"q25": "_q1", "q75": "_q3"})
+    q = join_on(attributions.groupBy(*keys).agg(F.count("value").alias("_n")), q, keys, "left")
+    j = join_on(attributions, q, keys)
     s = j.groupBy(*keys).agg(
         F.avg(F.when(F.col("value") >= F.col("_q3"), F.col("attribution"))).alias("_top"), F.avg(F.when(F.col("value") <= F.col("_q1"), F.col("attribution"))).alias("_low"),
         F.avg("attribution").alias("_mean"), F.first("_n").alias("_n"), F.first("_q1").alias("_q1"), F.first("_q3").alias("_q3"),
     )
     contrast = F.when((F.col("_n") < 4) | (F.col("_q1") >= F.col("_q3")), F.col("_mean")).otherwise(F.col("_top") - F.col("_low"))
-    label = F.when(F.col("contrast") > threshold, labels[0]).when(F.col("contrast") < -threshold, labels[1]).otherwise(labels[2])
+    label = F.when(F.col("contrast").isNull(), "Unknown").when(F.col("contrast") > threshold, labels[0]).when(F.col("contrast") < -threshold, labels[1]).otherwise(labels[2])
     return s.select(*keys, contrast.alias("contrast")).withColumn("direction", label)
 
 

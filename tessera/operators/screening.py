@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import safe_corr
 from tessera.functions.tails import t_p
 from tessera.operators.inference import bh_adjust
-from tessera.operators.quantiles import average_rank
+from tessera.operators.quantiles import average_rank, medians
 
 
 def imputed(long: DataFrame) -> DataFrame:
     """Missing values filled with the feature's exact median; 0 if it has no value at all."""
-    mid = long.groupBy("feature").agg(F.coalesce(F.median("value"), F.lit(0.0)).alias("_m"))
+    mid = medians(long, ["value"], ["feature"]).withColumnRenamed("value", "_m")
     return long.join(mid, "feature").withColumn("value", F.coalesce("value", "_m")).drop("_m")
 
 

@@ -820,6 +820,117 @@ def permutation_p_value(s, d):
     return rounded(inference.permutation_p(permutation_search(s, d), "a_diff", PERMUTATIONS))
 
 
+# ---- small rules ----------------------------------------------------------------------
+
+@query("SELECT n_nationkey AS at, n_name, c_custkey, c_mktsegment FROM nation LEFT JOIN customer ON c_custkey = n_nationkey * 7")
+def index_match_alignment(s, d):
+    ids = landed(s, d, "nation", ["n_nationkey", "n_name"]).select((F.col("n_nationkey") * 7).cast("bigint").alias("c_custkey"), F.col("n_nationkey").alias("at"))
+    c = landed(s, d, "customer", ["c_custkey", "c_mktsegment"]).withColumn("found", F.col("c_custkey"))
+    out = relational.aligned(ids, c, "c_custkey", "at").join(landed(s, d, "nation", ["n_nationkey", "n_name"]), F.col("at") == F.col("n_nationkey"))
+    return out.select("at", "n_name", F.col("found").alias("c_custkey"), "c_mktsegment")
+
+
+@query("SELECT r_name AS layer, kind, size FROM region, (VALUES ('sis', 10), ('mrmr', 5), ('none', NULL)) AS t(kind, size)")
+def specification_grid(s, d):
+    specs = s.createDataFrame([("sis", 10), ("mrmr", 5), ("none", None)], "kind string, size int")
+    return screening.plan_grid(landed(s, d, "region", ["r_name"]).select(F.col("r_name").alias("layer")), specs)
+
+
+@query("SELECT feature, round(coefficient, 6) AS coefficient, row_number() OVER (ORDER BY abs(coefficient) DESC, feature) AS rank FROM (SELECT p_brand || '-' || p_size AS feature, avg(p_retailprice - 1000) * (p_size % 3) AS coefficient FROM part GROUP BY p_brand, p_size) WHERE coefficient <> 0")
+def coefficient_ranking(s, d):
+    p = landed(s, d, "part", ["p_brand", "p_size", "p_retailprice"]).groupBy("p_brand", "p_size").agg(F.avg(F.col("p_retailprice") - 1000).alias("m"))
+    return rounded(importance.coefficient_importance(p.select(F.concat_ws("-", "p_brand", "p_size").alias("feature"), (F.col("m") * (F.col("p_size") % 3)).alias("coefficient"))))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_custkey % 2 = 0 AND o_orderkey NOT IN (1, 5, 7)")
+def eligible_layer_rows(s, d):
+    o = landed(s, d, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"]).withColumn("antibiotics", F.when(F.col("o_custkey") % 2 == 0, "No").otherwise("Yes"))
+    return recodes.eligible_layer_rows(o, "o_orderstatus", ["F", "O"], "antibiotics", ("o_orderkey", [1, 5, 7])).select("o_orderkey", "o_orderstatus")
+
+
+EDGES = f"(SELECT d.x, d.y, CASE WHEN abs(d.r) >= abs(a.r) THEN d.r ELSE a.r END AS r, abs(d.r) + abs(a.r) AS nlp FROM {CORR.format(1)} d JOIN {CORR.format(0)} a ON d.x = a.x AND d.y = a.y)"
+
+
+def _edges(s, d):
+    dd, aa = (blocks.correlate(*_halves(s, d, t), "id") for t in (1, 0))
+    return blocks.two_group_table(dd, aa).withColumn("nlp", F.abs("r_d") + F.abs("r_a"))
+
+
+@query(f"WITH m AS {MEMBERS}, e AS (SELECT mx.block_id, x, y, nlp FROM {EDGES} e JOIN m mx ON mx.axis = 'x' AND mx.feature = e.x JOIN m my ON my.axis = 'y' AND my.feature = e.y AND my.block_id = mx.block_id), b AS (SELECT block_id, 'x' AS axis, x AS feature, sum(nlp) AS marginal FROM e GROUP BY 1, 3 UNION ALL SELECT block_id, 'y', y, sum(nlp) FROM e GROUP BY 1, 3) SELECT block_id, axis, feature, round(marginal, 6) AS marginal, row_number() OVER (PARTITION BY block_id, axis ORDER BY abs(round(marginal, 9)) DESC, feature) AS ord FROM b")
+def block_feature_order(s, d):
+    return rounded(blocks.feature_order(_edges(s, d), _members(s, d)))
+
+
+@query(f"WITH m AS (SELECT *, row_number() OVER (PARTITION BY block_id, axis ORDER BY feature) AS ord FROM {MEMBERS}) SELECT mx.block_id, mx.ord AS row, my.ord AS col, round(least(greatest(r, -0.1), 0.1), 6) AS value, least(floor(round((least(greatest(r, -0.1), 0.1) + 0.1) / 0.2 * 10, 9)) + 1, 10)::BIGINT AS colour FROM {EDGES} e JOIN m mx ON mx.axis = 'x' AND mx.feature = e.x JOIN m my ON my.axis = 'y' AND my.feature = e.y AND my.block_id = mx.block_id")
+def heat_map_cells(s, d):
+    return rounded(blocks.cell_table(_edges(s, d), _members(s, d), -0.1, 0.1, 10).withColumn("colour", F.col("colour").cast("bigint")))
+
+
+@query("SELECT DISTINCT c_custkey FROM customer INTERSECT SELECT user_id FROM events")
+def set_intersection(s, d):
+    return landed(s, d, "customer", ["c_custkey"]).intersect(landed(s, d, "events", ["user_id"]))
+
+
+@query("SELECT c_custkey AS id, c_mktsegment, n FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) ON c_custkey = o_custkey")
+def left_join_matched(s, d):
+    n = landed(s, d, "orders", ["o_custkey", "o_orderpriority"]).where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
+    return relational.matched_left_join(landed(s, d, "customer", ["c_custkey", "c_mktsegment"]).withColumnRenamed("c_custkey", "id"), n, "id")[0]
+
+
+@query(f"SELECT id, truth, s1, s2 FROM {fx.SCORES}")
+def asserted_inner_join(s, d):
+    t = fx.scores(s, d)
+    return relational.aligned_join(t.select("id", "truth", "s1"), t.select("id", "truth", "s2"), "id", "truth")
+
+
+@query("SELECT COLUMNS('^l_.*(key|date)$') FROM lineitem")
+def columns_by_pattern(s, d):
+    t = landed(s, d, "lineitem", None)
+    return t.select(relational.pick_columns(t, "^l_.*(key|date)$"))
+
+
+@query("PIVOT (SELECT r_name, name, v FROM (SELECT r_name, count(*)::DOUBLE AS nations, avg(n_nationkey) AS mean_key FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1) UNPIVOT (v FOR name IN (nations, mean_key))) ON r_name USING first(v) GROUP BY name")
+def transposed_table(s, d):
+    n = landed(s, d, "nation", ["n_nationkey", "n_regionkey"]).join(landed(s, d, "region", ["r_regionkey", "r_name"]), F.col("n_regionkey") == F.col("r_regionkey"))
+    return relational.transposed(n.groupBy("r_name").agg(F.count("*").alias("nations"), F.avg("n_nationkey").alias("mean_key")), "r_name", ["nations", "mean_key"])
+
+
+@query("SELECT r_name, upper(r_name[1]) || lower(r_name[2:5]) AS title, CASE r_name WHEN 'ASIA' THEN 'east' ELSE r_name END AS alias, trim(r_name || '  ') AS id FROM region")
+def small_labels(s, d):
+    return landed(s, d, "region", ["r_name"]).select(
+        "r_name", labels.title_case(F.lower(F.substring("r_name", 1, 5))).alias("title"), labels.canonical(F.col("r_name"), {"ASIA": "east"}).alias("alias"), scalars.as_id(F.concat(F.col("r_name"), F.lit("  "))).alias("id")
+    )
+
+
+@query(f"WITH r AS (SELECT s1, s2, rank() OVER (ORDER BY s1) + (count(*) OVER (PARTITION BY s1) - 1) / 2e0 AS a, rank() OVER (ORDER BY s2) + (count(*) OVER (PARTITION BY s2) - 1) / 2e0 AS b FROM {fx.SCORES}) SELECT round(corr(s1, s2), 6) AS pearson, round(corr(a, b), 6) AS spearman FROM r")
+def oof_agreement(s, d):
+    t = fx.scores(s, d)
+    return rounded(models.oof_agreement(t.select("id", F.col("s1").alias("risk")), t.select("id", F.col("s2").alias("risk")), "id"))
+
+
+LOG = "(SELECT o_custkey % 60 AS perm_id, max(o_totalprice / (1 + o_custkey % 7)) AS s FROM orders WHERE o_custkey % 60 NOT IN (11, 13, 17) GROUP BY 1)"
+
+
+@query(f"SELECT round((SELECT s FROM {LOG} WHERE perm_id = 0), 6) AS observed, 59::BIGINT AS permutations, round((1 + (SELECT count(*) FROM {LOG} WHERE perm_id > 0 AND s >= (SELECT s FROM {LOG} WHERE perm_id = 0))) / 60e0, 6) AS p_value")
+def permutation_p_of_log(s, d):
+    o = landed(s, d, "orders", ["o_custkey", "o_totalprice"]).where("o_custkey % 60 NOT IN (11, 13, 17)")
+    log = o.select((F.col("o_custkey") % 60).alias("perm_id"), (F.col("o_totalprice") / (1 + F.col("o_custkey") % 7)).alias("s"))
+    return rounded(inference.permutation_p(log, "s", 59))
+
+
+@query("SELECT coalesce(f.layer, c.layer) AS layer, f.n, c.n AS declared_n FROM (SELECT o_orderpriority AS layer, count(*) AS n FROM orders GROUP BY 1) f FULL JOIN (SELECT o_orderpriority AS layer, count(*) + (o_orderpriority = '2-HIGH')::INT AS n FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1) c ON f.layer = c.layer WHERE f.n IS DISTINCT FROM c.n")
+def contract_faults(s, d):
+    o = landed(s, d, "orders", ["o_orderpriority"]).groupBy(F.col("o_orderpriority").alias("layer")).agg(F.count("*").alias("n"))
+    declared = o.where("layer <> '5-LOW'").withColumn("n", F.col("n") + (F.col("layer") == "2-HIGH").cast("int"))
+    return contracts.contract_faults(o, declared, "layer")
+
+
+@query()
+def characteristics_with_p(s, d):
+    c = fx.clinical(s, d).withColumn("funded", F.when(F.col("balance") > 0, "Yes").when(F.col("balance").isNotNull(), "No"))
+    return rounded(tables.characteristics(c, "id", "truth", ["region", "segment"], ["funded"], ["balance", "spend", "n_events"], permutations=50))
+
+
 # ---- models ---------------------------------------------------------------------------
 
 def _model_frame(s, d):

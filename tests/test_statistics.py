@@ -523,3 +523,21 @@ def test_oof_agreement_and_single_predictor(spark):
     df = spark.createDataFrame([(i, float(i % 10 < (3 if i % 2 else 7)), float(i % 2)) for i in range(200)], "id int, label double, x double")
     p = {r.x: r.risk for r in models.single_predictor(df, df, "id", "x").join(df.select("id", "x"), "id").select("x", "risk").distinct().collect()}
     assert p[0.0] == pytest.approx(df.where("x = 0").agg(F.avg("label")).first()[0]) and p[1.0] == pytest.approx(df.where("x = 1").agg(F.avg("label")).first()[0])
+
+
+def test_characteristics_have_a_p_by_variable(spark):
+    rng = random.Random(6)
+    rows = [(i, i % 2, "abc"[i % 3], None if i % 9 == 0 else "d" if i == 1 else "e", "Yes" if i % 4 else "No", float(i % 7 + (i % 2)), rng.random() if i < 12 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, g int, x string, rare string, flag string, v double, w double")
+    from tessera.operators import tables
+
+    t = tables.characteristics(df, "id", "g", ["x", "rare"], ["flag"], ["v", "w"], permutations=60).collect()
+    p = {}
+    for r in t:
+        p.setdefault(r.variable, set()).add(r.p_value)
+    assert {k: len(v) for k, v in p.items()} == {"x": 1, "rare": 1, "flag": 1, "v": 1, "w": 1}
+    want = one(inference.chi_square(df, "x", "g"))["p_value"]
+    assert min(p["x"]) == pytest.approx(want) and 0 < min(p["rare"]) <= 1 and p["v"] == {None} and 0 < min(p["w"]) <= 1
+    assert {r.level for r in t if r.variable == "rare"} == {"d", "e", "Missing"}
+    few = df.where("id < 14").withColumn("flag", F.when(F.col("id") == 3, "Yes").otherwise("No"))
+    assert {r.p_value for r in tables.characteristics(few, "id", "g", [], ["flag"], ["w"]).collect() if r.variable == "flag"} == {None}
