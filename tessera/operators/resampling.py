@@ -6,6 +6,9 @@ draws the same. A split is a join with one of these tables, never a copy.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +67,19 @@ def averaged_over_repeats(predictions: DataFrame, keys: list[str]) -> DataFrame:
     return predictions.groupBy(*keys).agg(F.avg("risk").alias("risk"), F.count("*").alias("n_repeats"))
 
 
+def draw_numbers(df: DataFrame, key: str, seed=1, by: list[str] | None = None) -> DataFrame:
+    """``(by, key, _i)``: the numbers from 0 by which bootstrap draws name rows, in hash order."""
+    by = list(by or [])
+    return numbered(df.select(*by, key), by, hash_order(seed, "index", F.col(key)), key).withColumn("_i", F.col("_n") - 1).drop("_n")
+
+
+def drawn(n: int, replicate: int, seed=1) -> np.ndarray:
+    """One replicate's draws of ``bootstrap_draws`` from ``n`` rows, as row numbers."""
+    first, head = (replicate - 1) * n, f"{seed}|boot|"
+    digests = b"".join(hashlib.md5(f"{head}{k}".encode()).digest()[:4] for k in range(first, first + n))
+    return (np.frombuffer(digests, ">u4").astype(np.int64)) % n
+
+
 def bootstrap_draws(df: DataFrame, key: str, replicates: int, seed=1, by: list[str] | None = None) -> DataFrame:
     """``(by, replicate, key, times)``: rows drawn with replacement, as many as a group has, in each group of ``by``.
 
@@ -73,7 +89,7 @@ def bootstrap_draws(df: DataFrame, key: str, replicates: int, seed=1, by: list[s
     60 bits of the digest.
     """
     by = list(by or [])
-    numbers = numbered(df.select(*by, key), by, hash_order(seed, "index", F.col(key)), key).withColumn("_i", F.col("_n") - 1).drop("_n")
+    numbers = draw_numbers(df, key, seed, by)
     sizes = df.groupBy(*by).agg(F.count("*").alias("_size")).where("_size > 0")
     parts = sizes.select(*by, "_size", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     first = (F.col("replicate") - 1) * F.col("_size")

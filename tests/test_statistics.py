@@ -541,3 +541,20 @@ def test_characteristics_have_a_p_by_variable(spark):
     assert {r.level for r in t if r.variable == "rare"} == {"d", "e", "Missing"}
     few = df.where("id < 14").withColumn("flag", F.when(F.col("id") == 3, "Yes").otherwise("No"))
     assert {r.p_value for r in tables.characteristics(few, "id", "g", [], ["flag"], ["w"]).collect() if r.variable == "flag"} == {None}
+
+
+def test_bootstrap_paths_agree(spark, monkeypatch):
+    """Replicates made in tasks equal those made by joins, for several comparisons of one cohort and null groups."""
+    from tessera.operators import discrimination as dn
+
+    rng = random.Random(8)
+    rows = [(g, m, i, i % 2, round(rng.random(), 1), rng.random()) for g, n in (("a", 30), (None, 21)) for m in ("x", "y") for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, m string, id int, truth int, r double, s double")
+    for cohort in (["g"], ["g", "m"]):
+        monkeypatch.setattr(dn, "COHORT_ROWS", 1000)
+        one_ = {(x.g, x.m): x for x in dn.bootstrap_delta(df, "id", "r", "s", replicates=25, by=["g", "m"], cohort=cohort).collect()}
+        monkeypatch.setattr(dn, "COHORT_ROWS", 0)
+        two = {(x.g, x.m): x for x in dn.bootstrap_delta(df, "id", "r", "s", replicates=25, by=["g", "m"], cohort=cohort).collect()}
+        assert len(one_) == 4 and set(one_) == set(two)
+        for k in one_:
+            assert one_[k].n_valid == two[k].n_valid == 25 and one_[k].delta_lo == pytest.approx(two[k].delta_lo) and one_[k].delta_hi == pytest.approx(two[k].delta_hi)
