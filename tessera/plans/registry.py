@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tessera.functions import labels, scalars
 from tessera.operators import blocks, contracts, discrimination, importance, inference, models, quantiles, recodes, relational, resampling, screening, tables
 from tessera.plans import fixtures as fx
-from tessera.sources.tables import landed, split_missing_code
+from tessera.sources import sinks
+from tessera.sources.tables import file_manifest, landed, read_csv, read_matrix_text, read_with_found_header, split_missing_code
 from tessera.streaming.events import windowed_summary
 
 _QUERIES: dict[str, Callable] = {}
@@ -931,6 +932,85 @@ def characteristics_with_p(s, d):
     return rounded(tables.characteristics(c, "id", "truth", ["region", "segment"], ["funded"], ["balance", "spend", "n_events"], permutations=50))
 
 
+# ---- sources and sinks ----------------------------------------------------------------
+
+def _folder(s) -> str:
+    """A folder of this query's own, where driver and executors can write."""
+    from tempfile import mkdtemp
+
+    base = s.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="queries-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def _text_file(s, head: list[str], lines, path: str) -> None:
+    """One file of some lines, then ``lines(value, at)`` in the order of ``at``."""
+    first = s.createDataFrame([(v, k - len(head)) for k, v in enumerate(head)], "value string, at int")
+    first.unionByName(lines.withColumn("at", F.col("at").cast("int"))).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def csv_round_trip(s, d):
+    t, path = landed(s, d, "supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]), _folder(s)
+    sinks.write_csv(t, path)
+    return read_csv(s, path, t.schema)
+
+
+@query("SELECT c_mktsegment, c_custkey % 3 AS part, count(*) AS n FROM customer GROUP BY 1, 2")
+def append_log(s, d):
+    path = _folder(s)
+    for k in range(3):
+        sinks.append(landed(s, d, "customer", ["c_custkey", "c_mktsegment"]).where(F.col("c_custkey") % 3 == k).withColumn("part", F.lit(k).cast("bigint")), path)
+    return s.read.parquet(path).groupBy("c_mktsegment", "part").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def replaced_table(s, d):
+    path, t = _folder(s), landed(s, d, "nation", ["n_nationkey", "n_name"])
+    sinks.replace(t.where("n_nationkey < 5"), path)
+    sinks.replace(t, path)
+    return s.read.parquet(path)
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def cached_table(s, d):
+    path, t = _folder(s), landed(s, d, "region", ["r_regionkey", "r_name"])
+    sinks.cached(s, path, lambda: t)
+    return sinks.cached(s, path, lambda: t.limit(0))
+
+
+@query("SELECT r_regionkey, r_name, 'kept' AS state FROM region")
+def design_matched_checkpoint(s, d):
+    path, t = _folder(s), landed(s, d, "region", ["r_regionkey", "r_name"])
+    sinks.write_with_design(t, path, {"seed": 1, "folds": 5})
+    other = sinks.read_if_same_design(s, path, {"seed": 2, "folds": 5})
+    found = sinks.read_if_same_design(s, path, {"folds": 5, "seed": 1})
+    return found.withColumn("state", F.lit("kept" if other is None else "stale"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS id, feature, value FROM (SELECT n_nationkey, 'seq.' || k AS feature, CASE WHEN (n_nationkey + k) % 5 <> 0 THEN n_nationkey * k / 2e0 END AS value FROM nation, range(1, 4) AS t(k))")
+def text_matrix_scan(s, d):
+    n, path = F.col("n_nationkey"), _folder(s)
+    cells = [F.when((n + k) % 5 == 0, F.lit("x")).otherwise((n * k / 2.0).cast("string")) for k in range(1, 4)]
+    lines = landed(s, d, "nation", ["n_nationkey"]).select(F.concat_ws("\t", n.cast("string"), *cells).alias("value"), n.alias("at"))
+    _text_file(s, ["!Version\t1", "^TABLE_BEGIN", "SampleId\tseq.1\tseq.2\tseq.3"], lines, path)
+    return read_matrix_text(s, path, "SampleId")
+
+
+@query("SELECT 's' || r_regionkey AS SeqId, r_name AS Target, lower(r_name) AS \"Target.1\" FROM region")
+def found_header_scan(s, d):
+    path = _folder(s)
+    body = landed(s, d, "region", ["r_regionkey", "r_name"]).select(F.concat_ws(",", F.concat(F.lit("s"), "r_regionkey"), "r_name", F.lower("r_name")).alias("value"), F.col("r_regionkey").alias("at"))
+    _text_file(s, ["exported,,", "by hand,,", " SeqId ,Target,Target"], body, path)
+    return read_with_found_header(s, path, "SeqId")
+
+
+@query("SELECT md5(string_agg(r_name || chr(10), '' ORDER BY r_regionkey)) AS md5, sum(length(r_name) + 1)::BIGINT AS bytes FROM region")
+def manifest_of_files(s, d):
+    path = _folder(s)
+    landed(s, d, "region", ["r_regionkey", "r_name"]).coalesce(1).sortWithinPartitions("r_regionkey").select("r_name").write.text(path)
+    return file_manifest(s, path, "*.txt").select("md5", "bytes")
+
+
 # ---- models ---------------------------------------------------------------------------
 
 def _model_frame(s, d):
@@ -945,8 +1025,6 @@ NAMES = tuple(f"f{k:02d}" for k in range(16))
 
 def _nested(s, d):
     """The whole table, small grids: 2 outer and 2 inner folds, three learners, screens learnt in every analysis set."""
-    from tempfile import mkdtemp
-
     rows = _model_frame(s, d).join(landed(s, d, "embeddings", ["vec_id", "embedding"]).select(F.col("vec_id").alias("id"), F.slice("embedding", 1, len(NAMES)).alias("layer")), "id")
     folds = resampling.stratified_folds(rows, "id", ["label"], 2)
     inner = resampling.inner_folds(folds, "id", ["label"], 2)
@@ -955,8 +1033,7 @@ def _nested(s, d):
         models.Learner("forest", "forest", ("a",), (), ({"numTrees": 10, "minInstancesPerNode": 5},), "layer", NAMES, ("sis", 4)),
         models.Learner("boosted", "boosted", ("a",), (), ({"maxIter": 6, "maxDepth": 2, "stepSize": 0.3, "subsamplingRate": 0.9},), "layer", NAMES, ("mrmr", 3), stop=True),
     ]
-    base = s.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="nested-")
-    return models.nested_cv(rows, "id", folds, inner, learners, f"{base.rstrip('/')}/nested-{uuid.uuid4().hex}")
+    return models.nested_cv(rows, "id", folds, inner, learners, _folder(s))
 
 
 @query()
