@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, slices
+from tessera.llm.common import Scratch, slices, unit
 from tessera.llm.words import Words
 
 #: The text view: slots of hashed words, slots of hashed runs of three bytes, and measures of the whole.
@@ -135,8 +135,8 @@ class Logistic:
         """Platt scaling on rows that the fit did not see, with Platt's own targets."""
         s, up = np.clip(self.raw(x), -30, 30), y.sum()
         t = np.where(y > 0, (up + 1) / (up + 2), 1 / (len(y) - up + 2))
-        unit = max(1e-6, np.abs(s).mean())
-        z = np.stack([s / unit, np.ones(len(s))], axis=1)
+        scale = max(1e-6, np.abs(s).mean())
+        z = np.stack([s / scale, np.ones(len(s))], axis=1)
         loss = lambda ab: (np.logaddexp(0, z @ ab) - t * (z @ ab)).sum() + 5e-4 * ab[0] ** 2
         ab = np.array([1.0, 0.0])
         for _ in range(100):
@@ -149,7 +149,7 @@ class Logistic:
             ab = ab - size * step
             if np.abs(size * step).max() < 1e-8:
                 break
-        self.a, self.b = (ab[0] / unit, ab[1]) if ab[0] > 0 else (0.0, ab[1])
+        self.a, self.b = (ab[0] / scale, ab[1]) if ab[0] > 0 else (0.0, ab[1])
         return self
 
     def odds(self, x: np.ndarray) -> np.ndarray:
@@ -174,8 +174,17 @@ class CoTrained:
 
 
 def _sample(rows: DataFrame, n: int, salt: int) -> list:
-    """At most ``n`` rows, the same in every run: those whose hash comes first; all if there are fewer."""
-    return rows.orderBy(F.xxhash64(F.lit(SEED), F.lit(salt), "doc_id", "x", "m"), "doc_id", "x", "m").limit(n).collect()
+    """At most ``n`` rows, the same in every run: those whose hash comes first; all if there are fewer. Repeated rows count once.
+
+    Of many rows those below a hash that leaves about twice as many come into
+    question, so what is sent to the driver does not grow with partitions.
+    """
+    key = ["doc_id", "x", "m"]
+    total = rows.count()
+    hashed = rows.withColumn("h", unit(F.lit(SEED), F.lit(salt), *key))
+    if total > 2 * n:
+        hashed = hashed.where(F.col("h") < 2 * n / total)
+    return hashed.dropDuplicates(key).orderBy("h", *key).limit(n).drop("h").collect()
 
 
 def _arrays(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

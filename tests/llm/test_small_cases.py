@@ -593,8 +593,11 @@ def test_pii_kinds_that_tie():
 
 
 def test_quality_sample_is_bounded(spark):
-    rows = spark.range(500).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST('same' AS BINARY) AS x", "array(1.0F) AS m", "CAST(id % 3 AS DOUBLE) AS y")
-    assert len(quality._sample(rows, 20, 1)) == 20 and len(quality._sample(rows.limit(5), 20, 1)) == 5
+    same = "CAST(NULL AS BIGINT) AS doc_id", "CAST('same' AS BINARY) AS x", "array(1.0F) AS m", "1.0D AS y"
+    rows = spark.range(3000).selectExpr("id AS doc_id", "CAST(CAST(id AS STRING) AS BINARY) AS x", "array(1.0F) AS m", "CAST(id % 3 AS DOUBLE) AS y").union(spark.range(900).selectExpr(*same))
+    got = quality._sample(rows, 20, 1)
+    assert len(got) == 20 and got == quality._sample(rows.repartition(7), 20, 1) and len(quality._sample(rows.limit(5), 20, 1)) == 5
+    assert len(quality._sample(spark.range(900).selectExpr(*same), 20, 1)) <= 1
 
 
 def test_quality_on_held_out_labels(spark):
