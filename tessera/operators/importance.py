@@ -52,6 +52,11 @@ def sampled_attributions(rows: DataFrame, key: str, names: list[str], predict, b
     return rows.select(key, "features").mapInPandas(run, f"{key} {kind}, feature string, value double, attribution double")
 
 
+def towards_event(attributions: DataFrame, model: str, survival: list[str]) -> DataFrame:
+    """Attributions as shifts of the event's risk: those of models that were explained on its complement change sign."""
+    return attributions.withColumn("attribution", F.when(F.col(model).isin(survival), F.lit(0.0) - F.col("attribution")).otherwise(F.col("attribution")))
+
+
 def mean_importance(attributions: DataFrame, by: list[str], top: int = 100) -> DataFrame:
     """``(by, feature, importance, rank)``: mean absolute attribution, the ``top`` features."""
     imp = attributions.groupBy(*by, "feature").agg(F.avg(F.abs("attribution")).alias("importance"))

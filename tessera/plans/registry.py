@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import labels, scalars
 from tessera.operators import blocks, contracts, discrimination, importance, inference, models, quantiles, recodes, relational, resampling, screening, tables
 from tessera.plans import fixtures as fx
-from tessera.sources import sinks
+from tessera.sources import sheets, sinks
 from tessera.sources.tables import file_manifest, landed, read_csv, read_matrix_text, read_with_found_header, split_missing_code
 from tessera.streaming.events import windowed_summary
 
@@ -1004,6 +1004,19 @@ def found_header_scan(s, d):
     return read_with_found_header(s, path, "SeqId")
 
 
+@query("SELECT 's' || s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal END AS balance FROM supplier")
+def sheet_by_index(s, d):
+    path = f"{_folder(s)}.xlsx"
+    t = landed(s, d, "supplier", ["s_suppkey", "s_name", "s_acctbal"]).select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_acctbal")).alias("balance"))
+    sheets.write_workbook({"notes": s.createDataFrame([("a & b", 1)], "note string, n int"), "data": t}, path)
+    return sheets.read_sheet(s, path, 2).withColumn("balance", F.col("balance").cast("double"))
+
+
+@query("SELECT id, model, round(CASE WHEN model = 's2' THEN 0 - risk ELSE risk END, 6) AS attribution FROM " + PRED)
+def attribution_signs(s, d):
+    return rounded(importance.towards_event(fx.predictions(s, d).select("id", "model", F.col("risk").alias("attribution")), "model", ["s2"]))
+
+
 @query("SELECT md5(string_agg(r_name || chr(10), '' ORDER BY r_regionkey)) AS md5, sum(length(r_name) + 1)::BIGINT AS bytes FROM region")
 def manifest_of_files(s, d):
     path = _folder(s)

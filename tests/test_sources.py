@@ -77,3 +77,57 @@ def test_replace_recovers_from_a_crash(spark, tmp_path):
     assert sinks.cached(spark, path, lambda: spark.range(9).toDF("a")).count() == 5
     sinks.write_with_design(spark.range(0).toDF("a"), path, {"k": 1})
     assert sinks.read_if_same_design(spark, path, {"k": 2}) is None and sinks.read_if_same_design(spark, path, {"k": 1}).columns == ["a"]
+
+
+def test_sheets(spark, tmp_path):
+    from tessera.sources import sheets
+
+    assert [sheets.column_name(k) for k in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"] and all(sheets.column_number(sheets.column_name(k)) == k for k in range(1500))
+    path = str(tmp_path / "b.xlsx")
+    a = spark.createDataFrame([(1, "x < y & z", 0.5), (2, None, None), (3, "  kept ", float("nan"))], "n int, t string, v double").coalesce(1)
+    sheets.write_workbook({"one": a.limit(1), "two": a}, path)
+    got = sheets.read_sheet(spark, path, 2)
+    assert got.columns == ["n", "t", "v"] and [tuple(r) for r in got.collect()] == [("1", "x < y & z", "0.5"), ("2", None, None), ("3", "  kept ", "nan")]
+    assert sheets.read_sheet(spark, path, 1).count() == 1
+    with pytest.raises(Exception, match="no sheet 3"):
+        sheets.read_sheet(spark, path, 3).count()
+    import io
+    import zipfile
+
+    data, out = (tmp_path / "b.xlsx").read_bytes(), io.BytesIO()  # shared strings, as spreadsheet programs write them
+    with zipfile.ZipFile(io.BytesIO(data)) as z, zipfile.ZipFile(out, "w") as w:
+        for n in z.namelist():
+            body = z.read(n)
+            if n.endswith("sheet2.xml"):
+                body = b'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c t="s"><v>0</v></c></row><row r="4"><c r="A4" t="s"><v>1</v></c><c r="C4"><v>7</v></c></row><row r="5"><c r="A5" t="s"><v>0</v></c></row></sheetData></worksheet>'
+            w.writestr(n, body)
+        w.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><r><t>v</t></r><r><t>w</t></r></si><si><t>ID</t></si></sst>')
+    assert list(sheets.sheet_rows(out.getvalue(), 2)) == [(1, {0: "vw"}), (4, {0: "ID", 2: "7"}), (5, {0: "vw"})]
+    (tmp_path / "c.xlsx").write_bytes(out.getvalue())
+    assert sheets.read_sheet(spark, str(tmp_path / "c.xlsx"), 2, key="ID").columns == ["ID", "col_2", "7"]
+
+
+def test_settings(monkeypatch):
+    from tessera.functions import settings
+
+    for text, want in (("", 5), (" 7 ", 7)):
+        monkeypatch.setenv("SOME_COUNT", text)
+        assert settings.positive_int("SOME_COUNT", 5) == want
+    for text in ("0", "-1", "2.5", "x"):
+        monkeypatch.setenv("SOME_COUNT", text)
+        with pytest.raises(ValueError, match="SOME_COUNT"):
+            settings.positive_int("SOME_COUNT", 5)
+    for text, want in (("", True), ("No", False), ("YES", True), ("0", False)):
+        monkeypatch.setenv("SOME_SWITCH", text)
+        assert settings.switch("SOME_SWITCH", True) is want
+    monkeypatch.setenv("SOME_SWITCH", "maybe")
+    with pytest.raises(ValueError):
+        settings.switch("SOME_SWITCH")
+
+
+def test_auc_in_label(spark):
+    from tessera.functions import labels
+
+    df = spark.createDataFrame([("Model 2 (AUC = 0.71)",), ("auc: .655 model 10",), ("nothing",), (None,)], "t string")
+    n, a = labels.auc_in_label(F.col("t"))
+    assert [tuple(r) for r in df.select(n, a).collect()] == [(2, 0.71), (10, 0.655), (None, None), (None, None)]
