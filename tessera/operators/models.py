@@ -138,9 +138,9 @@ def prepared(analysis: DataFrame, assessment: DataFrame, learner: Learner) -> tu
     return tuple(model.transform(x).withColumnRenamed(last, "features") for x in (a, b))
 
 
-def fit_predict(analysis: DataFrame, assessment: DataFrame, learner: Learner, params: dict, keep: list[str], seed: int = 1) -> DataFrame:
-    """``keep`` and ``risk`` of the assessment rows; ``keep`` begins with the key."""
-    picked = screened(analysis, learner, keep[0])
+def fit_predict(analysis: DataFrame, assessment: DataFrame, learner: Learner, params: dict, keep: list[str], seed: int = 1, picked: tuple[str, ...] | None = None) -> DataFrame:
+    """``keep`` and ``risk`` of the assessment rows; ``keep`` begins with the key. ``picked`` are a screen's features, if it has been run."""
+    picked = screened(analysis, learner, keep[0]) if picked is None else picked
     (analysis, own), (assessment, _) = with_features(analysis, learner, picked), with_features(assessment, learner, picked)
     a, b = prepared(analysis, assessment, own)
     if own.stop:
@@ -159,7 +159,7 @@ def tune(analysis: DataFrame, inner: DataFrame, key: str, learner: Learner, seed
     Without any finite AUC the first point is taken, which for the elastic net
     is the fallback to declare first.
     """
-    rows = analysis.join(inner.select(key, "inner_fold"), key)
+    rows = analysis.join(inner.select(key, "inner_fold"), key).persist()
     folds = sorted(r[0] for r in rows.select("inner_fold").distinct().collect())
     best = None
     for params in learner.grid:
@@ -177,6 +177,8 @@ def tune(analysis: DataFrame, inner: DataFrame, key: str, learner: Learner, seed
             best = (params, score, oof)
         else:
             oof.unpersist()
+    best[2].count()  # held from here on, so the rows can go
+    rows.unpersist()
     return best[0], best[1], best[2].select(key, "label", "inner_fold", "risk")
 
 
@@ -196,6 +198,7 @@ def nested_cv(df: DataFrame, key: str, folds: DataFrame, inner: DataFrame, learn
     done = set()
     if exists(spark, tables[2]):  # written last
         done = {tuple(r) for r in spark.read.parquet(tables[2]).select("repeat_id", "fold_id", "model").distinct().collect()}
+    folds, inner = folds.persist(), inner.persist()  # drawn once
     plan = sorted(tuple(r) for r in folds.select("repeat_id", "fold_id").distinct().collect())
     for repeat, fold in plan:
         left = [ln for ln in learners if (repeat, fold, ln.name) not in done]
@@ -210,15 +213,16 @@ def nested_cv(df: DataFrame, key: str, folds: DataFrame, inner: DataFrame, learn
                 params, score, oof = tune(analysis, ins, key, ln, seed)
                 stamp = [F.lit(repeat).alias("repeat_id"), F.lit(fold).alias("fold_id"), F.lit(ln.name).alias("model")]
                 truth = F.col("label").cast("int").alias("truth")
-                p = fit_predict(analysis, assessment, ln, params, [key, "label"], seed)
+                picked = screened(analysis, ln, key) if ln.layer else ()
+                p = fit_predict(analysis, assessment, ln, params, [key, "label"], seed, picked)
                 replace_part(p.select(key, truth, "risk", *stamp), tables[0], (repeat, fold, ln.name))
                 replace_part(oof.select(key, truth, "risk", "inner_fold", *stamp), tables[1], (repeat, fold, ln.name))
                 oof.unpersist()
-                picked = screened(analysis, ln, key) if ln.layer else ()
                 record = [(repeat, fold, ln.name, json.dumps(params, sort_keys=True), score, len(picked), list(picked))]
                 append(spark.createDataFrame(record, "repeat_id int, fold_id int, model string, params string, score double, n_features int, selected_features array<string>").coalesce(1), tables[2])
         finally:
             rows.unpersist()
+    folds.unpersist(), inner.unpersist()
     return tuple(spark.read.parquet(t) for t in (f"{tables[0]}/*", f"{tables[1]}/*", tables[2]))
 
 
