@@ -21,6 +21,10 @@ from tessera.llm.graph import components
 THRESHOLD = 0.95
 #: Vectors of a tile, leading dimensions after which pairs are given up, rounding slack of the bounds.
 TILE, STEPS, SLACK = 2048, (8, 16, 32), 1e-9
+#: Neighbouring tiles that travel together at most, and bundles that there should be before tiles are bundled.
+BUNDLE, BUNDLES = 8, 12
+#: Numbers of a bundle at most, beyond one tile.
+BUNDLE_NUMBERS = 1 << 21
 #: Share of surviving pairs above which a tile is finished as one product.
 DENSE = 0.02
 #: From here on ids stand for vectors without one; they are never the smallest of a group with an id.
@@ -170,24 +174,30 @@ def _links_of_size(classes: DataFrame, size: int, threshold: float, scratch: Scr
         .agg(F.collect_list("id").alias("ids"), F.collect_list("copies").alias("copies"), F.flatten(F.collect_list("embedding")).alias("v"), F.max("at").alias("hi"))
         .join(cuts).withColumn("last", F.expr(_cuts_up_to(f"hi + {reach!r}D", tiles))).drop("cuts")
     )
-    # a tile meets itself and those after it that are in reach along the first axis
-    left = packed.select(F.explode(F.sequence("tile", "last")).alias("j"), F.col("tile").alias("i"), F.lit(0).alias("side"), "ids", "copies", "v")
-    pairs = packed.select(F.col("tile").alias("i"), F.explode(F.sequence("tile", "last")).alias("j")).where("j > i")
-    right = pairs.join(packed.select(F.col("tile").alias("j"), "ids", "copies", "v"), "j")
-    both = left.unionByName(right.select("j", "i", F.lit(1).alias("side"), "ids", "copies", "v"))
-
-    def run(key, tiles):
-        empty = np.empty(0, np.int64)
-        sides = {}
-        for k in range(tiles.num_rows):
-            one = tiles.slice(k, 1).combine_chunks()
+    # tiles travel in bundles of neighbours: a bundle meets itself and those after it that are in reach along the first axis
+    bundle = min(BUNDLE, max(1, tiles // BUNDLES), max(1, BUNDLE_NUMBERS // (TILE * size)))
+    packed = packed.withColumn("i", F.floor(F.col("tile") / bundle).cast("int"))
+    upto = packed.groupBy("i").agg(F.floor(F.max("last") / bundle).cast("int").alias("upto"))  # a row for each bundle
+    pairs = scratch.keep(upto.select("i", F.explode(F.sequence("i", "upto")).alias("j")))
+    held = ["tile", "last", "ids", "copies", "v"]
+    left = packed.join(pairs, "i").select("i", "j", F.lit(0).alias("side"), *held)
+    right = packed.withColumnRenamed("i", "j").join(pairs.where("j > i"), "j").select("i", "j", F.lit(1).alias("side"), *held)
+    both = left.unionByName(right)
+
+    def run(key, rows):
+        sides = ([], [])
+        for k in range(rows.num_rows):
+            one = rows.slice(k, 1).combine_chunks()
             ids, copies, v = (one.column(c).chunk(0).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "copies", "v"))
-            sides[one.column("side")[0].as_py()] = ids.copy(), copies, v.astype(np.float64).reshape(-1, size)
+            tile, last, side = (one.column(c)[0].as_py() for c in ("tile", "last", "side"))
+            sides[side].append((tile, last, ids.copy(), copies, v.astype(np.float64).reshape(-1, size)))
         same = key[0].as_py() == key[1].as_py()
-        ids = links = low = empty
-        if 0 in sides and (same or 1 in sides):
-            (ia, ca, a), (ib, cb, b) = sides[0], sides[0] if same else sides[1]
-            ids, links, low = compare(a, b, ia, ib, ca, cb, axes, threshold, same)
+        found = [(np.empty(0, np.int64),) * 3]
+        for ta, last, ia, ca, a in sides[0]:
+            for tb, _, ib, cb, b in sides[0] if same else sides[1]:
+                if ta <= tb <= last:  # a tile itself and those after it that are in its reach
+                    found.append(compare(a, b, ia, ib, ca, cb, axes, threshold, ta == tb))
+        ids, links, low = (np.concatenate(c) for c in zip(*found))
         return pa.table({"id": pa.array(ids, pa.int64()), "links": pa.array(links, pa.int64()), "low": pa.array(low, pa.int64())})
 
     return both.groupBy("i", "j").applyInArrow(run, "id bigint, links bigint, low bigint")

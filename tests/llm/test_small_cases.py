@@ -327,9 +327,11 @@ def test_html_deep_elements_stay_balanced():
     html.parse("<b><div>" + "<span>" * 100_000 + "</b>" * 100_000)
 
 
-def test_embeddings_over_many_tiles(spark, monkeypatch):
-    """Links across tiles equal brute force, where many vectors lie at one place along the first axis too."""
-    monkeypatch.setattr(embeddings, "TILE", 16)
+@pytest.mark.parametrize("tile,bundles", [(16, 12), (4, 5), (5, 2)])
+def test_embeddings_over_many_tiles(spark, monkeypatch, tile, bundles):
+    """Links across tiles and bundles equal brute force, where many vectors lie at one place along the first axis too."""
+    monkeypatch.setattr(embeddings, "TILE", tile)
+    monkeypatch.setattr(embeddings, "BUNDLES", bundles)
     rng = np.random.default_rng(9)
     base = rng.normal(size=(60, 12))
     base[20:40] = base[20]
