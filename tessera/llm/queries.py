@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, embeddings, html, media, mixing, pii, quality, sentencepiece_codec, simhash, substrings
+from tessera.llm import chat, embeddings, html, media, mixing, phrases, pii, quality, sentencepiece_codec, simhash, substrings
 from tessera.llm.common import table
 
 #: A conversation whose texts imitate the template (fixed values).
@@ -59,6 +59,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,12 +72,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     ops = (
         op1_chat_formatting, op2_mixing, op3_pii, op4_sentencepiece, op5_substring_dedup, op6_html_extraction,
-        op7_embedding_near_dedup, op8_simhash_near_dedup, op9_media_columns, op10_quality_classifier, pipeline,
+        op7_embedding_near_dedup, op8_simhash_near_dedup, op9_media_columns, op10_quality_classifier, op12_phrase_collocations, pipeline,
     )
     return {f.__name__: f for f in ops}
 
 
-#: What SQL can say whole: op1's digests (texts, template and escapes are plain strings) and op7's links.
+#: What SQL can say whole: op1's digests (texts, template and escapes are plain strings), op7's links and op12's counts.
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": rf"""
 WITH r AS (
@@ -86,6 +90,21 @@ SELECT conv_id, count(*) AS n_turns,
   sum({len(chat.START) + len(chat.SEP) + len(chat.END)} + length(role) + length(text)
     + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars
 FROM r GROUP BY conv_id""",
+    "op12_phrase_collocations": r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT d, lang, unnest(x) AS t, generate_subscripts(x, 1) AS p FROM (SELECT d, lang, regexp_split_to_array(t, '[.,;:!?\n\x0B\f\r]') AS x FROM d)),
+w AS (SELECT lang, regexp_extract_all(t, '[^ \t]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g FROM w, range(1, 5) t(k)),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+cut AS (SELECT f.lang, f.g, f.k, f.f AS a, c.c, l.f AS l, r.f AS r, (2000000::HUGEINT * f.f) // (l.f + r.f) AS score
+  FROM f, range(1, 4) c(c), f l, f r WHERE f.k >= 2 AND c.c < f.k AND l.lang = f.lang AND l.g = f.g[1:c.c] AND r.lang = f.lang AND r.g = f.g[c.c + 1:]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+inside AS (SELECT lang, g[i:i + m - 1] AS g, max(f) AS around FROM f, range(2, 4) m(m), range(1, 4) i(i) WHERE m < k AND i + m - 1 <= k GROUP BY 1, 2),
+kept AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score::BIGINT AS score FROM best b LEFT JOIN inside s ON s.lang = b.lang AND s.g = b.g
+  WHERE s.around IS NULL OR 100 * s.around < 80 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang)
+QUALIFY rank <= 2000""",
     "op7_embedding_near_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),

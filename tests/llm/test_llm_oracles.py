@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_as_sql(spark, name):
     c = duckdb.connect()
-    for t in ("conversations", "embeddings"):
+    for t in ("conversations", "documents", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = queries.queries()[name](spark, DATA)
     cols = sorted(df.columns)
