@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, embeddings, html, media, mixing, phrases, pii, quality, repair, sentencepiece_codec, simhash, substrings
+from tessera.llm import chat, embeddings, html, media, mixing, phrases, pii, quality, repair, secrets, sentencepiece_codec, simhash, substrings
 from tessera.llm.common import table
 
 #: A conversation whose texts imitate the template (fixed values).
@@ -59,6 +59,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -76,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     ops = (
         op1_chat_formatting, op2_mixing, op3_pii, op4_sentencepiece, op5_substring_dedup, op6_html_extraction,
-        op7_embedding_near_dedup, op8_simhash_near_dedup, op9_media_columns, op10_quality_classifier, op12_phrase_collocations, op13_conversation_repair, pipeline,
+        op7_embedding_near_dedup, op8_simhash_near_dedup, op9_media_columns, op10_quality_classifier, op11_secret_scans, op12_phrase_collocations, op13_conversation_repair, pipeline,
     )
     return {f.__name__: f for f in ops}
 
