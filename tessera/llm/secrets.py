@@ -37,7 +37,7 @@ CANDIDATE, MIXED = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}"),
 #: Characters around a candidate that it is compressed with, on either side.
 AROUND = 256
 #: Bytes that a candidate has to add, and bits for each of its characters.
-LEAST_BYTES, LEAST_BITS = 12, 3.5
+LEAST_BYTES, LEAST_BITS = 12, 5.0
 #: The dictionary: bytes of the most frequent identifiers of the corpus, how often they occur at least, their length, and the compression level.
 DICTIONARY_BYTES, COMMON, SHORTEST, LONGEST, LEVEL = 1 << 16, 20, 4, 32, 9
 #: Bytes of text worked on in one go.
