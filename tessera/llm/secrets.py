@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pieces
+from tessera.llm.common import Scratch, pieces
 
 #: Kinds in the order in which they are listed; the last is the method's (fixed values).
 KINDS = ("assign", "access", "hex", "novel")
@@ -124,9 +124,20 @@ def identifier_counts(docs: DataFrame) -> DataFrame:
 def identifier_dictionary(docs: DataFrame, size: int = DICTIONARY_BYTES, common: int = COMMON) -> bytes:
     """The corpus's most frequent identifiers, the most frequent last, in at most ``size`` bytes; each occurs ``common`` times at least.
 
-    All texts are counted; only what fits the dictionary comes to the driver.
+    All texts are counted. How many identifiers there are of each magnitude
+    says from which one on they have room, so that only about as many as fit
+    come to the driver, however many tasks there are.
     """
-    rows = identifier_counts(docs).where(F.col("n") >= common).orderBy(F.desc("n"), "word").limit(size // (SHORTEST + 1)).collect()
+    most = size // (SHORTEST + 1)
+    with Scratch(docs.sparkSession) as scratch:
+        counts = scratch.keep(identifier_counts(docs).where(F.col("n") >= common))
+        steps = counts.groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
+        least, room = common, most
+        for r in steps:
+            least, room = r["least"], room - r["words"]
+            if room <= 0:
+                break
+        rows = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()
     out, left = [], size
     for r in rows:
         left -= len(r["word"]) + 1
