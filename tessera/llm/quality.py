@@ -173,18 +173,30 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
+#: What tells rows apart: those that agree in it count once, however often they are repeated.
+_ROW = ("doc_id", "x", "m")
+
+
+def _distinct(rows: DataFrame, *by: str) -> dict:
+    """How many different rows there are for each value of ``by``, counted by a hash of 64 bits."""
+    found = rows.groupBy(*by).agg(F.countDistinct(F.xxhash64(*_ROW)).alias("n")).collect()
+    return {tuple(r[c] for c in by): r["n"] for r in found}
+
+
 def _sample(rows: DataFrame, n: int, salt: int) -> list:
-    """At most ``n`` rows, the same in every run: those whose hash comes first; all if there are fewer. Repeated rows count once.
+    """At most ``n`` different rows, the same in every run: those whose hash comes first; all if there are fewer.
 
-    Of many rows those below a hash that leaves about twice as many come into
-    question, so what is sent to the driver does not grow with partitions.
+    Of many rows those below a hash come into question that leaves about twice
+    as many different ones (for a small ``n`` more, so that it is not missed by
+    chance), so what is sent to the driver grows neither with partitions nor
+    with repeats.
     """
-    key = ["doc_id", "x", "m"]
-    total = rows.count()
-    hashed = rows.withColumn("h", unit(F.lit(SEED), F.lit(salt), *key))
-    if total > 2 * n:
-        hashed = hashed.where(F.col("h") < 2 * n / total)
-    return hashed.dropDuplicates(key).orderBy("h", *key).limit(n).drop("h").collect()
+    total = _distinct(rows).get((), 0)
+    hashed = rows.withColumn("h", unit(F.lit(SEED), F.lit(salt), *_ROW))
+    wanted = 2 * n + 12 * n**0.5 + 16
+    if total > wanted:
+        hashed = hashed.where(F.col("h") < wanted / total)
+    return hashed.dropDuplicates(list(_ROW)).orderBy("h", *_ROW).limit(n).drop("h").collect()
 
 
 def _arrays(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,15 +212,15 @@ def co_train(seen: DataFrame, labels: DataFrame, scratch: Scratch, fit_rows: int
     Each fit uses at most ``fit_rows`` labelled rows and as many that the other
     view labelled, picked by hash; which rows are confident is decided over all
     unlabelled documents. A document labelled twice takes the mean label; null
-    labels do not count.
+    labels do not count; repeated rows count once, here and in the prior.
     """
     named = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     joined = scratch.keep(seen.join(named, "doc_id", "left"))
     known = joined.where("y is not null")
-    have = known.groupBy("y").count().collect()
+    have = _distinct(known, "y")
     if len(have) < 2:
         return None
-    prior = sum(r["count"] for r in have if r["y"] == 1) / sum(r["count"] for r in have)
+    prior = have[1.0,] / sum(have.values())
     x, m, y = _arrays(sum((_sample(known.where(F.col("y") == v), fit_rows // 2, v) for v in (0, 1)), []))
     held = np.arange(len(y)) % 4 == 3  # for calibration
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:

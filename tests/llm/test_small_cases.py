@@ -599,7 +599,70 @@ def test_quality_sample_is_bounded(spark):
     rows = spark.range(3000).selectExpr("id AS doc_id", "CAST(CAST(id AS STRING) AS BINARY) AS x", "array(1.0F) AS m", "CAST(id % 3 AS DOUBLE) AS y").union(spark.range(900).selectExpr(*same))
     got = quality._sample(rows, 20, 1)
     assert len(got) == 20 and got == quality._sample(rows.repartition(7), 20, 1) and len(quality._sample(rows.limit(5), 20, 1)) == 5
-    assert len(quality._sample(spark.range(900).selectExpr(*same), 20, 1)) <= 1
+    assert len(quality._sample(spark.range(900).selectExpr(*same), 20, 1)) == 1
+    hot = rows.where("doc_id < 100").union(rows.where("doc_id < 11").join(spark.range(400).select()))
+    assert len({r.doc_id for r in quality._sample(hot, 20, 1)}) == 20 and {r.doc_id for r in quality._sample(hot, 20, 1)} == {r.doc_id for r in quality._sample(rows.where("doc_id < 100"), 20, 1)}
+
+
+def labelled(n, rng, bad):
+    words = ["buy", "now", "$$$", "!!!", "free"] if bad else ["the", "river", "runs", "over", "old", "stones", "and", "sand"]
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def two_kinds(spark):
+    """Documents of two kinds, a third of them labelled, and one repeated row of each kind among them."""
+    rng = random.Random(6)
+    rows = [(k, labelled(rng.randrange(20, 60), rng, k % 3 == 0), "en", "web" if k % 3 == 0 else "book", 100 + k % 7) for k in range(66)]
+    labels = [(k, int(k % 3 > 0)) for k in range(22)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    plain = spark.createDataFrame(rows, schema)
+    repeated = spark.createDataFrame(rows + [rows[0], rows[1]] * 2000, schema)
+    return plain, repeated, spark.createDataFrame(labels, "doc_id bigint, quality int")
+
+
+def test_quality_with_repeated_labelled_rows(two_kinds):
+    plain, repeated, labels = two_kinds
+    one, many = (quality.score_documents(d.repartition(3), labels, fit_rows=20).dropDuplicates(["doc_id"]).collect() for d in (plain, repeated))
+    close = lambda rows: {r.doc_id: (*(round(r[c], 9) for c in ("p_text", "p_meta", "p_good")), r.kept) for r in rows}
+    assert close(one) == close(many)
+    bad = quality.score_documents(repeated, labels, fit_rows=20).where("doc_id % 3 = 0 AND doc_id < 22")
+    assert bad.count() == 2008 and bad.where("kept").count() == 0
+    good = quality.good_documents(repeated, labels, fit_rows=40).groupBy((F.col("doc_id") % 3 == 0).alias("bad")).count().collect()
+    assert [(r.bad, r["count"]) for r in good] == [(False, 2044)]
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_quality_co_training_against_plain_arrays(two_kinds, rounds):
+    """The rounds written down on arrays, every row in them: what Spark scores has to agree."""
+    plain, _, labels = two_kinds
+    seen = {r.doc_id: r for r in quality.views(plain).collect()}
+    named = {r.doc_id: float(r.quality) for r in labels.collect()}
+    known, rest = sorted(named), sorted(set(seen) - set(named))
+    x = lambda ids: np.array([np.frombuffer(bytes(seen[i].x), np.uint8) / 255 for i in ids]).reshape(-1, quality.WIDTH)
+    m = lambda ids: quality.metadata_matrix(np.array([seen[i].m for i in ids], float).reshape(-1, 3))
+    y = np.array([named[i] for i in known])
+    held = np.arange(len(known)) % 4 == 3
+    weight = np.where(y > 0, y.mean() / (y > 0).sum(), (1 - y.mean()) / (y == 0).sum()) * len(y)
+    extra = {"text": {}, "meta": {}}
+    for step in range(rounds + 1):
+        fitted = {}
+        for view, f in (("text", x), ("meta", m)):
+            more = sorted(extra[view])
+            fit = quality.Logistic().fit(np.vstack([f(known)[~held], f(more)]), np.append(y[~held], [extra[view][i] for i in more]), np.append(weight[~held], np.full(len(more), 0.5)))
+            z = np.hstack([(np.vstack([f(known)[~held], f(more)]) - fit.mean) / fit.sd, np.ones(((~held).sum() + len(more), 1))])
+            p = 1 / (1 + np.exp(-z @ fit.w))
+            target, w = np.append(y[~held], [extra[view][i] for i in more]), np.append(weight[~held], np.full(len(more), 0.5))
+            assert np.abs(z.T @ (w * (p - target)) + np.append(np.full(z.shape[1] - 1, fit.ridge), 1e-6) * fit.w).max() < 1e-6  # the optimum
+            fitted[view] = fit.calibrate(f(known)[held], y[held])
+        odds = {v: 1 / (1 + np.exp(-np.clip(fitted[v].odds(f(rest)), -30, 30))) for v, f in (("text", x), ("meta", m))}
+        for view, by in (("text", "meta"), ("meta", "text")):
+            extra[view] = {i: float(p > 0.5) for i, p in zip(rest, odds[by]) if p > quality.CONFIDENT or p < 1 - quality.CONFIDENT}
+    prior = np.log(y.mean() / (1 - y.mean()))
+    every = sorted(seen)
+    want = 1 / (1 + np.exp(-np.clip(fitted["text"].odds(x(every)) + fitted["meta"].odds(m(every)) - prior, -30, 30)))
+    got = {r.doc_id: r.p_good for r in quality.score_documents(plain.repartition(4), labels, rounds=rounds).collect()}
+    assert np.allclose([got[i] for i in every], want, atol=1e-9)
 
 
 def test_quality_on_held_out_labels(spark):
