@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +11,7 @@ from tessera.functions import labels, scalars
 from tessera.operators import blocks, contracts, discrimination, importance, inference, models, quantiles, recodes, relational, resampling, screening, tables
 from tessera.plans import fixtures as fx
 from tessera.sources import sheets, sinks
+from tessera.sources.folders import own_folder
 from tessera.sources.tables import file_manifest, landed, read_csv, read_matrix_text, read_with_found_header, split_missing_code
 from tessera.streaming.events import windowed_summary
 
@@ -890,7 +890,11 @@ def columns_by_pattern(s, d):
     return t.select(relational.pick_columns(t, "^l_.*(key|date)$"))
 
 
-@query("PIVOT (SELECT r_name, name, v FROM (SELECT r_name, count(*)::DOUBLE AS nations, avg(n_nationkey) AS mean_key FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1) UNPIVOT (v FOR name IN (nations, mean_key))) ON r_name USING first(v) GROUP BY name")
+NATIONS = "(SELECT r_name, count(*)::DOUBLE AS nations, avg(n_nationkey) AS mean_key FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1)"
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+@query(f"SELECT name, {', '.join(f"""max(CASE WHEN r_name = '{r}' THEN v END) AS "{r}" """ for r in REGIONS)} FROM (SELECT r_name, 'nations' AS name, nations AS v FROM {NATIONS} UNION ALL SELECT r_name, 'mean_key', mean_key FROM {NATIONS}) GROUP BY name")
 def transposed_table(s, d):
     n = landed(s, d, "nation", ["n_nationkey", "n_regionkey"]).join(landed(s, d, "region", ["r_regionkey", "r_name"]), F.col("n_regionkey") == F.col("r_regionkey"))
     return relational.transposed(n.groupBy("r_name").agg(F.count("*").alias("nations"), F.avg("n_nationkey").alias("mean_key")), "r_name", ["nations", "mean_key"])
@@ -934,14 +938,6 @@ def characteristics_with_p(s, d):
 
 # ---- sources and sinks ----------------------------------------------------------------
 
-def _folder(s) -> str:
-    """A folder of this query's own, where driver and executors can write."""
-    from tempfile import mkdtemp
-
-    base = s.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="queries-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _text_file(s, head: list[str], lines, path: str) -> None:
     """One file of some lines, then ``lines(value, at)`` in the order of ``at``."""
     first = s.createDataFrame([(v, k - len(head)) for k, v in enumerate(head)], "value string, at int")
@@ -950,14 +946,14 @@ def _text_file(s, head: list[str], lines, path: str) -> None:
 
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def csv_round_trip(s, d):
-    t, path = landed(s, d, "supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]), _folder(s)
+    t, path = landed(s, d, "supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]), own_folder(s)
     sinks.write_csv(t, path)
     return read_csv(s, path, t.schema)
 
 
 @query("SELECT c_mktsegment, c_custkey % 3 AS part, count(*) AS n FROM customer GROUP BY 1, 2")
 def append_log(s, d):
-    path = _folder(s)
+    path = own_folder(s)
     for k in range(3):
         sinks.append(landed(s, d, "customer", ["c_custkey", "c_mktsegment"]).where(F.col("c_custkey") % 3 == k).withColumn("part", F.lit(k).cast("bigint")), path)
     return s.read.parquet(path).groupBy("c_mktsegment", "part").agg(F.count("*").alias("n"))
@@ -965,7 +961,7 @@ def append_log(s, d):
 
 @query("SELECT n_nationkey, n_name FROM nation")
 def replaced_table(s, d):
-    path, t = _folder(s), landed(s, d, "nation", ["n_nationkey", "n_name"])
+    path, t = own_folder(s), landed(s, d, "nation", ["n_nationkey", "n_name"])
     sinks.replace(t.where("n_nationkey < 5"), path)
     sinks.replace(t, path)
     return s.read.parquet(path)
@@ -973,14 +969,14 @@ def replaced_table(s, d):
 
 @query("SELECT r_regionkey, r_name FROM region")
 def cached_table(s, d):
-    path, t = _folder(s), landed(s, d, "region", ["r_regionkey", "r_name"])
+    path, t = own_folder(s), landed(s, d, "region", ["r_regionkey", "r_name"])
     sinks.cached(s, path, lambda: t)
     return sinks.cached(s, path, lambda: t.limit(0))
 
 
 @query("SELECT r_regionkey, r_name, 'kept' AS state FROM region")
 def design_matched_checkpoint(s, d):
-    path, t = _folder(s), landed(s, d, "region", ["r_regionkey", "r_name"])
+    path, t = own_folder(s), landed(s, d, "region", ["r_regionkey", "r_name"])
     sinks.write_with_design(t, path, {"seed": 1, "folds": 5})
     other = sinks.read_if_same_design(s, path, {"seed": 2, "folds": 5})
     found = sinks.read_if_same_design(s, path, {"folds": 5, "seed": 1})
@@ -989,7 +985,7 @@ def design_matched_checkpoint(s, d):
 
 @query("SELECT n_nationkey::VARCHAR AS id, feature, value FROM (SELECT n_nationkey, 'seq.' || k AS feature, CASE WHEN (n_nationkey + k) % 5 <> 0 THEN n_nationkey * k / 2e0 END AS value FROM nation, range(1, 4) AS t(k))")
 def text_matrix_scan(s, d):
-    n, path = F.col("n_nationkey"), _folder(s)
+    n, path = F.col("n_nationkey"), own_folder(s)
     cells = [F.when((n + k) % 5 == 0, F.lit("x")).otherwise((n * k / 2.0).cast("string")) for k in range(1, 4)]
     lines = landed(s, d, "nation", ["n_nationkey"]).select(F.concat_ws("\t", n.cast("string"), *cells).alias("value"), n.alias("at"))
     _text_file(s, ["!Version\t1", "^TABLE_BEGIN", "SampleId\tseq.1\tseq.2\tseq.3"], lines, path)
@@ -998,7 +994,7 @@ def text_matrix_scan(s, d):
 
 @query("SELECT 's' || r_regionkey AS SeqId, r_name AS Target, lower(r_name) AS \"Target.1\" FROM region")
 def found_header_scan(s, d):
-    path = _folder(s)
+    path = own_folder(s)
     body = landed(s, d, "region", ["r_regionkey", "r_name"]).select(F.concat_ws(",", F.concat(F.lit("s"), "r_regionkey"), "r_name", F.lower("r_name")).alias("value"), F.col("r_regionkey").alias("at"))
     _text_file(s, ["exported,,", "by hand,,", " SeqId ,Target,Target"], body, path)
     return read_with_found_header(s, path, "SeqId")
@@ -1006,7 +1002,7 @@ def found_header_scan(s, d):
 
 @query("SELECT 's' || s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal END AS balance FROM supplier")
 def sheet_by_index(s, d):
-    path = f"{_folder(s)}.xlsx"
+    path = f"{own_folder(s)}.xlsx"
     t = landed(s, d, "supplier", ["s_suppkey", "s_name", "s_acctbal"]).select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_acctbal")).alias("balance"))
     sheets.write_workbook({"notes": s.createDataFrame([("a & b", 1)], "note string, n int"), "data": t}, path)
     return sheets.read_sheet(s, path, 2).withColumn("balance", F.col("balance").cast("double"))
@@ -1019,7 +1015,7 @@ def attribution_signs(s, d):
 
 @query("SELECT md5(string_agg(r_name || chr(10), '' ORDER BY r_regionkey)) AS md5, sum(length(r_name) + 1)::BIGINT AS bytes FROM region")
 def manifest_of_files(s, d):
-    path = _folder(s)
+    path = own_folder(s)
     landed(s, d, "region", ["r_regionkey", "r_name"]).coalesce(1).sortWithinPartitions("r_regionkey").select("r_name").write.text(path)
     return file_manifest(s, path, "*.txt").select("md5", "bytes")
 
@@ -1049,7 +1045,7 @@ def _nested(s, d):
         models.Learner("forest", "forest", ("a",), (), ({"numTrees": 10, "minInstancesPerNode": 5},), "layer", NAMES, ("sis", 4)),
         models.Learner("boosted", "boosted", ("a",), (), ({"maxIter": 6, "maxDepth": 2, "stepSize": 0.3, "subsamplingRate": 0.9},), "layer", NAMES, ("mrmr", 3), stop=True),
     ]
-    path = _NESTED.setdefault((s.sparkContext.applicationId, d), _folder(s))  # the queries resume one run
+    path = _NESTED.setdefault((s.sparkContext.applicationId, d), own_folder(s))  # the queries resume one run
     return models.nested_cv(rows, "id", folds, inner, learners, path)
 
 
@@ -1074,3 +1070,6 @@ def stack_ridge(s, d):
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")
 def event_windows(s, d):
     return rounded(windowed_summary(landed(s, d, "events", ["ts", "event_type", "value"])))
+
+
+from tessera.plans import modelling  # noqa: E402, F401  its queries are registered as it is read
