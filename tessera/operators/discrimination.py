@@ -7,9 +7,7 @@ grouped by ``by`` (model, layer, repeat ...), so one plan serves all groups.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,8 +15,8 @@ from tessera.functions.labels import title_case
 from tessera.functions.scalars import EPS, logit
 from tessera.functions.tails import normal_p
 from tessera.operators.inference import bh_adjust, spearman
-from tessera.operators.ordered import join_on, running
-from tessera.operators.resampling import bootstrap_draws, draw_numbers, drawn
+from tessera.operators.ordered import few, join_on, running
+from tessera.operators.resampling import bootstrap_slots, draw_numbers
 
 Z95 = 1.959963984540054
 
@@ -93,14 +91,6 @@ def delong_paired(df: DataFrame, key: str, by: list[str], risk_a: str, risk_b: s
     return out.select(*by, "auc_a", "auc_b", "delta", "z", normal_p("z").alias("p_value"))
 
 
-def weighted_auc(df: DataFrame, by: list[str], risk: str, truth: str, weight: str) -> DataFrame:
-    """AUC of rows that count ``weight`` times; null if a class is absent."""
-    bins = df.groupBy(*by, risk).agg(F.sum(F.col(truth) * F.col(weight)).alias("_p"), F.sum((1 - F.col(truth)) * F.col(weight)).alias("_q"))
-    w = Window.partitionBy(*by).orderBy(risk).rowsBetween(Window.unboundedPreceding, -1)
-    u = F.col("_p") * (F.coalesce(F.sum("_q").over(w), F.lit(0)) + F.col("_q") / 2.0)
-    return bins.withColumn("_u", u).groupBy(*by).agg(F.try_divide(F.sum("_u"), F.sum("_p").cast("double") * F.sum("_q")).alias("auc"))
-
-
 def bootstrap_delta(
     df: DataFrame, key: str, risk_a: str, risk_b: str, truth: str = "truth", replicates: int = 2000, seed=1, by: list[str] | None = None, cohort: list[str] | None = None
 ) -> DataFrame:
@@ -108,69 +98,31 @@ def bootstrap_delta(
 
     Ids are drawn once for each group of ``cohort`` (those columns of ``by``
     that tell whose ids they are; all of them if not given), so comparisons of
-    one cohort see the same draws.
+    one cohort see the same draws. Draws are made and met with their rows on
+    the executors and counted per distinct risk at once; few rows are
+    broadcast to the draws, many are joined with counted draws.
     """
     by = list(by or [])
     cohort = by if cohort is None else list(cohort)
     rows = df.select(*by, key, F.col(risk_a).alias("_ra"), F.col(risk_b).alias("_rb"), F.col(truth).cast("int").alias("_y")).where("_ra IS NOT NULL AND _rb IS NOT NULL AND _y IS NOT NULL")
-    fits = rows.limit(COHORT_ROWS + 1).count() <= COHORT_ROWS
-    d = _local_deltas(rows, key, by, cohort, replicates, seed) if fits else _joined_deltas(rows, key, by, cohort, replicates, seed)
+    members = rows.select(*cohort, key).distinct()
+    sizes = members.groupBy(*cohort).agg(F.count("*").alias("_size"))
+    own = join_on(rows, draw_numbers(members, key, seed, cohort), [*cohort, key]).drop(key)
+    picks = bootstrap_slots(sizes, cohort, replicates, seed)
+    if few(rows):
+        j = join_on(picks.withColumn("_t", F.lit(1)), F.broadcast(own), [*cohort, "_i"])  # FEW_ROWS at most
+    else:
+        j = join_on(own, picks.groupBy(*cohort, "replicate", "_i").agg(F.count("*").alias("_t")), [*cohort, "_i"])
+    risks = lambda t, *more: t.select(*by, *more, F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("_ra").alias("r")), F.struct(F.lit(1).alias("s"), F.col("_rb").alias("r")))).alias("x")).select(*by, *more, "x.s", "x.r")
+    group = [*by, "replicate", "s"]
+    bins = risks(j, "replicate", "_y", "_t").groupBy(*group, "r").agg(F.sum(F.col("_y") * F.col("_t")).alias("_p"), F.sum((1 - F.col("_y")) * F.col("_t")).alias("_q"))
+    u = F.col("_p") * (F.col("_q0") + F.col("_q") / 2.0)
+    sides = running(bins, group, "r", {"_q0": F.col("_q")}, like=risks(rows)).withColumn("_u", u).groupBy(*group).agg(F.try_divide(F.sum("_u"), F.sum("_p").cast("double") * F.sum("_q")).alias("auc"))
+    one = lambda k: F.max(F.when(F.col("s") == k, F.col("auc")))
+    d = sides.groupBy(*by, "replicate").agg((one(0) - one(1)).alias("d"))
     return d.groupBy(*by).agg(F.count("d").alias("n_valid"), F.percentile("d", F.lit(0.025)).alias("delta_lo"), F.percentile("d", F.lit(0.975)).alias("delta_hi"))
 
 
-#: Rows that travel to every task of a bootstrap; more are joined with their draws.
-COHORT_ROWS = 2_000_000
-
-
-def _joined_deltas(rows: DataFrame, key: str, by: list[str], cohort: list[str], replicates: int, seed) -> DataFrame:
-    """``(by, replicate, d)`` by joining rows with their draws."""
-    draws = bootstrap_draws(rows.select(*cohort, key).distinct(), key, replicates, seed, cohort)
-    j = join_on(rows, draws, [*cohort, key])
-    sides = [weighted_auc(j, [*by, "replicate"], r, "_y", "times").withColumnRenamed("auc", n) for r, n in (("_ra", "a"), ("_rb", "b"))]
-    return join_on(sides[0], sides[1], [*by, "replicate"]).select(*by, "replicate", (F.col("a") - F.col("b")).alias("d"))
-
-
-def _local_deltas(rows: DataFrame, key: str, by: list[str], cohort: list[str], replicates: int, seed) -> DataFrame:
-    """The same of rows that fit a task: replicates are spread, each draws its cohort once for all of its comparisons."""
-    spark = rows.sparkSession
-    numbers = draw_numbers(rows.select(*cohort, key).distinct(), key, seed, cohort)
-    local = join_on(rows, numbers, [*cohort, key]).select(*by, "_i", "_ra", "_rb", "_y").toPandas()
-    groups, members, kept = {}, {}, []
-    for name, part in local.groupby(by, dropna=False, sort=False) if by else [((), local)]:
-        at = dict(zip(by, name if isinstance(name, tuple) else (name,)))
-        own = members.setdefault(tuple(None if pd.isna(at[c]) else at[c] for c in cohort), [])
-        own.append(len(kept))
-        codes = [np.unique(part[c].to_numpy(float), return_inverse=True)[1] for c in ("_ra", "_rb")]
-        kept.append((part["_i"].to_numpy(), part["_y"].to_numpy(float), *codes))
-        groups[len(kept) - 1] = tuple(None if pd.isna(v) else v for v in at.values())
-    cohorts = list(members.values())
-    sizes = [1 + max(int(kept[k][0].max()) for k in own) for own in cohorts]
-    shared = spark.sparkContext.broadcast((cohorts, sizes, kept))
-
-    def auc_of(code, p, q):
-        p, q = np.bincount(code, p), np.bincount(code, q)
-        return (p * (np.cumsum(q) - q / 2)).sum() / (p.sum() * q.sum()) if p.sum() * q.sum() else None
-
-    def run(batches):
-        cohorts, sizes, kept = shared.value
-        for pdf in batches:
-            out = []
-            for c, replicate in zip(pdf["c"].tolist(), pdf["replicate"].tolist()):
-                times = np.bincount(drawn(sizes[c], replicate, seed), minlength=sizes[c])
-                for k in cohorts[c]:
-                    i, y, a, b = kept[k]
-                    p, q = y * times[i], (1 - y) * times[i]
-                    found = auc_of(a, p, q), auc_of(b, p, q)
-                    out.append((k, replicate, None if None in found else found[0] - found[1]))
-            yield pd.DataFrame(out, columns=["k", "replicate", "d"])
-
-    units = spark.range(len(cohorts) * replicates).select((F.col("id") % len(cohorts)).cast("int").alias("c"), (F.floor(F.col("id") / len(cohorts)) + 1).cast("int").alias("replicate"))
-    found = units.mapInPandas(run, "k int, replicate int, d double")
-    schema = T.StructType([T.StructField("k", T.IntegerType()), *[rows.schema[c] for c in by]])
-    names = spark.createDataFrame([(k, *v) for k, v in groups.items()], schema)
-    return found.join(names, "k").select(*by, "replicate", "d")
-
-
 def contrasts(predictions: DataFrame, pairs: DataFrame, key: str, same: list[str], truth: str = "truth") -> DataFrame:
     """``(columns of pairs, same, key, truth, risk_a, risk_b)``: both risks of each pair, on the ids that have both.
 

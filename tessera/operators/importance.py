@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ordered import join_on
+from tessera.operators.ordered import join_on, total_rank
 from tessera.operators.quantiles import quantiles_interpolated
 
 
@@ -60,14 +60,15 @@ def towards_event(attributions: DataFrame, model: str, survival: list[str]) -> D
 def mean_importance(attributions: DataFrame, by: list[str], top: int = 100) -> DataFrame:
     """``(by, feature, importance, rank)``: mean absolute attribution, the ``top`` features."""
     imp = attributions.groupBy(*by, "feature").agg(F.avg(F.abs("attribution")).alias("importance"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy(F.desc("importance"), "feature")
+    imp = imp if by else imp.orderBy(F.desc("importance"), "feature").limit(top)
+    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy(F.desc("importance"), "feature")  # of all groups together, the top rows
     return imp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
 def coefficient_importance(coefficients: DataFrame) -> DataFrame:
     """Coefficients that are not zero, by size."""
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc(F.abs("coefficient")), "feature")
-    return coefficients.where("coefficient <> 0").withColumn("rank", F.row_number().over(w))
+    sized = coefficients.where("coefficient <> 0").withColumn("_size", F.abs("coefficient"))
+    return total_rank(sized, "_size", "feature", descending=True).drop("_size")
 
 
 def directions(attributions: DataFrame, by: list[str], threshold: float = 0.0, labels=("Adverse", "Protective", "Neutral")) -> DataFrame:
@@ -101,8 +102,8 @@ def overlap(a: DataFrame, b: DataFrame, tops=(20, 50, 100)) -> DataFrame:
 def shared_top(a: DataFrame, b: DataFrame, n: int = 20) -> DataFrame:
     """Features that both rankings have among their first ``n``, by mean rank, with importances scaled to their model's largest."""
     def own(df, side):
-        top = F.max("importance").over(Window.partitionBy(F.lit(1)))
-        return df.select("feature", F.col("rank").alias(f"rank_{side}"), F.try_divide("importance", top).alias(f"scaled_{side}")).where(F.col(f"rank_{side}") <= n)
+        top = df.agg(F.max("importance").alias("_top"))  # one row
+        return df.join(top).select("feature", F.col("rank").alias(f"rank_{side}"), F.try_divide("importance", "_top").alias(f"scaled_{side}")).where(F.col(f"rank_{side}") <= n)
 
     j = own(a, "a").join(own(b, "b"), "feature")
     return j.withColumn("mean_rank", (F.col("rank_a") + F.col("rank_b")) / 2.0)

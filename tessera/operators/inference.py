@@ -7,18 +7,24 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import safe_corr
 from tessera.functions.tails import chi2_p, normal_p, rank_sum_p, t_log10_p
+from tessera.operators.ordered import join_on, running, smallest_after
 from tessera.operators.quantiles import average_rank
 
 
 def bh_adjust(df: DataFrame, p: str, family: list[str], name: str = "p_adj") -> DataFrame:
-    """Benjamini-Hochberg adjusted P values within a family; nulls stay and do not count."""
-    known = F.col(p).isNotNull()
-    part = Window.partitionBy(*family, known) if family else Window.partitionBy(known)
-    m = F.count(p).over(part)
-    rank = F.rank().over(part.orderBy(p)) + F.count("*").over(Window.partitionBy(*family, p)) - 1
-    scaled = df.withColumn("_s", F.when(known, F.col(p) * m / rank))
-    down = part.orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, 0)
-    return scaled.withColumn(name, F.when(known, F.least(F.min("_s").over(down), F.lit(1.0)))).drop("_s")
+    """Benjamini-Hochberg adjusted P values within a family; nulls stay and do not count.
+
+    Families are counted by distinct P first; ranks are running sums and the
+    adjusted value a suffix minimum over these, so a family of any size is
+    spread.
+    """
+    bins = df.where(F.col(p).isNotNull()).groupBy(*family, p).agg(F.count("*").alias("_c"))
+    ranked = running(bins, family, p, {"_lo": F.col("_c")})
+    sizes = bins.groupBy(*family).agg(F.sum("_c").alias("_m"))
+    ranked = join_on(ranked, sizes, family) if family else ranked.join(sizes)  # one row
+    scaled = F.col(p) * F.col("_m") / (F.col("_lo") + F.col("_c"))
+    least = smallest_after(ranked, family, p, scaled, "_s").select(*family, p, F.least("_s", F.lit(1.0)).alias(name))
+    return join_on(df, least, [*family, p], "left")
 
 
 def chi_square(df: DataFrame, row: str, col: str, by: list[str] | None = None) -> DataFrame:

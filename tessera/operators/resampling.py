@@ -6,9 +6,6 @@ draws the same. A split is a join with one of these tables, never a copy.
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,35 +70,35 @@ def draw_numbers(df: DataFrame, key: str, seed=1, by: list[str] | None = None) -
     return numbered(df.select(*by, key), by, hash_order(seed, "index", F.col(key)), key).withColumn("_i", F.col("_n") - 1).drop("_n")
 
 
-def drawn(n: int, replicate: int, seed=1) -> np.ndarray:
-    """One replicate's draws of ``bootstrap_draws`` from ``n`` rows, as row numbers."""
-    first, head = (replicate - 1) * n, f"{seed}|boot|"
-    digests = b"".join(hashlib.md5(f"{head}{k}".encode()).digest()[:4] for k in range(first, first + n))
-    return (np.frombuffer(digests, ">u4").astype(np.int64)) % n
-
-
-def bootstrap_draws(df: DataFrame, key: str, replicates: int, seed=1, by: list[str] | None = None) -> DataFrame:
-    """``(by, replicate, key, times)``: rows drawn with replacement, as many as a group has, in each group of ``by``.
+def bootstrap_slots(sizes: DataFrame, by: list[str], replicates: int, seed=1) -> DataFrame:
+    """``(by, replicate, _i)``: for each of a replicate's slots the number of the row that it draws, ``sizes(by, _size)``.
 
-    Row numbers are dealt by hash order; each of replicate * n slots picks one.
-    Slots are made where they are used, and counted per row first, so the join
-    is as small as the distinct draws. Groups of 2^31 rows and more draw with
-    60 bits of the digest.
+    Slots are made where they are used, in stretches, so that no row explodes
+    into all of them. Groups of 2^31 rows and more draw with 60 bits of the
+    digest.
     """
-    by = list(by or [])
-    numbers = draw_numbers(df, key, seed, by)
-    sizes = df.groupBy(*by).agg(F.count("*").alias("_size")).where("_size > 0")
-    parts = sizes.select(*by, "_size", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    parts = sizes.where("_size > 0").select(*by, "_size", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     first = (F.col("replicate") - 1) * F.col("_size")
-    # a replicate's slots in stretches, so that no row explodes into all of them
     parts = parts.withColumn("_s", F.explode(F.sequence(first, first + F.col("_size") - 1, F.lit(SLOTS).cast("bigint"))))
     parts = parts.repartition("replicate", "_s")
     end = F.least(F.col("_s") + SLOTS, first + F.col("_size")) - 1
     slots = parts.withColumn("slot", F.explode(F.sequence("_s", end)))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("boot"), F.col("slot").cast("string")))
     digits = F.when(F.col("_size") < 1 << 31, F.substring(digest, 1, 8)).otherwise(F.substring(digest, 1, 15))
-    picks = slots.withColumn("_i", F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.col("_size")))
-    counted = picks.groupBy(*by, "replicate", "_i").agg(F.count("*").alias("times"))
+    return slots.select(*by, "replicate", F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.col("_size")).alias("_i"))
+
+
+def bootstrap_draws(df: DataFrame, key: str, replicates: int, seed=1, by: list[str] | None = None) -> DataFrame:
+    """``(by, replicate, key, times)``: rows drawn with replacement, as many as a group has, in each group of ``by``.
+
+    Row numbers are dealt by hash order; each of replicate * n slots picks one.
+    Picks are counted per row before they are joined, so the join is as small
+    as the distinct draws.
+    """
+    by = list(by or [])
+    numbers = draw_numbers(df, key, seed, by)
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_size"))
+    counted = bootstrap_slots(sizes, by, replicates, seed).groupBy(*by, "replicate", "_i").agg(F.count("*").alias("times"))
     return join_on(counted, numbers, [*by, "_i"]).select(*by, "replicate", key, "times")
 
 

@@ -85,10 +85,10 @@ def moderated_t(long: DataFrame, truth: str = "truth") -> DataFrame:
 def screen_moderated(long: DataFrame, alpha: float = 0.05, least: int = 2, fallback: int = 50, truth: str = "truth") -> DataFrame:
     """Features below ``alpha`` after adjustment; if fewer than ``least``, the ``fallback`` smallest P values."""
     tested = moderated_t(long, truth)
-    w = Window.orderBy(F.col("p_value").asc_nulls_last(), "feature")
-    hits = F.sum((F.col("p_adj") < alpha).cast("int")).over(Window.partitionBy(F.lit(1)))
-    ranked = tested.withColumn("_n", F.row_number().over(w)).withColumn("_h", hits)
-    return ranked.where(F.when(F.col("_h") < least, F.col("_n") <= fallback).otherwise(F.col("p_adj") < alpha)).drop("_n", "_h")
+    hits = tested.agg(F.count(F.when(F.col("p_adj") < alpha, 1)).alias("_h"))
+    first = tested.orderBy(F.col("p_value").asc_nulls_last(), "feature").limit(fallback).select("feature", F.lit(True).alias("_first"))
+    ranked = tested.join(hits).join(first, "feature", "left")  # one row of hits
+    return ranked.where(F.when(F.col("_h") < least, F.coalesce("_first", F.lit(False))).otherwise(F.col("p_adj") < alpha)).drop("_h", "_first")
 
 
 def sis_size(n: int, cap: int = 200) -> int:
@@ -103,7 +103,8 @@ def screen_sis(long: DataFrame, k: int, rank_based: bool = True, truth: str = "t
     else:
         known = known.withColumn("_x", F.col("value")).withColumn("_y", F.col(truth).cast("double"))
     s = known.groupBy("feature").agg(F.abs(F.coalesce(safe_corr(F.col("_x"), F.col("_y")), F.lit(0.0))).alias("score"))
-    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 12)), "feature"))).where(F.col("rank") <= k)
+    best = s.orderBy(F.desc(F.round("score", 12)), "feature").limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round("score", 12)), "feature")))  # k rows
 
 
 def screen_mrmr(long: DataFrame, k: int, id_col: str, truth: str = "truth") -> list[str]:
