@@ -7,54 +7,112 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import fisher_z_difference, larger_magnitude, safe_corr
+from tessera.functions.scalars import fisher_z_difference, larger_magnitude
 from tessera.functions.tails import log_normal_upper, log_t_two_sided
 from tessera.operators.inference import with_correlation_p
 
 CLIP, CAP = 0.9999, 15.0
 
 
+#: Features of a tile on either side, rows of a tile, and features of a layer at most: pairs are a row each.
+TILE, ROW_BLOCK, MOST_FEATURES = 512, 4096, 1_000_000
+
+
+def _features(long: DataFrame) -> list:
+    """The names of a layer in order with their means, a row each; bounded by what a table of all pairs can hold."""
+    found = long.groupBy("feature").agg(F.avg("value").alias("mean")).orderBy("feature").limit(MOST_FEATURES + 1).collect()
+    if len(found) > MOST_FEATURES:
+        raise ValueError(f"more than {MOST_FEATURES} features")
+    return found
+
+
+def _as_arrays(long: DataFrame, key: str, names: list[str], out: str) -> DataFrame:
+    """``(key, out)``: an array of a key's values in the order of ``names``, null where there is none."""
+    kind = dict(long.dtypes)[key]
+    at = long.sparkSession.createDataFrame(list(enumerate(names)), "pos int, feature string")
+    cells = long.join(at, "feature").groupBy(key).agg(F.collect_list(F.struct("pos", F.col("value").cast("double").alias("value"))).alias("cells"))
+
+    def run(batches):
+        for pdf in batches:
+            dense = []
+            for cells in pdf["cells"]:
+                row = np.full(len(names), np.nan)
+                row[[c["pos"] for c in cells]] = [c["value"] for c in cells]
+                dense.append(row)
+            yield pd.DataFrame({key: pdf[key], out: dense})
+
+    return cells.mapInPandas(run, f"{key} {kind}, {out} array<double>")
+
+
 def correlate(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """``(x, y, n, r)`` for every feature of ``a`` with every feature of ``b``, both ``(key, feature, value)``.
 
-    For layers of a few hundred features: a join on the sample with partial
-    aggregation. Wider layers take ``correlate_wide``.
+    Values of a key are gathered into an array a layer, then tiles are
+    correlated. Pairs without a row in common have none.
     """
-    x = a.select(key, F.col("feature").alias("x"), F.col("value").alias("vx")).where("vx IS NOT NULL")
-    y = b.select(key, F.col("feature").alias("y"), F.col("value").alias("vy")).where("vy IS NOT NULL")
-    return x.join(y, key).groupBy("x", "y").agg(F.count("*").alias("n"), F.coalesce(safe_corr(F.col("vx"), F.col("vy")), F.lit(0.0)).alias("r"))
+    a, b = (t.select(key, "feature", "value").where("value IS NOT NULL") for t in (a, b))
+    xs, ys = _features(a), _features(b)
+    rows = _as_arrays(a, key, [r["feature"] for r in xs], "x").join(_as_arrays(b, key, [r["feature"] for r in ys], "y"), key)
+    return correlate_tiled(rows, key, "x", "y", [r["feature"] for r in xs], [r["feature"] for r in ys], ([r["mean"] for r in xs], [r["mean"] for r in ys]))
 
 
-def correlate_wide(rows: DataFrame, x: str, y: str, x_names: list[str], y_names: list[str]) -> DataFrame:
-    """The same from rows with one array of features per layer, complete: partial Gram matrices add up.
+def _means(rows: DataFrame, column: str, n: int) -> list[float]:
+    found = rows.select(F.posexplode(column).alias("i", "v")).where("NOT isnan(v)").groupBy("i").agg(F.avg("v").alias("m")).collect()
+    at = {r["i"]: r["m"] for r in found}
+    return [at.get(k, 0.0) for k in range(n)]
+
 
-    A partition reduces its rows to one |x| by |y| matrix, so the shuffle
-    carries matrices instead of a product of long tables.
+def correlate_tiled(rows: DataFrame, key: str, x: str, y: str, x_names: list[str], y_names: list[str], means=None) -> DataFrame:
+    """``(x, y, n, r)`` from rows with one array of features a layer, which may lack values.
+
+    A task has a tile: some features of either layer and a block of rows. It
+    multiplies matrices of values, squares and what is there, so every pair
+    has the sums of its own complete rows. Where there are several blocks of
+    rows their sums are added up by pair. Values are taken from their means
+    first, so large means cost no digits.
     """
-    m, k = len(x_names), len(y_names)
+    p, q = len(x_names), len(y_names)
+    blocks = max(1, -(-rows.count() // ROW_BLOCK))
+    shift = [np.nan_to_num(np.array(m, float)) for m in (means or (_means(rows, x, p), _means(rows, y, q)))]
+    whole = lambda c, n: F.coalesce(F.col(c), F.array_repeat(F.lit(None).cast("double"), n))
+    tiles = lambda n: F.explode(F.sequence(F.lit(0), F.lit((n - 1) // TILE)))
+    cut = lambda c, t: F.slice(c, F.col(t) * TILE + 1, TILE)
+    dealt = rows.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), whole(x, p).alias("_x"), whole(y, q).alias("_y"))
+    dealt = dealt.withColumn("xt", tiles(p)).withColumn("yt", tiles(q)).select("block", "xt", "yt", cut("_x", "xt").alias("vx"), cut("_y", "yt").alias("vy"))
+    schema = "x string, y string, n bigint, sx double, sy double, xx double, yy double, xy double"
+
+    def sums(table: pa.Table) -> pa.Table:
+        at, to = table.column("xt")[0].as_py() * TILE, table.column("yt")[0].as_py() * TILE
+
+        def matrix(name, names, mean, first):
+            v = table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(table.num_rows, -1)
+            there = ~np.isnan(v)
+            return np.where(there, v - mean[first : first + v.shape[1]], 0.0), there.astype(float), names[first : first + v.shape[1]]
+
+        v, m, xs = matrix("vx", x_names, shift[0], at)
+        w, o, ys = matrix("vy", y_names, shift[1], to)
+        n = np.rint(m.T @ o).astype(np.int64).ravel()
+        keep = n > 0
+        found = [n, (v.T @ o).ravel(), (m.T @ w).ravel(), ((v * v).T @ o).ravel(), (m.T @ (w * w)).ravel(), (v.T @ w).ravel()]
+        named = [pa.array(np.repeat(np.array(xs, object), len(ys))[keep], pa.string()), pa.array(np.tile(np.array(ys, object), len(xs))[keep], pa.string())]
+        return pa.Table.from_arrays([*named, *(pa.array(c[keep]) for c in found)], names=[c.split()[0] for c in schema.split(", ")])
+
+    z = dealt.groupBy("block", "xt", "yt").applyInArrow(sums, schema)
+    if blocks > 1:
+        z = z.groupBy("x", "y").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "xx", "yy", "xy")])
+    vx, vy = (F.col("n") * F.col(c + c) - F.col("s" + c) * F.col("s" + c) for c in "xy")
+    tiny = lambda v, c: F.when(v > 1e-12 * F.col("n") * F.col(c + c), v)  # noqa: E731  what rounding leaves of a constant is none
+    r = F.try_divide(F.col("n") * F.col("xy") - F.col("sx") * F.col("sy"), F.sqrt(tiny(vx, "x")) * F.sqrt(tiny(vy, "y")))
+    return z.select("x", "y", "n", F.when(r.isNull() | F.isnan(r), 0.0).otherwise(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))).alias("r"))
 
-    def run(batches):
-        cross, sx, sy, xx, yy, n = np.zeros((m, k)), np.zeros(m), np.zeros(k), np.zeros(m), np.zeros(k), 0
-        for pdf in batches:
-            if len(pdf):
-                p, q = np.stack(pdf[x].to_numpy()).astype(float), np.stack(pdf[y].to_numpy()).astype(float)
-                cross += p.T @ q
-                sx, sy, xx, yy, n = sx + p.sum(0), sy + q.sum(0), xx + (p * p).sum(0), yy + (q * q).sum(0), n + len(pdf)
-        if n:
-            for i in range(m):
-                yield pd.DataFrame({"i": i, "n": [n], "c": [cross[i]], "sx": [sx[i]], "xx": [xx[i]], "sy": [sy], "yy": [yy]})
-
-    parts = rows.select(x, y).mapInPandas(run, "i int, n bigint, c array<double>, sx double, xx double, sy array<double>, yy array<double>")
-    z = parts.select("i", "n", "sx", "xx", F.posexplode(F.arrays_zip("c", "sy", "yy")).alias("j", "v")).groupBy("i", "j").agg(
-        F.sum("n").alias("n"), *[F.sum(c).alias(c.replace("v.", "")) for c in ("sx", "xx", "v.c", "v.sy", "v.yy")]
-    )
-    num = F.col("n") * F.col("c") - F.col("sx") * F.col("sy")
-    den = F.sqrt((F.col("n") * F.col("xx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("yy") - F.col("sy") * F.col("sy")))
-    xs, ys = F.array(*map(F.lit, x_names)), F.array(*map(F.lit, y_names))
-    return z.select(F.get(xs, F.col("i")).alias("x"), F.get(ys, F.col("j")).alias("y"), "n", F.coalesce(F.nanvl(F.try_divide(num, den), F.lit(0.0)), F.lit(0.0)).alias("r"))
+
+def correlate_wide(rows: DataFrame, x: str, y: str, x_names: list[str], y_names: list[str]) -> DataFrame:
+    """The same where no row has a key: rows are dealt to blocks by all their values."""
+    return correlate_tiled(rows.select(F.xxhash64(x, y).alias("_key"), x, y), "_key", x, y, x_names, y_names)
 
 
 def two_group_table(d: DataFrame, a: DataFrame, cap: float = CAP) -> DataFrame:
