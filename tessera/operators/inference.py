@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.scalars import safe_corr
+from tessera.functions.tails import _lgamma as log_gamma
 from tessera.functions.tails import chi2_p, normal_p, rank_sum_p, t_log10_p
 from tessera.operators.ordered import join_on, running, smallest_after
 from tessera.operators.quantiles import average_rank
@@ -55,21 +59,91 @@ def chi_square_by_permutation(df: DataFrame, key: str, row: str, label: str, per
     )
 
 
+#: Parts in which the random tables of one test are drawn, and rows that numpy's sampler takes.
+SHARDS, MOST_ROWS = 16, 10**9
+
+
+def random_tables(rows: np.ndarray, cols: np.ndarray, times: int, rng: np.random.Generator) -> np.ndarray:
+    """``times`` contingency tables with these margins, as they fall if rows and columns do not depend on each other.
+
+    A row after another is dealt among what is left of the columns, each cell
+    hypergeometric given the cells before it, for all tables at once.
+    """
+    out = np.zeros((times, len(rows), len(cols)), np.int64)
+    rest = np.tile(np.asarray(cols, np.int64), (times, 1))
+    for i, total in enumerate(rows[:-1]):
+        left, pool = np.full(times, total, np.int64), rest.sum(axis=1)
+        for j in range(len(cols) - 1):
+            pool = pool - rest[:, j]
+            out[:, i, j] = rng.hypergeometric(rest[:, j], pool, left)
+            left = left - out[:, i, j]
+        out[:, i, -1] = left
+        rest = rest - out[:, i]
+    out[:, -1] = rest
+    return out
+
+
+def _fisher_exact(table: np.ndarray) -> float:
+    """P of a table of two by two: all tables with its margins that are no more likely."""
+    (a, b), (c, d) = table
+    first, second, total = a + b, a + c, a + b + c + d
+    k = np.arange(max(0, first + second - total), min(first, second) + 1)
+    logs = -(log_gamma(k + 1) + log_gamma(first - k + 1) + log_gamma(second - k + 1) + log_gamma(total - first - second + k + 1))
+    p = np.exp(logs - logs.max())
+    return float(min(1.0, p[p <= p[k == a][0] * (1 + 1e-7)].sum() / p.sum()))
+
+
+def fisher_simulated(df: DataFrame, row: str, col: str, by: list[str] | None = None, replicates: int = 2000, seed=1) -> DataFrame:
+    """``(by, p_value)``: Fisher's test of every group's contingency table.
+
+    A table of two by two has its exact P. Of larger ones ``replicates``
+    random tables with the same margins are drawn, in parts that are spread,
+    and those no more likely than the observed one count, which counts itself.
+    A table with one row or column has P 1; rows with nulls do not count.
+    """
+    by = list(by or [])
+    cells = df.where(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(*by, F.col(row).cast("string").alias("_r"), F.col(col).cast("string").alias("_c")).agg(F.count("*").alias("o"))
+    tables = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_r", "_c", "o"))).alias("_t"))  # the levels of one table
+    units = tables.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(min(SHARDS, replicates) - 1)))).withColumn("_key", F.xxhash64(*by, "_shard", F.lit(seed)) if by else F.xxhash64("_shard", F.lit(seed)))
+    shards = min(SHARDS, replicates)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for t, shard, key in zip(pdf["_t"], pdf["_shard"], pdf["_key"]):
+                rs, cs = sorted({c["_r"] for c in t}), sorted({c["_c"] for c in t})
+                table = np.zeros((len(rs), len(cs)), np.int64)
+                for c in t:
+                    table[rs.index(c["_r"]), cs.index(c["_c"])] = c["o"]
+                times = replicates // shards + (shard < replicates % shards)
+                if min(table.shape) < 2:
+                    out.append((0, 0, 1.0))
+                elif table.shape == (2, 2):
+                    out.append((0, 0, _fisher_exact(table)))
+                else:
+                    if table.sum() > MOST_ROWS:
+                        raise ValueError(f"random tables of more than {MOST_ROWS} rows")
+                    drawn = random_tables(table.sum(axis=1), table.sum(axis=0), times, np.random.default_rng(int(key) & (1 << 63) - 1))
+                    own, least = -log_gamma(table + 1.0).sum(), -log_gamma(drawn + 1.0).sum(axis=(1, 2))
+                    out.append((int((least <= own + 1e-10 * abs(own)).sum()), times, None))
+            found = pd.DataFrame(out, columns=["_hits", "_times", "_exact"])
+            yield pd.concat([pdf[by].reset_index(drop=True), found], axis=1)
+
+    schema = T.StructType([*[tables.schema[c] for c in by], T.StructField("_hits", T.LongType()), T.StructField("_times", T.LongType()), T.StructField("_exact", T.DoubleType())])
+    parts = units.repartition(2 * SHARDS, "_key").mapInPandas(run, schema)
+    p = F.coalesce(F.nanvl(F.max("_exact"), F.lit(None)), (1 + F.sum("_hits")) / (1 + F.sum("_times")))
+    return parts.groupBy(*by).agg(p.alias("p_value"))
+
+
 def chi_square_or_simulated(df: DataFrame, key: str, row: str, col: str, permutations: int = 2000, seed=1) -> DataFrame:
     """``(statistic, df, least_expected, p_value)``: the asymptotic P, unless an expected count is below 5.
 
-    Then a table of more than two rows takes the P value under permuted
-    labels ``col`` (0/1), a table of two has none.
+    Then P is Fisher's: exact for two by two levels, by random tables for more.
     """
     plain = chi_square(df, row, col)
-    found = plain.first()
-    if found["least_expected"] is None or found["least_expected"] >= 5:
-        return plain
-    p = F.lit(None).cast("double")
-    if found["df"] > 1:
-        known = df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
-        p = F.lit(chi_square_by_permutation(known, key, row, col, permutations, seed).first()["p_value"])
-    return plain.withColumn("p_value", p)
+    fisher = fisher_simulated(df, row, col, [], permutations, seed).withColumnRenamed("p_value", "_p")
+    sparse = F.col("least_expected") < 5
+    return plain.join(fisher).select("statistic", "df", "least_expected", F.when(sparse, F.col("_p")).otherwise(F.col("p_value")).alias("p_value"))  # one row each
 
 
 def wilcoxon(df: DataFrame, value: str, group: str, by: list[str] | None = None) -> DataFrame:

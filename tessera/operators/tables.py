@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.inference import chi_square, chi_square_by_permutation, wilcoxon
+from tessera.operators.inference import chi_square, fisher_simulated, wilcoxon
+from tessera.operators.ordered import join_on
 from tessera.operators.relational import stack
 
 
@@ -37,24 +38,25 @@ def continuous_rows(df: DataFrame, variables: list[str], group: str, by: list[st
     )
 
 
-def characteristics(df: DataFrame, key: str, group: str, categorical: list[str], yes_no: list[str], continuous: list[str], permutations: int = 2000, seed=1) -> DataFrame:
-    """The rows of ``categorical_rows`` and ``continuous_rows`` in one table, with ``p_value`` by variable.
+def characteristics(df: DataFrame, key: str, group: str, categorical: list[str], yes_no: list[str], continuous: list[str], permutations: int = 2000, seed=1, by: list[str] | None = None) -> DataFrame:
+    """The rows of ``categorical_rows`` and ``continuous_rows`` in one table, with ``p_value`` by variable; one such table for each of ``by``.
 
     Chi-square P of known levels; where an expected count is below 5 a yes/no
-    variable has none and others take it under permuted groups. Rank-sum P of
-    numbers, exact for small untied groups, none for small tied ones.
+    variable has none and others take Fisher's, by ``permutations`` random
+    tables. Rank-sum P of numbers, exact for small untied groups, none for
+    small tied ones.
     """
-    levels = [*categorical, *yes_no]
+    by = list(by or [])
+    at, levels = [*by, "variable"], [*categorical, *yes_no]
     cells = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("level")) for v in levels]))
-    tested = chi_square(df.select(key, group, cells.alias("x")).select(key, group, "x.*"), "level", group, ["variable"])
-    sparse = [x["variable"] for x in tested.where("least_expected < 5").select("variable").collect()]
-    tested = tested.select("variable", F.when(~F.col("variable").isin(sparse), F.col("p_value")).alias("p_value"))
-    for v in (v for v in sparse if v in categorical):  # a variable each, not a row
-        p = chi_square_by_permutation(df.where(F.col(v).isNotNull() & F.col(group).isNotNull()), key, v, group, permutations, seed).first()["p_value"]
-        tested = tested.withColumn("p_value", F.when(F.col("variable") == v, F.lit(p)).otherwise(F.col("p_value")))
+    long = df.select(*by, group, cells.alias("x")).select(*by, group, "x.*")
+    plain = chi_square(long, "level", group, at).select(*at, "p_value", (F.col("least_expected") < 5).alias("_sparse"))
+    thin = join_on(long.where(F.col("variable").isin(categorical)), plain.where("_sparse").select(*at), at)
+    fisher = fisher_simulated(thin, "level", group, at, permutations, seed).withColumnRenamed("p_value", "_fisher")
+    tested = join_on(plain, fisher, at, "left").select(*at, F.when(F.col("_sparse"), F.col("_fisher")).otherwise(F.col("p_value")).alias("p_value"))
     numbers = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value")) for v in continuous]))
-    ranked = wilcoxon(df.select(group, numbers.alias("x")).select(group, "x.*"), "value", group, ["variable"]).select("variable", "p_value")
-    return stack([categorical_rows(df, levels, group), continuous_rows(df, continuous, group)]).join(tested.unionByName(ranked), "variable", "left")
+    ranked = wilcoxon(df.select(*by, group, numbers.alias("x")).select(*by, group, "x.*"), "value", group, at).select(*at, "p_value")
+    return join_on(stack([categorical_rows(df, levels, group, by), continuous_rows(df, continuous, group, by)]), tested.unionByName(ranked), at, "left")
 
 
 def flow_counts(df: DataFrame, flags: dict[str, str]) -> DataFrame:

@@ -432,13 +432,88 @@ def test_exact_rank_sum_p(spark):
     assert r["w"] == 1.0 and r["p_value"] == pytest.approx(2 * 2 / 35)
 
 
+def enumerated_fisher(table):
+    """P of Fisher's test by going through all tables with the same margins."""
+    t = np.array(table)
+    rows, cols = t.sum(axis=1), t.sum(axis=0)
+    weight = lambda m: -sum(math.lgamma(v + 1) for v in m)
+    found = []
+
+    def fill(i, rest, cells):
+        if i == len(rows) - 1:
+            found.append(weight([*cells, *rest]))
+            return
+
+        def across(j, left, own):
+            if j == len(cols) - 1:
+                if left <= rest[j]:
+                    last = [*own, left]
+                    fill(i + 1, [r - v for r, v in zip(rest, last)], [*cells, *last])
+                return
+            for v in range(min(left, rest[j]) + 1):
+                across(j + 1, left - v, [*own, v])
+
+        across(0, rows[i], [])
+
+    fill(0, list(cols), [])
+    p = np.exp(np.array(found) - max(found))
+    mine = math.exp(weight(t.ravel()) - max(found))
+    return float(p[p <= mine * (1 + 1e-7)].sum() / p.sum())
+
+
+def test_random_tables_keep_margins_and_odds():
+    rng = np.random.default_rng(1)
+    t = inference.random_tables(np.array([3, 0, 4, 2]), np.array([5, 1, 3]), 20_000, rng)
+    assert (t >= 0).all() and (t.sum(axis=2) == [3, 0, 4, 2]).all() and (t.sum(axis=1) == [5, 1, 3]).all()
+    assert np.abs(t.mean(axis=0) - np.outer([3, 0, 4, 2], [5, 1, 3]) / 9).max() < 0.03
+
+
+def test_fisher_against_enumeration(spark):
+    tables = {"a": [[3, 1], [0, 4], [2, 2]], "b": [[5, 0, 1], [0, 4, 1], [1, 1, 3]], "c": [[4, 0], [1, 3]], "d": [[7, 2]], "e": [[1, 9], [8, 2], [5, 5], [0, 3]]}
+    rows = [(g, f"r{i}", f"c{j}") for g, t in tables.items() for i, r in enumerate(t) for j, n in enumerate(r) for _ in range(n)] + [("a", None, "c0"), ("f", None, None)]
+    df = spark.createDataFrame(rows, "g string, x string, y string")
+    got = {r.g: r.p_value for r in inference.fisher_simulated(df, "x", "y", ["g"], 20_000).collect()}
+    assert set(got) == set(tables) and got["d"] == 1.0 and got["c"] == pytest.approx(enumerated_fisher(tables["c"]), abs=1e-9)
+    for g in "abe":
+        want = enumerated_fisher(tables[g])
+        assert abs(got[g] - want) < 5 * math.sqrt(want * (1 - want) / 20_000) + 1e-4, g
+    again = {r.g: r.p_value for r in inference.fisher_simulated(df.repartition(5), "x", "y", ["g"], 20_000).collect()}
+    assert again == got
+
+
+def test_tails_as_arrays():
+    from tessera.functions import tails
+
+    x = np.concatenate([np.linspace(1e-8, 30, 400), [100.5, 1e4, 1e8]])
+    assert np.allclose(tails._lgamma(x), [math.lgamma(v) for v in x], rtol=1e-13, atol=1e-13)
+    z = np.concatenate([np.linspace(-6, 6, 481), [0.0, 20.0, 26.0]])
+    assert np.allclose(tails._erfc(z), [math.erfc(v) for v in z], rtol=1e-11, atol=0)
+    assert tails.chi2_upper([0.0, -1.0, np.nan, np.inf, 4.0], 2.0)[[0, 1, 3]].tolist() == [1.0, 1.0, 0.0] and np.isnan(tails.chi2_upper(np.nan, 2.0))
+    k = np.arange(1, 60)
+    assert np.allclose(tails.chi2_upper(2.0 * k, 2.0), np.exp(-k), rtol=1e-12)
+
+
+def test_characteristics_by_layer(spark):
+    from tessera.operators import tables
+
+    rows = [(i, "ab"[i % 2], "xyz"[i % 3], "Yes" if i % 4 else "No", float(i % 7), int(i % 5 < 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, layer string, kind string, flag string, v double, truth int")
+    both = tables.characteristics(df, "id", "truth", ["kind"], ["flag"], ["v"], by=["layer"])
+    key = lambda r: (r["variable"], r["level"])
+    for g in "ab":
+        alone = {key(r): r for r in tables.characteristics(df.where(F.col("layer") == g), "id", "truth", ["kind"], ["flag"], ["v"]).collect()}
+        found = {key(r): r for r in both.where(F.col("layer") == g).collect()}
+        assert set(alone) == set(found) and all(alone[k]["n"] == found[k]["n"] and (alone[k]["p_value"] is None) == (found[k]["p_value"] is None) for k in alone)
+        assert all(alone[k]["p_value"] == pytest.approx(found[k]["p_value"], abs=0.06) for k in alone if alone[k]["p_value"] is not None)
+
+
 def test_chi_square_with_few_expected(spark):
     rows = [(i, "abc"[i % 3], int(i % 3 == 0 or i % 4 == 0)) for i in range(12)]
     df = spark.createDataFrame(rows, "id int, x string, truth int")
     r = one(inference.chi_square_or_simulated(df, "id", "x", "truth", 200))
     assert r["least_expected"] < 5 and 0 < r["p_value"] <= 1
     two = one(inference.chi_square_or_simulated(df.where("x <> 'c'"), "id", "x", "truth"))
-    assert two["p_value"] is None
+    assert two["p_value"] == pytest.approx(enumerated_fisher([[4, 0], [1, 3]]))
     many = df.crossJoin(spark.range(20).toDF("k")).withColumn("id", F.col("id") * 20 + F.col("k"))
     assert one(inference.chi_square_or_simulated(many, "id", "x", "truth"))["p_value"] == pytest.approx(one(inference.chi_square(many, "x", "truth"))["p_value"])
 
