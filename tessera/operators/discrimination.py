@@ -7,6 +7,8 @@ grouped by ``by`` (model, layer, repeat ...), so one plan serves all groups.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +18,7 @@ from tessera.functions.scalars import EPS, logit
 from tessera.functions.tails import normal_p
 from tessera.operators.inference import bh_adjust, spearman
 from tessera.operators.ordered import few, join_on, running
-from tessera.operators.resampling import bootstrap_slots, draw_numbers
+from tessera.operators.resampling import bootstrap_slots, draw_numbers, slot_digests
 
 Z95 = 1.959963984540054
 
@@ -98,29 +100,67 @@ def bootstrap_delta(
 
     Ids are drawn once for each group of ``cohort`` (those columns of ``by``
     that tell whose ids they are; all of them if not given), so comparisons of
-    one cohort see the same draws. Draws are made and met with their rows on
-    the executors and counted per distinct risk at once; few rows are
-    broadcast to the draws, many are joined with counted draws.
+    one cohort see the same draws. Everything stays on the executors: cohorts
+    of few rows are arrays there, larger ones are joined with their draws.
     """
     by = list(by or [])
     cohort = by if cohort is None else list(cohort)
-    rows = df.select(*by, key, F.col(risk_a).alias("_ra"), F.col(risk_b).alias("_rb"), F.col(truth).cast("int").alias("_y")).where("_ra IS NOT NULL AND _rb IS NOT NULL AND _y IS NOT NULL")
+    rows = df.select(*by, key, F.col(risk_a).cast("double").alias("_ra"), F.col(risk_b).cast("double").alias("_rb"), F.col(truth).cast("int").alias("_y")).where("_ra IS NOT NULL AND _rb IS NOT NULL AND _y IS NOT NULL")
     members = rows.select(*cohort, key).distinct()
-    sizes = members.groupBy(*cohort).agg(F.count("*").alias("_size"))
     own = join_on(rows, draw_numbers(members, key, seed, cohort), [*cohort, key]).drop(key)
-    picks = bootstrap_slots(sizes, cohort, replicates, seed)
-    if few(rows):
-        j = join_on(picks.withColumn("_t", F.lit(1)), F.broadcast(own), [*cohort, "_i"])  # FEW_ROWS at most
-    else:
-        j = join_on(own, picks.groupBy(*cohort, "replicate", "_i").agg(F.count("*").alias("_t")), [*cohort, "_i"])
+    make = _deltas_in_arrays if few(rows) else _deltas_by_join
+    d = make(rows, own, members, by, cohort, replicates, seed)
+    return d.groupBy(*by).agg(F.count("d").alias("n_valid"), F.percentile("d", F.lit(0.025)).alias("delta_lo"), F.percentile("d", F.lit(0.975)).alias("delta_hi"))
+
+
+#: Parts of a cohort's replicates that are spread.
+SHARDS = 32
+
+
+def _deltas_in_arrays(rows: DataFrame, own: DataFrame, members: DataFrame, by: list[str], cohort: list[str], replicates: int, seed) -> DataFrame:
+    """``(by, d)`` of cohorts of at most ``FEW_ROWS`` rows in all: a cohort's comparisons are gathered into arrays, which each part of its replicates gets."""
+    arrays = own.groupBy(*by).agg(*[F.collect_list(c).alias(c) for c in ("_i", "_ra", "_rb", "_y")])
+    gathered = arrays.groupBy(*cohort).agg(F.collect_list(F.struct(*[c for c in by if c not in cohort], "_i", "_ra", "_rb", "_y")).alias("_c"))
+    shards = min(SHARDS, replicates)
+    units = gathered.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(shards, "_shard")
+
+    def auc_of(code, p, q):
+        p, q = np.bincount(code, p), np.bincount(code, q)
+        return (p * (np.cumsum(q) - q / 2)).sum() / (p.sum() * q.sum()) if p.sum() * q.sum() else None
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(len(pdf)):
+                shared, kept = {c: pdf[c].iloc[at] for c in cohort}, []
+                for c in pdf["_c"].iloc[at]:
+                    codes = [np.unique(np.asarray(c[k], float), return_inverse=True)[1] for k in ("_ra", "_rb")]
+                    kept.append((shared | {n: c[n] for n in by if n not in cohort}, np.asarray(c["_i"], np.int64), np.asarray(c["_y"], float), *codes))
+                n = 1 + max(int(i.max()) for _, i, *_ in kept)
+                out = []
+                for replicate in range(int(pdf["_shard"].iloc[at]), replicates, shards):
+                    times = np.bincount(slot_digests(seed, replicate * n, n) % n, minlength=n)
+                    for named, i, y, a, b in kept:
+                        p, q = y * times[i], (1 - y) * times[i]
+                        found = auc_of(a, p, q), auc_of(b, p, q)
+                        out.append(named | {"d": None if None in found else found[0] - found[1]})
+                yield pd.DataFrame(out, columns=[*by, "d"])
+
+    schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("d", T.DoubleType())])
+    return units.mapInPandas(run, schema)
+
+
+def _deltas_by_join(rows: DataFrame, own: DataFrame, members: DataFrame, by: list[str], cohort: list[str], replicates: int, seed) -> DataFrame:
+    """``(by, d)`` of cohorts of any size: counted draws meet their rows in a join and are counted by distinct risk."""
+    sizes = members.groupBy(*cohort).agg(F.count("*").alias("_size"))
+    picks = bootstrap_slots(sizes, cohort, replicates, seed).groupBy(*cohort, "replicate", "_i").agg(F.count("*").alias("_t"))
+    j = join_on(own, picks, [*cohort, "_i"])
     risks = lambda t, *more: t.select(*by, *more, F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("_ra").alias("r")), F.struct(F.lit(1).alias("s"), F.col("_rb").alias("r")))).alias("x")).select(*by, *more, "x.s", "x.r")
     group = [*by, "replicate", "s"]
     bins = risks(j, "replicate", "_y", "_t").groupBy(*group, "r").agg(F.sum(F.col("_y") * F.col("_t")).alias("_p"), F.sum((1 - F.col("_y")) * F.col("_t")).alias("_q"))
     u = F.col("_p") * (F.col("_q0") + F.col("_q") / 2.0)
     sides = running(bins, group, "r", {"_q0": F.col("_q")}, like=risks(rows)).withColumn("_u", u).groupBy(*group).agg(F.try_divide(F.sum("_u"), F.sum("_p").cast("double") * F.sum("_q")).alias("auc"))
     one = lambda k: F.max(F.when(F.col("s") == k, F.col("auc")))
-    d = sides.groupBy(*by, "replicate").agg((one(0) - one(1)).alias("d"))
-    return d.groupBy(*by).agg(F.count("d").alias("n_valid"), F.percentile("d", F.lit(0.025)).alias("delta_lo"), F.percentile("d", F.lit(0.975)).alias("delta_hi"))
+    return sides.groupBy(*by, "replicate").agg((one(0) - one(1)).alias("d"))
 
 
 def contrasts(predictions: DataFrame, pairs: DataFrame, key: str, same: list[str], truth: str = "truth") -> DataFrame:

@@ -1,16 +1,20 @@
 """Classifiers by MLlib: leakage-safe preparation, tuning over given folds, stacking.
 
 Folds are tables (see ``resampling``). Screening and preparation are learnt on
-analysis rows only. Fits run on the executors; the loops over folds and grid
-points are the driver's, with their sizes set by the configuration rather than
-by the data.
+analysis rows only. Fits run on the executors, several grid points side by
+side; the loop over outer folds is the driver's, its size set by the
+configuration rather than by the data. ``penalty`` has the elastic net's whole
+paths as one job.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -19,6 +23,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +38,8 @@ FOREST = {"numTrees": (300, 2000), "minInstancesPerNode": (2, 40)}
 BOOSTED = {
     "maxIter": (500, 4000), "maxDepth": (2, 4), "stepSize": (10**-2.5, 10**-0.5), "subsamplingRate": (0.5, 0.9), "minInfoGain": (1e-4, 10.0), "featureSubsetStrategy": (10, 140),
 }
+#: Fits of a tuning grid that run side by side.
+FITS = 4
 #: Penalties of the stack, and share of the analysis rows that tells boosting when to stop.
 PENALTIES, STOP_SHARE = tuple(10 ** (-10 + 12 * k / 59) for k in range(60)), 5
 
@@ -111,6 +118,32 @@ def thinned_grid(ranges: dict, points: int = 2) -> tuple[dict, ...]:
     return tuple(dict(zip(names, combo)) for combo in product(*[values(*ranges[n]) for n in names]))
 
 
+def latin_grid(ranges: dict, points: int, seed: int = 1, tries: int = 200) -> tuple[dict, ...]:
+    """``points`` settings that fill the ranges: of many Latin hypercubes the one whose closest two points lie furthest apart.
+
+    Every parameter's range is cut into as many steps as there are points, by
+    ratio where the range allows, and each step is used once; md5 order of
+    (seed, try, parameter, step) says which meet, so every run has the same.
+    """
+    names = list(ranges)
+
+    def order(attempt, name):
+        return np.argsort([hashlib.md5(f"{seed}|{attempt}|{name}|{k}".encode()).hexdigest() for k in range(points)])
+
+    def closest(cube):
+        gaps = ((cube[:, None] - cube[None]) ** 2).sum(axis=2)
+        return gaps[np.triu_indices(points, 1)].min() if points > 1 else 0.0
+
+    cubes = (np.stack([(order(t, n) + 0.5) / points for n in names], axis=1) for t in range(tries))
+    best = max(cubes, key=closest)
+
+    def value(low, high, f):
+        v = low * (high / low) ** f if low > 0 else low + (high - low) * f
+        return round(v) if isinstance(low, int) else float(v)
+
+    return tuple({n: value(*ranges[n], f) for n, f in zip(names, row)} for row in best)
+
+
 def prepared(analysis: DataFrame, assessment: DataFrame, learner: Learner) -> tuple[DataFrame, DataFrame]:
     """Both sets with a ``features`` vector, learnt on the analysis rows.
 
@@ -162,15 +195,19 @@ def tune(analysis: DataFrame, inner: DataFrame, key: str, learner: Learner, seed
     rows = analysis.join(inner.select(key, "inner_fold"), key).persist()
     folds = sorted(r[0] for r in rows.select("inner_fold").distinct().collect())
     best = None
-    for params in learner.grid:
-        parts = []
-        for f in folds:
-            parts.append(fit_predict(rows.where(F.col("inner_fold") != f), rows.where(F.col("inner_fold") == f), learner, params, [key, "label", "inner_fold"], seed))
-        oof = parts[0]
-        for p in parts[1:]:
-            oof = oof.unionByName(p)
-        oof = oof.persist()
-        score = auc(oof, ["inner_fold"], "risk", "label").agg(F.avg("auc")).first()[0]
+    keep = [key, "label", "inner_fold"]
+    split = {f: (rows.where(F.col("inner_fold") != f), rows.where(F.col("inner_fold") == f)) for f in folds}
+
+    def tried(params: dict):
+        parts = [fit_predict(*split[f], learner, params, keep, seed, picked[f]) for f in folds]
+        oof = reduce(DataFrame.unionByName, parts).persist()
+        return params, auc(oof, ["inner_fold"], "risk", "label").agg(F.avg("auc")).first()[0], oof
+
+    beside = inheritable_thread_target(analysis.sparkSession)
+    with ThreadPool(FITS) as pool:  # fits of different points and folds run side by side
+        picked = dict(zip(folds, pool.map(beside(lambda f: screened(split[f][0], learner, key)), folds)))
+        found = pool.map(beside(tried), learner.grid, chunksize=1)
+    for params, score, oof in found:
         if best is None or score is not None and (best[1] is None or score > best[1]):
             if best is not None:
                 best[2].unpersist()

@@ -6,6 +6,10 @@ draws the same. A split is a join with one of these tables, never a copy.
 
 from __future__ import annotations
 
+import hashlib
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +74,54 @@ def draw_numbers(df: DataFrame, key: str, seed=1, by: list[str] | None = None) -
     return numbered(df.select(*by, key), by, hash_order(seed, "index", F.col(key)), key).withColumn("_i", F.col("_n") - 1).drop("_n")
 
 
+#: Left rotations of the digest's four rounds (fixed values); numbers that are digested at a time.
+_TURNS, _LANES = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)), 1 << 12
+
+
+def _md5_heads(head: bytes, numbers: np.ndarray) -> np.ndarray:
+    """The first 32 bits of md5 of ``head`` and each number in decimals, all of one length: as many digests side by side."""
+    width = len(str(int(numbers[-1])))
+    text = len(head) + width
+    block = np.zeros((64, len(numbers)), np.uint8)
+    block[: len(head)] = np.frombuffer(head, np.uint8)[:, None]
+    rest = numbers.copy()
+    for k in range(width):
+        rest, digit = np.divmod(rest, 10)
+        block[text - 1 - k] = digit + 48
+    block[text], block[56:60] = 0x80, np.frombuffer((8 * text).to_bytes(4, "little"), np.uint8)[:, None]
+    words = np.ascontiguousarray(block.reshape(16, 4, -1).transpose(0, 2, 1)).view("<u4")[:, :, 0]
+    start = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(len(numbers), x, np.uint32) for x in start)
+    for i in range(64):
+        add = np.uint32(int(abs(math.sin(i + 1)) * 2**32))
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f = f + a + add + words[g]
+        turn = _TURNS[i // 16][i % 4]
+        a, d, c, b = d, c, b, b + ((f << np.uint32(turn)) | (f >> np.uint32(32 - turn)))
+    return (a + start[0]).byteswap()
+
+
+def slot_digests(seed, first: int, n: int) -> np.ndarray:
+    """The 32-bit numbers behind ``n`` bootstrap slots from ``first`` on, as ``bootstrap_slots`` has them."""
+    head, out, at = f"{seed}|boot|".encode(), np.empty(n, np.int64), 0
+    while at < n:
+        number = first + at
+        to = min(n, at + _LANES, 10 ** len(str(number)) - first)  # numbers of one length
+        if len(head) + len(str(number)) > 55:  # more than one block
+            out[at:to] = [int(hashlib.md5(head + str(k).encode()).hexdigest()[:8], 16) for k in range(number, first + to)]
+        else:
+            out[at:to] = _md5_heads(head, np.arange(number, first + to))
+        at = to
+    return out
+
+
 def bootstrap_slots(sizes: DataFrame, by: list[str], replicates: int, seed=1) -> DataFrame:
     """``(by, replicate, _i)``: for each of a replicate's slots the number of the row that it draws, ``sizes(by, _size)``.
 

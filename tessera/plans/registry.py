@@ -1032,11 +1032,8 @@ def _model_frame(s, d):
 NAMES = tuple(f"f{k:02d}" for k in range(16))
 
 
-_NESTED: dict[tuple, str] = {}
-
-
 def _nested(s, d):
-    """The whole table, small grids: 2 outer and 2 inner folds, three learners, screens learnt in every analysis set."""
+    """The whole table, small grids: 2 outer and 2 inner folds, three learners, screens learnt in every analysis set. A run of its own."""
     rows = _model_frame(s, d).join(landed(s, d, "embeddings", ["vec_id", "embedding"]).select(F.col("vec_id").alias("id"), F.slice("embedding", 1, len(NAMES)).alias("layer")), "id")
     folds = resampling.stratified_folds(rows, "id", ["label"], 2)
     inner = resampling.inner_folds(folds, "id", ["label"], 2)
@@ -1045,8 +1042,7 @@ def _nested(s, d):
         models.Learner("forest", "forest", ("a",), (), ({"numTrees": 10, "minInstancesPerNode": 5},), "layer", NAMES, ("sis", 4)),
         models.Learner("boosted", "boosted", ("a",), (), ({"maxIter": 6, "maxDepth": 2, "stepSize": 0.3, "subsamplingRate": 0.9},), "layer", NAMES, ("mrmr", 3), stop=True),
     ]
-    path = _NESTED.setdefault((s.sparkContext.applicationId, d), own_folder(s))  # the queries resume one run
-    return models.nested_cv(rows, "id", folds, inner, learners, path)
+    return models.nested_cv(rows, "id", folds, inner, learners, own_folder(s))
 
 
 @query()

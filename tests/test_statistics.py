@@ -139,8 +139,16 @@ def test_whole_tables_in_queries(spark):
     assert {r.layer: r.n_valid for r in q["bootstrap_delta_auc"](spark, d).collect()} == {x: 200 for x in layers}
 
 
+def test_slots_side_by_side():
+    """Digests of many numbers at once are those of one at a time, across lengths and blocks."""
+    import hashlib
+
+    for seed, first, n in ((1, 0, 12_345), ("abc", 99_990, 30), (7, 10**9 - 5, 20), ("x" * 50, 1, 5)):
+        assert resampling.slot_digests(seed, first, n).tolist() == [int(hashlib.md5(f"{seed}|boot|{k}".encode()).hexdigest()[:8], 16) for k in range(first, first + n)]
+
+
 def test_ranks_of_awkward_values(spark):
-    """Buckets by magnitude keep order for negative, tiny, huge, null, infinite and NaN values."""
+    """Ranges keep order for negative, tiny, huge, null, infinite and NaN values."""
     from tessera.operators import ordered, quantiles
 
     vs = [None, float("-inf"), -1e300, -2.5, -2.5, -1e-300, 0.0, -0.0, 5e-324, 1.0, 1.0, 1.0000001, 3.0, 1e300, float("inf"), float("nan")]
@@ -619,16 +627,16 @@ def test_characteristics_have_a_p_by_variable(spark):
 
 
 def test_bootstrap_paths_agree(spark, monkeypatch):
-    """Replicates made in tasks equal those made by joins, for several comparisons of one cohort and null groups."""
+    """Replicates made in arrays equal those made by joins, for several comparisons of one cohort and null groups."""
     from tessera.operators import discrimination as dn
 
     rng = random.Random(8)
     rows = [(g, m, i, i % 2, round(rng.random(), 1), rng.random()) for g, n in (("a", 30), (None, 21)) for m in ("x", "y") for i in range(n)]
     df = spark.createDataFrame(rows, "g string, m string, id int, truth int, r double, s double")
     for cohort in (["g"], ["g", "m"]):
-        monkeypatch.setattr(dn, "COHORT_ROWS", 1000)
+        monkeypatch.setattr(dn, "few", lambda df: True)
         one_ = {(x.g, x.m): x for x in dn.bootstrap_delta(df, "id", "r", "s", replicates=25, by=["g", "m"], cohort=cohort).collect()}
-        monkeypatch.setattr(dn, "COHORT_ROWS", 0)
+        monkeypatch.setattr(dn, "few", lambda df: False)
         two = {(x.g, x.m): x for x in dn.bootstrap_delta(df, "id", "r", "s", replicates=25, by=["g", "m"], cohort=cohort).collect()}
         assert len(one_) == 4 and set(one_) == set(two)
         for k in one_:
