@@ -464,6 +464,25 @@ def test_substrings_recall_against_brute_force(spark):
     assert all(c == i - i % 2 for i, c in got.items()) and len(got) >= 0.9 * len(rows)
 
 
+def test_substrings_near_passages_of_connected_texts(spark):
+    """What an exact repeat connects is searched all the same: nine of ten near passages are covered, in pairs and in texts that others connect too."""
+    rng = random.Random(33)
+    fill = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows, at = [], {}
+    for k in range(120):
+        exact, near, third = fill(60), fill(60), fill(60)
+        for side, text in enumerate((near, near[:30] + ["new"] + near[30:])):
+            rows.append((3 * k + side, " ".join(fill(30) + exact + fill(40) + text + fill(30) + (third if k % 2 else fill(60))), None))
+            at[3 * k + side] = (130, 130 + len(text))
+        rows.append((3 * k + 2, " ".join(fill(25) + (third if k % 2 else fill(60)) + fill(20) + near[:20] + ["other"] + near[20:]), None))
+        at[3 * k + 2] = (105, 166)
+    got = {r.doc_id: r for r in substrings.repeated_passages(documents(spark, rows)).collect()}
+    covered = {i: sum(max(0, min(b, y) - max(a, x)) for x, y in (map(int, s.split(":")) for s in got[i].spans.split(","))) if i in got else 0 for i, (a, b) in at.items()}
+    for part in ([i for i in at if i % 3 < 2 and i // 3 % 2 == 0], [i for i in at if i // 3 % 2], list(at)):
+        assert sum(covered[i] >= 0.9 * (at[i][1] - at[i][0]) for i in part) >= 0.9 * len(part)
+    assert all(got[i].component_id == i - i % 3 for i in got)
+
+
 def test_substrings_copies_and_long_texts(spark):
     """Equal words are one text whatever their case and spaces; a passage in a very long text is found where it is."""
     rng = random.Random(32)
