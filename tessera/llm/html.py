@@ -14,6 +14,7 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +54,6 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_A-Za-z]+")
 #: Where elements end whose content is not markup.
 ENDS = {t: re.compile(f"</{t}(?=[\\s/>])", re.I | re.A) for t in RAW}
-#: Open elements that have a path of their own; paths grow with depth.
-DEPTH = 512
 
 
 def names_aside(name: str) -> bool:
@@ -85,40 +84,78 @@ class Node:
         self.text = self.links = self.paragraphs = 0
 
 
+def step(path: str, tag: str, name: str) -> str:
+    """The path of a block element below ``path``: its depth and a digest of all tags and classes down to it.
+
+    A path is as long at any depth, and a shallower one sorts first.
+    """
+    depth = int(path[:8]) + 1 if path else 1
+    return f"{depth:08d}{xxhash.xxh3_128_hexdigest(f'{path}/{tag}.{name}')}"
+
+
+class Open:
+    """The open elements of a page, counted by tag: all, those since the last block, and those since the last holder."""
+
+    def __init__(self, root: Node):
+        self.stack, self.links = [root], 0
+        self.all: dict[str, int] = {}
+        self.since_block: list[dict[str, int]] = [{}]
+        self.since_holder: list[dict[str, int]] = [{}]
+
+    def push(self, node: Node) -> None:
+        tag = node.tag
+        self.stack.append(node)
+        self.links += tag == "a"
+        for counts in (self.all, self.since_block[-1], self.since_holder[-1]):
+            counts[tag] = counts.get(tag, 0) + 1
+        if tag in BLOCK:
+            self.since_block.append({})
+        if tag in HOLDERS:
+            self.since_holder.append({})
+
+    def pop(self) -> str:
+        tag = self.stack.pop().tag
+        self.links -= tag == "a"
+        if tag in BLOCK:
+            self.since_block.pop()
+        if tag in HOLDERS:
+            self.since_holder.pop()
+        for counts in (self.all, self.since_block[-1], self.since_holder[-1]):
+            counts[tag] -= 1
+        return tag
+
+    def has(self, tag: str) -> bool:
+        """Whether an end tag has an element to end; those that only format end none around their block."""
+        return (self.since_block[-1] if tag in INLINE_FORMAT else self.all).get(tag, 0) > 0
+
+    def end(self, tag: str) -> None:
+        while self.pop() != tag:
+            pass
+
+    def make_room(self, tags: set[str]) -> None:
+        """End what cannot be open around a new element, up to the holder."""
+        while any(self.since_holder[-1].get(t) for t in tags):
+            self.pop()
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
-    """A page's elements, and its text blocks in order with the element that each is in.
+    """A page's elements, parents first, and its text blocks in order with the element that each is in.
 
-    One pass over the page; an element left open ends with its parent, a page
-    that breaks off ends there. Names set elements apart unless nothing would
-    be left of the page.
+    One pass over the page, in time that does not depend on how deep elements
+    nest; an element left open ends with its parent, a page that breaks off
+    ends there. Names set elements apart unless nothing would be left of the
+    page.
     """
     root = Node("", "", False, False, None)
-    deep: list[Node] = []  # open elements beyond DEPTH, which count as their ancestor unless set apart
-    inside: dict[str, int] = {}  # of them by tag
-    sunk: list[Node] = []
-    nodes, stack, blocks, buffer = [root], [root], [], []
-    link = 0
+    nodes, blocks, buffer, opened = [root], [], [], Open(root)
+    stack = opened.stack
 
     def flush():
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                blocks.append((deep[-1] if deep and (deep[-1].apart or deep[-1].named) else stack[-1], text))
-
-    def surface(k):
-        nonlocal link
-        for n in deep[k:]:
-            link -= n.tag == "a"
-            inside[n.tag] -= 1
-        del deep[k:]
-
-    def close(k):
-        nonlocal link
-        surface(0)
-        for n in stack[k:]:
-            link -= n.tag == "a"
-        del stack[k:]
+                blocks.append((stack[-1], text))
 
     at, size = 0, len(page)
     while at < size:
@@ -128,7 +165,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if lt > at:
             piece = page[at:lt]
             buffer.append(piece)
-            if link:
+            if opened.links:
                 stack[-1].links += len(piece)
             at = lt
             continue
@@ -144,37 +181,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if tag in BLOCK:
             flush()
         if m[1]:
-            if inside.get(tag):
-                k = len(deep) - 1
-                while deep[k].tag != tag and not (tag in INLINE_FORMAT and deep[k].tag in BLOCK):
-                    surface(k)
-                    k -= 1
-                if deep[k].tag == tag:
-                    surface(k)
-                continue
-            if deep and tag in INLINE_FORMAT and any(n and t in BLOCK for t, n in inside.items()):
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if tag in BLOCK:
-                        flush()
-                    close(k)
-                    break
-                if tag in INLINE_FORMAT and stack[k].tag in BLOCK:
-                    break
+            if opened.has(tag):
+                opened.end(tag)
             continue
         ends = CLOSES.get(tag) or ({"p"} if tag in P_ENDS else None)
-        if ends and deep:
-            while deep and deep[-1].tag in ends:
-                surface(len(deep) - 1)
-        elif ends:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends:
-                    close(k)
-                elif stack[k].tag in HOLDERS:
-                    break
-                elif stack[k].tag not in INLINE_FORMAT and tag not in ("p",):
-                    continue
+        if ends:
+            opened.make_room(ends)
         if tag in RAW:
             end = ENDS[tag].search(page, at)
             gt = page.find(">", end.start()) if end else -1
@@ -184,23 +196,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         name, apart, named = _attributes(m[3]) if m[3].strip(" /") else ("", False, False)
         parent = stack[-1]
-        node = Node(tag, parent.path, parent.apart or apart or tag in APART, parent.named or named, parent)
-        if tag in BLOCK:
-            node.path = f"{parent.path}/{tag}.{name}" if name else f"{parent.path}/{tag}"
-        link += tag == "a"
-        if len(stack) < DEPTH:
-            stack.append(node)
-            nodes.append(node)
-        else:
-            node.path = parent.path
-            if deep:
-                node.apart, node.named = node.apart or deep[-1].apart, node.named or deep[-1].named
-            deep.append(node)
-            sunk.append(node)
-            inside[tag] = inside.get(tag, 0) + 1
+        path = step(parent.path, tag, name) if tag in BLOCK else parent.path
+        node = Node(tag, path, parent.apart or apart or tag in APART, parent.named or named, parent)
+        opened.push(node)
+        nodes.append(node)
     flush()
     if any(not (n.apart or n.named) for n, _ in blocks):
-        for n in (*nodes, *sunk):
+        for n in nodes:
             n.apart = n.apart or n.named
     return nodes, blocks
 
@@ -211,23 +213,25 @@ def scores(nodes: list[Node], blocks: list[tuple[Node, str]]) -> dict[str, float
     A block gives its characters, less those in links, to its container and,
     fading, to the containers around it; what is set apart gives nothing.
     """
-    out: dict[str, float] = {}
+    links: dict[Node, int] = {}  # characters in links from an element up to its container
+    for n in nodes:
+        links[n] = 0 if n.tag in CONTAINERS else n.links + links[n.parent]
+    value = dict.fromkeys(nodes, 0.0)
+    reached = {n for n, _ in blocks if not n.apart}
     for node, text in blocks:
-        if node.apart:
+        if not node.apart:
+            value[node] += max(0.0, len(text) + 25 * text.count(", ") + 50 * (node.tag == "p") - links[node])
+    out: dict[str, float] = {}
+    for n in reversed(nodes):  # children before parents
+        if n not in reached:
             continue
-        n, links = node, 0
-        weight = len(text) + 25 * text.count(", ") + 50 * (node.tag == "p")
-        while n is not None and n.tag not in CONTAINERS:
-            links += n.links
-            n = n.parent
-        weight = max(0.0, weight - links)
-        share = 1.0
-        while n is not None:
-            if n.tag in CONTAINERS:
-                bonus = 1.25 if n.tag in ("article", "main") else 1.0
-                out[n.path] = out.get(n.path, 0.0) + weight * share * bonus
-                share *= 0.8
-            n = n.parent
+        up = value[n]
+        if n.tag in CONTAINERS:
+            out[n.path] = out.get(n.path, 0.0) + up * (1.25 if n.tag in ("article", "main") else 1.0)
+            up *= 0.8
+        if n.parent is not None:
+            value[n.parent] += up
+            reached.add(n.parent)
     return out
 
 
@@ -235,8 +239,8 @@ def own_paths(blocks: list[tuple[Node, str]]) -> set[str]:
     """The paths of a page's containers that hold main text."""
     out, seen = set(), set()
     for n, _ in blocks:
-        while n is not None and not n.apart and id(n) not in seen:
-            seen.add(id(n))
+        while n is not None and not n.apart and n not in seen:
+            seen.add(n)
             if n.tag in CONTAINERS:
                 out.add(n.path)
             n = n.parent
@@ -252,8 +256,11 @@ def extract(page: str, ranks: dict[str, tuple]) -> str:
         if not found:
             return ""
         path = min(found, key=lambda p: (-found[p], p))
-    below = path + "/"
-    return " ".join(t for n, t in blocks if not n.apart and (n.path == path or n.path.startswith(below)))
+    below: set[Node] = set()
+    for n in nodes:
+        if n.path == path or n.parent in below:
+            below.add(n)
+    return " ".join(t for n, t in blocks if not n.apart and n in below)
 
 
 def host(url: Column) -> Column:

@@ -318,12 +318,20 @@ def test_html_all_templates_of_a_host(spark, monkeypatch, few):
     assert got[99] == "short" and got[40] == "Long, winding, text, of the main part, of this page." and len(got) == len(rows)
 
 
+def html_path(text):
+    """The path of block elements written as "/tag.classes/tag"."""
+    path = ""
+    for part in text.split("/")[1:]:
+        path = html.step(path, *part.partition(".")[::2])
+    return path
+
+
 def test_html_deep_elements_stay_balanced():
     page = "<div><article><p>before</p>" + "<div>" * 600 + "<div class=ad>advert <b>bold</b></div>within" + "</div>" * 600 + "<p>after</p></article></div><div>outside</div>"
     nodes, blocks = html.parse(page)
     assert [(t, n.apart) for n, t in blocks] == [("before", False), ("advert bold", True), ("within", False), ("after", False), ("outside", False)]
-    assert blocks[3][0].path == "/div/article/p" and blocks[4][0].path == "/div"
-    assert html.extract(page, {"/div/article": ()}) == "before within after"
+    assert blocks[3][0].path == html_path("/div/article/p") and blocks[4][0].path == html_path("/div")
+    assert html.extract(page, {html_path("/div/article"): ()}) == "before within after"
     html.parse("<b><div>" + "<span>" * 100_000 + "</b>" * 100_000)
 
 
@@ -575,10 +583,74 @@ def test_html_names_count_as_a_whole(name, aside):
 
 def test_html_raw_elements_and_empty_consensus():
     assert html.extract("<div>" + "İ" * 12 + "<SCRIPT>var a='</scripty>'</ScRiPt ><p>kept</p></div>", {}) == "İ" * 12 + " kept"
-    assert html.extract("<div class='a'></div><div class='b'><p>body</p></div>", {"/div.a": (-5, "")}) == "body"
+    one, other = html_path("/div.a"), html_path("/div.b")
+    assert html.extract("<div class='a'></div><div class='b'><p>body</p></div>", {one: (-5, "")}) == "body"
     two = "<div class='a'><p>first text, here.</p></div><div class='b'><p>second text, here.</p></div>"
-    assert html.extract(two, {"/div.a": (-2, "/div.a"), "/div.b": (-2, "/div.b")}) == "first text, here."
-    assert html.extract(two, {"/div.a": (-2, "/div.a"), "/div.b": (-3, "/div.b")}) == "second text, here."
+    assert html.extract(two, {one: (-2, 0), other: (-2, 1)}) == "first text, here."
+    assert html.extract(two, {one: (-2, 0), other: (-3, 1)}) == "second text, here."
+
+
+def test_html_no_depth_changes_the_rules(spark):
+    """A consensus path of any depth wins, and deep or unbalanced pages take linear time."""
+    deep = "<div>" * 3000
+    page = lambda main, noise: f"{deep}<article><p>{main}</p></article><section><p>{noise}</p></section>"
+    long, short = "Many words, of the main text, of this page, which goes on.", "few words"
+    rows = [(k, "http://deep.org/", page(long, "side")) for k in range(4)] + [(9, "http://deep.org/", page(short, long + long))]
+    got = {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {0: long, 1: long, 2: long, 3: long, 9: short}
+    began = time.process_time()
+    for text in ("<div>x" * 60_000, "<span>" * 60_000 + "<p>x" * 60_000, "<div>" * 60_000 + "</i>" * 60_000, "<b><div>" + "<span>" * 60_000 + "</b>" * 60_000, "<ul><li>x" * 60_000):
+        html.extract(text, {})
+    assert time.process_time() - began < 60
+
+
+def plain_scores(nodes, blocks):
+    """Each block's weight carried up one element at a time."""
+    out = Counter()
+    for node, text in blocks:
+        links, at, share = 0, node, 1.0
+        while at.tag not in html.CONTAINERS:
+            links, at = links + at.links, at.parent
+        weight = max(0, len(text) + 25 * text.count(", ") + 50 * (node.tag == "p") - links) * (not node.apart)
+        while at is not None:
+            if at.tag in html.CONTAINERS:
+                out[at.path] += weight * share * (1.25 if at.tag in ("article", "main") else 1)
+                share *= 0.8
+            at = at.parent
+    return out
+
+
+@pytest.mark.parametrize("few", [html.BROADCAST_ROWS, 0])
+def test_html_vote_against_plain_counting(spark, monkeypatch, few):
+    monkeypatch.setattr(html, "BROADCAST_ROWS", few)
+    df = spark.read.parquet(f"{SF}/pages.parquet")
+    pages = [(r.page_id, re.match(r"\w+://([^/:?#]*)", r.url or "")[1].lower(), r.html or "") for r in df.collect()]
+    ballots, parsed = {}, {}
+    for i, h, text in pages:
+        parsed[i] = html.parse(text)
+        plain, own = plain_scores(*parsed[i]), html.scores(*parsed[i])
+        assert own == pytest.approx({p: plain[p] for p in own}) and not any(v for p, v in plain.items() if p not in own)
+        best = min((p for p in own if p and own[p] > 0), key=lambda p: (-own[p], p), default=None)
+        if best:
+            ballots.setdefault(h, Counter())[best] += 1
+    want = {}
+    for i, h, _ in pages:
+        nodes, blocks = parsed[i]
+        mine = [p for p in {x for n, _ in blocks if not n.apart for x in lineage(n)} if p in ballots.get(h, {})]
+        chosen = min(mine, key=lambda p: (-ballots[h][p], p), default=None)
+        if chosen:
+            want[i] = " ".join(t for n, t in blocks if not n.apart and chosen in lineage(n))
+    got = {r.page_id: r.text for r in html.extract_pages(df).collect()}
+    assert len(want) >= 0.9 * len(pages) and all(got[i] == t for i, t in want.items())
+
+
+def lineage(node):
+    """The paths of the containers that an element is in."""
+    found = []
+    while node is not None:
+        found += [node.path] * (node.tag in html.CONTAINERS)
+        node = node.parent
+    return found
 
 
 def test_media_survives_damage(spark):
