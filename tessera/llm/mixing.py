@@ -25,6 +25,9 @@ SHARDS, SEED = 16, 17
 #: Blocks that are put in order together; a source has as many buckets as it needs.
 BUCKET = 2048
 
+#: Sources, or groups of them, that a row of the splitting tree deals one after another.
+FAN = 64
+
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
@@ -46,7 +49,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repe
     s = s.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("sidx") % len(weights) + 1).cast("int")))
     s = s.withColumn("cap", F.col("source_size") * float(repeats)).withColumn("ratio", F.col("cap") / F.col("w"))
     up = Window.orderBy("ratio", "sidx").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.orderBy("ratio", "sidx").rowsBetween(0, Window.unboundedFollowing)
+    down = Window.orderBy(F.desc("ratio"), F.desc("sidx")).rowsBetween(Window.unboundedPreceding, 0)  # linear, unlike a frame up to the last row
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     total = F.sum("source_size").over(every) * F.lit(float(share))
     s = s.withColumn("level", (total - F.coalesce(F.sum("cap").over(up), F.lit(0.0))) / F.sum("w").over(down))
@@ -95,34 +98,40 @@ def hypergeometric(N: str, K: str, n: str, u: str) -> str:
 def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``(sidx, cuts)``: of each source's quota, where the shards' parts of it end.
 
-    ``quotas(sidx, quota)`` has a row for each source. The tree has a row for
-    each node with the quotas of all sources; every level splits all nodes.
+    ``quotas(sidx, quota)`` has a row for each source, numbered from 0. The
+    shards' tree is a heap: node 1 has all blocks, node k's children are 2k and
+    2k + 1. Sources are gathered by ``FAN``, these groups by ``FAN`` again, up
+    to one group. From the top down, a group's blocks at every node are known
+    and are dealt to its members, so a row never holds more than ``FAN`` of
+    them, and a step deals all groups of its height side by side.
     """
     if shards < 1 or shards & (shards - 1):
         raise ValueError("shards must be a power of 2")
-    tree = quotas.agg(F.sort_array(F.collect_list(F.struct("sidx", "quota"))).alias("q")).select(F.lit(0).alias("node"), "q")
-    draw = hypergeometric("acc.pop", "src.quota", "acc.take", f"(shiftrightunsigned(xxhash64({seed}, lvl, node, src.sidx), 11) / {float(1 << 53)}D)")
-    level, size = 0, shards
-    while size > 1:
-        level, size = level + 1, size // 2
-        left = f"""aggregate(q, named_struct('pop', total, 'take', total div 2, 'out', CAST(array() AS ARRAY<STRUCT<sidx: INT, quota: BIGINT>>)),
-            (acc, src) -> aggregate(array({draw}), acc, (same, k) -> named_struct('pop', acc.pop - src.quota, 'take', acc.take - k,
-                'out', concat(acc.out, array(named_struct('sidx', src.sidx, 'quota', k))))), acc -> acc.out)"""
-        tree = (
-            tree.withColumn("lvl", F.lit(level))
-            .withColumn("total", F.expr("aggregate(q, 0L, (s, x) -> s + x.quota)"))
-            .withColumn("l", F.expr(left))
-            .withColumn("r", F.expr("zip_with(q, l, (x, y) -> named_struct('sidx', x.sidx, 'quota', x.quota - y.quota))"))
-            .select("node", F.posexplode(F.array("l", "r")).alias("side", "q"))
-            .select((F.col("node") * 2 + F.col("side")).alias("node"), "q")
-        )
-    leaves = tree.select("node", F.explode("q").alias("x")).select("node", "x.sidx", "x.quota")
-    line = Window.partitionBy("sidx").orderBy("node")
-    return (
-        leaves.withColumn("end", F.sum("quota").over(line))
-        .groupBy("sidx").agg(F.sort_array(F.collect_list(F.struct("node", "end"))).alias("ends"))
-        .select("sidx", F.col("ends.end").alias("cuts"))
-    )
+    sources, height = quotas.agg(F.max("sidx")).first()[0], 1
+    while sources is not None and FAN**height <= sources:
+        height += 1
+    grow = "concat(a, array(if(k % 2 = 0, a[k div 2 - 1] div 2, a[k div 2 - 1] - a[k div 2 - 1] div 2)))"
+    heap = f"aggregate(sequence(2, {2 * shards - 1}), array(total), (a, k) -> {grow})" if shards > 1 else "array(total)"
+    dealt = quotas.agg(F.sum("quota").alias("total")).where("total IS NOT NULL").select(F.lit(0).cast("bigint").alias("part"), F.expr(heap).alias("counts"))
+    for step in reversed(range(height)):
+        up, here = FAN ** (step + 1), FAN**step
+        members = quotas.groupBy(F.floor(F.col("sidx") / here).alias("id")).agg(F.sum("quota").alias("quota"))
+        groups = members.groupBy(F.floor(F.col("id") / FAN).alias("part")).agg(F.sort_array(F.collect_list(F.struct("id", "quota"))).alias("q"))
+        dealt = groups.join(dealt, "part").select(F.explode(F.expr(_split(shards, seed, up))).alias("x")).select(F.col("x.id").alias("part"), "x.counts")
+    ends = f"transform(sequence({shards}, {2 * shards - 1}), k -> aggregate(slice(counts, {shards}, k - {shards - 1}), 0L, (s, x) -> s + x))"
+    return dealt.select(F.col("part").cast("int").alias("sidx"), F.expr(ends).alias("cuts"))
+
+
+def _split(shards: int, seed: int, height: int) -> str:
+    """SQL for ``(id, counts)`` of the members ``q`` of a group with ``counts`` blocks at every node: each node's blocks are dealt to its children."""
+    draw = hypergeometric("acc.pop", "src.quota", "acc.take", f"(shiftrightunsigned(xxhash64({seed}, {height}L, k, src.id), 11) / {float(1 << 53)}D)")
+    drawn = f"""aggregate(nodes[k - 1], named_struct('pop', counts[k - 1], 'take', counts[2 * k - 1], 'out', CAST(array() AS ARRAY<STRUCT<id: BIGINT, quota: BIGINT>>)),
+        (acc, src) -> aggregate(array({draw}), acc, (same, n) -> named_struct('pop', acc.pop - src.quota, 'take', acc.take - n,
+            'out', concat(acc.out, array(named_struct('id', src.id, 'quota', n))))), acc -> acc.out)"""
+    rest = "zip_with(nodes[k - 1], l, (x, y) -> named_struct('id', x.id, 'quota', x.quota - y.quota))"
+    both = f"aggregate(array({drawn}), nodes, (ignored, l) -> concat(nodes, array(l, {rest})))"
+    tree = f"aggregate(sequence(1, {shards - 1}), array(q), (nodes, k) -> {both})" if shards > 1 else "array(q)"
+    return f"aggregate(array({tree}), CAST(array() AS ARRAY<STRUCT<id: BIGINT, counts: ARRAY<BIGINT>>>), (none, t) -> transform(q, (m, i) -> named_struct('id', m.id, 'counts', transform(t, n -> n[i].quota))))"
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:

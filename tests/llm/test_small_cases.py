@@ -157,6 +157,35 @@ def test_mixing_shards_are_even_and_exact(spark):
     assert {k: c[-1] for k, c in cuts.items()} == {0: 40, 1: 60, 2: 1} and all(c == sorted(c) and len(c) == 4 for c in cuts.values())
 
 
+def test_mixing_deals_many_sources_in_groups(spark, monkeypatch):
+    quotas = spark.range(11).selectExpr("CAST(id AS INT) AS sidx", "1 + id * 3 AS quota")
+    for fan in (2, 3, 64):  # four heights, three and one
+        monkeypatch.setattr(mixing, "FAN", fan)
+        for shards in (1, 8):
+            got = {r.sidx: r.cuts for r in mixing.shard_quotas(quotas, shards).collect()}
+            assert sorted(got) == list(range(11)) and all(c[-1] == 1 + 3 * k and c == sorted(c) and len(c) == shards for k, c in got.items())
+            sizes = [sum(c[n] - (c[n - 1] if n else 0) for c in got.values()) for n in range(shards)]
+            assert max(sizes) - min(sizes) <= 3
+    assert mixing.shard_quotas(quotas.limit(0), 8).count() == 0
+
+
+def test_mixing_in_groups_follows_the_law(spark, monkeypatch):
+    """Of two shards the first has half of all blocks; a source's part of it is hypergeometric however its group was dealt."""
+    from math import comb
+
+    monkeypatch.setattr(mixing, "FAN", 2)
+    quotas = spark.createDataFrame([(0, 6), (1, 4), (2, 5), (3, 5)], "sidx int, quota bigint").coalesce(1)
+    seen, runs = {k: {} for k in range(4)}, 30
+    for seed in range(runs):
+        for r in mixing.shard_quotas(quotas, 2, seed).collect():
+            seen[r.sidx][r.cuts[0]] = seen[r.sidx].get(r.cuts[0], 0) + 1
+    for k, quota in ((0, 6), (1, 4), (2, 5), (3, 5)):
+        law = [comb(quota, v) * comb(20 - quota, 10 - v) / comb(20, 10) for v in range(quota + 1)]
+        mean = sum(v * c for v, c in seen[k].items()) / runs
+        sd = sum(p * (v - quota / 2) ** 2 for v, p in enumerate(law)) ** 0.5
+        assert abs(mean - quota / 2) < 4 * sd / runs**0.5 and len(seen[k]) > 2
+
+
 def test_hypergeometric_law(spark):
     r = spark.range(40_000).selectExpr("50L AS pop", "20L AS marked", "10L AS take", "(id + 0.5D) / 40000 AS u")
     e = mixing.hypergeometric("pop", "marked", "take", "u")
