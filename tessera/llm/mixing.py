@@ -112,12 +112,12 @@ def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
         height += 1
     grow = "concat(a, array(if(k % 2 = 0, a[k div 2 - 1] div 2, a[k div 2 - 1] - a[k div 2 - 1] div 2)))"
     heap = f"aggregate(sequence(2, {2 * shards - 1}), array(total), (a, k) -> {grow})" if shards > 1 else "array(total)"
-    dealt = quotas.agg(F.sum("quota").alias("total")).where("total IS NOT NULL").select(F.lit(0).cast("bigint").alias("part"), F.expr(heap).alias("counts"))
+    dealt = None
     for step in reversed(range(height)):
-        up, here = FAN ** (step + 1), FAN**step
-        members = quotas.groupBy(F.floor(F.col("sidx") / here).alias("id")).agg(F.sum("quota").alias("quota"))
-        groups = members.groupBy(F.floor(F.col("id") / FAN).alias("part")).agg(F.sort_array(F.collect_list(F.struct("id", "quota"))).alias("q"))
-        dealt = groups.join(dealt, "part").select(F.explode(F.expr(_split(shards, seed, up))).alias("x")).select(F.col("x.id").alias("part"), "x.counts")
+        members = quotas.groupBy(F.floor(F.col("sidx") / FAN**step).alias("id")).agg(F.sum("quota").alias("quota"))
+        groups = members.groupBy(F.floor(F.col("id") / FAN).alias("part")).agg(F.sort_array(F.collect_list(F.struct("id", "quota"))).alias("q"), F.sum("quota").alias("total"))
+        known = groups.withColumn("counts", F.expr(heap)) if dealt is None else groups.join(dealt, "part")  # one group at the top
+        dealt = known.select(F.explode(F.expr(_split(shards, seed, FAN ** (step + 1)))).alias("x")).select(F.col("x.id").alias("part"), "x.counts")
     ends = f"transform(sequence({shards}, {2 * shards - 1}), k -> aggregate(slice(counts, {shards}, k - {shards - 1}), 0L, (s, x) -> s + x))"
     return dealt.select(F.col("part").cast("int").alias("sidx"), F.expr(ends).alias("cuts"))
 
