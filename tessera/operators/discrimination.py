@@ -93,6 +93,32 @@ def delong_paired(df: DataFrame, key: str, by: list[str], risk_a: str, risk_b: s
     return out.select(*by, "auc_a", "auc_b", "delta", "z", normal_p("z").alias("p_value"))
 
 
+def delong_all_pairs(predictions: DataFrame, key: str, by: list[str], models: list[str], truth: str = "truth") -> DataFrame:
+    """``(by, model_a, model_b, n, auc_a, auc_b, delta, z, p_value)``: every two of ``models`` on the ids that have a risk by each.
+
+    ``predictions`` has a row for each id and model. Each model is ranked once;
+    the placements of an id then stand side by side, and one aggregation gives
+    the covariances of all pairs. z is null where two models never differ.
+    """
+    at = range(len(models))
+    wide = lambda t, name, value: t.groupBy(*by, key, truth).agg(*[F.max(F.when(F.col("model") == name(k), F.col(value))).alias(f"_v{k}") for k in at])
+    risks = wide(predictions.where(F.col("model").isin(models) & F.col(truth).isNotNull()), lambda k: models[k], "risk").dropna(subset=[f"_v{k}" for k in at])
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), F.col(f"_v{k}").alias("risk")) for k in at]))
+    long = risks.select(*by, key, truth, cells.alias("_x")).select(*by, key, truth, "_x.model", "_x.risk")
+    v = wide(placements(long, [*by, "model"], "risk", truth), lambda k: k, "placement")
+    of = lambda c, k: F.when(F.col(truth) == c, F.col(f"_v{k}"))
+    gram = [F.covar_samp(of(c, i), of(c, j)).alias(f"_s{c}_{i}_{j}") for c in (0, 1) for i in at for j in at if i <= j]
+    sums = v.groupBy(*by).agg(F.count("*").alias("n"), F.count(F.when(F.col(truth) == 0, 1)).alias("_n0"), F.count(F.when(F.col(truth) == 1, 1)).alias("_n1"), *[F.avg(of(1, k)).alias(f"_a{k}") for k in at], *gram)
+    part = lambda c, i, j: (F.col(f"_s{c}_{i}_{i}") + F.col(f"_s{c}_{j}_{j}") - 2 * F.col(f"_s{c}_{i}_{j}")) / F.col(f"_n{c}")
+    pairs = [
+        F.struct(F.lit(models[i]).alias("model_a"), F.lit(models[j]).alias("model_b"), F.col(f"_a{i}").alias("auc_a"), F.col(f"_a{j}").alias("auc_b"), F.sqrt(part(1, i, j) + part(0, i, j)).alias("se"))
+        for i in at for j in at if i < j
+    ]
+    out = sums.select(*by, "n", F.explode(F.array(*pairs)).alias("_x")).select(*by, "n", "_x.*").withColumn("delta", F.col("auc_a") - F.col("auc_b"))
+    out = out.withColumn("z", F.try_divide("delta", "se"))
+    return out.select(*by, "model_a", "model_b", "n", "auc_a", "auc_b", "delta", "z", normal_p("z").alias("p_value"))
+
+
 def bootstrap_delta(
     df: DataFrame, key: str, risk_a: str, risk_b: str, truth: str = "truth", replicates: int = 2000, seed=1, by: list[str] | None = None, cohort: list[str] | None = None
 ) -> DataFrame:

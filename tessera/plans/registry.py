@@ -459,6 +459,15 @@ def delong_paired_test(s, d):
     return rounded(discrimination.delong_paired(fx.scores(s, d), "id", ["layer"], "s1", "s2"))
 
 
+ALL_PAIRS = f"""(WITH v AS {PLACE}, j AS (SELECT a.layer, a.truth, a.model AS model_a, b.model AS model_b, a.v AS va, b.v AS vb, CASE WHEN a.truth = 1 THEN a.v END AS va1, CASE WHEN a.truth = 1 THEN b.v END AS vb1 FROM v a JOIN v b ON a.id = b.id AND a.model < b.model)
+ SELECT layer, model_a, model_b, count(*) AS n, avg(va1) AS auc_a, avg(vb1) AS auc_b, (avg(va1) - avg(vb1)) / sqrt(var_samp(va1 - vb1) / sum(truth) + var_samp(CASE WHEN truth = 0 THEN va - vb END) / sum(1 - truth)) AS z FROM j GROUP BY 1, 2, 3)"""
+
+
+@query(f"SELECT layer, model_a, model_b, n, round(auc_a, 6) AS auc_a, round(auc_b, 6) AS auc_b, round(auc_a - auc_b, 6) AS delta, round(z, 6) AS z FROM {ALL_PAIRS}")
+def delong_all_pairs_z(s, d):
+    return rounded(discrimination.delong_all_pairs(fx.predictions(s, d), "id", ["layer"], ["s1", "s2", "s3"]).drop("p_value"))
+
+
 @query()
 def model_comparisons(s, d):
     return rounded(discrimination.compare(fx.scores(s, d), "id", ["layer"], {"s2": ["s1", "s3"], "s3": ["s1"]}, replicates=200))

@@ -59,6 +59,24 @@ def test_auc_and_delong_by_brute_force(spark):
     assert p["p_value"] == pytest.approx(math.erfc(abs(p["z"]) / math.sqrt(2)))
 
 
+def test_delong_of_all_pairs_equals_pair_by_pair(spark):
+    rng = random.Random(5)
+    rows = [(i, i % 2, i % 3 > 0, rng.randint(0, 6) / 6, rng.randint(0, 9) / 9, rng.random()) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, g int, t boolean, a double, b double, c double").withColumn("truth", F.col("t").cast("int")).withColumn("same", F.col("a"))
+    models = ["c", "a", "b", "same"]
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("risk")) for m in models]))
+    long = df.select("id", "g", "truth", cells.alias("x")).select("id", "g", "truth", "x.model", "x.risk")
+    long = long.where("NOT (id = 7 AND model = 'b')").unionByName(df.selectExpr("id", "g", "truth", "'other' AS model", "a AS risk"))  # id 7 has no risk by b
+    got = {(r.g, r.model_a, r.model_b): r for r in discrimination.delong_all_pairs(long, "id", ["g"], models).collect()}
+    assert len(got) == 2 * 6
+    for a, b in (("c", "a"), ("a", "b"), ("c", "same")):
+        for want in discrimination.delong_paired(df.where("id <> 7"), "id", ["g"], a, b).collect():
+            r = got[want.g, a, b]
+            assert r.n == (45 if want.g == 0 else 44) and (r.auc_a, r.auc_b, r.z, r.p_value) == pytest.approx((want.auc_a, want.auc_b, want.z, want.p_value))
+    assert got[0, "a", "same"].delta == 0 and not got[0, "a", "same"].z
+    assert discrimination.delong_all_pairs(long.limit(0), "id", ["g"], models).count() == 0
+
+
 def test_calibration_of_true_model(spark):
     df = spark.range(4000).select(((F.col("id") % 97 + 1) / 99.0).alias("risk"), (scalars.hash_order(1, "y", F.col("id")) / 2.0**32 < (F.col("id") % 97 + 1) / 99.0).cast("int").alias("truth"))
     r = one(discrimination.calibration(df.withColumn("m", F.lit(1)), ["m"]))
