@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import labels, scalars
 from tessera.operators import blocks, contracts, discrimination, importance, inference, models, quantiles, recodes, relational, resampling, screening, tables
 from tessera.plans import fixtures as fx
-from tessera.sources import sheets, sinks
+from tessera.sources import provenance, sheets, sinks
 from tessera.sources.folders import own_folder
 from tessera.sources.tables import file_manifest, landed, read_csv, read_matrix_text, read_with_found_header, split_missing_code
 from tessera.streaming.events import windowed_summary
@@ -1029,6 +1029,18 @@ def manifest_of_files(s, d):
     return file_manifest(s, path, "*.txt").select("md5", "bytes")
 
 
+@query("""SELECT coalesce(b.part, a.part) AS part, coalesce(b.name, a.name) AS name, CASE WHEN b.name IS NULL THEN 'added' WHEN a.name IS NULL THEN 'removed' ELSE 'changed' END AS change
+ FROM (SELECT o_orderpriority AS part, o_orderkey::VARCHAR AS name, o_custkey AS v FROM orders WHERE o_orderpriority <> '1-URGENT') b
+ FULL JOIN (SELECT o_orderpriority AS part, o_orderkey::VARCHAR AS name, CASE WHEN o_orderstatus = 'O' THEN -1 ELSE o_custkey END AS v FROM orders WHERE o_orderstatus <> 'P') a
+ ON a.part = b.part AND a.name = b.name WHERE a.v IS DISTINCT FROM b.v""")
+def provenance_changes(s, d):
+    o = landed(s, d, "orders", ["o_orderkey", "o_orderpriority", "o_custkey", "o_orderstatus"])
+    entries = lambda t, v: t.select(F.col("o_orderpriority").alias("part"), F.col("o_orderkey").cast("string").alias("name"), F.md5(v.cast("string")).alias("digest"))
+    before = entries(o.where("o_orderpriority <> '1-URGENT'"), F.col("o_custkey"))
+    after = entries(o.where("o_orderstatus <> 'P'"), F.when(F.col("o_orderstatus") == "O", -1).otherwise(F.col("o_custkey")))
+    return provenance.changes(before, after)
+
+
 # ---- models ---------------------------------------------------------------------------
 
 def _model_frame(s, d):
