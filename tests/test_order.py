@@ -113,3 +113,12 @@ def test_bh_against_the_definition(spark, many):
 def test_rankings_of_coefficients(spark):
     c = spark.createDataFrame([("a", 1.0), ("b", -3.0), ("c", 0.0), ("d", 1.0), ("e", None)], "feature string, coefficient double")
     assert [(r.feature, r["rank"]) for r in importance.coefficient_importance(c).orderBy("rank").collect()] == [("b", 1), ("a", 2), ("d", 3)]
+
+
+def test_draws_stay_on_the_executors(spark):
+    """Slots by the rows' number look few to the plan: they are neither broadcast nor all made in one task."""
+    df = spark.range(1000).selectExpr("id", "id % 3 AS g")
+    plan = resampling.bootstrap_draws(df, "id", 5, by=["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    slots = resampling.bootstrap_slots(df.groupBy("g").agg(F.count("*").alias("_size")), ["g"], 5)
+    assert slots.select(F.spark_partition_id().alias("p")).distinct().count() > 1
