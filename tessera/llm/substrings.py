@@ -617,11 +617,13 @@ def near_links(classes: DataFrame, scratch: Scratch, t: int, s: Fraction, far: i
     """Verified links ``(cls, low, first, last)`` between the classes of each key, enough to connect all that link.
 
     Classes of one ``comp`` are connected by exact repeats and not compared,
-    unless they hold words that no exact repeat covers (``apart``). A
+    unless they hold words that no exact repeat covers (``apart``): such a
+    class counts by itself, whatever its text is connected with. A
     key of more than BLOCK classes is dealt in blocks. A few of its classes,
     by hash, are in all of them, so what is alike meets through these. What is
     then not connected with the key's largest component is compared with all
-    of the key's classes, in pairs of blocks dealt evenly.
+    of the key's classes, in pairs of blocks dealt evenly, so the same classes
+    have a near passage and the same are connected whatever BLOCK is.
     """
     sizes = classes.groupBy("key").agg(F.count("*").alias("m"), _salts("cls")).where("m > 1")
     sized = scratch.keep(_dealt(classes, sizes, ["key"], "cls").withColumn("blocks", F.ceil(F.col("m") / BLOCK)))
@@ -636,7 +638,9 @@ def near_links(classes: DataFrame, scratch: Scratch, t: int, s: Fraction, far: i
     wide = sized.where("blocks > 1")
     if not wide.limit(1).count():
         return found
-    nodes = components(_bridges(found, classes), scratch).select(F.col("node").alias("comp"), F.col("component").alias("now"))
+    wide = wide.withColumn("comp", F.when(F.col("apart"), F.col("cls")).otherwise(F.col("comp")))
+    bridges = _bridges(found, classes).union(_bridges(found, wide))
+    nodes = components(bridges, scratch).select(F.col("node").alias("comp"), F.col("component").alias("now"))
     placed = wide.join(nodes, "comp", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
     placed = scratch.keep(placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))))
     shares = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))

@@ -549,6 +549,23 @@ def test_substrings_hot_passage_in_blocks(spark, monkeypatch):
     assert len(got) >= 38 and set(got.values()) == {min(got)}
 
 
+def test_substrings_inside_connected_texts_whatever_the_block(spark, monkeypatch):
+    """Texts that exact repeats connect have the same near passages whether a key's classes fit a block or not."""
+    rng = random.Random(35)
+    fill = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    exact, core, rows = fill(60), fill(40), []
+    for k in range(16):
+        before, after = fill(20), fill(20)
+        for side, own in enumerate((core, core[:20] + [f"new{k}"] + core[20:])):
+            rows.append((2 * k + side, " ".join(fill(20) + exact + fill(20) + before + own + after + fill(20)), None))
+    found = []
+    for block in (1 << 20, 3):
+        monkeypatch.setattr(substrings, "BLOCK", block)
+        found.append({r.doc_id: (r.spans, r.component_id) for r in substrings.repeated_passages(documents(spark, rows)).collect()})
+    assert len(found[0]) == 32 and sum("," in s for s, _ in found[0].values()) >= 16
+    assert found[0] == found[1]
+
+
 def test_mixed_documents_draw_rows_alike_one_by_one(spark):
     """Equal rows across a source's cut are drawn as often as the target says, not all or none."""
     rows = [(7, "one two three", "a")] * 5000 + [(k, f"w{k} " * (1 + k % 5), "b") for k in range(900)] + [(None, "null id " * 3, None)] * 40 + [(7, "other words here", "a")] * 30
