@@ -269,19 +269,18 @@ def _contexts(grouped: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, 16):
-                out: list[list] = [[] for _ in range(7)]
-                for rid, sig, comp, wins in zip(*(part.column(k).to_pylist() for k in range(4))):
-                    for w in wins:
-                        for column, v in zip(out, (rid, comp, w["key"], w["apart"], w["c"], w["c"] - w["lo"], sig[2 * w["lo"] : 2 * (w["hi"] + SHINGLE)])):
-                            column.append(v)
-                        if len(out[0]) == 4096:
-                            yield batch_of(out)
-                            out = [[] for _ in range(7)]
-                yield batch_of(out)
-
-    def batch_of(out):
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=["rid", "comp", "key", "apart", "c", "left", "ctx"])
+                sigs, wins = part.column(1).to_pylist(), part.column(3)
+                of = np.repeat(np.arange(part.num_rows), wins.value_lengths().to_numpy(zero_copy_only=False))
+                key, apart, lo, c, hi = wins.flatten().flatten()
+                begin, middle, end = (v.to_numpy(zero_copy_only=False) for v in (lo, c, hi))
+                rid, comp = (part.column(k).to_numpy(zero_copy_only=False)[of] for k in (0, 2))
+                for at in range(0, len(of), 4096):
+                    m = slice(at, at + 4096)
+                    ctx = [sigs[r][2 * x : 2 * (y + SHINGLE)] for r, x, y in zip(of[m].tolist(), begin[m].tolist(), end[m].tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(rid[m]), pa.array(comp[m]), key[m], apart[m], c[m], pa.array(middle[m] - begin[m]), pa.array(ctx, pa.binary())],
+                        names=["rid", "comp", "key", "apart", "c", "left", "ctx"],
+                    )
 
     return grouped.select("rid", "sig", "comp", "wins").mapInArrow(run, "rid bigint, comp bigint, key bigint, apart boolean, c int, left int, ctx binary")
 
@@ -305,6 +304,14 @@ def context_tokens(ctx, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A stable order of keys, where the runs of equal ones begin in it, and the run of each place in it."""
+    if key.dtype == np.uint64:  # upper bits first, place second; keys that differ in the lower bits alone are rare
+        low = (np.uint64(1) << np.uint64(len(key).bit_length())) - np.uint64(1)
+        order = (np.sort(key & ~low | np.arange(len(key), dtype=np.uint64)) & low).astype(np.int64)
+        of = key[order]
+        first = np.ones(len(key), bool)
+        first[1:] = of[1:] != of[:-1]
+        if not (first[1:] & ((of[1:] ^ of[:-1]) <= low)).any():
+            return order, np.flatnonzero(first), np.cumsum(first) - 1
     order = np.argsort(key, kind="stable")
     first = np.ones(len(key), bool)
     first[1:] = key[order[1:]] != key[order[:-1]]
@@ -361,16 +368,26 @@ def stretches(good: np.ndarray, inside: np.ndarray, gain: int, loss: int, t: int
 
 def _chains(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places (x, y) of equal tokens and how long a chain of matches in order may end there; the centre is (0, 0)."""
-    eq = (a[:, None] == b[None, ::-1]) & (a >= 0)[:, None]
-    x, y = np.nonzero(eq)
-    y = len(b) - 1 - y
-    ends: list[int] = []
-    n = []
-    for v in y.tolist():
-        k = bisect_left(ends, v)
-        ends[k : k + 1] = [v]
-        n.append(k + 1)
-    return np.append(0, x + 1), np.append(0, y + 1), np.array([0, *n])
+    p, q = np.flatnonzero(a >= 0), np.flatnonzero(b >= 0)[::-1]
+    k = np.flatnonzero(a[p][:, None] == b[q])
+    x = k // max(len(q), 1)
+    y = q[k - x * len(q)]
+    xs, ys = np.zeros(len(k) + 1, np.int64), np.zeros(len(k) + 1, np.int64)
+    xs[1:], ys[1:] = p[x] + 1, y + 1
+    if (y[1:] > y[:-1]).all():  # one chain has them all
+        n = np.arange(len(y) + 1)
+    else:
+        ends, ln = [-1], [0]
+        for v in y.tolist():
+            if v > ends[-1]:
+                ln.append(len(ends))
+                ends.append(v)
+            else:
+                k = bisect_left(ends, v)
+                ends[k] = v
+                ln.append(k)
+        n = np.array(ln)
+    return xs, ys, n
 
 
 def in_order(a: np.ndarray, b: np.ndarray, t: int, s: Fraction):
@@ -378,9 +395,16 @@ def in_order(a: np.ndarray, b: np.ndarray, t: int, s: Fraction):
     far = len(a) // 2
     lx, ly, ln = _chains(a[:far][::-1], b[:far][::-1])
     rx, ry, rn = _chains(a[far + 1 :], b[far + 1 :])
-    sides = np.maximum(lx[:, None] + rx + 1, t) + np.maximum(ly[:, None] + ry + 1, t)
-    i, j = np.nonzero((ln[:, None] + rn + 1) * (s.numerator + s.denominator) >= s.numerator * sides)
-    return (-lx[i].max(), rx[j].max(), -ly[i].max(), ry[j].max()) if len(i) else None
+    num, den = s.numerator, s.denominator
+    kind = np.int16 if (num + den) * (4 * far + 2 * t + 4) < 1 << 15 else np.int64
+    (lx, ly, ln), (rx, ry, rn) = (tuple(v.astype(kind) for v in side) for side in ((lx, ly, ln), (rx, ry, rn)))
+    sides = np.maximum(np.add.outer(lx, rx + 1), t) + np.maximum(np.add.outer(ly, ry + 1), t)
+    ok = np.add.outer(ln, rn + 1) * kind(num + den) >= kind(num) * sides
+    i = ok.any(axis=1)
+    if not i.any():
+        return None
+    j = ok.any(axis=0)
+    return -int(lx[i].max()), int(rx[j].max()), -int(ly[i].max()), int(ry[j].max())
 
 
 def crossing(a: np.ndarray, b: np.ndarray) -> bool:
