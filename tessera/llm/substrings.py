@@ -118,7 +118,8 @@ class Slice:
         before, after = (self.start[of] - 1).tolist(), (self.end[of] - SHINGLE + 1).tolist()
         stack: list[int] = []
         place, text, own = c.tolist(), of.tolist(), -1
-        for i, v in enumerate(keys.tolist()):
+        keys = keys.tolist()
+        for i, v in enumerate(keys):
             if text[i] != own:
                 stack, own = [], text[i]
             while stack and keys[stack[-1]] > v:
@@ -192,7 +193,7 @@ def _salts(by: str):
 def _dealt(rows: DataFrame, stats: DataFrame, keys: list[str], by: str) -> DataFrame:
     """``rows`` joined with the row of ``stats`` for their key; a key's rows are dealt over SALTS tasks by ``by``, so no key fills one."""
     few = stats.withColumn("salt", F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), x -> (shiftrightunsigned(salts, x) & 1L) = 1)"))).drop("salts")
-    return rows.withColumn("salt", F.expr(f"CAST(pmod({by}, {SALTS}) AS INT)")).join(few, [*keys, "salt"]).drop("salt")
+    return rows.withColumn("salt", F.expr(f"CAST(pmod({by}, {SALTS}) AS INT)")).join(few.hint("shuffle_hash"), [*keys, "salt"]).drop("salt")
 
 
 def _column_values(column) -> np.ndarray:
@@ -271,18 +272,18 @@ def _contexts(grouped: DataFrame) -> DataFrame:
             for part in slices(batch, 16):
                 sigs, wins = part.column(1).to_pylist(), part.column(3)
                 of = np.repeat(np.arange(part.num_rows), wins.value_lengths().to_numpy(zero_copy_only=False))
-                key, apart, lo, c, hi = wins.flatten().flatten()
+                key, many, apart, lo, c, hi = wins.flatten().flatten()
                 begin, middle, end = (v.to_numpy(zero_copy_only=False) for v in (lo, c, hi))
                 rid, comp = (part.column(k).to_numpy(zero_copy_only=False)[of] for k in (0, 2))
                 for at in range(0, len(of), 4096):
                     m = slice(at, at + 4096)
                     ctx = [sigs[r][2 * x : 2 * (y + SHINGLE)] for r, x, y in zip(of[m].tolist(), begin[m].tolist(), end[m].tolist())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rid[m]), pa.array(comp[m]), key[m], apart[m], c[m], pa.array(middle[m] - begin[m]), pa.array(ctx, pa.binary())],
-                        names=["rid", "comp", "key", "apart", "c", "left", "ctx"],
+                        [pa.array(rid[m]), pa.array(comp[m]), key[m], many[m], apart[m], c[m], pa.array(middle[m] - begin[m]), pa.array(ctx, pa.binary())],
+                        names=["rid", "comp", "key", "many", "apart", "c", "left", "ctx"],
                     )
 
-    return grouped.select("rid", "sig", "comp", "wins").mapInArrow(run, "rid bigint, comp bigint, key bigint, apart boolean, c int, left int, ctx binary")
+    return grouped.select("rid", "sig", "comp", "wins").mapInArrow(run, "rid bigint, comp bigint, key bigint, many boolean, apart boolean, c int, left int, ctx binary")
 
 
 #: Pairs that are compared at a time.
@@ -367,7 +368,10 @@ def stretches(good: np.ndarray, inside: np.ndarray, gain: int, loss: int, t: int
 
 
 def _chains(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places (x, y) of equal tokens and how long a chain of matches in order may end there; the centre is (0, 0)."""
+    """Places (x, y) of equal tokens and how long a chain of matches in order may end there; the centre is (0, 0).
+
+    Where (x + 1, y + 1) matches as well (x, y) is left out, since what holds with it holds with the next one.
+    """
     p, q = np.flatnonzero(a >= 0), np.flatnonzero(b >= 0)[::-1]
     k = np.flatnonzero(a[p][:, None] == b[q])
     x = k // max(len(q), 1)
@@ -387,7 +391,12 @@ def _chains(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
                 ends[k] = v
                 ln.append(k)
         n = np.array(ln)
-    return xs, ys, n
+    wide = len(b) + 2
+    spot = xs * wide + ys
+    known = np.zeros(wide * (len(a) + 2), bool)
+    known[spot] = True
+    last = ~known[spot + wide + 1]
+    return xs[last], ys[last], n[last]
 
 
 def in_order(a: np.ndarray, b: np.ndarray, t: int, s: Fraction):
@@ -647,17 +656,19 @@ def near_links(classes: DataFrame, scratch: Scratch, t: int, s: Fraction, far: i
     by hash, are in all of them, so what is alike meets through these. What is
     then not connected with the key's largest component is compared with all
     of the key's classes, in pairs of blocks dealt evenly, so the same classes
-    have a near passage and the same are connected whatever BLOCK is.
+    have a near passage and the same are connected whatever BLOCK is. Keys of BLOCK rows at most (not ``many``) are one
+    block without being counted.
     """
-    sizes = classes.groupBy("key").agg(F.count("*").alias("m"), _salts("cls")).where("m > 1")
-    sized = scratch.keep(_dealt(classes, sizes, ["key"], "cls").withColumn("blocks", F.ceil(F.col("m") / BLOCK)))
+    few, many = classes.where(~F.col("many")).drop("many"), classes.where("many").drop("many")
+    sizes = many.groupBy("key").agg(F.count("*").alias("m"), _salts("cls")).where("m > 1")
+    sized = scratch.keep(_dealt(many, sizes, ["key"], "cls").withColumn("blocks", F.ceil(F.col("m") / BLOCK)))
     home = F.pmod(F.xxhash64("cls"), F.col("blocks"))
     hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(1), "cls"), F.col("m")) < HUBS)
     dealt = sized.select(
-        "key", F.explode(F.when(hub, F.expr("sequence(0L, blocks - 1)")).otherwise(F.array(home))).alias("block"), "cls",
-        F.when(F.col("apart"), F.col("cls")).otherwise(F.col("comp")).alias("comp"), "only", "left", "ctx",
+        "key", F.explode(F.when(hub, F.expr("sequence(0L, blocks - 1)")).otherwise(F.array(home))).alias("block"), "cls", "apart", "comp", "only", "left", "ctx",
     )
-    own = _blocks(dealt).select(F.col("x").alias("a"), F.expr("slice(x, 1, 0)").alias("b"))
+    dealt = dealt.unionByName(few.withColumn("block", F.lit(0).cast("bigint"))).withColumn("comp", F.when(F.col("apart"), F.col("cls")).otherwise(F.col("comp")))
+    own = _blocks(dealt).where("size(x) > 1").select(F.col("x").alias("a"), F.expr("slice(x, 1, 0)").alias("b"))
     found = scratch.keep(own.mapInArrow(lambda it: _compare(it, t, s, far), COMPARED))
     wide = sized.where("blocks > 1")
     if not wide.limit(1).count():
@@ -764,18 +775,21 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float
         # leave out, there with one text that is exact if any is
         placed = some.join(nodes, "rid", "left").withColumn("comp", F.coalesce("comp", "rid")).join(exact.select("rid", "places"), "rid", "left")
         joint = scratch.keep(_joint_windows(placed, passage, hashes, far))
-        wanted = joint.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("mark").alias("m0"), F.max("mark").alias("m1"), _salts("rid"))
-        wanted = wanted.select("key", (F.col("c0") < F.col("c1")).alias("cross"), F.pmod("m0", F.lit(REST)).alias("first"), "m1", "salts")
-        gaps = (F.col("m1") >= REST) & (F.col("first") < F.col("m1") - REST)
-        wins = _dealt(joint, wanted.where(F.col("cross") | gaps).drop("m1"), ["key"], "rid").where(F.col("cross") | (F.col("mark") >= REST) | (F.col("rid") == F.col("first")))
+        wanted = joint.groupBy("key").agg(
+            F.min("comp").alias("c0"), F.max("comp").alias("c1"),
+            F.min("mark").alias("m0"), F.max("mark").alias("m1"), F.min("rid").alias("r0"), F.max("rid").alias("r1"), F.count("*").alias("rows"), _salts("rid"),
+        )
+        wanted = wanted.where((F.col("r0") < F.col("r1")) & ((F.col("c0") < F.col("c1")) | (F.col("m1") >= REST)))
+        wanted = wanted.select("key", (F.col("c0") < F.col("c1")).alias("cross"), F.pmod("m0", F.lit(REST)).alias("first"), "rows", "salts")
+        wins = _dealt(joint, wanted, ["key"], "rid").where(F.col("cross") | (F.col("mark") >= REST) | (F.col("rid") == F.col("first")))
         apart = (~F.col("cross") | (F.col("mark") >= REST)).alias("apart")
-        wins = wins.groupBy("rid", "comp").agg(F.collect_list(F.struct("key", apart, "lo", "c", "hi")).alias("wins"))
+        wins = wins.groupBy("rid", "comp").agg(F.collect_list(F.struct("key", (F.col("rows") > BLOCK).alias("many"), apart, "lo", "c", "hi")).alias("wins"))
         members = scratch.keep(_contexts(some.select("rid", "sig").join(wins, "rid")).withColumn("cls", F.xxhash64("key", "left", "ctx")))
         scratch.discard(joint)
         scratch.discard(some)
         scratch.release()
-        classes = members.groupBy("cls").agg(
-            F.min("key").alias("key"), F.max("apart").alias("apart"), F.min("left").alias("left"), F.min("ctx").alias("ctx"), F.min("comp").alias("comp"),
+        classes = members.groupBy("cls", "key", "many", "left", "ctx").agg(  # cls stands for the others
+            F.max("apart").alias("apart"), F.min("comp").alias("comp"),
             F.when(F.min("rid") == F.max("rid"), F.min("rid")).otherwise(-1).alias("only"), _salts("rid"),
         )
         classes = scratch.keep(classes)

@@ -55,9 +55,13 @@ class Words:
                 end = gap.start() if gap else end
             x = data[at:end]
             p = self.powers.grow(len(x) + 1)
-            edge = np.diff((~self.space[x]).astype(np.int8), prepend=0, append=0)
-            starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            sums = np.append(np.uint64(0), np.cumsum(self.letter[x] * p.up[: len(x)], dtype=np.uint64))
+            blank = np.ones(len(x) + 2, bool)
+            blank[1:-1] = self.space[x]
+            edges = np.flatnonzero(blank[1:] != blank[:-1])
+            starts, ends = edges[::2], edges[1::2]
+            sums, value = np.zeros(len(x) + 1, np.uint64), self.letter[x]
+            value *= p.up[: len(x)]
+            np.cumsum(value, out=sums[1:])
             places.append(starts + at)
             out.append(mixed((sums[ends] - sums[starts]) * p.down[starts], 0))
             at = end
