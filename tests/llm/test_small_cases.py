@@ -501,6 +501,21 @@ def test_substrings_recall_against_brute_force(spark):
     assert all(c == i - i % 2 for i, c in got.items()) and len(got) >= 0.9 * len(rows)
 
 
+def test_substrings_near_passage_whose_exact_partners_come_later(spark):
+    """A near passage is found in a connected text whose row comes before those in which an exact repeat holds it."""
+    rng = random.Random(34)
+    fill = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for k in range(30):
+        exact, near, before, after = fill(60), fill(60), fill(60), fill(60)
+        rows.append((3 * k, " ".join(fill(30) + exact + fill(40) + near[:30] + ["new"] + near[30:] + fill(30)), None))
+        rows.append((3 * k + 1, " ".join(exact + before + near + after), None))
+        rows.append((3 * k + 2, " ".join(fill(20) + before + near + after), None))
+    got = {r.doc_id: r.spans for r in substrings.repeated_passages(documents(spark, rows)).collect()}
+    spans = [[tuple(map(int, s.split(":"))) for s in got[3 * k].split(",")] for k in range(30)]
+    assert sum(any(a <= 136 and b >= 185 for a, b in x) for x in spans) >= 27
+
+
 def test_substrings_near_passages_of_connected_texts(spark):
     """What an exact repeat connects is searched all the same: nine of ten near passages are covered, in pairs and in texts that others connect too."""
     rng = random.Random(33)
