@@ -659,3 +659,76 @@ def test_bootstrap_paths_agree(spark, monkeypatch):
         assert len(one_) == 4 and set(one_) == set(two)
         for k in one_:
             assert one_[k].n_valid == two[k].n_valid == 25 and one_[k].delta_lo == pytest.approx(two[k].delta_lo) and one_[k].delta_hi == pytest.approx(two[k].delta_hi)
+
+
+def _by_keys(t, keys):
+    return {tuple(r[k] for k in keys): r for r in t.collect()}
+
+
+@pytest.mark.parametrize("sizes", [(4, 64, 16, 8, 4), (2, 50, 3, 32, 5)])
+def test_bootstrap_blocks_of_a_few_rows(spark, monkeypatch, sizes):
+    """Many blocks, stretches, turns, chunks and ranges give every group and what arrays give."""
+    from tessera.operators import discrimination as dn
+
+    rng = random.Random(9)
+    rows = [(g, m, i, i % 2, round(rng.random(), 1), float("nan") if i == 7 else rng.random()) for g, n in (("a", 90), (None, 21), ("b", 1), ("c", 5)) for m in ("x", "y") for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, m string, id int, truth int, r double, s double")
+    for name, value in zip(("BITS", "DRAWN", "RISKS", "TOGETHER", "COUNTED"), sizes):
+        monkeypatch.setattr(dn, name, value)
+    for cohort in (["g"], []):
+        one_, two = (_by_keys(dn.bootstrap_delta(df, "id", "r", "s", replicates=11, by=["g", "m"], cohort=cohort, large=large), "gm") for large in (False, True))
+        assert len(one_) == 8 and one_ == two
+
+
+def test_slot_digests_of_60_bits():
+    import hashlib
+
+    from tessera.operators import resampling
+
+    for seed in (1, "a seed so long that its digests take more than one block of md5"):
+        want = [int(hashlib.md5(f"{seed}|boot|{k}".encode()).hexdigest()[:15], 16) for k in range(95, 105)]
+        assert resampling.slot_digests(seed, 95, 10, True).tolist() == want
+
+
+def _matched_sample(spark, n=60):
+    rng = random.Random(10)
+    rows = [(i, i % 2, layer, model, rng.random()) for i in range(n) for layer, model in (("a", "EN"), ("b", "EN"), ("a", "XGB"), ("b", "XGB"), ("clinical", "RF"))]
+    return spark.createDataFrame(rows, "id int, truth int, layer string, model string, risk double")
+
+
+def test_comparisons_of_many_rows_are_those_of_few(spark, monkeypatch):
+    from tessera.operators import discrimination as dn
+    from tessera.operators import ordered
+
+    wide = spark.range(80).selectExpr("id", "id % 2 AS g", "CAST(id * 7 % 3 = 0 AS INT) AS truth", "id * 7 % 11 / 11D AS a", "id * 5 % 13 / 13D AS b", "id % 17 / 17D AS c")
+    p = _matched_sample(spark)
+    run = lambda: [
+        _by_keys(dn.compare(wide, "id", ["g"], {"b": ["a", "c"]}, replicates=20), ("g", "model", "reference")),
+        _by_keys(dn.between_layers(p, "id", ["a", "b"], replicates=20), ("model", "comparison")), _by_keys(dn.versus_clinical(p, "id", "RF", replicates=20), ("model", "comparison")),
+    ]
+    few = run()
+    monkeypatch.setattr(ordered, "FEW_BYTES", -1)
+    monkeypatch.setattr(ordered, "FEW_ROWS", -1)
+    for a, b in zip(few, run()):
+        assert set(a) == set(b) and len(a) in (2, 4)
+        for k in a:
+            for c, v in a[k].asDict().items():
+                assert v is not None and b[k][c] == (v if isinstance(v, str) else pytest.approx(v, abs=1e-9)), (k, c)
+
+
+@pytest.mark.parametrize("kind", ["between", "clinical", "compare"])
+def test_comparisons_are_not_broadcast_and_made_once(spark, monkeypatch, kind):
+    """Predictions meet by sorting, and the adjustment reads finished comparisons: P values made anew may differ in the last bit, and then miss each other."""
+    from tessera.operators import discrimination as dn
+
+    seen = []
+    monkeypatch.setattr(dn, "compared", lambda rows, *a, _real=dn.compared: (seen.append(rows), _real(rows, *a))[1])
+    p = _matched_sample(spark)
+    if kind == "compare":
+        wide = p.groupBy("id", "truth").agg(F.max("risk").alias("x"), F.min("risk").alias("y"))
+        out = dn.compare(wide, "id", [], {"x": ["y"]}, replicates=5)
+    else:
+        out = dn.between_layers(p, "id", ["a", "b"], replicates=5) if kind == "between" else dn.versus_clinical(p, "id", "RF", replicates=5)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") <= (kind != "clinical")  # the pairs alone
+    assert "LocalTableScan" not in (made := out._jdf.queryExecution().optimizedPlan().toString()) and "LogicalRDD" not in made and "Relation" in made
